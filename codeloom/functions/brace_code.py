@@ -26,13 +26,14 @@ from .lexing import (
 # Text up to the matching bracket, for brackets nested at most twice.
 _ARGS = r"[^()]*+(?:\([^()]*+(?:\([^()]*+\)[^()]*+)*+\)[^()]*+)*+"
 _C_ARGS = r"[^(){};]*+(?:\([^(){};]*+(?:\([^(){};]*+\)[^(){};]*+)*+\)[^(){};]*+)*+"
-_TOKENS = f"({FN_OPEN}[^{FN_CLOSE}]*+{FN_CLOSE}|{HEAD}|[{{}}]|\\n[^{{}}{HEAD}{FN_OPEN}]*+)"
+_MARKED = f"{FN_OPEN}([^{FN_CLOSE}]*+){FN_CLOSE}"
+_STRUCTURE = f"(\\n+|[{{}}{HEAD}{FN_OPEN}])"
 _OPEN = (
     "array<struct<line_number:int,end_line:int,name:string,kind:string,params:string,"
     "result:string,depth:int>>"
 )
 _ZERO = (
-    "named_struct('line', 1, 'depth', 0, 'head', 1,"
+    "named_struct('line', 1, 'depth', 0, 'head', 1, 'seen', 0,"
     f" 'open', cast(array() as {_OPEN}), 'done', cast(array() as {_OPEN}))"
 )
 
@@ -42,16 +43,38 @@ def _mark(kind: str, name: str, params: str = "", result: str = "") -> str:
 
 
 def _spans(marked: Column, nested: bool) -> Column:
+    """As :func:`_paired`, with the marking done once."""
+    return bind(marked, lambda text: _paired(text, nested))
+
+
+def _paired(marked: Column, nested: bool) -> Column:
     """Pair the braces of each marked header.
 
     ``nested`` is false for C, where a function may only start outside all
     braces.  Blocks still open at the end of the text end on its last line.
     """
 
-    def step(s: Column, t: Column) -> Column:
-        first = F.substring(t, 1, 1)
-        fields = F.split(F.translate(t, FN_OPEN + FN_CLOSE, ""), FIELD)
-        kind = F.get(fields, F.lit(0))
+    # What the marks say, in order; the fold then runs over bare structure only.
+    heads = F.transform(
+        F.regexp_extract_all(marked, F.lit(_MARKED)),
+        lambda m: bind(
+            F.split(m, FIELD),
+            lambda part: F.struct(
+                F.get(part, F.lit(0)).alias("kind"),
+                F.get(part, F.lit(1)).alias("name"),
+                F.get(part, F.lit(2)).alias("params"),
+                F.get(part, F.lit(3)).alias("result"),
+            ),
+        ),
+    )
+    bare = F.regexp_replace(
+        F.regexp_replace(marked, _MARKED, FN_OPEN), f"[^\\n{{}}{HEAD}{FN_OPEN}]+", ""
+    )
+    tokens = F.regexp_extract_all(bare, F.lit(_STRUCTURE))
+
+    def step(s: Column, t: Column, mark_of: Column) -> Column:
+        mark = F.get(mark_of, s.seen)
+        kind = mark.kind
         enclosing = F.get(s.open, F.size(s.open) - 1)
         in_class = F.coalesce(
             (enclosing.kind == "class") & (enclosing.depth == s.depth - 1), F.lit(False)
@@ -59,31 +82,31 @@ def _spans(marked: Column, nested: bool) -> Column:
         new = F.struct(
             F.when(kind == "class", s.line).otherwise(s["head"]).alias("line_number"),
             s.line.alias("end_line"),
-            F.get(fields, F.lit(1)).alias("name"),
+            mark["name"].alias("name"),
             F.when((kind == "method") & ~in_class, "property_method")
             .otherwise(kind)
             .alias("kind"),
-            F.get(fields, F.lit(2)).alias("params"),
-            F.get(fields, F.lit(3)).alias("result"),
+            mark.params.alias("params"),
+            mark.result.alias("result"),
             s.depth.alias("depth"),
         )
-        starts = first == FN_OPEN
+        starts = t == FN_OPEN
         one_line = starts & (kind == "line_arrow")
         pushes = starts & ~one_line if nested else starts & (s.depth == 0)
-        closes = (first == "}") & F.coalesce(enclosing.depth >= s.depth - 1, F.lit(False))
+        closes = (t == "}") & F.coalesce(enclosing.depth >= s.depth - 1, F.lit(False))
         ended = F.transform(
             F.filter(s.open, lambda o: o.depth >= s.depth - 1),
             lambda o: o.withField("end_line", s.line),
         )
         return F.struct(
-            F.when(first == "\n", s.line + F.length(t) - F.length(F.translate(t, "\n", "")))
-            .otherwise(s.line)
+            F.when(t.startswith("\n"), s.line + F.length(t)).otherwise(s.line)
             .alias("line"),
-            F.when(first == "{", s.depth + 1)
-            .when(first == "}", F.greatest(s.depth - 1, F.lit(0)))
+            F.when(t == "{", s.depth + 1)
+            .when(t == "}", F.greatest(s.depth - 1, F.lit(0)))
             .otherwise(s.depth)
             .alias("depth"),
-            F.when(first == HEAD, s.line).otherwise(s["head"]).alias("head"),
+            F.when(t == HEAD, s.line).otherwise(s["head"]).alias("head"),
+            F.when(starts, s.seen + 1).otherwise(s.seen).alias("seen"),
             F.when(pushes, F.array_append(s.open, new))
             .when(closes, F.filter(s.open, lambda o: o.depth < s.depth - 1))
             .otherwise(s.open)
@@ -99,15 +122,19 @@ def _spans(marked: Column, nested: bool) -> Column:
         found = F.filter(F.concat(s.done, rest), lambda o: o.kind != "class")
         return F.array_sort(found)
 
-    tokens = F.regexp_extract_all(marked, F.lit(_TOKENS))
-    return F.aggregate(tokens, F.expr(_ZERO), step, finish)
+    return bind(
+        heads,
+        lambda mark_of: F.aggregate(
+            tokens, F.expr(_ZERO), lambda s, t: step(s, t, mark_of), finish
+        ),
+    )
 
 
 def _blocks(lines: Column, skel: Column, spans: Column, code) -> Column:
     """``code(lines, span)`` cuts a function out of original or skeleton lines."""
-    return F.transform(
-        spans,
-        lambda o: F.struct(
+
+    def block(o: Column, skel_lines: Column) -> Column:
+        return F.struct(
             o["name"].alias("name"),
             o["name"].alias("full_name"),
             o.kind.alias("kind"),
@@ -119,8 +146,12 @@ def _blocks(lines: Column, skel: Column, spans: Column, code) -> Column:
             o.result.alias("return_type"),
             o.line_number.alias("first_line"),
             code(lines, o).alias("code"),
-            code(skel, o).alias("skeleton"),
-        ),
+            code(skel_lines, o).alias("skeleton"),
+        )
+
+    return bind(
+        lines_of(skel),
+        lambda skel_lines: F.transform(spans, lambda o: block(o, skel_lines)),
     )
 
 
@@ -168,7 +199,7 @@ def c_blocks(text: Column) -> Column:
         )
         return _blocks(
             lines,
-            lines_of(skel),
+            skel,
             spans,
             lambda text_lines, o: line_slice(text_lines, o.line_number, o.end_line),
         )
@@ -240,47 +271,56 @@ _KEYWORDS = r"(?!(?:if|for|while|switch|catch|function|return|with|do|else|try|n
 _MODIFIERS = r"(?:(?:public|private|protected|static|readonly|override|async|get|set)\s+)*+\*?\s*"
 
 
-# (pattern up to the opening brace, start group, mark) -- applied in this order,
-# a marked header is not matched again because the mark stands before its brace.
-def _js_forms() -> list[tuple[str, str]]:
+# (word the text must hold, pattern up to the opening brace, replacement), applied in this
+# order; a marked header is not matched again because the mark stands before its brace.
+def _js_forms() -> list[tuple[str, str, str]]:
     anonymous = "anonymous_"
     return [
-        (rf"(\bclass\b[^{{}};()]*+)\{{", "$1" + _mark("class", "") + "{"),
+        ("class", rf"(\bclass\b[^{{}};()]*+)\{{", "$1" + _mark("class", "") + "{"),
         (
+            "=",
             rf"(\b(?:const|let|var)\s+)({_ID})(\s*(?::[^=;{{}}\n]*)?=\s*)({_VALUE})\{{",
             f"$1{HEAD}$2$3$4" + _mark("variable_function", "$2") + "{",
         ),
         (
+            "=>",
             rf"(\b(?:const|let|var)\s+)({_ID})(\s*=\s*)((?:async\b\s*)?{_ARROW})"
             rf"(?![{{\s{FN_OPEN}])",
             f"$1{HEAD}$2$3$4" + _mark("line_arrow", "variable_function" + "\x08" + "$2"),
         ),
         (
+            ":",
             rf"({_ID}|[\"'])(\s*:\s*)({_VALUE})\{{",
             f"{HEAD}$1$2$3" + _mark("property_method", "$1") + "{",
         ),
         (
+            "function",
             rf"(?m)(^[ \t]*(?:export\s+(?:default\s+)?)?)((?:async\s+)?function\b\s*\*?\s*)({_ID})"
             rf"(\s*(?:<[^<>()]*>)?\s*\()({_ARGS})(\){_RET}\s*)\{{",
             f"$1{HEAD}$2$3$4$5$6" + _mark("declaration", "$3", "$5") + "{",
         ),
         (
+            "function",
             rf"(\bfunction\b\s*\*?\s*(?:{_ID})?\s*\()({_ARGS})(\){_RET}\s*)\{{",
             f"{HEAD}$1$2$3" + _mark("expression", anonymous + "expression", "$2") + "{",
         ),
         (
+            "=>",
             rf"(\()({_ARGS})(\){_RET}\s*=>\s*)\{{",
             f"{HEAD}$1$2$3" + _mark("arrow", anonymous + "arrow", "$2") + "{",
         ),
         (
+            "=>",
             rf"(\b{_ID})(\s*=>\s*)\{{",
             f"{HEAD}$1$2" + _mark("arrow", anonymous + "arrow", "$1") + "{",
         ),
         (
+            "=>",
             rf"(?:(\()({_ARGS})(\))|(\b{_ID}))(\s*=>\s*)(?![{{\s{FN_OPEN}])",
             f"{HEAD}$1$2$3$4$5" + _mark("line_arrow", "arrow\x08" + anonymous + "arrow", "$2$4"),
         ),
         (
+            "{",
             rf"(?m)^([ \t]*{_MODIFIERS}){_KEYWORDS}({_ID})(\s*(?:<[^<>()]*>)?\s*\()({_ARGS})"
             rf"(\){_RET}\s*)\{{",
             f"$1{HEAD}$2$3$4$5" + _mark("method", "$2", "$4") + "{",
@@ -288,6 +328,14 @@ def _js_forms() -> list[tuple[str, str]]:
     ]
 
 
+def _marked_if(text: Column, word: str, pattern: str, replacement: str) -> Column:
+    """Most files lack most forms, and a plain search is cheaper than a pass."""
+    return bind(
+        text,
+        lambda t: F.when(t.contains(word), F.regexp_replace(t, pattern, replacement)).otherwise(t),
+    )
+
+
 _START = {
     "declaration": r"((?:async\s+)?function\b.*)$",
     "expression": r"((?:async\s+)?function\b.*)$",
@@ -301,13 +349,14 @@ _START = {
 def _js_code(lines: Column, o: Column) -> Column:
     """Source from the function's own first column to its closing brace."""
     head = F.get(lines, o.line_number - 1)
-    cut = F.lit(None).cast("string")
+    cut = None
     for kind, pattern in _START.items():
-        cut = F.when(o.kind == kind, F.nullif(F.regexp_extract(head, pattern, 1), F.lit("")))\
-            .otherwise(cut)
-    first = F.coalesce(cut, head)
+        here = F.regexp_extract(head, pattern, 1)
+        cut = F.when(o.kind == kind, here) if cut is None else cut.when(o.kind == kind, here)
+    first = bind(cut, lambda c: F.when(c != "", c).otherwise(head))
     last = F.get(lines, o.end_line - 1)
-    tail = F.coalesce(F.nullif(F.regexp_extract(last, r"^([^}]*\})", 1), F.lit("")), last)
+    tail = F.when(last.contains("}"), F.concat(F.substring_index(last, "}", 1), F.lit("}")))
+    tail = tail.otherwise(last)
     middle = F.slice(lines, o.line_number + 1, o.end_line - o.line_number - 1)
     return F.when(
         o.end_line > o.line_number,
@@ -323,8 +372,8 @@ def js_blocks(text: Column) -> Column:
 
     def build(lines: Column, skel: Column) -> Column:
         marked = skel
-        for pattern, replacement in _js_forms():
-            marked = F.regexp_replace(marked, pattern, replacement)
+        for word, pattern, replacement in _js_forms():
+            marked = _marked_if(marked, word, pattern, replacement)
 
         def settle(o: Column) -> Column:
             at = F.instr(o["name"], "\x08")
@@ -343,7 +392,7 @@ def js_blocks(text: Column) -> Column:
 
         return _blocks(
             lines,
-            lines_of(skel),
+            skel,
             F.transform(_spans(marked, nested=True), settle),
             _js_code,
         )

@@ -7,6 +7,7 @@ stays narrow from the file read to the findings.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -15,14 +16,19 @@ from pyspark.sql import functions as F
 # Control characters used as marks inside skeleton text (never valid in source).
 LIT_OPEN, LIT_CLOSE = "\x01", "\x02"
 HEAD, FN_OPEN, FN_CLOSE, FIELD = "\x04", "\x05", "\x06", "\x07"
-MARKS = LIT_OPEN + LIT_CLOSE + "\x03" + HEAD + FN_OPEN + FN_CLOSE + FIELD
+MARKS = "[\x01-\x08]"
 
 # No pattern repeats a group over file-sized text: Java's matcher recurses for
-# such groups and would overflow the stack on long literals.
-PY_STRING = "\"\"\"(?s:.*?)\"\"\"|'''(?s:.*?)'''|\"[^\"\\n]*+\"|'[^'\\n]*+'"
-C_STRING = "\"[^\"\\n]*+\"|'[^'\\n]*+'"
-JS_STRING = C_STRING + "|`[^`]*+`"
-BRACE_COMMENT = "/\\*(?s:.*?)\\*/|//[^\\n]*+"
+# such groups and would overflow the stack on long literals.  Each pattern
+# starts with its possible first characters, so other text is skipped quickly.
+_PY_LITERAL = (
+    r"""(?=["'#])(?:(\"{3})((?s:.*?))\"{3}|('{3})((?s:.*?))'{3}"""
+    r"""|(")[^"\n]*+"|(')[^'\n]*+'|#[^\n]*+)"""
+)
+_C_LITERAL = r"""(?=["'/])(?:(")[^"\n]*+"|(')[^'\n]*+'|/\*((?s:.*?))\*/|//[^\n]*+)"""
+_JS_LITERAL = (
+    r"""(?=["'/`])(?:(")[^"\n]*+"|(')[^'\n]*+'|/\*((?s:.*?))\*/|//[^\n]*+|`([^`]*+)`)"""
+)
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -31,62 +37,77 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def unix_newlines(text: Column) -> Column:
-    return F.regexp_replace(text, "\r\n?", "\n")
+    return F.when(text.contains("\r"), F.regexp_replace(text, "\r\n?", "\n")).otherwise(text)
 
 
 def lines_of(text: Column) -> Column:
     return F.split(text, "\n")
 
 
+def bracket_balance(text: Column, brackets: str = "()[]{}") -> Column:
+    """Opening less closing brackets of a short text."""
+    only = F.regexp_replace(text, "[^" + re.escape(brackets) + "]+", "")
+    return bind(
+        only,
+        lambda b: F.when(b.isin("", "()", "[]", "{}", "()()"), 0).otherwise(
+            F.length(F.translate(b, brackets[1::2], ""))
+            - F.length(F.translate(b, brackets[0::2], ""))
+        ),
+    )
+
+
 def line_slice(lines: Column, first: Column, last: Column) -> Column:
     return F.array_join(F.slice(lines, first, last - first + 1), "\n")
 
 
 def _without_escapes(text: Column) -> Column:
     """Blank backslash pairs, so that a quote in the text always ends a literal."""
-    return F.regexp_replace(F.translate(text, MARKS, " " * len(MARKS)), r"\\.", "  ")
+    return F.regexp_replace(text, MARKS + r"|\\.", " ")
 
 
 def _blank_marked(text: Column, keep_close: bool) -> Column:
     """Drop what stands between literal marks, but keep its line breaks."""
     tail = f"(\\n|{LIT_CLOSE})" if keep_close else f"(?:(\\n)|{LIT_CLOSE})"
-    return F.regexp_replace(
-        text, f"(?:{LIT_OPEN}|\\G(?<=\\n))[^\\n{LIT_CLOSE}]*+{tail}", "$1"
+    pattern = f"(?:{LIT_OPEN}|\\G(?<=\\n))[^\\n{LIT_CLOSE}]*+{tail}"
+    return bind(
+        F.replace(text, F.lit(LIT_OPEN + LIT_CLOSE), F.lit("")),
+        lambda t: F.when(t.contains(LIT_OPEN), F.regexp_replace(t, pattern, "$1")).otherwise(t),
     )
 
 
 def python_skeleton(text: Column) -> Column:
     """Code without comments and literal contents, line for line.
 
-    A literal leaves its quote and a close mark, so a line that *starts* with
-    the close mark is the end of a literal begun on an earlier line.
+    A literal leaves its opening quotes.  A triple-quoted one also leaves a
+    close mark, so a line that *starts* with the mark ends a longer literal.
     """
     marked = F.regexp_replace(
-        _without_escapes(text),
-        f"(?=([\"'])?)(?:({PY_STRING})|#[^\\n]*+)",
-        f"$1{LIT_OPEN}$2{LIT_CLOSE}",
+        _without_escapes(text), _PY_LITERAL, f"$1$3$5$6{LIT_OPEN}$2$4{LIT_CLOSE}"
     )
-    return _blank_marked(F.replace(marked, F.lit(LIT_OPEN + LIT_CLOSE), F.lit("")), True)
-
-
-def brace_skeleton(text: Column, string: str) -> Column:
-    """As above for C and JavaScript; a string leaves its opening quote only."""
-    marked = F.regexp_replace(
-        _without_escapes(text),
-        f"(?=([\"'`])?)({string}|{BRACE_COMMENT})",
-        f"$1{LIT_OPEN}$2{LIT_CLOSE}",
-    )
-    return _blank_marked(marked, False)
+    return _blank_marked(marked, True)
 
 
 def c_skeleton(text: Column) -> Column:
     """C code without literals, comments, directives and attributes."""
-    plain = F.regexp_replace(brace_skeleton(text, C_STRING), r"(?m)^[ \t]*#[^\n]*+", "")
-    return F.regexp_replace(plain, r"__attribute__\s*\(\([^)\n]*+\)\)", "")
+    marked = F.regexp_replace(
+        _without_escapes(text), _C_LITERAL, f"$1$2{LIT_OPEN}$3{LIT_CLOSE}"
+    )
+    plain = F.regexp_replace(_blank_marked(marked, False), r"(?m)^[ \t]*+#[^\n]*+", "")
+    return bind(
+        plain,
+        lambda t: F.when(
+            t.contains("__attribute__"),
+            F.regexp_replace(t, r"__attribute__\s*\(\([^)\n]*+\)\)", ""),
+        ).otherwise(t),
+    )
 
 
 def js_skeleton(text: Column) -> Column:
-    return brace_skeleton(text, JS_STRING)
+    """JavaScript without comments and literals; plain strings leave a quote."""
+    marked = F.regexp_replace(
+        _without_escapes(text), _JS_LITERAL, f"$1$2{LIT_OPEN}$3$4{LIT_CLOSE}"
+    )
+    return _blank_marked(marked, False)
 
 
 def split_top_level(text: Column) -> Column:

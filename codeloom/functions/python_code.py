@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .lexing import bind, line_slice, lines_of, python_skeleton, split_top_level
+from .lexing import bind, bracket_balance, line_slice, lines_of, python_skeleton, split_top_level
 
 _OPEN = (
     "array<struct<line_number:int,end_line:int,name:string,kind:string,class_context:string,"
@@ -30,9 +30,7 @@ def _line_records(skel: Column) -> Column:
         return F.struct(
             (i + 1).alias("ln"),
             F.length(F.replace(indent, F.lit("\t"), F.lit(" " * 8))).alias("indent"),
-            (
-                F.length(F.translate(line, ")]}", "")) - F.length(F.translate(line, "([{", ""))
-            ).alias("net"),
+            bracket_balance(line).alias("net"),
             line.startswith(_CONTINUES).alias("cont"),
             F.when(head, F.regexp_extract(line, _HEAD, 1)).otherwise("").alias("head"),
             F.when(head, F.regexp_extract(line, _HEAD, 2)).otherwise("").alias("name"),
@@ -306,7 +304,7 @@ def python_imports(text: Column) -> Column:
 
 
 _CALL_TOKENS = (
-    r"(\n|(?:(?<=[)\]}\x02])\.)?(?:[A-Za-z_]\w*\.)*[A-Za-z_]\w*[ \t]*\("
+    r"(\n|(?:(?<=[)\]}\x02\x22'])\.)?(?:[A-Za-z_]\w*\.)*[A-Za-z_]\w*[ \t]*\("
     r"|[(\[{]|[)\]}]|,|(?<![=!<>])=(?!=)|\*\*|\w+|[^\s])"
 )
 _FRAME = (

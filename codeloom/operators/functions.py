@@ -5,6 +5,8 @@ All of these are narrow: one pass over each file's row, no shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,33 +36,49 @@ def import_statements(lang: Column, text: Column) -> Column:
     )
 
 
-def extract_functions(files: DataFrame, with_imports: bool = False) -> DataFrame:
-    """One row per function definition with its source.
+BLOCK_FIELDS = [
+    "name", "full_name", "kind", "class_context", "line_number", "end_line", "decorators",
+    "signature", "return_type", "first_line", "code", "skeleton",
+]
+
+
+def extract_functions(
+    files: DataFrame,
+    fields: list[str] = BLOCK_FIELDS,
+    derive: dict[str, Callable[[Column], Column]] | None = None,
+    with_imports: bool = False,
+) -> DataFrame:
+    """One row per function definition.
 
     ``fn_no`` counts the functions of a file in line order and makes ``fn_id``.
-    ``with_imports`` carries the file's first imports along, so that a context
-    needs no join back to the file.
+    ``derive`` adds columns computed from the block beside its text, so that a
+    plan that needs no source need not emit it, and a later filter cannot pull
+    the computation apart.  ``with_imports`` carries the file's first imports
+    along, so that a context needs no join back to the file.
     """
     text = unix_newlines(F.col("content"))
     lang = F.col("lang")
-    blocks = bind(
-        text, lambda t: _by_language(lang, P.python_blocks(t), B.js_blocks(t), B.c_blocks(t))
+
+    def row(b: Column, i: Column) -> Column:
+        return F.struct(
+            (i + 1).alias("fn_no"),
+            *[b[name].alias(name) for name in fields],
+            *[fn(b).alias(name) for name, fn in (derive or {}).items()],
+        )
+
+    rows = bind(
+        text,
+        lambda t: F.transform(
+            _by_language(lang, P.python_blocks(t), B.js_blocks(t), B.c_blocks(t)), row
+        ),
     )
-    keep = ["file_id", "path", "lang"]
     extra = []
     if with_imports:
         extra = [
             bind(text, lambda t: F.slice(import_statements(lang, t), 1, MAX_IMPORTS)).alias("imports")
         ]
-    out = files.select(*keep, *extra, F.posexplode(blocks).alias("pos", "f"))
-    return out.select(
-        *keep,
-        *[F.col(c) for c in (["imports"] if extra else [])],
-        (F.col("pos") + 1).alias("fn_no"),
-        F.concat_ws("#", F.col("file_id"), F.col("pos") + 1).alias("fn_id"),
-        "f.*",
-        (F.col("f.kind") == "async_function").alias("is_async"),
-    )
+    out = files.select("file_id", "path", "lang", *extra, F.inline(rows))
+    return out.withColumn("fn_id", F.concat_ws("#", "file_id", "fn_no"))
 
 
 def with_params(functions: DataFrame) -> DataFrame:
@@ -97,20 +115,26 @@ def call_names(lang: Column, skeleton: Column) -> Column:
     return F.array_sort(F.array_distinct(names))
 
 
-def extract_calls(functions: DataFrame) -> DataFrame:
-    """Distinct called names, one row each, for C and JavaScript."""
-    return functions.select(
+def extract_calls(files: DataFrame) -> DataFrame:
+    """Distinct called names of each function, one row each."""
+    fns = extract_functions(
+        files, ["name"], {"calls": lambda b: call_names(F.col("lang"), b.skeleton)}
+    )
+    return fns.select(
         "file_id", "fn_id", "lang", F.col("name").alias("function"),
-        F.explode(call_names(F.col("lang"), F.col("skeleton"))).alias("name"),
+        F.explode("calls").alias("name"),
     )
 
 
-def extract_python_calls(functions: DataFrame) -> DataFrame:
+def extract_python_calls(files: DataFrame) -> DataFrame:
     """Every Python call with object, kind, line and argument counts."""
-    python = functions.where(F.col("lang") == "python")
-    return python.select(
-        "file_id", "fn_id", F.col("name").alias("function"),
-        F.explode(P.python_calls(F.col("skeleton"), F.col("first_line"))).alias("c"),
+    fns = extract_functions(
+        files.where(F.col("lang") == "python"),
+        ["name"],
+        {"calls": lambda b: P.python_calls(b.skeleton, b.first_line)},
+    )
+    return fns.select(
+        "file_id", "fn_id", F.col("name").alias("function"), F.explode("calls").alias("c")
     ).select("file_id", "fn_id", "function", "c.*")
 
 
@@ -176,15 +200,17 @@ def hint_includes(files: DataFrame) -> DataFrame:
 
 def build_contexts(files: DataFrame) -> DataFrame:
     """Function, its code, five imports and ten called names, without a join."""
-    fns = extract_functions(files, with_imports=True)
-    return fns.select(
-        "file_id", "path", "lang", "fn_no", "fn_id", F.col("name").alias("function_name"),
-        F.col("code").alias("function_code"), "imports",
-        F.slice(call_names(F.col("lang"), F.col("skeleton")), 1, MAX_DEPENDENCIES).alias(
-            "dependencies"
-        ),
-        "line_number",
+    fns = extract_functions(
+        files,
+        ["name", "line_number", "code"],
+        {
+            "dependencies": lambda b: F.slice(
+                call_names(F.col("lang"), b.skeleton), 1, MAX_DEPENDENCIES
+            )
+        },
+        with_imports=True,
     )
+    return fns.withColumnsRenamed({"name": "function_name", "code": "function_code"})
 
 
 def parse_quality(files: DataFrame) -> DataFrame:

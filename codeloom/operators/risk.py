@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import dims
-from .rules import fallback_field, fallback_rule
+from .rules import fallback_field
 
 RISK, VERDICT = "risk", "verdict"
 
@@ -172,11 +172,6 @@ def parse_verdicts(answers: DataFrame, text: str = "verdict_text") -> DataFrame:
     ).drop("_body", "_tree", "_keys")
 
 
-def with_fallback(functions: DataFrame, code: str = "code") -> DataFrame:
-    """Adds the rule verdict while the code is still at hand (see scan plan)."""
-    return functions.withColumn("fallback", fallback_rule(F.col(code)))
-
-
 def fallback_verdicts(functions: DataFrame) -> DataFrame:
     """Verdict fields by fallback rules alone."""
     fields = {

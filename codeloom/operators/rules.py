@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import dims
+from ..functions.lexing import bind
 
 
 def tags_where(conditions: list[tuple[str, Column]]) -> Column:
@@ -176,19 +177,23 @@ def fallback_rule(code: Column) -> Column:
 
     Only this leaves the text stage; :func:`fallback_field` names the rest.
     """
-    lowered = F.lower(code)
-    out = None
-    for no, (regex, *_) in enumerate(dims.FALLBACK_RULES, 1):
-        pattern = "(?d)" + regex
-        hit = F.struct(
-            F.lit(no).alias("no"),
-            F.substring(
-                F.regexp_extract(lowered, pattern, 0), 1, dims.FALLBACK_SNIPPET_LIMIT
-            ).alias("snippet"),
-        )
-        cond = lowered.rlike(pattern)
-        out = F.when(cond, hit) if out is None else out.when(cond, hit)
-    return out.otherwise(F.struct(F.lit(0).alias("no"), F.lit("").alias("snippet")))
+
+    def first_hit(lowered: Column) -> Column:
+        out = None
+        for no, (regex, *_) in enumerate(dims.FALLBACK_RULES, 1):
+            # (?d): "." stops at a line feed only.
+            pattern = "(?d)" + regex
+            hit = F.struct(
+                F.lit(no).alias("no"),
+                F.substring(
+                    F.regexp_extract(lowered, pattern, 0), 1, dims.FALLBACK_SNIPPET_LIMIT
+                ).alias("snippet"),
+            )
+            cond = lowered.rlike(pattern)
+            out = F.when(cond, hit) if out is None else out.when(cond, hit)
+        return out.otherwise(F.struct(F.lit(0).alias("no"), F.lit("").alias("snippet")))
+
+    return bind(F.lower(code), first_hit)
 
 
 def fallback_field(rule_no: Column, field: str) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import risk as R
 from ..operators.functions import extract_functions
-from ..operators.rules import rule_hits
+from ..operators.rules import fallback_rule, rule_hits
 
 FINDING_COLUMNS = [
     "file", "lang", "function", "vulnerability_type", "confidence", "severity", "line_number",
@@ -24,10 +24,9 @@ def scored_functions(
     files: DataFrame, responses: DataFrame | None = None, inclusive: bool = True
 ) -> DataFrame:
     """Functions with ``risk_score``, ``tier`` and the rule verdict, without code."""
-    narrow = R.with_fallback(extract_functions(files)).select(
-        "file_id", F.col("path").alias("file"), "lang", "fn_id", "fn_no",
-        F.col("name").alias("function"), "line_number", "fallback",
-    )
+    narrow = extract_functions(
+        files, ["name", "line_number"], {"fallback": lambda b: fallback_rule(b.code)}
+    ).withColumnsRenamed({"path": "file", "name": "function"})
     if responses is None:
         scored = narrow.withColumn("risk_score", F.lit(0.5))
     else:
@@ -62,9 +61,11 @@ def scan(
     rules: list[tuple[str, str]] = (),
 ) -> tuple[DataFrame, DataFrame]:
     """(findings, rule hits).  ``rules`` adds the caller's own (id, regex) pairs."""
-    hits = extract_functions(files).select(
+    hits = extract_functions(
+        files, ["name", "line_number"], {"hits": lambda b: rule_hits(b.code, rules)}
+    ).select(
         F.col("path").alias("file"), F.col("name").alias("function"), "line_number",
-        F.explode(rule_hits(F.col("code"), rules)).alias("rule_id"),
+        F.explode("hits").alias("rule_id"),
     )
     return findings(files, responses, inclusive), hits
 

@@ -9,13 +9,17 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def get_spark(master: str | None = None, partitions: int | None = None) -> SparkSession:
+def get_spark(
+    master: str | None = None, partitions: int | None = None, memory: str | None = None
+) -> SparkSession:
     """A session for tests and benches; on a cluster the submitter's settings win."""
     builder = SparkSession.builder.appName("codeloom")
     if master:
         builder = builder.master(master)
     if partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
+    if memory:
+        builder = builder.config("spark.driver.memory", memory)
     return (
         builder.config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")

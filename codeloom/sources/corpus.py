@@ -250,15 +250,28 @@ EXTENSIONS = {
 SLOTS = [(1, 0), (8, 3), (64, 5)]
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """Use every core when the scan itself has fewer splits than there are cores.
+
+    A thin row grows a hundredfold below, so few splits would leave cores idle.
+    A large table has splits enough and gets no shuffle at all.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(3 * cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def _div(value: Column, by: int) -> Column:
     return F.call_function("div", value, F.lit(by)).cast("long")
 
 
 def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``file_id, path, ext, lang, content`` -- one source file per order."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
-        "o_orderkey", "o_orderpriority"
-    )
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return files_from_orders(spread(orders.select("o_orderkey", "o_orderpriority")))
+
+
+def files_from_orders(orders: DataFrame) -> DataFrame:
+    """The derivation itself: a projection, so batch or streaming alike."""
     key = F.col("o_orderkey")
     turn = _div(key, len(LANGS))
     text = ext = None
@@ -308,22 +321,39 @@ VERDICT_TEXTS = [
 ]
 
 
-def responses(functions: DataFrame) -> DataFrame:
-    """``fn_id, stage, response_text`` for the functions that got an answer."""
+# No derived file holds more functions than this.
+MAX_FUNCTIONS = 9
+
+
+def responses(files: DataFrame) -> DataFrame:
+    """``fn_id, stage, response_text``: answers by file and function number.
+
+    Made from the file ids alone; numbers a file does not reach join nothing.
+    """
 
     def pick(texts: list[str | None], n: Column) -> Column:
         return F.get(F.array(*[F.lit(t) for t in texts]), (n % len(texts)).cast("int"))
 
+    def answer(stage: str, text: Column) -> Column:
+        return F.struct(F.lit(stage).alias("stage"), text.alias("response_text"))
+
+    numbered = files.select(
+        "file_id", F.explode(F.sequence(F.lit(1), F.lit(MAX_FUNCTIONS))).alias("fn_no")
+    )
     n = F.col("file_id") + F.col("fn_no")
-    return functions.select(
-        "fn_id",
-        F.explode(
-            F.array(
-                F.struct(F.lit("risk").alias("stage"), pick(RISK_TEXTS, n * 3).alias("response_text")),
-                F.struct(F.lit("verdict").alias("stage"), pick(VERDICT_TEXTS, n).alias("response_text")),
-            )
-        ).alias("r"),
-    ).select("fn_id", "r.*").where(F.col("response_text").isNotNull())
+    return (
+        numbered.select(
+            F.concat_ws("#", "file_id", "fn_no").alias("fn_id"),
+            F.explode(
+                F.array(
+                    answer("risk", pick(RISK_TEXTS, n * 3)),
+                    answer("verdict", pick(VERDICT_TEXTS, n)),
+                )
+            ).alias("r"),
+        )
+        .select("fn_id", "r.*")
+        .where(F.col("response_text").isNotNull())
+    )
 
 
 def build_records(spark: SparkSession, sf_dir: str) -> DataFrame:
