@@ -262,7 +262,8 @@ def c_call_names(skeleton: Column) -> Column:
 # JavaScript / TypeScript
 # --------------------------------------------------------------------------
 
-_RET = r"(?:\s*:\s*[^={};()]*)?"
+# A mark is never part of a type.
+_RET = rf"(?:\s*:\s*[^={{}};(){FN_OPEN}]*)?"
 _ID = r"[\w$]+"
 _FUNC = rf"function\b\s*\*?\s*(?:{_ID})?\s*(?:<[^<>()]*>)?\s*\({_ARGS}\){_RET}\s*"
 _ARROW = rf"(?:\({_ARGS}\){_RET}|\b{_ID})\s*=>\s*"

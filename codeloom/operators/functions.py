@@ -6,6 +6,7 @@ All of these are narrow: one pass over each file's row, no shuffle.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +43,26 @@ BLOCK_FIELDS = [
 ]
 
 
+# The two expressions below read ``lang`` and ``content`` by name, so one of each
+# serves every plan: building them takes thousands of calls into the JVM.
+@cache
+def _file_blocks() -> Column:
+    lang = F.col("lang")
+    return bind(
+        unix_newlines(F.col("content")),
+        lambda t: _by_language(lang, P.python_blocks(t), B.js_blocks(t), B.c_blocks(t)),
+    )
+
+
+@cache
+def _first_imports() -> Column:
+    lang = F.col("lang")
+    return bind(
+        unix_newlines(F.col("content")),
+        lambda t: F.slice(import_statements(lang, t), 1, MAX_IMPORTS),
+    ).alias("imports")
+
+
 def extract_functions(
     files: DataFrame,
     fields: list[str] = BLOCK_FIELDS,
@@ -56,8 +77,6 @@ def extract_functions(
     the computation apart.  ``with_imports`` carries the file's first imports
     along, so that a context needs no join back to the file.
     """
-    text = unix_newlines(F.col("content"))
-    lang = F.col("lang")
 
     def row(b: Column, i: Column) -> Column:
         return F.struct(
@@ -66,17 +85,8 @@ def extract_functions(
             *[fn(b).alias(name) for name, fn in (derive or {}).items()],
         )
 
-    rows = bind(
-        text,
-        lambda t: F.transform(
-            _by_language(lang, P.python_blocks(t), B.js_blocks(t), B.c_blocks(t)), row
-        ),
-    )
-    extra = []
-    if with_imports:
-        extra = [
-            bind(text, lambda t: F.slice(import_statements(lang, t), 1, MAX_IMPORTS)).alias("imports")
-        ]
+    extra = [_first_imports()] if with_imports else []
+    rows = F.transform(_file_blocks(), row)
     out = files.select("file_id", "path", "lang", *extra, F.inline(rows))
     return out.withColumn("fn_id", F.concat_ws("#", "file_id", "fn_no"))
 
@@ -157,7 +167,7 @@ def extract_imports(files: DataFrame) -> DataFrame:
         lambda t: _by_language(
             F.col("lang"),
             F.transform(
-                P.python_imports(t), lambda r: record(r, r.kind, r.module, r["name"], r.alias)
+                P.python_imports(t), lambda r: record(r, r.kind, r.module, r["name"], r["alias"])
             ),
             F.transform(B.js_imports(t), lambda r: record(r, r.kind, r.module)),
             F.transform(

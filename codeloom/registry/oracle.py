@@ -186,7 +186,7 @@ SELECT h.file_id, {_JS_NAME} AS name, h.ln AS line_number, h.line,
        CASE WHEN contains(h.line, '{{') THEN min(c.ln) ELSE h.ln END AS end_line, h.kind
 FROM js_lines h LEFT JOIN closers c
   ON c.file_id = h.file_id AND c.ln >= h.ln AND c.after <= h.before
-WHERE h.kind IS NOT NULL GROUP BY ALL""",
+WHERE h.kind IS NOT NULL GROUP BY h.file_id, h.ln, h.line, h.kind""",
     "spans": """
 SELECT file_id, name, kind, line_number, end_line, first_line, decorators, class_context,
        NULL AS params, NULL AS return_type, NULL AS line FROM py_fns
@@ -525,7 +525,9 @@ _GCC_STEPS = [
     (r"__always_inline__?\s*", ""),
     (r"\brestrict\b\s*", ""),
 ]
-_FD_STEPS = [(r"\bfd_set\b", "int")] + [(p, to) for _, p, to in N.FD_MACROS]
+_FD_STEPS = [(r"\bfd_set\b", "int")] + [
+    (p, to) for _, p, to in N.FD_MACROS if not p.startswith("FD_SET")
+]
 _WS_STEPS = [(r"\s+", " "), (r"\s*;\s*", ";\n"), (r"\s*\{\s*", " {\n"), (r"\s*\}\s*", "\n}\n")]
 
 
@@ -598,6 +600,7 @@ SQL = {
         lambda x: NOT regexp_matches(x, '^\\s*#(include|define|pragma|ifndef|ifdef|endif|else)')), {NL}) AS text
         FROM files WHERE lang = 'c'""",
     "strip_gcc_attributes": f"SELECT file_id, {_strip('content', _GCC_STEPS)} AS text FROM extended",
+    # "FD_SET (" with a blank does not count as a use of the macro.
     "stub_fd_macros": f"SELECT file_id, {_strip('content', _FD_STEPS)} AS text FROM extended",
     "canonical_whitespace": f"SELECT file_id, {_strip('content', _WS_STEPS)} AS text FROM extended",
     "strip_ts_types": f"SELECT file_id, {_strip('content', _TS_STEPS)} AS text FROM files WHERE lang = 'javascript'",

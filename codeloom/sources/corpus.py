@@ -8,6 +8,8 @@ group, and the corpus grows with the table.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -272,6 +274,11 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def files_from_orders(orders: DataFrame) -> DataFrame:
     """The derivation itself: a projection, so batch or streaming alike."""
+    return orders.select(*_file_columns())
+
+
+@cache
+def _file_columns() -> list[Column]:
     key = F.col("o_orderkey")
     turn = _div(key, len(LANGS))
     text = ext = None
@@ -288,7 +295,7 @@ def files_from_orders(orders: DataFrame) -> DataFrame:
         text = F.when(is_lang, content) if text is None else text.when(is_lang, content)
         ext = F.when(is_lang, extension) if ext is None else ext.when(is_lang, extension)
     lang_name = F.get(F.array(*[F.lit(x) for x in LANGS]), (key % len(LANGS)).cast("int"))
-    return orders.select(
+    return [
         key.alias("file_id"),
         F.concat(
             F.lit("src/"), lang_name, F.lit("/mod_"), key.cast("string"), F.lit("."), ext
@@ -296,7 +303,7 @@ def files_from_orders(orders: DataFrame) -> DataFrame:
         ext.alias("ext"),
         lang_name.alias("lang"),
         text.alias("content"),
-    )
+    ]
 
 
 # Raw answers of an external scoring job, by function.
