@@ -159,9 +159,9 @@ def _blocks(lines: Column, skel: Column, spans: Column, code) -> Column:
 # C
 # --------------------------------------------------------------------------
 
-# At most twelve specifier words before the name.
+# After a line break, ";" or "}"; at most twelve specifier words before the name.
 _C_HEAD = (
-    r"(?m)^([ \t]*+(?:[A-Za-z_]\w*+[\s*]+){1,12}?)(?!(?:if|for|while|switch|return|sizeof|else|do)\b)"
+    r"(?<![^\n;}])([ \t]*+(?:[A-Za-z_]\w*+[\s*]+){1,12}?)(?!(?:if|for|while|switch|return|sizeof|else|do)\b)"
     rf"([A-Za-z_]\w*+)(\s*\()({_C_ARGS})(\)\s*)\{{"
 )
 _STORAGE = r"\b(?:static|extern|inline|register|__inline__|__inline|_Noreturn)\b"

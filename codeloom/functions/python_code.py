@@ -171,7 +171,7 @@ def _subscript(text: Column, element) -> Column:
     )
 
 
-def annotation_text(text: Column, depth: int = 3) -> Column:
+def annotation_text(text: Column, depth: int = 2) -> Column:
     """Annotation as reported: dotted names, literals and subscripts."""
     element = (
         (lambda p: annotation_text(p, depth - 1))

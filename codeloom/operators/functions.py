@@ -91,8 +91,8 @@ def extract_functions(
     return out.withColumn("fn_id", F.concat_ws("#", "file_id", "fn_no"))
 
 
-def with_params(functions: DataFrame) -> DataFrame:
-    """Adds ``params`` (name, annotation, default) and Python return types."""
+@cache
+def _param_columns() -> dict[str, Column]:
     blank = F.lit(None).cast("string")
 
     def named(name: Column, annotation: Column = blank, default: Column = blank) -> Column:
@@ -106,12 +106,15 @@ def with_params(functions: DataFrame) -> DataFrame:
         F.transform(B.js_params(F.col("kind"), F.col("signature")), lambda n: named(n)),
         F.transform(B.c_params(F.col("signature")), lambda p: named(p["name"], p.type)),
     )
-    return functions.withColumn("params", params).withColumn(
-        "return_type",
-        F.when(F.col("lang") == "python", P.python_return(F.col("code"))).otherwise(
-            F.col("return_type")
-        ),
+    result = F.when(F.col("lang") == "python", P.python_return(F.col("code"))).otherwise(
+        F.col("return_type")
     )
+    return {"params": params, "return_type": result}
+
+
+def with_params(functions: DataFrame) -> DataFrame:
+    """Adds ``params`` (name, annotation, default) and Python return types."""
+    return functions.withColumns(_param_columns())
 
 
 def call_names(lang: Column, skeleton: Column) -> Column:

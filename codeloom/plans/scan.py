@@ -38,14 +38,25 @@ def scored_functions(
     return scored.withColumn("tier", R.risk_tier(F.col("risk_score"), inclusive))
 
 
-def verdicts(
+def reviewed(
     files: DataFrame, responses: DataFrame | None = None, inclusive: bool = True
 ) -> DataFrame:
-    """One verdict per function that passes the gate."""
-    gated = scored_functions(files, responses, inclusive).where(F.col("tier") == "analyse")
+    """Every function with score, tier and verdict, in one pass."""
+    scored = scored_functions(files, responses, inclusive)
     if responses is None:
-        return R.fallback_verdicts(gated).withColumn("verdict_source", F.lit("fallback"))
-    return R.settle_verdicts(R.attach_responses(gated, responses, R.VERDICT))
+        return R.fallback_verdicts(scored).withColumn("verdict_source", F.lit("fallback"))
+    return R.settle_verdicts(R.attach_responses(scored, responses, R.VERDICT))
+
+
+def verdicts(
+    files: DataFrame, responses: DataFrame | None = None, inclusive: bool = True
+) -> DataFrame:
+    """One verdict per function that passes the gate.
+
+    The gate reads columns of the function side only, so the optimizer moves it
+    below the join with the verdict answers.
+    """
+    return reviewed(files, responses, inclusive).where(F.col("tier") == "analyse")
 
 
 def findings(

@@ -251,7 +251,7 @@ WHERE o.name <> '' AND NOT o.heads AND o.name NOT IN {_words(_NOT_CALLS['python'
     "names": rf"""
 SELECT DISTINCT fn_id, lang, name FROM (
   SELECT fn_id, lang, unnest(regexp_extract_all(
-    CASE lang WHEN 'python' THEN regexp_replace(skel, '\b(?:def|class)\s+\w+\s*\(', '(', 'g')
+    CASE lang WHEN 'python' THEN regexp_replace(skel, '\b(?:def|class)\s+\w+\s*\(', ';(', 'g')
               WHEN 'c' THEN regexp_replace(skel, '^[^{{]*\{{', '')
               ELSE regexp_replace(regexp_replace(skel, '\bfunction\b\s*\w*\s*\(', '(', 'g'), '\bnew\s+\w+\s*(?:<[^<>()]*>)?\(', '(', 'g') END,
     '([A-Za-z_$][\w$]*)\s*\(', 1)) AS name FROM fns)

@@ -188,11 +188,9 @@ def report_scan(spark, sf):
 def report_preprocessed(spark, sf):
     """C files; the gate is exclusive here."""
     files = _files(spark, sf, "c")
-    answers = _responses(files)
-    scored = S.scored_functions(files, answers, inclusive=False)
-    found = S.findings(files, answers, inclusive=False)
+    reviewed = S.reviewed(files, _responses(files), inclusive=False)
     checked = files.withColumn("error", Z.file_error(col("path"), col("content")))
-    return Q.preprocessed_reports(scored, found, checked)
+    return Q.preprocessed_reports(reviewed, checked)
 
 
 @query

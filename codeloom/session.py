@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(
@@ -42,3 +42,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
         root = tempfile.mkdtemp(prefix="codeloom-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set(key, root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def stored(table: DataFrame, label: str) -> DataFrame:
+    """``table`` written to the shared folder and read back.
+
+    For a result read several times: the work is done once, the lineage is cut,
+    and a lost executor costs nothing that was already written.
+    """
+    path = scratch_path(table.sparkSession, label)
+    table.write.parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
