@@ -730,7 +730,8 @@ def stream_findings(spark, sf):
     arriving = (
         spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(sf)
     )
-    return I.scan_as_stream(spark, corpus.files_from_orders(arriving))
+    thin = corpus.spread(arriving.select("o_orderkey", "o_orderpriority"))
+    return I.scan_as_stream(spark, corpus.files_from_orders(thin))
 
 
 # --- build records -----------------------------------------------------------------------------

@@ -259,6 +259,8 @@ def spread(table: DataFrame) -> DataFrame:
     A large table has splits enough and gets no shuffle at all.
     """
     cores = table.sparkSession.sparkContext.defaultParallelism
+    if table.isStreaming:
+        return table.repartition(3 * cores)
     return table.repartition(3 * cores) if table.rdd.getNumPartitions() < cores else table
 
 
