@@ -181,9 +181,28 @@ def fallback_verdicts(functions: DataFrame) -> DataFrame:
     return functions.withColumns(fields).drop("fallback")
 
 
-def settle_verdicts(attached: DataFrame) -> DataFrame:
+def risk_answers(responses: DataFrame) -> DataFrame:
+    """``fn_id, answered_score``: read before the join, so a number is shuffled, not a text."""
+    return responses.where(F.col("stage") == RISK).select(
+        "fn_id", risk_score(F.col("response_text")).alias("answered_score")
+    )
+
+
+def verdict_answers(responses: DataFrame) -> DataFrame:
+    """``fn_id, answer``: the verdict struct, null when not accepted.
+
+    Read before the join: a condition on verdicts above it then cannot have the
+    texts parsed a second time.
+    """
+    parsed = parse_verdicts(responses.where(F.col("stage") == VERDICT), "response_text")
+    return parsed.select(
+        "fn_id", F.when(F.col("accepted"), F.struct(*VERDICT_FIELDS)).alias("answer")
+    )
+
+
+def settle_verdicts(functions: DataFrame, responses: DataFrame) -> DataFrame:
     """The accepted answer, else the rule verdict."""
-    parsed = parse_verdicts(attached)
+    answered = F.col("answer").isNotNull()
 
     def settled(name: str) -> Column:
         rule = (
@@ -191,14 +210,18 @@ def settle_verdicts(attached: DataFrame) -> DataFrame:
             if name == "code_snippet"
             else fallback_field(F.col("fallback.no"), name)
         )
-        return F.when(F.col("accepted"), F.col(name)).otherwise(rule)
+        return F.when(answered, F.col(f"answer.{name}")).otherwise(rule)
 
-    return parsed.withColumns(
-        {
-            **{name: settled(name) for name in VERDICT_FIELDS},
-            "verdict_source": F.when(F.col("accepted"), "response").otherwise("fallback"),
-        }
-    ).drop("accepted", "fallback", "verdict_text")
+    return (
+        functions.join(verdict_answers(responses), "fn_id", "left")
+        .withColumns(
+            {
+                **{name: settled(name) for name in VERDICT_FIELDS},
+                "verdict_source": F.when(answered, "response").otherwise("fallback"),
+            }
+        )
+        .drop("answer", "fallback")
+    )
 
 
 def accept_findings(verdicts: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 The whole text part is one narrow stage.  Code never crosses a shuffle: the
 rule verdict is computed beside it, and only ids, names and verdict columns go
-on to the joins with the answer table and to the reports.
+on to the joins with the answer table and to the reports.  Both joins are keyed by
+``fn_id``, which is unique on the function side, so no key is hot and the
+functions are shuffled once for the two.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import dims
 from ..operators import risk as R
 from ..operators.functions import extract_functions
 from ..operators.rules import fallback_rule, rule_hits
@@ -28,12 +31,12 @@ def scored_functions(
         files, ["name", "line_number"], {"fallback": lambda b: fallback_rule(b.code)}
     ).withColumnsRenamed({"path": "file", "name": "function"})
     if responses is None:
-        scored = narrow.withColumn("risk_score", F.lit(0.5))
+        scored = narrow.withColumn("risk_score", F.lit(dims.DEFAULT_RISK))
     else:
         scored = (
-            R.attach_responses(narrow, responses, R.RISK)
-            .withColumn("risk_score", R.risk_score(F.col("risk_text")))
-            .drop("risk_text")
+            narrow.join(R.risk_answers(responses), "fn_id", "left")
+            .withColumn("risk_score", F.coalesce("answered_score", F.lit(dims.DEFAULT_RISK)))
+            .drop("answered_score")
         )
     return scored.withColumn("tier", R.risk_tier(F.col("risk_score"), inclusive))
 
@@ -45,7 +48,7 @@ def reviewed(
     scored = scored_functions(files, responses, inclusive)
     if responses is None:
         return R.fallback_verdicts(scored).withColumn("verdict_source", F.lit("fallback"))
-    return R.settle_verdicts(R.attach_responses(scored, responses, R.VERDICT))
+    return R.settle_verdicts(scored, responses)
 
 
 def verdicts(
