@@ -239,13 +239,14 @@ def c_params(signature: Column) -> Column:
 
 def c_includes(text: Column) -> Column:
     """Every ``#include`` line with its number."""
-    return F.filter(
-        F.transform(
-            lines_of(text),
-            lambda line, i: F.struct((i + 1).alias("line_number"), F.trim(line).alias("statement")),
+    numbered = F.transform(
+        lines_of(text),
+        lambda line, i: F.when(
+            line.contains("#include"),
+            F.struct((i + 1).alias("line_number"), F.trim(line).alias("statement")),
         ),
-        lambda r: r.statement.startswith("#include"),
     )
+    return F.filter(numbered, lambda r: r.statement.startswith("#include"))
 
 
 _C_NOT_CALLS = ["if", "for", "while", "switch", "return", "sizeof"]
@@ -474,7 +475,7 @@ def js_imports(text: Column) -> Column:
     joined = F.transform(
         lines,
         lambda line, i: F.when(
-            line.rlike(r"^\s*import\s[^{}]*\{[^}]*$"),
+            line.contains("import") & line.rlike(r"^\s*import\s[^{}]*\{[^}]*$"),
             F.concat(
                 line,
                 F.regexp_extract(
@@ -487,7 +488,8 @@ def js_imports(text: Column) -> Column:
     )
     hits = F.filter(
         F.transform(joined, lambda line, i: F.struct(i.alias("i"), line.alias("line"))),
-        lambda r: r.line.rlike(r"^\s*import\s") | r.line.contains("require("),
+        lambda r: (r.line.contains("import") & r.line.rlike(r"^\s*import\s"))
+        | r.line.contains("require("),
     )
     return F.filter(
         F.transform(hits, lambda r: one(r.line, r.i)), lambda r: r.kind.isNotNull()

@@ -281,7 +281,8 @@ def python_imports(text: Column) -> Column:
                 .alias("statement"),
             )
 
-        hit = line.rlike(_PLAIN_IMPORT) | is_from
+        # The word is looked for first: it spares most lines the patterns.
+        hit = line.contains("import") & (line.rlike(_PLAIN_IMPORT) | is_from)
         return F.when(hit, F.transform(names(listing), record))
 
     # "from m import (" ... ")" may span lines: the list is pulled up to its
@@ -290,7 +291,8 @@ def python_imports(text: Column) -> Column:
     merged = F.transform(
         lines,
         lambda line, i: F.when(
-            line.rlike(r"^[ \t]*from[ \t]+[\w.]+[ \t]+import[ \t]*\([^)]*$"),
+            line.contains("import")
+            & line.rlike(r"^[ \t]*from[ \t]+[\w.]+[ \t]+import[ \t]*\([^)]*$"),
             F.concat(
                 line,
                 F.regexp_extract(
