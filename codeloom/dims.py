@@ -212,7 +212,6 @@ GCC_CALLS = ["aligned", "section", "alias", "printf", "scanf", "format_arg", "no
 HINT_HEADERS = ["stdio.h", "stdlib.h", "string.h", "openssl/"]
 
 COMPILER_FAMILIES = {
-    "ccwrap.py": "gcc",
     "cc": "gcc",
     "gcc": "gcc",
     "clang": "clang",

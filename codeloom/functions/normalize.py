@@ -28,6 +28,7 @@ FD_MACROS = [
     ("FD_ISSET(", r"FD_ISSET\s*\([^)]*\)", "1"),
     ("FD_ZERO(", r"FD_ZERO\s*\([^)]*\)\s*;?", ";"),
 ]
+# Fixed value: what a compile wrapper puts on the first line.
 MARKER = "[ccwrap]"
 
 

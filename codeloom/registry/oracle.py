@@ -410,7 +410,7 @@ SELECT path, content, regexp_extract(path, '\.([A-Za-z]+)$', 1) AS ext FROM (
 SELECT file_id, replace({q('<EXT>')}, '{{K}}', file_id::VARCHAR) || content AS content FROM files WHERE lang = 'c'""",
     "records": r"""
 SELECT p_partkey AS record_id, '/home/dev/proj/' || lower(p_type) AS cwd,
-  ['gcc', 'clang', '/usr/bin/cc', 'g++', 'ccwrap.py', 'icc'][p_partkey % 6 + 1] AS compiler,
+  ['gcc', 'clang', '/usr/bin/cc', 'g++', 'cc-wrapper', 'icc'][p_partkey % 6 + 1] AS compiler,
   CASE p_partkey % 4
     WHEN 0 THEN ['-c', '-I', 'include', '-DSIZE=' || p_size, 'src/' || stem || '_' || p_partkey || '.c', '-o', 'out.o']
     WHEN 1 THEN ['-std=c99', '-include', 'pre.c', '-UDEBUG', '/opt/code/../lib/' || stem || '_' || p_partkey || '.c', 'util.c']

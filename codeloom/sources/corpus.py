@@ -371,7 +371,7 @@ def build_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
     stem = F.replace(F.col("p_name"), F.lit(" "), F.lit("_"))
     compiler = F.get(
-        F.array(*[F.lit(c) for c in ["gcc", "clang", "/usr/bin/cc", "g++", "ccwrap.py", "icc"]]),
+        F.array(*[F.lit(c) for c in ["gcc", "clang", "/usr/bin/cc", "g++", "cc-wrapper", "icc"]]),
         (key % 6).cast("int"),
     )
     number = key.cast("string")

@@ -30,7 +30,7 @@ def tree(tmp_path_factory):
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_text(text)
     (root / "pkg/latin.py").write_bytes("# café\ndef l(): pass\n".encode("latin-1"))
-    (root / "src/e.c.i").write_text("[ccwrap] note\nint g(void) {\n  return 1;\n}\n")
+    (root / "src/e.c.i").write_text(N.MARKER + " note\nint g(void) {\n  return 1;\n}\n")
     return root
 
 
@@ -147,8 +147,8 @@ def test_gate_is_inclusive_by_choice(spark):
 
 
 def test_normalisation(spark):
-    assert _one(spark, "[ccwrap] x\ncode", N.drop_marker_line) == "code"
-    assert _one(spark, "code\n[ccwrap]", N.drop_marker_line) == "code\n[ccwrap]"
+    assert _one(spark, N.MARKER + " x\ncode", N.drop_marker_line) == "code"
+    assert _one(spark, "code\n" + N.MARKER, N.drop_marker_line) == "code\n" + N.MARKER
     text = "int a; // x\n/* b\n c */ int d;\n\nint e;"
     assert _one(spark, text, N.strip_c_comments) == "int a; \n int d;\nint e;"
     text = "#include <a>\n#if X\n  #define Y\nint a;\n#undef Z"
