@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,17 +38,26 @@ def get_spark(
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh folder below the shared ``spark.checkpoint.dir``.
 
-    Every executor must reach it, so the cluster's setting is read from the
-    session.  Only where it is unset (tests, single machine) one is set here.
+    Every executor must reach it, so a cluster has to name it.  A local session, whose executors
+    are the driver itself, gets a temporary folder where none is set.
     """
     key = "spark.checkpoint.dir"
     root = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key, None)
     if not root:
-        root = tempfile.mkdtemp(prefix="codeloom-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set(key, root)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError(f"{key} must name a folder that the driver and all executors share")
+        root = _local_root()
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+@cache
+def _local_root() -> str:
+    """One folder per process, removed when it ends."""
+    root = tempfile.mkdtemp(prefix="codeloom-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return root
+
+
 def stored(table: DataFrame, label: str) -> DataFrame:
     """``table`` written to the shared folder and read back.
 
