@@ -3,5 +3,18 @@
 from __future__ import annotations
 
 
+_OP3 = r"""
+WITH texts AS (
+    SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents
+),
+numbered AS (
+    SELECT doc_id, body, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+        row_number() OVER (PARTITION BY body ORDER BY doc_id NULLS LAST) AS place
+    FROM texts WINDOW same AS (PARTITION BY body)
+)
+SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(body) AS text_sha256 FROM numbered
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_exact_dedup": _OP3}
