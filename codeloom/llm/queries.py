@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, packing, secrets, sharding
+from . import bpe, exact_dedup, html_text, language_id, packing, secrets, sharding
 from .common import table, text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,3 +71,8 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = language_id.held_out(F.col("doc_id"))
     model = language_id.train(docs.where(~out))
     return language_id.predict(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_main_text(table(spark, sf_dir, "pages"))
