@@ -128,10 +128,10 @@ def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     Null texts and such without a letter are ``und`` with score 0; ties go to the first language
     in alphabetical order; only the key and the text are read.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = df.sparkSession.sparkContext.broadcast((model.languages, model.grams, model.priors))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = Model(*shared.value)
         for batch in batches:
             langs, scores = [], []
             for cell in batch.column(1):

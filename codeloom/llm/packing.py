@@ -12,7 +12,6 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -74,11 +73,6 @@ class Encoder(dict):
         return self.ids(first) + b"".join(map(self.__getitem__, rest))
 
 
-@cache
-def _encoder(vocabulary: bytes, pattern: str) -> Encoder:
-    return Encoder(dict(zip(*_unpacked(vocabulary), strict=True)), pattern)
-
-
 def _packed(vocabulary: dict[bytes, int]) -> bytes:
     """The vocabulary as one string, which a task's function carries."""
     return zlib.compress(b"".join(i.to_bytes(4, "little") + bytes([len(t)]) + t for t, i in vocabulary.items()))
@@ -97,7 +91,7 @@ def _unpacked(packed: bytes) -> tuple[list[bytes], list[int]]:
 def _pieces(
     batches: Iterator[pa.RecordBatch], vocabulary: bytes, pattern: str, end: int, length: int, with_ids: bool
 ) -> Iterator[pa.RecordBatch]:
-    encoder = _encoder(vocabulary, pattern)
+    encoder = Encoder(dict(zip(*_unpacked(vocabulary), strict=True)), pattern)
     tail, step = end.to_bytes(4, "little"), 4 * length
     for batch in batches:
         cols: tuple[list, ...] = ([], [], [], [], [], [], [])
