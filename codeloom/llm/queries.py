@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_text, language_id, line_dedup, ngram_join, packing, secrets, sharding
+from . import bpe, exact_dedup, html_text, language_id, line_dedup, ngram_join, packing, quality, secrets, sharding
 from .common import table, text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,17 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    trusted = quality.trusted_of(table(spark, sf_dir, "labels"))
+    return quality.judge(docs, trusted).select(
+        "doc_id",
+        *[f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+        "quality.base_failed", "quality.kept", "quality.score",
+    )
+
+
 @query
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
