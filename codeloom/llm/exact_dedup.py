@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
+from .common import identity, kept_rows
 
 #: Bytes of a block.
 BLOCK_BYTES = 1024
@@ -119,3 +120,13 @@ def exact_groups(
         "text_sha256",
         "row",
     )
+
+
+def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows of ``df`` without further copies: of equal texts the row that ``exact_groups`` keeps.
+
+    Of rows that repeat a key and a text the least in order of all columns stays.
+    """
+    kept = exact_groups(df, key, text).where("kept")
+    digest = F.sha2(F.encode(normalised(text), "UTF-8"), 256)
+    return kept_rows(df, key, digest, kept.select(*identity("doc_id", F.col("text_sha256"))))

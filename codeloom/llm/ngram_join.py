@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
+from .common import identity, kept_rows
 from .linking import components, groups_of, overlaps, verified_edges
 
 #: Counters per document, at least and at most so many bits of index.
@@ -74,8 +75,8 @@ def _digest(tokens: np.ndarray) -> tuple[int, int]:
 def _counted(batches: Iterator[pa.RecordBatch], words: int, bits: int) -> Iterator[pa.RecordBatch]:
     """One row per document (its set's size and digest), then this task's counters in slices."""
     shingles, counters = Shingler(words), np.zeros(1 << bits, dtype=np.uint32)
-    names = ["doc_id", "n", "d1", "d2", "slice", "counters"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    names = ["doc_id", "text_md5", "n", "d1", "d2", "slice", "counters"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
     def rows(cols):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
@@ -90,12 +91,12 @@ def _counted(batches: Iterator[pa.RecordBatch], words: int, bits: int) -> Iterat
             d1.append(a)
             d2.append(b)
         none = [None] * len(sizes)
-        yield rows([batch.column(0).to_pylist(), sizes, d1, d2, none, none])
+        yield rows([batch.column(0).to_pylist(), batch.column(2).to_pylist(), sizes, d1, d2, none, none])
     size = 1 << 14
     for i in range(0, len(counters), size):
         part = counters[i : i + size]
         if part.any():
-            yield rows([[None], [None], [None], [None], [i // size], [part.tobytes()]])
+            yield rows([[None]] * 5 + [[i // size], [part.tobytes()]])
 
 
 def _summed(frame: pd.DataFrame) -> pd.DataFrame:
@@ -186,29 +187,16 @@ def _links(frame: pd.DataFrame, percent: int) -> np.ndarray:
     return out & shared
 
 
-def jaccard_classes(
-    df: DataFrame, percent: int, words: int, key: str = "doc_id", text: str = "text"
-) -> DataFrame:
-    """One row per input row: doc_id, n_shingles and component_id.
-
-    Sets are the distinct ``words``-word shingles of the text with A-Z in lower case, split at
-    ASCII white space; with fewer words the whole sequence is the one shingle; null, empty and
-    blank texts have an empty set and are linked with nothing, not even with each other.  Sets
-    link when 100 * intersection >= percent * union.  ``component_id`` is the smallest key that
-    links lead to; null keys neither name a component nor lose theirs.  Repeated rows are in one
-    component; other columns are not read; an empty table gives no rows.
-
-    Links are exact up to collisions of 64-bit shingle hashes in a pair; nodes are numbered from
-    128-bit digests of the sets.  Texts are read three times and never shuffled; sets are,
-    of candidates only.
-    """
+def _members(df: DataFrame, percent: int, words: int, key: str, text: str) -> DataFrame:
+    """One row per input row: doc_id, text_md5, n and component, null for empty sets."""
     spark = df.sparkSession
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = df.count()
     bits = min(_MOST_BITS, max(_LEAST_BITS, (_COUNTERS_PER_DOC * rows).bit_length()))
     counted = stored(
-        docs.mapInArrow(
-            lambda b: _counted(b, words, bits), "doc_id long, n long, d1 long, d2 long, slice int, counters binary"
+        docs.withColumn("text_md5", F.md5(F.coalesce("text", F.lit("")))).mapInArrow(
+            lambda b: _counted(b, words, bits),
+            "doc_id long, text_md5 string, n long, d1 long, d2 long, slice int, counters binary",
         ),
         "shingle-counts",
     )
@@ -240,9 +228,42 @@ def jaccard_classes(
 
     nodes = sketches.select("d1", "d2", "node").join(named, "node", "left")
     nodes = nodes.select("d1", "d2", F.coalesce("component", "node").alias("component"))
-    members = counted.where("slice is null").select("doc_id", "n", "d1", "d2")
-    filled = stored(members.where("n > 0").join(nodes, ["d1", "d2"]).select("doc_id", "n", "component"), "members")
-    least = filled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    linked = filled.join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone)
+    members = counted.where("slice is null").select("doc_id", "text_md5", "n", "d1", "d2")
+    linked = members.where("n > 0").join(nodes, ["d1", "d2"]).select("doc_id", "text_md5", "n", "component")
+    empty = members.where("n = 0").select("doc_id", "text_md5", "n", F.lit(None).cast("long").alias("component"))
+    return stored(linked.unionByName(empty), "members")
+
+
+def jaccard_classes(
+    df: DataFrame, percent: int, words: int, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """One row per input row: doc_id, n_shingles and component_id.
+
+    Sets are the distinct ``words``-word shingles of the text with A-Z in lower case, split at
+    ASCII white space; with fewer words the whole sequence is the one shingle; null, empty and
+    blank texts have an empty set and are linked with nothing, not even with each other.  Sets
+    link when 100 * intersection >= percent * union.  ``component_id`` is the smallest key that
+    links lead to; null keys neither name a component nor lose theirs.  Repeated rows are in one
+    component; other columns are not read; an empty table gives no rows.
+
+    Links are exact up to collisions of 64-bit shingle hashes in a pair; nodes are numbered from
+    128-bit digests of the sets.  Texts are read three times and never shuffled; sets are,
+    of candidates only.
+    """
+    members = _members(df, percent, words, key, text)
+    least = members.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    linked = members.join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    alone = members.where("component is null")
+    return linked.unionByName(alone.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def keep_first(df: DataFrame, percent: int, words: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows of ``df``, one of each component: that of the smallest key, null last.
+
+    Texts with an empty set all stay, but of rows that repeat a key and a text only one.
+    """
+    members = _members(df, percent, words, key, text).select("component", *identity("doc_id", F.col("text_md5")))
+    names = ["no_id", "id", "digest"]
+    first = members.where("component is not null").groupBy("component").agg(F.min(F.struct(*names)).alias("first"))
+    kept = first.select("first.*").unionByName(members.where("component is null").select(*names))
+    return kept_rows(df, key, F.md5(F.coalesce(F.col(text), F.lit(""))), kept)
