@@ -68,14 +68,14 @@ def _hot_windows(s: str, window: int, bits: float) -> Iterator[tuple[int, int]]:
     counts: dict[str, int] = {}
     total, start, end = 0.0, -1, -1
     for i, ch in enumerate(s):
-        c = counts.get(ch, 0)
-        counts[ch] = c + 1
-        total += term[c + 1] - term[c]
         if i >= window:
             old = s[i - window]
             c = counts[old]
             counts[old] = c - 1
             total += term[c - 1] - term[c]
+        c = counts.get(ch, 0)
+        counts[ch] = c + 1
+        total += term[c + 1] - term[c]
         if i >= window - 1 and total <= limit:
             first = i - window + 1
             if first > end:
