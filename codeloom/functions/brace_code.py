@@ -20,12 +20,20 @@ from .lexing import (
     js_skeleton,
     line_slice,
     lines_of,
+    pulled_up,
     split_top_level,
 )
 
-# Text up to the matching bracket, for brackets nested at most twice.
-_ARGS = r"[^()]*+(?:\([^()]*+(?:\([^()]*+\)[^()]*+)*+\)[^()]*+)*+"
-_C_ARGS = r"[^(){};]*+(?:\([^(){};]*+(?:\([^(){};]*+\)[^(){};]*+)*+\)[^(){};]*+)*+"
+def _bracketed(other: str, depth: int = 8) -> str:
+    """Text up to the matching bracket; ``other`` are the characters outside brackets."""
+    inner = other
+    for _ in range(depth):
+        inner = rf"{other}(?:\({inner}\){other})*+"
+    return inner
+
+
+_ARGS = _bracketed(r"[^()]*+")
+_C_ARGS = _bracketed(r"[^(){};]*+")
 _MARKED = f"{FN_OPEN}([^{FN_CLOSE}]*+){FN_CLOSE}"
 _STRUCTURE = f"(\\n+|[{{}}{HEAD}{FN_OPEN}])"
 _OPEN = (
@@ -159,10 +167,14 @@ def _blocks(lines: Column, skel: Column, spans: Column, code) -> Column:
 # C
 # --------------------------------------------------------------------------
 
-# After a line break, ";" or "}"; at most twelve specifier words before the name.
+# After a line break, ";" or "}": specifiers, of which one may be a bracketed type, the name, the
+# parameters, and declarations of the old style.  Runs of words are character classes, not repeated
+# groups, so their number is free.
+_C_SPECIFIERS = r"(?:[A-Za-z_][\w\s*]*?(?:\([\w\s*]*+\)[\w\s*]*?)?[\s*])?"
+_C_OLD_STYLE = r"(?:[A-Za-z_][\w\s*,\[\]]*+;\s*)*+"
 _C_HEAD = (
-    r"(?<![^\n;}])([ \t]*+(?:[A-Za-z_]\w*+[\s*]+){1,12}?)(?!(?:if|for|while|switch|return|sizeof|else|do)\b)"
-    rf"([A-Za-z_]\w*+)(\s*\()({_C_ARGS})(\)\s*)\{{"
+    rf"(?<![^\n;}}])([ \t]*+{_C_SPECIFIERS})(?!(?:if|for|while|switch|return|sizeof|else|do)\b)"
+    rf"([A-Za-z_]\w*+)(\s*\()({_C_ARGS})(\)\s*{_C_OLD_STYLE})\{{"
 )
 _STORAGE = r"\b(?:static|extern|inline|register|__inline__|__inline|_Noreturn)\b"
 FALLBACK_LINES = 20
@@ -431,7 +443,12 @@ def js_params(kind: Column, signature: Column) -> Column:
 
 _JS_IMPORT = r"^\s*import\s+(?:type\s+)?(.+?)\s+from\s+[\"']([^\"']+)[\"']"
 _JS_BARE = r"^\s*import\s+[\"']([^\"']+)[\"']"
-_JS_REQUIRE = r"\b(?:const|let|var)\s+([\w$]*)[^=;]*=\s*require\(\s*[\"'`]([^\"'`]+)[\"'`]"
+_JS_REQUIRE = r"\b(?:const|let|var)\s+([\w$]+|\{[^{}=;]*\}|\[[^\[\]=;]*\])[^=;]*=\s*require\(\s*[\"'`]([^\"'`]+)[\"'`]"
+
+
+_JS_OPEN_IMPORT = (
+    r"(?m)^([ \t]*import\s[^{}\n]*\{)([^}\n]*+\n[^}]*+)(\}[^;\"'\n]*[\"'][^\"'\n]*[\"'])"
+)
 
 
 def js_imports(text: Column) -> Column:
@@ -471,20 +488,8 @@ def js_imports(text: Column) -> Column:
         )
 
     # A list over several lines counts on its first line.
-    lines = lines_of(text)
     joined = F.transform(
-        lines,
-        lambda line, i: F.when(
-            line.contains("import") & line.rlike(r"^\s*import\s[^{}]*\{[^}]*$"),
-            F.concat(
-                line,
-                F.regexp_extract(
-                    F.array_join(F.slice(lines, i + 2, F.size(lines)), " "),
-                    r"^([^}]*\}[^;\"']*[\"'][^\"']*[\"'])",
-                    1,
-                ),
-            ),
-        ).otherwise(line),
+        lines_of(pulled_up(text, _JS_OPEN_IMPORT)), lambda line: F.substring_index(line, FIELD, 1)
     )
     hits = F.filter(
         F.transform(joined, lambda line, i: F.struct(i.alias("i"), line.alias("line"))),

@@ -31,6 +31,12 @@ _JS_LITERAL = (
 )
 
 
+# A directive with the lines that a backslash adds to it; their line breaks stay.
+_DIRECTIVE = r"(?m)^[ \t]*+#[^\n]*+|\G(?<=\\)(\n)[^\n]*+"
+_IN_BRACKETS = r"[^()\n]*+(?:\([^()\n]*+(?:\([^()\n]*+(?:\([^()\n]*+\)[^()\n]*+)*+\)[^()\n]*+)*+\)[^()\n]*+)*+"
+_ATTRIBUTE = rf"__attribute__\s*\({_IN_BRACKETS}\)"
+
+
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once per row and hand it to ``body``."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -56,6 +62,18 @@ def bracket_balance(text: Column, brackets: str = "()[]{}") -> Column:
     )
 
 
+def pulled_up(text: Column, pattern: str) -> Column:
+    """Statements over several lines repeated in one, before their first line.
+
+    ``pattern`` has three groups: what stands before the list, the list, what ends it.  The copy
+    ends with a mark; the statement itself stays behind it, so that lines keep their numbers.
+    Two passes over the text, whatever the number of statements.
+    """
+    copied = F.regexp_replace(text, pattern, f"{HEAD}$1$2$3{FIELD}$2$3")
+    flat = F.regexp_replace(copied, f"(?:{HEAD}|\\G(?<=\n))([^\n{FIELD}]*+)(?:\n|({FIELD}))", "$1 $2")
+    return F.when(text.contains("import"), flat).otherwise(text)
+
+
 def line_slice(lines: Column, first: Column, last: Column) -> Column:
     return F.array_join(F.slice(lines, first, last - first + 1), "\n")
 
@@ -92,12 +110,12 @@ def c_skeleton(text: Column) -> Column:
     marked = F.regexp_replace(
         _without_escapes(text), _C_LITERAL, f"$1$2{LIT_OPEN}$3{LIT_CLOSE}"
     )
-    plain = F.regexp_replace(_blank_marked(marked, False), r"(?m)^[ \t]*+#[^\n]*+", "")
+    plain = F.regexp_replace(_blank_marked(marked, False), _DIRECTIVE, "$1")
     return bind(
         plain,
         lambda t: F.when(
             t.contains("__attribute__"),
-            F.regexp_replace(t, r"__attribute__\s*\(\([^)\n]*+\)\)", ""),
+            F.regexp_replace(t, _ATTRIBUTE, ""),
         ).otherwise(t),
     )
 

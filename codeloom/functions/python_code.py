@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .lexing import bind, bracket_balance, line_slice, lines_of, python_skeleton, split_top_level
+from .lexing import (
+    FIELD,
+    bind,
+    bracket_balance,
+    line_slice,
+    lines_of,
+    pulled_up,
+    python_skeleton,
+    split_top_level,
+)
 
 _OPEN = (
     "array<struct<line_number:int,end_line:int,name:string,kind:string,class_context:string,"
@@ -244,6 +253,8 @@ def python_return(code: Column) -> Column:
 # --------------------------------------------------------------------------
 
 _PLAIN_IMPORT = r"^[ \t]*import[ \t]+(.+)$"
+_OPEN_IMPORT = r"(?m)^([ \t]*from[ \t]+[\w.]+[ \t]+import[ \t]*\()([^()\n]*+\n[^()]*+)(\))"
+_CONTINUED_IMPORT = r"(?m)^([ \t]*(?:from|import)\b[^\n\\]*+)((?:\\\n[^\n\\]*+)++)($)"
 _FROM_IMPORT = r"^[ \t]*from[ \t]+(\.*)([\w.]*)[ \t]+import\b[ \t]*(.*)$"
 
 
@@ -254,7 +265,7 @@ def python_imports(text: Column) -> Column:
     """
 
     def names(listing: Column) -> Column:
-        parts = F.split(F.regexp_replace(listing, r"[()\;]", " "), ",")
+        parts = F.split(F.regexp_replace(listing, r"[()\\;]", " "), ",")
         return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")
 
     def one(line: Column, i: Column) -> Column:
@@ -287,20 +298,9 @@ def python_imports(text: Column) -> Column:
 
     # "from m import (" ... ")" may span lines: the list is pulled up to its
     # first line, the other lines stay where they are.
-    lines = lines_of(python_skeleton(text))
-    merged = F.transform(
-        lines,
-        lambda line, i: F.when(
-            line.contains("import")
-            & line.rlike(r"^[ \t]*from[ \t]+[\w.]+[ \t]+import[ \t]*\([^)]*$"),
-            F.concat(
-                line,
-                F.regexp_extract(
-                    F.array_join(F.slice(lines, i + 2, F.size(lines)), " "), r"^([^)]*)", 1
-                ),
-            ),
-        ).otherwise(line),
-    )
+    whole = pulled_up(pulled_up(python_skeleton(text), _OPEN_IMPORT), _CONTINUED_IMPORT)
+    lines = lines_of(whole)
+    merged = F.transform(lines, lambda line: F.substring_index(line, FIELD, 1))
     found = F.filter(F.transform(merged, one), lambda r: r.isNotNull())
     return F.flatten(found)
 

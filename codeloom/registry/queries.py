@@ -46,11 +46,11 @@ def _files(spark: SparkSession, sf: str, *langs: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus.spread(spark.read.parquet(f"{sf}/documents.parquet"))
+    return spark.read.parquet(f"{sf}/documents.parquet")
 
 
 def _pages(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus.spread(spark.read.parquet(f"{sf}/pages.parquet"))
+    return spark.read.parquet(f"{sf}/pages.parquet")
 
 
 def _inventory(spark: SparkSession, sf: str) -> DataFrame:

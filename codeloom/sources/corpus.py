@@ -253,15 +253,8 @@ SLOTS = [(1, 0), (8, 3), (64, 5)]
 
 
 def spread(table: DataFrame) -> DataFrame:
-    """Use every core when the scan itself has fewer splits than there are cores.
-
-    A thin row grows a hundredfold below, so few splits would leave cores idle.
-    A large table has splits enough and gets no shuffle at all.
-    """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    if table.isStreaming:
-        return table.repartition(3 * cores)
-    return table.repartition(3 * cores) if table.rdd.getNumPartitions() < cores else table
+    """Thin rows dealt evenly: each grows a hundredfold below, and a scan's splits don't tell."""
+    return table.repartition(3 * table.sparkSession.sparkContext.defaultParallelism)
 
 
 def _div(value: Column, by: int) -> Column:

@@ -1,5 +1,6 @@
 """Extraction from hand-written sources."""
 
+import pytest
 from codeloom.functions import brace_code as B
 from codeloom.functions import python_code as P
 from codeloom.operators import functions as X
@@ -234,3 +235,55 @@ def test_long_literals_do_not_overflow(spark):
     assert [(r.name, r.line_number, r.end_line) for r in rows] == [("f", 2, 4)]
     py = '"""' + "x'\n" * 100_000 + '"""\ndef f():\n    return 1\n'
     assert [r.line_number for r in _rows(spark, py, P.python_blocks)] == [100_002]
+
+
+# --- shapes outside the templates -----------------------------------------------
+
+
+@pytest.mark.parametrize(
+    ("code", "names"),
+    [
+        ("int f(a, b) int a; char *b; {\n return a;\n}\n", ["f"]),
+        ("main() {\n return 0;\n}\n", ["main"]),
+        ("_Atomic(int) g(void) {\n return 1;\n}\n", ["g"]),
+        ("TYPE(x) m(int a) {\n return a;\n}\n", ["m"]),
+        (" ".join(["static"] * 16) + " int s(void) {\n return 1;\n}\n", ["s"]),
+        ("int d(int (*cb)(int (*in)(int (*z)(int)))) {\n return 1;\n}\n", ["d"]),
+        ('__attribute__((section("x"))) int a(void) {\n return 1;\n}\n', ["a"]),
+        ("#define M(x) do { \\\n  x; \\\n} while (0)\nint b(void) {\n return 1;\n}\n", ["b"]),
+        ("#define OPEN \\\n  {\nint c(void) {\n return 1;\n}\nint e(void) {\n return 2;\n}\n", ["c", "e"]),
+        ("int p(int a);\nint q;\nstruct s { int x; };\nint t[] = { 1 };\n", []),
+    ],
+)
+def test_c_definitions(spark, code, names):
+    row = spark.createDataFrame([(code,)], "code string").select(B.c_blocks(F.col("code")).alias("b")).first()
+    assert [b["name"] for b in row["b"]] == names
+    for b in row["b"]:
+        assert code.split("\n")[b["end_line"] - 1] == "}"
+
+
+def test_continued_and_wide_imports(spark):
+    py = "from a import \\\n    b, c\nfrom d import (\n  e,\n  f as g,\n)\nimport h\n"
+    js = "import {\n  a,\n  b as c\n} from 'm';\nimport {d} from 'n';\nconst {x, y} = require('z');\n"
+    row = (
+        spark.createDataFrame([(py, js)], "py string, js string")
+        .select(P.python_imports(F.col("py")).alias("py"), B.js_imports(F.col("js")).alias("js"))
+        .first()
+    )
+    assert [(r["line_number"], r["name"] or r["module"]) for r in row["py"]] == [
+        (1, "b"), (1, "c"), (3, "e"), (3, "f"), (7, "h")
+    ]
+    assert [(r["line_number"], r["statement"]) for r in row["js"]] == [
+        (1, "import {a, b as c} from 'm'"), (5, "import {d} from 'n'"), (6, "const {x, y} = require('z')"),
+    ]
+
+
+def test_imports_are_linear(spark):
+    """Eight thousand multi-line imports; a quadratic step would take minutes."""
+    import time
+
+    one = "import {\n  alpha,\n  beta\n} from 'module';\n"
+    frame = spark.createDataFrame([(one * 8000,)], "js string").select(F.size(B.js_imports(F.col("js"))).alias("n"))
+    start = time.perf_counter()
+    assert frame.first()["n"] == 8000
+    assert time.perf_counter() - start < 40
