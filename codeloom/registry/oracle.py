@@ -498,13 +498,13 @@ WHERE n.lang = 'c'""",
 }
 
 
-def _rules(table: str, key: str, text: str, typed: bool) -> str:
+def _rules(table: str, key: str, text: str, typed: bool, extra=()) -> str:
     kind = ", {t} AS vulnerability_type" if typed else ""
     return " UNION ALL ".join(
         f"SELECT {key}, {q(rule)} AS rule_id{kind.format(t=q(t))} FROM {table} "
         f"WHERE regexp_matches({text}, {q(regex)})"
-        for rule, t, regex in dims.rule_rows()
-    )
+        for rule, t, regex in [*dims.rule_rows(), *extra]
+    ).replace("'<none>'", "NULL")
 
 
 def _strip(text: str, steps: list[tuple[str, str]]) -> str:
@@ -584,9 +584,14 @@ SQL = {
           'line_number': line_number, 'code_snippet': code_snippet, 'explanation': explanation,
           'remediation': remediation})::VARCHAR FROM found""",
     "report_preprocessed": """SELECT f.path AS file, NULL::VARCHAR AS error,
-        coalesce(v.n, 0) AS total_vulnerabilities, coalesce(s.n, 0) AS functions_analyzed, coalesce(s.high, 0) AS high_risk_functions
+        coalesce(v.n, 0) AS total_vulnerabilities, coalesce(s.n, 0) AS functions_analyzed, coalesce(s.high, 0) AS high_risk_functions,
+        coalesce(v.findings, '[]') AS findings
         FROM files f LEFT JOIN (SELECT path, count(*) AS n, count(*) FILTER (risk_score > 0.5) AS high FROM scored GROUP BY path) s USING (path)
-        LEFT JOIN (SELECT file AS path, count(*) AS n FROM found WHERE risk_score > 0.5 GROUP BY file) v USING (path)
+        LEFT JOIN (SELECT file AS path, count(*) AS n,
+          to_json(list({'function': "function", 'vulnerability_type': vulnerability_type, 'confidence': confidence,
+            'severity': severity, 'line_number': line_number, 'code_snippet': code_snippet, 'explanation': explanation,
+            'remediation': remediation} ORDER BY line_number, "function"))::VARCHAR AS findings
+          FROM found WHERE risk_score > 0.5 GROUP BY file) v USING (path)
         WHERE f.lang = 'c'""",
     "report_build_summary": """SELECT file, n AS n_findings, brief AS vulnerabilities FROM per_file
         UNION ALL SELECT NULL, total_vulnerabilities, to_json({'total_vulnerabilities': total_vulnerabilities,
@@ -657,8 +662,12 @@ SQL = {
         + 0.2 * coalesce(k.n, 0))::DOUBLE, 4) AS score FROM inputs i
         LEFT JOIN (SELECT fn_id, count(*) AS n FROM cats GROUP BY fn_id) k USING (fn_id)""",
     "rule_scan": _rules("fns", f'path AS file, name AS "function", line_number{_I} AS line_number', "code", False),
-    "rule_scan_pages": _rules("pages", "page_id", "html", True),
-    "rule_scan_documents": _rules("documents", "doc_id", "text", True),
+    "rule_scan_pages": _rules(
+        "pages", "page_id", "html", True, [("inline_script", "<none>", "<script>[^<]"), ("plain_http_link", "<none>", r"http://[\w.]+")]
+    ),
+    "rule_scan_documents": _rules(
+        "documents", "doc_id", "text", True, [("credential_in_text", "<none>", r"(password|token)\s*=\s*\S"), ("access_key", "<none>", "AKIA[A-Z0-9]{16}")]
+    ),
     "fallback_verdict": f"SELECT fn_id, {_F} FROM ruled",
     "c_security_flags": f"""SELECT fn_id,
         regexp_matches(code, {q('(?i)' + '|'.join(dims.BUFFER_OVERFLOW_PATTERNS))}) AS buffer_overflow_risk,
@@ -708,6 +717,12 @@ SQL = {
     "clean_files": "SELECT file_id, path AS file FROM files WHERE path NOT IN (SELECT file FROM found)",
     "incremental_scan": """SELECT f.path, sha256(f.content) AS sha, CASE WHEN o.o_orderstatus = 'O' THEN 'new' ELSE 'changed' END AS change
         FROM files f JOIN orders o ON o.o_orderkey = f.file_id WHERE o.o_orderstatus <> 'F'""",
+    "deleted_paths": """SELECT f.path, sha256(f.content || CASE WHEN o.o_orderstatus = 'P' THEN '# old' || chr(10) ELSE '' END) AS sha,
+        'deleted' AS change FROM files f JOIN orders o ON o.o_orderkey = f.file_id
+        WHERE o.o_orderstatus <> 'O' AND f.file_id % 7 = 0""",
+    "changed_findings": f'SELECT path AS file, lang, name AS "function", vulnerability_type, confidence, severity, line_number{_I} AS line_number, '
+    "code_snippet, explanation, remediation FROM ruled WHERE vulnerable AND confidence > 0.5 AND path IN "
+    "(SELECT f.path FROM files f JOIN orders o ON o.o_orderkey = f.file_id WHERE o.o_orderstatus <> 'F')",
     "stream_findings": f'SELECT path AS file, lang, name AS "function", vulnerability_type, confidence, severity, line_number{_I} AS line_number, '
     "code_snippet, explanation, remediation FROM ruled WHERE vulnerable AND confidence > 0.5",
     "compile_sources": "SELECT record_id, arg_no, source FROM sources",
