@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once per row, also where lambdas refer to it."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), 0)
+
+
 def identity(key: str, digest: Column) -> list[Column]:
     """What tells documents apart where keys may be null or repeat: key and digest, never null."""
     return [

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .common import identity, kept_rows
+from .common import identity, kept_rows, let
 
 #: Bytes of a block.
 BLOCK_BYTES = 1024
@@ -32,8 +32,12 @@ def normalised(text: str = "text") -> Column:
 
 def _blocks(content: Column, size: int) -> Column:
     """The content's blocks, the last one shorter; an empty content is one empty block."""
-    last = F.expr(f"greatest(octet_length(content) - 1, 0) div {size}").cast("int")
-    return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(content, i * size + 1, F.lit(size)))
+
+    def cut(c: Column) -> Column:
+        last = F.floor(F.greatest(F.octet_length(c) - 1, F.lit(0)) / size).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(c, i * size + 1, F.lit(size)))
+
+    return let(content, cut)
 
 
 def _prints(block: Column, seed: int, bits: int) -> list[Column]:

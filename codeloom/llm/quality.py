@@ -9,12 +9,11 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE
+from .common import SPACE, let
 
 #: Buckets of the two multinomials; their counts are the only thing that reaches the driver.
 BUCKETS = 1 << 15
@@ -31,11 +30,6 @@ SYMBOLS = r"[#*$%&|<>]"
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once per row."""
-    return F.get(F.transform(F.array(value), lambda v: body(v)), 0)
-
-
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, f"[{SPACE}]+"), "")
 
