@@ -23,14 +23,19 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let
+
 #: Text characters of a block of documents; the distinct words of one are in memory at once.
-BLOCK_CHARS = 24_000_000
+BLOCK_CHARS = 20_000_000
 
 _ODD = re.compile(r" (?=\s)")
 _CUT = re.compile(r"(?= \S)")
-NO_PAIR = 2**31 - 1
-#: Buckets of the rank map: a power of two, a few pairs in each.
-_BUCKETS = 1 << 16
+#: Chunks of a block whose word numbers are remembered.
+_REMEMBERED = 200_000
+#: Buckets of the rank map, a power of two, with a few pairs in each.
+_BUCKETS = 1 << 17
+#: A pair (a, b) has the key a * _SHIFT + b.  Places count pieces from 1: 0 ends a word and pairs
+#: with nothing, and no key is as small as a rank.
 _SHIFT = 1 << 17
 
 
@@ -62,7 +67,7 @@ def pair_ranks(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
 
 
 def _bucket(key: int) -> int:
-    return (key * 40503 + key // _SHIFT) % _BUCKETS
+    return (key * 40503 + key // _SHIFT) & (_BUCKETS - 1)
 
 
 def _literal(values, kind: str) -> Column:
@@ -70,86 +75,93 @@ def _literal(values, kind: str) -> Column:
 
 
 class RankMap:
-    """The literal map from pairs to ranks, in buckets, and the bytes of each piece."""
+    """The literal map from pairs to ranks, in buckets, and the bytes of each piece.
+
+    Pieces are counted from 1, so a rank is an id plus 1.  A bucket is an array: null, then key and
+    rank of each pair in turn.  A key's place, or 0 if it is not there, thus leads to its rank or to
+    null.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
-        keys: list[list[int]] = [[] for _ in range(_BUCKETS)]
-        values: list[list[int]] = [[] for _ in range(_BUCKETS)]
+        buckets: list[list] = [[None] for _ in range(_BUCKETS)]
         for (a, b), r in pair_ranks(ranks).items():
-            key = a * _SHIFT + b
-            keys[_bucket(key)].append(key)
-            values[_bucket(key)].append(r)
-        self.keys, self.values = _literal(keys, "array<array<bigint>>"), _literal(values, "array<array<int>>")
-        pieces = [""] * (max(ranks.values()) + 1)
+            key = (a + 1) * _SHIFT + b + 1
+            buckets[_bucket(key)] += [key, r + 1]
+        self.buckets = _literal(buckets, "array<array<bigint>>")
+        pieces = [""] * (max(ranks.values()) + 2)
         for t, r in ranks.items():
-            pieces[r] = t.hex()
+            pieces[r + 1] = t.hex()
         self.pieces = _literal(pieces, "array<string>")
 
     def rank(self, a: Column, b: Column) -> Column:
-        """Rank of the pair (a, b), or NO_PAIR."""
-        key = a.cast("long") * _SHIFT + b
-        at = ((key * 40503 + a) % _BUCKETS).cast("int")
-        place = F.array_position(F.get(self.keys, at), key)
-        return F.coalesce(F.get(F.get(self.values, at), (place - 1).cast("int")), F.lit(NO_PAIR))
+        """Rank of the pair (a, b), or null."""
+        key = a * _SHIFT + b
+        bucket = F.get(self.buckets, (key * 40503 + a).bitwiseAND(_BUCKETS - 1).cast("int"))
+        return let(bucket, lambda found: F.get(found, F.array_position(found, key).cast("int")))
 
     def merged(self, ids: Column) -> Column:
-        """The piece ids of a word, from the ids of its bytes: one fold over its possible merges."""
-        none = F.array().cast("array<int>")
+        """The pieces of a word, between two zeros, from those of its bytes, between two zeros.
+
+        One fold over the possible merges; the state has the pieces and the rank of each with the
+        next one.
+        """
+        rest = F.lit(2**30)
 
         def join(state: Column, low: Column) -> Column:
-            """``state`` with its pair at ``low.p`` joined to piece ``low.r``."""
+            """``state`` with the pair at ``low.p`` joined to piece ``low.r``."""
             now, ranks, r, p = state["ids"], state["ranks"], low["r"], low["p"]
-            n = F.size(now)
-            left = F.when(p > 1, F.array(self.rank(F.get(now, p - 2), r))).otherwise(none)
-            right = F.when(p + 1 < n, F.array(self.rank(r, F.get(now, p + 1)))).otherwise(none)
+            changed = F.array(self.rank(F.get(now, p - 2), r), self.rank(r, F.get(now, p + 1)))
             return F.struct(
-                F.concat(F.slice(now, 1, p - 1), F.array(r), F.slice(now, p + 2, n)).alias("ids"),
-                F.concat(
-                    F.slice(ranks, 1, F.greatest(p - 2, F.lit(0))), left, right, F.slice(ranks, p + 2, n)
-                ).alias("ranks"),
+                F.concat(F.slice(now, 1, p - 1), F.array(r), F.slice(now, p + 2, rest)).alias("ids"),
+                F.concat(F.slice(ranks, 1, p - 2), changed, F.slice(ranks, p + 2, rest)).alias("ranks"),
             )
 
         def step(state: Column, _: Column) -> Column:
             low = F.array_min(state["ranks"])
             pair = F.struct(low.alias("r"), F.array_position(state["ranks"], low).cast("int").alias("p"))
-            return F.when(low < NO_PAIR, F.get(F.transform(F.array(pair), lambda b: join(state, b)), 0)).otherwise(state)
+            return F.when(low.isNotNull(), let(pair, lambda b: join(state, b))).otherwise(state)
 
-        pairs = F.sequence(F.lit(0), F.size(ids) - 2)
-        start = F.struct(
-            ids.alias("ids"), F.transform(pairs, lambda i: self.rank(F.get(ids, i), F.get(ids, i + 1))).alias("ranks")
-        )
-        return F.when(F.size(ids) < 2, ids).otherwise(F.aggregate(pairs, start, step)["ids"])
+        ranks = F.transform(ids, lambda x, i: self.rank(x, F.get(ids, i + 1)))
+        start = F.struct(ids.alias("ids"), ranks.alias("ranks"))
+        # A word of n bytes has n + 2 places and n - 1 merges at most.
+        return F.aggregate(F.slice(ids, 4, rest), start, step)["ids"]
 
     def decoded(self, ids: Column) -> Column:
         """The bytes of a word's pieces, one after the other."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i)), ""))
+        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i.cast("int"))), ""))
 
 
-_BLOCK = "keys array<long>, numbers array<binary>, words array<array<int>>"
+_BLOCK = "keys array<long>, numbers array<binary>, words array<array<long>>"
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], byte_ids: list[int], pattern: str, size: int) -> Iterator[pa.RecordBatch]:
     """Rows of whole blocks: keys, per document the numbers of its words, and the words' byte ids."""
     words_of = regex.compile(pattern).findall
-    table = np.array(byte_ids, dtype=np.int32)
+    table = np.array(byte_ids, dtype=np.int64) + 1
     number: dict[str, int] = {}  # of a word in the block
     keys: list = []
     numbers: list[bytes] = []
     held = 0
 
-    def numbered(chunk: str) -> tuple[int, ...]:
-        return tuple(number.setdefault(w, len(number)) for w in words_of(chunk))
+    def numbered(chunk: str) -> bytes:
+        return np.array([number.setdefault(w, len(number)) for w in words_of(chunk)], dtype=np.int32).tobytes()
 
     class Chunks(dict):
-        def __missing__(self, chunk: str) -> tuple[int, ...]:
+        """The word numbers of a chunk."""
+
+        def __missing__(self, chunk: str) -> bytes:
             self[chunk] = out = numbered(" " + chunk)
             return out
 
     def block() -> pa.RecordBatch:
         raw = [w.encode("utf-8", "surrogatepass") for w in number]
+        # A zero before and after the bytes of each word.
         ends = np.zeros(len(raw) + 1, dtype=np.int32)
-        np.cumsum([len(w) for w in raw], out=ends[1:])
-        flat = table[np.frombuffer(b"".join(raw), dtype=np.uint8)]
+        np.cumsum([len(w) + 2 for w in raw], out=ends[1:])
+        flat = np.zeros(ends[-1], dtype=np.int64)
+        inner = np.ones(ends[-1], dtype=bool)
+        inner[ends[:-1]] = inner[ends[1:] - 1] = False
+        flat[inner] = table[np.frombuffer(b"".join(raw), dtype=np.uint8)]
         words = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
         return pa.RecordBatch.from_arrays(
             [
@@ -160,17 +172,16 @@ def _blocks(batches: Iterator[pa.RecordBatch], byte_ids: list[int], pattern: str
             names=["keys", "numbers", "words"],
         )
 
-    known = Chunks()  # the word numbers of a chunk
+    known = Chunks()
     for batch in batches:
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             first, *rest = chunks(text.as_py() or "")
-            found = list(numbered(first))
-            for several in map(known.__getitem__, rest):
-                found += several
             keys.append(key)
-            numbers.append(np.array(found, dtype=np.int32).tobytes())
-            held += len(found)
-            if held * 6 >= size:  # a word has about six characters
+            numbers.append(numbered(first) + b"".join(map(known.__getitem__, rest)))
+            held += len(numbers[-1]) // 4
+            if len(known) > _REMEMBERED:
+                known.clear()
+            if held * 5 >= size:  # a word has about five characters
                 yield block()
                 number.clear()
                 known.clear()
@@ -193,9 +204,10 @@ def _assembled(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.R
     for batch in batches:
         for b in range(batch.num_rows):
             keys, numbers, words, pieces = (batch.column(i)[b].values for i in range(4))
+            # The zeros around a word's pieces are skipped, and pieces count from 1.
             starts = words.offsets.to_numpy()
-            ids = words.values.to_numpy(zero_copy_only=False)
-            lengths, starts = np.diff(starts), starts[:-1]
+            ids = words.values.to_numpy(zero_copy_only=False) - 1
+            lengths, starts = np.diff(starts) - 2, starts[:-1] + 1
             decoded = pieces.to_pylist()
             rows: list[tuple] = []
             for key, raw in zip(keys.to_pylist(), numbers, strict=True):
