@@ -8,7 +8,6 @@ verified with a bit-parallel automaton that keeps a band of diagonals.  Equal li
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .linking import components, verified_edges
+from .linking import components, distinct_groups, verified_edges
 
 EDITS = 2
 #: Shorter lines are duplicates only if they are equal.
@@ -130,13 +129,35 @@ def within(a: str, b: str, edits: int) -> bool:
     return any((s >> (n - len(a) + edits)) & 1 for s in state)
 
 
-def _key(k: tuple[int, int, str]) -> int:
-    h = xxhash.xxh3_64_intdigest(k[2].encode("utf-8", "surrogatepass"), seed=k[0] * 16 + k[1])
+class Plan(dict):
+    """Where a line of a length is cut for its index and probe keys: (seed, start, end) of each.
+
+    The seed stands for the indexed line's length and the segment's number.
+    """
+
+    def __init__(self, edits: int, min_chars: int):
+        super().__init__()
+        self.edits, self.min_chars = edits, min_chars
+
+    def __missing__(self, n: int) -> tuple[list, list]:
+        index = [(n * 16 + i, a, a + size) for i, (a, size) in enumerate(segments(n, self.edits))]
+        probes = [
+            (other * 16 + i, a, a + size)
+            for other in range(max(self.min_chars, n - self.edits), n + 1)
+            for i, size, low, high in windows(n, other, self.edits)
+            for a in range(low, high + 1)
+        ]
+        self[n] = out = (index, probes)
+        return out
+
+
+def _key(piece: str, seed: int) -> int:
+    h = xxhash.xxh3_64_intdigest(piece.encode("utf-8", "surrogatepass"), seed)
     return h - (h >> 63 << 64)
 
 
 def _digest(line: str) -> tuple[int, int]:
-    d = hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+    d = xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
@@ -150,13 +171,15 @@ _LONG = pa.int64()
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(row, doc_id, line_no, d1, d2) of every line with a word."""
     for batch in batches:
-        cols: tuple[list, ...] = ([], [], [], [], [])
-        for row, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            for number, line in enumerate((text.as_py() or "").split("\n")):
-                if _HAS_WORD.search(line):
-                    for col, v in zip(cols, (row, key, number, *_digest(line)), strict=True):
-                        col.append(v)
-        yield _batch(cols, ["row", "doc_id", "line_no", "d1", "d2"], [_LONG] * 5)
+        found = [
+            (row, key, number, *_digest(line))
+            for row, key, text in zip(
+                batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True
+            )
+            for number, line in enumerate((text.as_py() or "").split("\n"))
+            if _HAS_WORD.search(line)
+        ]
+        yield _batch(list(zip(*found, strict=True)) or [[]] * 5, ["row", "doc_id", "line_no", "d1", "d2"], [_LONG] * 5)
 
 
 def _distinct_lines(batch: pa.RecordBatch, min_chars: int) -> Iterator[str]:
@@ -169,24 +192,27 @@ def _distinct_lines(batch: pa.RecordBatch, min_chars: int) -> Iterator[str]:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch], edits: int, min_chars: int) -> Iterator[pa.RecordBatch]:
-    """Digest, index keys and probe keys of the lines, once for equal lines of a batch."""
+    """Digest, length, index keys and probe keys of the lines, once for equal lines of a batch."""
+    plan = Plan(edits, min_chars)
     for batch in batches:
-        cols: tuple[list, ...] = ([], [], [], [])
+        found = []
         for line in _distinct_lines(batch, min_chars):
-            index = [_key(k) for k in index_keys(line, edits)]
-            probes = [_key(k) for k in probe_keys(line, edits, min_chars)]
-            for col, v in zip(cols, (*_digest(line), index, probes), strict=True):
-                col.append(v)
-        yield _batch(cols, ["d1", "d2", "index", "probes"], [_LONG, _LONG, pa.list_(_LONG), pa.list_(_LONG)])
+            index, probes = plan[len(line)]
+            found.append(
+                (
+                    *_digest(line), len(line),
+                    [_key(line[a:b], seed) for seed, a, b in index],
+                    [_key(line[a:b], seed) for seed, a, b in probes],
+                )
+            )
+        names = ["d1", "d2", "units", "index", "probes"]
+        yield _batch(list(zip(*found, strict=True)) or [[]] * 5, names, [_LONG] * 3 + [pa.list_(_LONG)] * 2)
 
 
 def _lines(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        cols: tuple[list, ...] = ([], [], [])
-        for line in _distinct_lines(batch, min_chars):
-            for col, v in zip(cols, (*_digest(line), line), strict=True):
-                col.append(v)
-        yield _batch(cols, ["d1", "d2", "line"], [_LONG, _LONG, pa.string()])
+        found = [(*_digest(line), line) for line in _distinct_lines(batch, min_chars)]
+        yield _batch(list(zip(*found, strict=True)) or [[]] * 3, ["d1", "d2", "line"], [_LONG, _LONG, pa.string()])
 
 
 def _links(frame: pd.DataFrame, edits: int, min_chars: int) -> np.ndarray:
@@ -227,23 +253,23 @@ def line_classes(
         numbered.mapInArrow(_occurrences, "row long, doc_id long, line_no long, d1 long, d2 long"), "lines"
     )
     texts = docs.select("text")
-    kind = "d1 long, d2 long, index array<long>, probes array<long>"
+    kind = "d1 long, d2 long, units long, index array<long>, probes array<long>"
     sketches = texts.mapInArrow(lambda b: _sketches(b, edits, min_chars), kind)
-    sketches = sketches.groupBy("d1", "d2").agg(F.first("index").alias("index"), F.first("probes").alias("probes"))
+    sketches = sketches.groupBy("d1", "d2").agg(*[F.first(c).alias(c) for c in ("units", "index", "probes")])
     sketches = stored(sketches.withColumn("node", F.monotonically_increasing_id()), "line-sketches")
     leaders = sketches.select("node", F.explode("index").alias("key")).groupBy("key").agg(F.min("node").alias("leader"))
     # A line's own segments are among its probes, so indexed lines meet their leader here, too.
     met = sketches.select("node", F.explode("probes").alias("key")).join(leaders, "key")
     met = stored(met.select("node", F.col("leader").alias("group")).distinct(), "line-leaders")
-    sizes = met.groupBy("group").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
-    groups = stored(met.join(sizes.select("group"), "group"), "line-groups")
+    groups = stored(distinct_groups(met), "line-groups")
 
-    left = stored(groups.select("node").distinct().join(sketches.select("node", "d1", "d2"), "node"), "line-candidates")
-    small = left.count() <= BROADCAST_ROWS
+    left = groups.select("node").distinct().join(sketches.select("node", "d1", "d2", "units"), "node")
+    left = stored(left, "line-candidates")
+    small, keys = left.count() <= BROADCAST_ROWS, left.select("d1", "d2", "node")
     lines = texts.mapInArrow(lambda b: _lines(b, min_chars), "d1 long, d2 long, line string")
-    lines = lines.join(F.broadcast(left) if small else left, ["d1", "d2"])
-    lines = stored(lines.groupBy("node").agg(F.first("line").alias("line")), "line-texts")
-    edges = verified_edges(groups, lines, F.length("line"), lambda f: _links(f, edits, min_chars))
+    lines = lines.join(F.broadcast(keys) if small else keys, ["d1", "d2"])
+    lines = lines.groupBy("node").agg(F.first("line").alias("line"))
+    edges = verified_edges(groups, left.select("node", "units"), lines, lambda f: _links(f, edits, min_chars))
     named = components(edges, "lines")
 
     # Lines without a near one are named by their digest, the others by their component.

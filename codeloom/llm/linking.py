@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from ..session import stored
 
 #: Nodes and payload units (elements, characters) of a block.
-BLOCK_NODES = 512
-BLOCK_UNITS = 1_000_000
+BLOCK_NODES = 1024
+BLOCK_UNITS = 1_500_000
 
 
 def shared_leaders(postings: DataFrame) -> DataFrame:
@@ -34,6 +34,19 @@ def shared_leaders(postings: DataFrame) -> DataFrame:
     return postings.join(ends, "key").select("node", "leader")
 
 
+def distinct_groups(groups: DataFrame) -> DataFrame:
+    """Groups of two nodes or more, once if several have the same nodes.
+
+    Sets of nodes are compared by their number, ends and two 64-bit sums.
+    """
+    marks = groups.groupBy("group").agg(
+        F.count(F.lit(1)).alias("n"), F.min("node").alias("a"), F.max("node").alias("b"),
+        *[F.bit_xor(F.xxhash64(F.lit(i), F.col("node"))).alias(f"x{i}") for i in range(2)],
+    )
+    first = marks.where("a <> b").groupBy("n", "a", "b", "x0", "x1").agg(F.min("group").alias("group"))
+    return groups.join(first.select("group"), "group")
+
+
 def groups_of(kinds: list[DataFrame], label: str) -> DataFrame:
     """(group, node) of nodes that share a leader of every kind, groups of two nodes or more.
 
@@ -50,17 +63,13 @@ def groups_of(kinds: list[DataFrame], label: str) -> DataFrame:
         else:
             # Equal hashes of different leaders join two groups: more to verify, nothing lost.
             groups = groups.join(leaders, "node").select("node", F.xxhash64("group", "leader").alias("group")).distinct()
-        sizes = groups.groupBy("group").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
-        groups = stored(groups.join(sizes.select("group"), "group"), f"{label}-groups-{i}")
+        groups = stored(distinct_groups(groups), f"{label}-groups-{i}")
     return groups
 
 
-def _blocks(groups: DataFrame, units: Column) -> DataFrame:
-    """(node, group, one, two) for every pair of blocks that a node takes part in.
-
-    ``groups`` also has the column behind ``units``, the size of a node's payload.
-    """
-    sized = groups.groupBy("group").agg(F.count(F.lit(1)).alias("nodes"), F.sum(units).alias("units"))
+def _blocks(groups: DataFrame) -> DataFrame:
+    """(node, group, one, two) for every pair of blocks that a node takes part in."""
+    sized = groups.groupBy("group").agg(F.count(F.lit(1)).alias("nodes"), F.sum("units").alias("units"))
     count = F.ceil(F.greatest(F.col("nodes") / BLOCK_NODES, F.col("units") / BLOCK_UNITS)).cast("int")
     sized = sized.select("group", count.alias("blocks"))
     placed = groups.join(sized, "group").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -91,15 +100,16 @@ def forest(nodes: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def verified_edges(
-    groups: DataFrame, payloads: DataFrame, units: Column, links: Callable[[pd.DataFrame], np.ndarray]
+    groups: DataFrame, units: DataFrame, payloads: DataFrame, links: Callable[[pd.DataFrame], np.ndarray]
 ) -> DataFrame:
     """(a, b) connecting the nodes that are linked, by verification of all pairs of blocks.
 
-    ``payloads`` has one row per node: node and the columns that ``links`` reads.  ``links`` gets
-    the rows of two blocks and returns the symmetric matrix of true links.
+    ``units`` has the size of each node's payload, (node, units); ``payloads`` has one row per
+    node of ``groups``: node and the columns that ``links`` reads, best grouped by node already,
+    as they then move once only, to their blocks.  ``links`` gets the rows of two blocks and
+    returns the symmetric matrix of true links.
     """
-    known = groups.join(payloads.select("node", units.alias("units")), "node")
-    rows = _blocks(known, F.col("units")).join(payloads, "node")
+    rows = stored(_blocks(groups.join(units, "node")), "blocks").join(payloads, "node")
 
     def verify(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.drop_duplicates("node", ignore_index=True)

@@ -3,14 +3,17 @@
 A document is the set of its hashed word shingles.  If two sets of Jaccard similarity t or more
 are sorted by the same global order, they share a token among the first n - ceil(t n) + 1 of each.
 This holds for every order, so candidates must share such a prefix token under each of them.
-All orders put frequent shingles last, by counters over the whole corpus, and differ within the
-rare ones.  Two orders group the documents in Spark; the third is asked for inside a block before
-the exact similarity is computed.  Documents of equal sets are one node throughout.
+Each order sorts tokens by hashed counters of its own over the whole corpus, then by hash, so that
+shared passages come late in all of them and their noise is independent.  Two orders group the
+documents in Spark; the third is asked for inside a block before the exact similarity is computed.
+Documents of equal sets are one node throughout.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,14 +24,16 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 from .common import identity, kept_rows
-from .linking import components, groups_of, overlaps, verified_edges
+from .linking import components, distinct_groups, groups_of, overlaps, verified_edges
 
-#: Counters per document, at least and at most so many bits of index.
-_COUNTERS_PER_DOC, _LEAST_BITS, _MOST_BITS = 4, 18, 24
+#: Counters of an order per document, and the least and most bits of their index.
+_COUNTERS_PER_DOC, _LEAST_BITS, _MOST_BITS = 2, 16, 22
 ORDERS = 3
 #: A set of candidates up to this size is broadcast to filter the documents, beyond it is joined.
 BROADCAST_ROWS = 500_000
 _REMEMBERED = 500_000
+#: Tokens that wait to be counted together.
+_COUNT_AT = 1_000_000
 
 _U = np.uint64
 _GOLDEN = 0x9E3779B97F4A7C15
@@ -74,41 +79,55 @@ def _digest(tokens: np.ndarray) -> tuple[int, int]:
 
 def _counted(batches: Iterator[pa.RecordBatch], words: int, bits: int) -> Iterator[pa.RecordBatch]:
     """One row per document (its set's size and digest), then this task's counters in slices."""
-    shingles, counters = Shingler(words), np.zeros(1 << bits, dtype=np.uint32)
+    shingles, counters = Shingler(words), np.zeros(ORDERS << bits, dtype=np.uint32)
     names = ["doc_id", "text_md5", "n", "d1", "d2", "slice", "counters"]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
     def rows(cols):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
+    def count(held: list[np.ndarray]) -> None:
+        tokens = np.concatenate(held)
+        for k in range(ORDERS):
+            found = np.bincount(_slots(_ordered(tokens, k), bits), minlength=1 << bits)
+            counters[k << bits : (k + 1) << bits] += found.astype(np.uint32)
+
     for batch in batches:
-        sizes, d1, d2 = [], [], []
+        sizes, d1, d2, held, waiting = [], [], [], [], 0
         for text in batch.column(1):
             tokens = shingles(text.as_py())
-            np.add.at(counters, (tokens >> _U(64 - bits)).astype(np.int64), 1)
             a, b = _digest(tokens)
             sizes.append(len(tokens))
             d1.append(a)
             d2.append(b)
+            held.append(tokens)
+            waiting += len(tokens)
+            if waiting > _COUNT_AT:
+                count(held)
+                held, waiting = [], 0
+        if waiting:
+            count(held)
         none = [None] * len(sizes)
         yield rows([batch.column(0).to_pylist(), batch.column(2).to_pylist(), sizes, d1, d2, none, none])
     size = 1 << 14
     for i in range(0, len(counters), size):
         part = counters[i : i + size]
         if part.any():
-            yield rows([[None]] * 5 + [[i // size], [part.tobytes()]])
+            yield rows([[None]] * 5 + [[i // size], [zlib.compress(part.tobytes(), 1)]])
 
 
-def _summed(frame: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(x, dtype=np.uint32).astype(np.uint64) for x in frame["counters"])
-    return pd.DataFrame({"slice": frame["slice"].iloc[:1], "counters": [total.tobytes()]})
+def _ordered(tokens: np.ndarray, order: int) -> np.ndarray:
+    """Hashes of the tokens that an order seeds: the upper bits choose a counter, the lower break ties."""
+    return _mixed(tokens + _U((order + 1) * _GOLDEN % 2**64))
+
 
+def _slots(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> _U(64 - bits)).astype(np.int64)
 
-def frequency_levels(counters: np.ndarray) -> np.ndarray:
-    """0 for counters that chance explains, else the power of two of the excess."""
-    mean = counters.mean()
-    excess = counters - mean - 6 * np.sqrt(mean) - 16
-    return np.where(excess >= 1, np.log2(np.maximum(excess, 1)) + 1, 0).astype(np.uint8)
+
+def _summed(frame: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(zlib.decompress(x), dtype=np.uint32).astype(np.uint64) for x in frame["counters"])
+    return pd.DataFrame({"slice": frame["slice"].iloc[:1], "counters": [total.tobytes()]})
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -116,77 +135,96 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def prefix(tokens: np.ndarray, levels: np.ndarray, order: int, percent: int) -> np.ndarray:
-    """The first tokens of a set in an order: level first, then a hash that the order seeds."""
-    bits = len(levels).bit_length() - 1
-    level = levels[(tokens >> _U(64 - bits)).astype(np.int64)].astype(np.uint64)
-    rank = (level << _U(56)) | (_mixed(tokens + _U((order + 1) * _GOLDEN % 2**64)) >> _U(8))
+def prefix(tokens: np.ndarray, counters: np.ndarray, order: int, percent: int) -> np.ndarray:
+    """The first tokens of a set in an order: by the order's counters, then by its hash."""
     p = prefix_length(len(tokens), percent)
-    return tokens[np.argpartition(rank, p - 1)[:p]] if p < len(tokens) else tokens
+    if p >= len(tokens):
+        return tokens
+    hashes = _ordered(tokens, order)
+    bits = counters.shape[1].bit_length() - 1
+    rank = (counters[order][_slots(hashes, bits)] << _U(40)) | (hashes & _U((1 << 40) - 1))
+    return tokens[np.argpartition(rank, p - 1)[:p]]
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], words: int, percent: int, levels) -> Iterator[pa.RecordBatch]:
+def _prefixes(batches: Iterator[pa.RecordBatch], words: int, percent: int, counters) -> Iterator[pa.RecordBatch]:
     """Digest and prefixes of the grouping orders, once for equal sets of a batch.
 
     Prefix tokens are cut to 32 bits: equal ones only make more candidates.
     """
     shingles = Shingler(words)
     for batch in batches:
-        seen, cols = set(), ([], [], [], [])
+        seen, cols = set(), ([], [], [], [], [])
         for text in batch.column(0):
             tokens = shingles(text.as_py())
             d = _digest(tokens)
             if not len(tokens) or d in seen:
                 continue
             seen.add(d)
-            values = [*d] + [
-                prefix(tokens, levels.value, k, percent).astype(np.uint32).view(np.int32) for k in range(ORDERS - 1)
+            values = [*d, len(tokens)] + [
+                prefix(tokens, counters.value, k, percent).astype(np.uint32).view(np.int32) for k in range(ORDERS - 1)
             ]
             for col, v in zip(cols, values, strict=True):
                 col.append(v)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, pa.int64()) for c in cols[:2]] + [pa.array(c, pa.list_(pa.int32())) for c in cols[2:]],
-            names=["d1", "d2", "p0", "p1"],
+            [pa.array(c, pa.int64()) for c in cols[:3]] + [pa.array(c, pa.list_(pa.int32())) for c in cols[3:]],
+            names=["d1", "d2", "n", "p0", "p1"],
         )
 
 
-def _sets(batches: Iterator[pa.RecordBatch], words: int, percent: int, levels) -> Iterator[pa.RecordBatch]:
-    """Digest, whole set and last prefix as bytes, once for equal sets of a batch."""
+def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """Digest and whole set as bytes, once for equal sets of a batch."""
     shingles = Shingler(words)
     for batch in batches:
-        texts = batch.column(0)
+        texts, seen = batch.column(0), set()
         for at in range(0, len(texts), 500):
-            seen, cols = set(), ([], [], [], [])
+            cols: tuple[list, ...] = ([], [], [])
             for text in texts.slice(at, 500):
                 tokens = shingles(text.as_py())
                 d = _digest(tokens)
                 if not len(tokens) or d in seen:
                     continue
                 seen.add(d)
-                last = prefix(tokens, levels.value, ORDERS - 1, percent)
-                for col, v in zip(cols, (*d, tokens.tobytes(), last.tobytes()), strict=True):
+                for col, v in zip(cols, (*d, tokens.tobytes()), strict=True):
                     col.append(v)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int64()) for c in cols[:2]] + [pa.array(c, pa.binary()) for c in cols[2:]],
-                names=["d1", "d2", "tokens", "last"],
+                [pa.array(c, pa.int64()) for c in cols[:2]] + [pa.array(cols[2], pa.binary())],
+                names=["d1", "d2", "tokens"],
             )
 
 
-def _links(frame: pd.DataFrame, percent: int) -> np.ndarray:
+def _links(frame: pd.DataFrame, percent: int, counters) -> np.ndarray:
     """Exact links of a block: they share a token of the last prefix and reach the similarity."""
-    shared = overlaps([np.frombuffer(x, dtype=np.uint64) for x in frame["last"]]) > 0
+    sets = [np.frombuffer(x, dtype=np.uint64) for x in frame["tokens"]]
+    shared = overlaps([prefix(s, counters.value, ORDERS - 1, percent) for s in sets]) > 0
     np.fill_diagonal(shared, False)
-    open_rows = np.flatnonzero(shared.any(axis=1))
-    out = np.zeros((len(frame), len(frame)), dtype=bool)
-    if len(open_rows):
-        sets = [np.frombuffer(x, dtype=np.uint64) for x in frame["tokens"].iloc[open_rows]]
-        both = overlaps(sets).astype(np.int64)
-        sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    met = np.flatnonzero(shared.any(axis=1))
+    out = np.zeros((len(sets), len(sets)), dtype=bool)
+    if len(met):
+        both = overlaps([sets[i] for i in met]).astype(np.int64)
+        sizes = np.array([len(sets[i]) for i in met], dtype=np.int64)
         union = sizes[:, None] + sizes[None, :] - both
-        out[np.ix_(open_rows, open_rows)] = 100 * both >= percent * union
+        out[np.ix_(met, met)] = 100 * both >= percent * union
     return out & shared
 
 
+def _of_like_size(groups: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Groups cut by set size: linked sets lie in the same or in adjacent classes of size.
+
+    A class spans the ratio that the similarity allows.  A part holds the sets of a class and of
+    the next larger one, and is needed only if it has some of the class itself.
+    """
+    step = max(-math.log(percent / 100), 0) + 1e-9  # a little wide, so that rounding loses nothing
+    own = F.floor(F.log("units") / step)
+    placed = groups.join(sizes, "node").withColumn("own", own)
+    placed = placed.select("group", "node", "own", F.explode(F.array(F.col("own"), F.col("own") - 1)).alias("part"))
+    parts = placed.groupBy("group", "part").agg(
+        F.max(F.col("own") == F.col("part")).alias("needed"), F.min("node").alias("a"), F.max("node").alias("b")
+    )
+    parts = parts.where("needed and a <> b").select("group", "part")
+    cut = placed.join(parts, ["group", "part"])
+    return distinct_groups(cut.select("node", F.xxhash64("group", "part").alias("group")))
+
+
 def _members(df: DataFrame, percent: int, words: int, key: str, text: str) -> DataFrame:
     """One row per input row: doc_id, text_md5, n and component, null for empty sets."""
     spark = df.sparkSession
@@ -200,30 +238,32 @@ def _members(df: DataFrame, percent: int, words: int, key: str, text: str) -> Da
         ),
         "shingle-counts",
     )
-    # 2^bits counters in all, whatever the corpus holds.
+    # ORDERS times 2^bits counters in all, whatever the corpus holds.
     slices = counted.where("slice is not null").groupBy("slice").applyInPandas(_summed, "slice int, counters binary")
-    counters = np.zeros(1 << bits, dtype=np.uint64)
-    for r in stored(slices.select("slice", "counters"), "shingle-counters").toLocalIterator():
+    total = np.zeros(ORDERS << bits, dtype=np.uint64)
+    for r in stored(slices, "shingle-counters").toLocalIterator():
         part = np.frombuffer(r["counters"], dtype=np.uint64)
-        counters[r["slice"] * len(part) : (r["slice"] + 1) * len(part)] = part
-    levels = spark.sparkContext.broadcast(frequency_levels(counters))
+        total[r["slice"] * len(part) : (r["slice"] + 1) * len(part)] = part
+    total = np.minimum(total, (1 << 24) - 1).reshape(ORDERS, -1)
+    counters = spark.sparkContext.broadcast(total)
 
     texts = docs.select("text")
-    kind = "d1 long, d2 long, p0 array<int>, p1 array<int>"
-    sketches = texts.mapInArrow(lambda b: _prefixes(b, words, percent, levels), kind)
-    sketches = sketches.groupBy("d1", "d2").agg(F.first("p0").alias("p0"), F.first("p1").alias("p1"))
+    kind = "d1 long, d2 long, n long, p0 array<int>, p1 array<int>"
+    sketches = texts.mapInArrow(lambda b: _prefixes(b, words, percent, counters), kind)
+    sketches = sketches.groupBy("d1", "d2").agg(*[F.first(c).alias(c) for c in ("n", "p0", "p1")])
     sketches = stored(sketches.withColumn("node", F.monotonically_increasing_id()), "sketches")
     orders = [sketches.select("node", F.explode(p).alias("key")) for p in ("p0", "p1")]
-    groups = groups_of(orders, "jaccard")
+    sizes = sketches.select("node", F.col("n").alias("units"))
+    groups = stored(_of_like_size(groups_of(orders, "jaccard"), sizes, percent), "jaccard-groups")
 
-    left = stored(groups.select("node").distinct().join(sketches.select("node", "d1", "d2"), "node"), "candidates")
+    left = groups.select("node").distinct().join(sketches.select("node", "d1", "d2", F.col("n").alias("units")), "node")
+    left = stored(left, "candidates")
     small = left.count() <= BROADCAST_ROWS
-    sets = texts.mapInArrow(
-        lambda b: _sets(b, words, percent, levels), "d1 long, d2 long, tokens binary, last binary"
-    )
-    sets = sets.join(F.broadcast(left) if small else left, ["d1", "d2"])
-    sets = stored(sets.groupBy("node").agg(F.first("tokens").alias("tokens"), F.first("last").alias("last")), "sets")
-    edges = verified_edges(groups, sets, F.octet_length("tokens") / 8, lambda f: _links(f, percent))
+    sets = texts.mapInArrow(lambda b: _sets(b, words), "d1 long, d2 long, tokens binary")
+    keys = left.select("d1", "d2", "node")
+    sets = sets.join(F.broadcast(keys) if small else keys, ["d1", "d2"])
+    sets = sets.groupBy("node").agg(F.first("tokens").alias("tokens"))
+    edges = verified_edges(groups, left.select("node", "units"), sets, lambda f: _links(f, percent, counters))
     named = components(edges, "jaccard")
 
     nodes = sketches.select("d1", "d2", "node").join(named, "node", "left")
