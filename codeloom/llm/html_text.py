@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -51,14 +52,19 @@ _CLOSED_BY = {
     "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option"},
 }
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Words in class, id and role that name boilerplate.
-_BAD_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alerts?|popup|"
-    r"modal|overlay|newsletter|subscribe|subscription|signup|login|nav\w*|menus?|breadcrumbs?|sidebars?|side|widget\w*|"
-    r"footer|foot|header|masthead|topbar|toolbar|comments?|commentlist|disqus|replies|respond|responses|related|"
-    r"recommended|recommendations|share|sharing|social|tags?|pagination|pager|search|skip|copyright|legal|"
-    r"disclaimer|complementary|contentinfo|navigation)(?=$|[\s_-])",
-    re.IGNORECASE,
+#: Elements whose own names say nothing.
+_UNNAMED = _HEADINGS | {"html", "body", "main", "article"}
+#: Whole words of class, id and role; blocks below such an element are no text of the page.
+_BAD_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsored comments comment-list commentlist comments-area "
+    "disqus_thread respond cookie-notice cookie-banner cookie-consent gdpr complementary contentinfo".split()
+)
+#: Weaker ones, which also name parts of texts; blocks below them must be text by themselves.
+_WEAK_NAMES = frozenset(
+    "banner promo cookies consent popup modal overlay newsletter subscribe signup login nav navbar navigation menu "
+    "breadcrumb breadcrumbs sidebar widget footer site-footer page-footer site-header masthead topbar toolbar replies "
+    "related related-posts related-articles recommended share sharing share-buttons social social-share pagination "
+    "pager search search-form skip-link copyright".split()
 )
 _TAG = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
@@ -69,6 +75,15 @@ _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?
 _SPACE = re.compile(r"\s+")
 
 
+@dataclass(eq=False)
+class Named:
+    """An element with a name of boilerplate."""
+
+    weak: bool
+    inside: bool  # in an article or main element
+    holds: bool = False  # an article or main element
+
+
 @dataclass
 class Block:
     """A run of text between block-level boundaries."""
@@ -78,6 +93,7 @@ class Block:
     outside: bool  # in an element that is never part of the article
     inside: bool  # in an article or main element
     heading: bool
+    named: tuple[Named, ...] = ()  # elements around it whose names suggest boilerplate
     text: str = ""
 
 
@@ -102,15 +118,15 @@ def blocks_of(page: str) -> list[Block]:
     what surrounds it; end tags that nothing opened are ignored.
     """
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, outside, inside
+    stack: list[tuple[str, bool, bool, tuple[Named, ...]]] = []  # name, outside, inside, named
     now: Block | None = None
     links = 0
 
     def add(raw: str) -> None:
         nonlocal now
         if now is None:
-            _, outside, inside = stack[-1] if stack else ("", False, False)
-            now = Block([], 0, outside, inside, any(s[0] in _HEADINGS for s in stack))
+            _, outside, inside, named = stack[-1] if stack else ("", False, False, ())
+            now = Block([], 0, outside, inside, any(s[0] in _HEADINGS for s in stack), named)
             out.append(now)
         now.parts.append(raw)
         if links:
@@ -167,16 +183,23 @@ def blocks_of(page: str) -> list[Block]:
                     break
         if name in _VOID or m[4].endswith("/"):
             continue
-        _, outside, inside = stack[-1] if stack else ("", False, False)
+        _, outside, inside, named = stack[-1] if stack else ("", False, False, ())
         names, hidden = _names(m[4]) if m[4] and not m[4].isspace() else ("", False)
-        bad = name in _OUTSIDE or hidden or (name not in ("body", "html", "main") and bool(_BAD_NAME.search(names)))
+        bad = name in _OUTSIDE or hidden
         if name == "header" and not inside:
             bad = True
+        if names and name in _BLOCKS and name not in _UNNAMED:
+            words = set(names.lower().split())
+            if words & _BAD_NAMES or words & _WEAK_NAMES:
+                named = (*named, Named(not words & _BAD_NAMES, inside))
         if name in ("article", "main"):
             inside = True
+            if not (outside or bad):
+                for e in named:
+                    e.holds = True
         if name == "a":
             links += 1
-        stack.append((name, outside or bad, inside))
+        stack.append((name, outside or bad, inside, named))
     for b in out:
         b.text = _SPACE.sub(" ", html.unescape("".join(b.parts))).strip()
     return [b for b in out if b.text]
@@ -197,16 +220,46 @@ class Rules:
 RULES = Rules()
 
 
+def _ruled_out(blocks: list[Block], text: list[bool]) -> list[bool]:
+    """Whether the elements or names around each block rule it out.
+
+    ``text`` says which blocks are text by themselves.  A name does not count on an element that
+    holds an article, unless another article has most of the page's text, and on one that holds
+    most of the text itself, unless it is in or beside an article.
+    """
+    weights = [len(b.text) if t and not b.outside else 0 for b, t in zip(blocks, text, strict=True)]
+    total, articles = sum(weights), sum(w for b, w in zip(blocks, weights, strict=True) if b.inside)
+    below: dict[Named, int] = defaultdict(int)
+    within: dict[Named, int] = defaultdict(int)
+    for b, w in zip(blocks, weights, strict=True):
+        for e in b.named:
+            below[e] += w
+            within[e] += w * b.inside
+
+    def counts(e: Named) -> bool:
+        beside = articles - within[e]
+        if e.holds:
+            return 2 * beside > total
+        return e.inside or beside > 0 or 2 * below[e] <= total
+
+    return [
+        b.outside or any(not (e.weak and t) and counts(e) for e in b.named)
+        for b, t in zip(blocks, text, strict=True)
+    ]
+
+
 def classify(blocks: list[Block], rules: Rules = RULES) -> list[bool]:
     """Whether each block is main text."""
     article = any(b.inside and not b.outside for b in blocks)
+    text = [len(b.text) >= rules.short_chars and b.linked <= rules.link_density * len(b.text) for b in blocks]
+    outside = _ruled_out(blocks, text)
     labels: list[str] = []
-    for b in blocks:
+    for b, out in zip(blocks, outside, strict=True):
         n = len(b.text)
         links = b.linked / max(n, 1)
         words = b.text.lower().split()
         stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / max(len(words), 1)
-        if b.outside or (article and not b.inside):
+        if out or (article and not b.inside):
             labels.append("bad")
         elif links > rules.link_density and not b.heading:
             labels.append("bad")

@@ -416,6 +416,19 @@ def test_pages(spark):
     assert html_text.main_text(f"<article>{'<p>' + html.escape(LONG) + '</p>'}" * 200).count("\n") == 199
 
 
+def test_names_do_not_veto_articles():
+    text = LONG.strip()
+    for names in ("post-12 post type-post category-news tag-python", "site has-sidebar", "sidebar", "comments"):
+        assert html_text.main_text(f"<article class='{names}'><p>{LONG}</p></article>") == text
+        assert html_text.main_text(f"<div class='{names}'><article><p>{LONG}</p></article></div>") == text
+        assert html_text.main_text(f"<div class='{names}'><p>{LONG}</p></div><p><a href=x>Home</a></p>") == text
+    page = f"<article><div class='entry-header'><h1>T</h1></div><h2 id=search>S</h2><p>{LONG}</p>"
+    assert html_text.main_text(page + f"<section id=search><p>{LONG}</p><p>Go</p></section>") == f"T\nS\n{text}\n{text}"
+    assert html_text.main_text(page + f"<div class='x ads'><p>{LONG * 3}</p></div>") == f"T\nS\n{text}"
+    related = f"<div class=related><article><p>A card.</p></article></div>"
+    assert html_text.main_text(page + "</article>" + related) == f"T\nS\n{text}"
+
+
 # --- 10: n-gram Jaccard join ------------------------------------------------------------------
 
 
