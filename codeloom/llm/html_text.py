@@ -4,7 +4,8 @@ The markup is cut into text blocks at block-level elements.  First pass: each bl
 alone, by its stop-word density, length and link density, and by the boilerplate elements and
 names around it.  Second pass: blocks too short to be decided alone take the label of their
 nearest decided neighbours; where these disagree, they count as boilerplate unless they are close
-to the text on the side of a heading.
+to the text on the side of a heading.  Stop words decide only on pages that have them; a block
+without a decided neighbour of boilerplate is text.
 """
 
 from __future__ import annotations
@@ -248,17 +249,26 @@ def _ruled_out(blocks: list[Block], text: list[bool]) -> list[bool]:
     ]
 
 
+def _stops(text: str) -> tuple[int, int]:
+    """Number of stop words and of words."""
+    words = text.lower().split()
+    return sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words), len(words)
+
+
 def classify(blocks: list[Block], rules: Rules = RULES) -> list[bool]:
     """Whether each block is main text."""
     article = any(b.inside and not b.outside for b in blocks)
     text = [len(b.text) >= rules.short_chars and b.linked <= rules.link_density * len(b.text) for b in blocks]
     outside = _ruled_out(blocks, text)
+    # Stop words decide only where the page has them; else its language is none of theirs.
+    counts = [_stops(b.text) for b, t, out in zip(blocks, text, outside, strict=True) if t and not out]
+    known = sum(c[0] for c in counts) >= rules.stop_low * max(sum(c[1] for c in counts), 1)
     labels: list[str] = []
     for b, out in zip(blocks, outside, strict=True):
         n = len(b.text)
         links = b.linked / max(n, 1)
-        words = b.text.lower().split()
-        stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / max(len(words), 1)
+        stops, words = _stops(b.text)
+        stops /= max(words, 1)
         if out or (article and not b.inside):
             labels.append("bad")
         elif links > rules.link_density and not b.heading:
@@ -267,20 +277,22 @@ def classify(blocks: list[Block], rules: Rules = RULES) -> list[bool]:
             labels.append("good" if n >= rules.short_chars or b.heading else "short")
         elif n < rules.short_chars:
             labels.append("bad" if b.linked else "short")
-        elif stops >= rules.stop_high:
+        elif stops >= rules.stop_high or not known:
             labels.append("good" if n > rules.long_chars else "near")
         elif stops >= rules.stop_low:
             labels.append("near")
         else:
-            labels.append("bad")
+            labels.append("plain")
     final = list(labels)
+    # Where no block stands alone, the undecided ones are all the text there is.
+    alone = "good" not in labels and "near" not in labels
     decided = ("good", "bad")
     # Ambiguous blocks: the nearest decided label before and after, in the first pass's labels.
-    before, last = [], "bad"
+    before, last = [], ""
     for k in labels:
         before.append(last)
         last = k if k in decided else last
-    after, last = [], "bad"
+    after, last = [], ""
     for k in reversed(labels):
         after.append(last)
         last = k if k in decided else last
@@ -288,14 +300,15 @@ def classify(blocks: list[Block], rules: Rules = RULES) -> list[bool]:
     for i, (b, k) in enumerate(zip(blocks, labels, strict=True)):
         if k in decided:
             continue
-        sides = {before[i], after[i]}
-        if sides == {"good"} or b.inside:
+        sides = {before[i], after[i]} - {""}
+        if "bad" not in sides or b.inside or alone:
             final[i] = "good"
-        elif sides == {"bad"}:
-            # A longer block with stop words stands alone; a short one does not.
-            final[i] = "good" if k == "near" and not b.linked else "bad"
+        elif "good" not in sides:
+            # A longer block with stop words stands alone, as does a long one of code, names or figures.
+            stands = k == "near" or (k == "plain" and len(b.text) > rules.long_chars)
+            final[i] = "good" if stands and not b.linked else "bad"
         else:
-            final[i] = "good" if k == "near" or (b.heading and after[i] == "good") else "bad"
+            final[i] = "good" if k in ("near", "plain") or (b.heading and after[i] == "good") else "bad"
     return [k == "good" for k in final]
 
 

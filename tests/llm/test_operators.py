@@ -429,6 +429,35 @@ def test_names_do_not_veto_articles():
     assert html_text.main_text(page + "</article>" + related) == f"T\nS\n{text}"
 
 
+OTHERS = [
+    "Это было лучшее время в доме моего старого друга, и они жили там очень долго, так что все осталось как есть.",
+    "Ήταν η καλύτερη εποχή στο σπίτι ενός φίλου και ζούσαν εκεί για πολύ καιρό, ώστε όλα έμειναν όπως ήταν πριν.",
+    "كانت أفضل الأيام في بيت صديق لي وقد عاشوا هناك زمنا طويلا حتى بقي كل شيء على ما هو عليه دون أي تغيير يذكر أبدا.",
+    "那是朋友家里最好的日子，他们在那里住了很久，所以一切都保持原样，没有任何改变，人们仍然记得那段时光。" * 2,
+]
+
+
+@pytest.mark.parametrize("text", OTHERS)
+def test_pages_without_known_stop_words(text):
+    nav = "<nav><a href=x>Home</a></nav>"
+    assert len(text) >= html_text.RULES.short_chars
+    assert html_text.main_text(f"<div><p>{text}</p><p>{text * 3}</p></div>") == f"{text}\n{text * 3}"
+    page = f"{nav}<div><p>{text * 3}</p><p>{text}</p><p><a href=x>{text}</a></p></div><footer>{text}</footer>"
+    assert html_text.main_text(page) == f"{text * 3}\n{text}"
+
+
+def test_blocks_without_stop_words():
+    code = "x0 = f(y1, y2); " * 5
+    names = "Kowalski, Jan; Nowak, Anna; " * 8
+    nav, foot = "<nav><a href=x>Home</a></nav>", "<footer>(c) X</footer>"
+    page = f"<p>{LONG}</p><pre>{code}</pre><p>{LONG}</p><pre>{names}</pre>"
+    want = "\n".join(x.strip() for x in (LONG, code, LONG, names))
+    assert html_text.main_text(page) == want
+    assert html_text.main_text(nav + page + foot) == want
+    assert html_text.main_text("<p>One line.</p><p>Another line.</p>") == "One line.\nAnother line."
+    assert html_text.main_text(f"{nav}<p>One line.</p><p>Another line.</p>{foot}") == "One line.\nAnother line."
+
+
 # --- 10: n-gram Jaccard join ------------------------------------------------------------------
 
 
