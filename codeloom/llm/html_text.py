@@ -5,7 +5,9 @@ alone, by its stop-word density, length and link density, and by the boilerplate
 names around it.  Second pass: blocks too short to be decided alone take the label of their
 nearest decided neighbours; where these disagree, they count as boilerplate unless they are close
 to the text on the side of a heading.  Stop words decide only on pages that have them; a block
-without a decided neighbour of boilerplate is text.
+without a decided neighbour of boilerplate is text.  Articles that hold most of the page's text
+are kept whole, but for the elements that are never text, and nothing else is; others count for
+nothing.
 """
 
 from __future__ import annotations
@@ -210,7 +212,7 @@ def blocks_of(page: str) -> list[Block]:
 class Rules:
     """Thresholds of the first pass."""
 
-    link_density: float = 0.33
+    link_density: float = 0.33  # of blocks outside articles
     short_chars: int = 70
     long_chars: int = 200
     stop_low: float = 0.10
@@ -226,9 +228,9 @@ def _ruled_out(blocks: list[Block], text: list[bool]) -> list[bool]:
 
     ``text`` says which blocks are text by themselves.  A name does not count on an element that
     holds an article, unless another article has most of the page's text, and on one that holds
-    most of the text itself, unless it is in or beside an article.
+    most of the text itself, unless it is in an article or, if the name is not weak, beside one.
     """
-    weights = [len(b.text) if t and not b.outside else 0 for b, t in zip(blocks, text, strict=True)]
+    weights = [0 if b.outside else max(len(b.text) - b.linked, 0) for b in blocks]
     total, articles = sum(weights), sum(w for b, w in zip(blocks, weights, strict=True) if b.inside)
     below: dict[Named, int] = defaultdict(int)
     within: dict[Named, int] = defaultdict(int)
@@ -241,7 +243,7 @@ def _ruled_out(blocks: list[Block], text: list[bool]) -> list[bool]:
         beside = articles - within[e]
         if e.holds:
             return 2 * beside > total
-        return e.inside or beside > 0 or 2 * below[e] <= total
+        return e.inside or (beside > 0 and not e.weak) or 2 * below[e] <= total
 
     return [
         b.outside or any(not (e.weak and t) and counts(e) for e in b.named)
@@ -249,6 +251,15 @@ def _ruled_out(blocks: list[Block], text: list[bool]) -> list[bool]:
     ]
 
 
+def _trusted(blocks: list[Block], outside: list[bool]) -> bool:
+    """Whether articles hold most of the page's text, links left out unless there is nothing else."""
+    seen = [b for b, out in zip(blocks, outside, strict=True) if not out]
+    weights = [max(len(b.text) - b.linked, 0) for b in seen]
+    if not any(weights):
+        weights = [len(b.text) for b in seen]
+    return 2 * sum(w for w, b in zip(weights, seen, strict=True) if b.inside) > sum(weights)
+
+
 def _stops(text: str) -> tuple[int, int]:
     """Number of stop words and of words."""
     words = text.lower().split()
@@ -257,9 +268,10 @@ def _stops(text: str) -> tuple[int, int]:
 
 def classify(blocks: list[Block], rules: Rules = RULES) -> list[bool]:
     """Whether each block is main text."""
-    article = any(b.inside and not b.outside for b in blocks)
     text = [len(b.text) >= rules.short_chars and b.linked <= rules.link_density * len(b.text) for b in blocks]
     outside = _ruled_out(blocks, text)
+    if _trusted(blocks, outside):
+        return [b.inside and not out for b, out in zip(blocks, outside, strict=True)]
     # Stop words decide only where the page has them; else its language is none of theirs.
     counts = [_stops(b.text) for b, t, out in zip(blocks, text, outside, strict=True) if t and not out]
     known = sum(c[0] for c in counts) >= rules.stop_low * max(sum(c[1] for c in counts), 1)
@@ -269,12 +281,10 @@ def classify(blocks: list[Block], rules: Rules = RULES) -> list[bool]:
         links = b.linked / max(n, 1)
         stops, words = _stops(b.text)
         stops /= max(words, 1)
-        if out or (article and not b.inside):
+        if out:
             labels.append("bad")
         elif links > rules.link_density and not b.heading:
             labels.append("bad")
-        elif b.inside:
-            labels.append("good" if n >= rules.short_chars or b.heading else "short")
         elif n < rules.short_chars:
             labels.append("bad" if b.linked else "short")
         elif stops >= rules.stop_high or not known:
@@ -301,7 +311,7 @@ def classify(blocks: list[Block], rules: Rules = RULES) -> list[bool]:
         if k in decided:
             continue
         sides = {before[i], after[i]} - {""}
-        if "bad" not in sides or b.inside or alone:
+        if "bad" not in sides or alone:
             final[i] = "good"
         elif "good" not in sides:
             # A longer block with stop words stands alone, as does a long one of code, names or figures.

@@ -458,6 +458,28 @@ def test_blocks_without_stop_words():
     assert html_text.main_text(f"{nav}<p>One line.</p><p>Another line.</p>{foot}") == "One line.\nAnother line."
 
 
+def test_links_in_articles():
+    link = "<a href=x>A. Author, A title of some length, 2001, in a journal of the field, pages 1 to 20</a>"
+    line = "A. Author, A title of some length, 2001, in a journal of the field, pages 1 to 20"
+    page = f"<nav>{link}</nav><article><p>{LONG}</p><ul><li>{link}<li><a href=y>B</a></ul><p>{link}</p>"
+    page += f"<table><tr><td><a href=z>C</a></table></article><p>{link}</p>"
+    assert html_text.main_text(page) == f"{LONG.strip()}\n{line}\nB\n{line}\nC"
+    assert html_text.main_text(f"<p>{LONG}</p><ul><li>{link}</ul>") == LONG.strip()
+
+
+def test_articles_beside_the_text():
+    cards = "<article><h3><a href=x>Card</a></h3><p><a href=x>A teaser of a few words</a></p></article>" * 3
+    page = f"<div id=content><p>{LONG}</p><p>{LONG}</p></div><div>{cards}</div>"
+    got = html_text.main_text(page)
+    assert got.startswith(f"{LONG.strip()}\n{LONG.strip()}") and "teaser" not in got
+    got = html_text.main_text(f"<main></main><div>{cards}</div><div><p>{LONG * 2}</p></div>")
+    assert (LONG * 2).strip() in got and "teaser" not in got
+    short = f"<div class=ad>{LONG}</div><article><p>One line.<p>Another line.</article>"
+    assert html_text.main_text(short) == "One line.\nAnother line."
+    posts = f"<article><p>{LONG}</p></article>" * 2
+    assert html_text.main_text(posts + f"<p><a href=x>{LONG}</a></p>") == f"{LONG.strip()}\n{LONG.strip()}"
+
+
 # --- 10: n-gram Jaccard join ------------------------------------------------------------------
 
 
