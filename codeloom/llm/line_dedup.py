@@ -4,6 +4,8 @@ If a line is cut into e + 1 segments, e edits leave one of them whole.  So every
 an index under (its length, segment number, segment), and looks up, for each length that e edits
 can bridge, the substrings of its own that may stand at the segment's place.  Lines that meet are
 verified with a bit-parallel automaton that keeps a band of diagonals.  Equal lines are one node.
+Lines of e characters or fewer have an empty segment, which all lines in reach meet: those are
+compared with each other.
 """
 
 from __future__ import annotations
@@ -23,9 +25,11 @@ from ..session import stored
 from .linking import components, distinct_groups, verified_edges
 
 EDITS = 2
-#: Shorter lines are duplicates only if they are equal.
-MIN_CHARS = 24
+#: Shorter lines are duplicates only if they are equal; 1 leaves none out.
+MIN_CHARS = 1
 BROADCAST_ROWS = 500_000
+#: Sketches that a Python worker holds at a time.
+_SKETCHES = 4096
 _HAS_WORD = re.compile(r"[^\x20\x09-\x0D]")
 
 
@@ -193,10 +197,14 @@ def _distinct_lines(batch: pa.RecordBatch, min_chars: int) -> Iterator[str]:
 
 def _sketches(batches: Iterator[pa.RecordBatch], edits: int, min_chars: int) -> Iterator[pa.RecordBatch]:
     """Digest, length, index keys and probe keys of the lines, once for equal lines of a batch."""
-    plan = Plan(edits, min_chars)
+    plan, names = Plan(edits, min_chars), ["d1", "d2", "units", "index", "probes"]
+    kinds = [_LONG] * 3 + [pa.list_(_LONG)] * 2
     for batch in batches:
-        found = []
+        found: list[tuple] = []
         for line in _distinct_lines(batch, min_chars):
+            if len(found) == _SKETCHES:
+                yield _batch(list(zip(*found, strict=True)), names, kinds)
+                found = []
             index, probes = plan[len(line)]
             found.append(
                 (
@@ -205,8 +213,7 @@ def _sketches(batches: Iterator[pa.RecordBatch], edits: int, min_chars: int) ->
                     [_key(line[a:b], seed) for seed, a, b in probes],
                 )
             )
-        names = ["d1", "d2", "units", "index", "probes"]
-        yield _batch(list(zip(*found, strict=True)) or [[]] * 5, names, [_LONG] * 3 + [pa.list_(_LONG)] * 2)
+        yield _batch(list(zip(*found, strict=True)) or [[]] * 5, names, kinds)
 
 
 def _lines(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.RecordBatch]:
@@ -238,8 +245,8 @@ def line_classes(
     """One row per line with a word: doc_id, line_no, class_doc_id, class_line_no, class_size, kept.
 
     Lines are split at line feeds and compared as they are.  Two lines link if they are equal, or
-    if both have ``min_chars`` code points and their edit distance is at most ``edits``; classes
-    are connected by links.  A class is named by its first line, in order of key (null last), row
+    if both have ``min_chars`` code points and their edit distance is at most ``edits``, however
+    short they are by default; classes are connected by links.  A class is named by its first line, in order of key (null last), row
     and line number; that line is kept.  ``class_size`` counts lines, copies included.  Blank lines,
     null and empty texts give no rows; repeated rows are further copies; other columns are not
     read; an empty table gives none.

@@ -368,6 +368,24 @@ def test_line_classes(spark, docs, rows, none):
     assert line_dedup.line_classes(none).count() == 0
 
 
+def test_short_lines(spark):
+    rnd = random.Random(8)
+    base = ["".join(rnd.choice("abcdefghijklmnopqrst") for _ in range(n)) for n in (*range(6, 24), 9, 12, 15, 18)]
+    lines = base + [edited(rnd, x, rnd.randint(1, 3)) for x in base] + ["x", "yz", "#1", "wvu", "vu##", "2", "()[]{}"]
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    sets = Sets()
+    for i, a in enumerate(lines):
+        for j, b in enumerate(lines[:i]):
+            if distance(a, b) <= 2:
+                sets.join(i, j)
+    least = {}
+    for i in range(len(lines)):
+        least.setdefault(sets.find(i), i)
+    got = {r["doc_id"]: r["class_doc_id"] for r in line_dedup.line_classes(frame).collect()}
+    assert got == {i: least[sets.find(i)] for i in range(len(lines))}
+    assert 10 < len(set(got.values())) < len(lines) - 15
+
+
 # --- 8: languages ------------------------------------------------------------------------
 
 
