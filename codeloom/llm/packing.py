@@ -10,6 +10,7 @@ first sequence with enough room, found in a tournament tree whose nodes hold the
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,6 +29,16 @@ GROUP_DOCS = 2048
 _REMEMBERED = 500_000
 
 
+def read_added(path: str) -> dict[str, int]:
+    """Added tokens of the file with their ids; only plain ones are understood."""
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f).get("added_tokens") or ()
+    odd = [t["content"] for t in added if any(t.get(k) for k in ("single_word", "lstrip", "rstrip"))]
+    if odd:
+        raise ValueError(f"added tokens that look at their surroundings: {odd}")
+    return {t["content"]: t["id"] for t in added}
+
+
 def read_vocabulary(path: str) -> dict[bytes, int]:
     """Pieces as bytes with their ids, of a byte-level BPE file.
 
@@ -48,11 +59,15 @@ class Encoder(dict):
     """Ids of chunks as little-endian 32-bit bytes, computed when first asked for.
 
     The merges are run by tiktoken, whose ranks are the file's ids; the ids are those that the
-    tokenizers library gives for the file, special tokens' strings being ordinary text.
+    tokenizers library gives for the file: a text is cut at the strings of added tokens first,
+    the leftmost and of these the longest one, and the parts between are encoded by themselves.
     """
 
-    def __init__(self, vocabulary: dict[bytes, int], pattern: str):
+    def __init__(self, vocabulary: dict[bytes, int], pattern: str, added: dict[str, int] | None = None):
         super().__init__()
+        self._added = {t: i.to_bytes(4, "little") for t, i in (added or {}).items()}
+        longest = sorted(map(re.escape, self._added), key=len, reverse=True)
+        self._cut = re.compile(f"({'|'.join(longest)})") if longest else None
         self._encode = tiktoken.Encoding(
             "file", pat_str=pattern, mergeable_ranks=vocabulary, special_tokens={}
         ).encode_ordinary
@@ -69,6 +84,14 @@ class Encoder(dict):
     def encode(self, text: str) -> bytes:
         if len(self) > _REMEMBERED:
             self.clear()
+        if self._cut is None:
+            return self._part(text)
+        parts = self._cut.split(text)
+        if len(parts) == 1:
+            return self._part(text)
+        return b"".join(self._added[p] if i % 2 else self._part(p) for i, p in enumerate(parts) if p)
+
+    def _part(self, text: str) -> bytes:
         first, *rest = chunks(text)
         return self.ids(first) + b"".join(map(self.__getitem__, rest))
 
@@ -89,9 +112,15 @@ def _unpacked(packed: bytes) -> tuple[list[bytes], list[int]]:
 
 
 def _pieces(
-    batches: Iterator[pa.RecordBatch], vocabulary: bytes, pattern: str, end: int, length: int, with_ids: bool
+    batches: Iterator[pa.RecordBatch],
+    vocabulary: bytes,
+    added: dict[str, int],
+    pattern: str,
+    end: int,
+    length: int,
+    with_ids: bool,
 ) -> Iterator[pa.RecordBatch]:
-    encoder = Encoder(dict(zip(*_unpacked(vocabulary), strict=True)), pattern)
+    encoder = Encoder(dict(zip(*_unpacked(vocabulary), strict=True)), pattern, added)
     tail, step = end.to_bytes(4, "little"), 4 * length
     for batch in batches:
         cols: tuple[list, ...] = ([], [], [], [], [], [], [])
@@ -161,17 +190,17 @@ def pack_documents(
 
     Columns: doc_id, start, length, ids_crc32 (of the ids as little-endian 32-bit integers),
     doc_tokens (the end id included), sequence_id, offset, and with ``with_ids`` the ids
-    themselves as such bytes.  Null and empty texts are one end id; repeated rows, null keys and
+    themselves as such bytes.  Strings of the file's added tokens become their ids.  Null and empty texts are one end id; repeated rows, null keys and
     equal texts are packed as any others; other columns are not read; an empty table gives none.
 
     One shuffle, of rows without texts unless ids are asked for.  A group holds about
     ``group_docs`` rows as their number is counted first; a text's pieces stay together.
     """
-    vocabulary = _packed(read_vocabulary(vocabulary_path))
+    vocabulary, added = _packed(read_vocabulary(vocabulary_path)), read_added(vocabulary_path)
     groups = max(1, round(df.count() / group_docs))
     rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long"), F.col(text))
     kind = "row long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
-    pieces = rows.mapInArrow(lambda b: _pieces(b, vocabulary, pattern, end, length, with_ids), kind)
+    pieces = rows.mapInArrow(lambda b: _pieces(b, vocabulary, added, pattern, end, length, with_ids), kind)
     pieces = pieces.withColumn("group", F.pmod(F.xxhash64("row"), F.lit(groups)))
     if not with_ids:
         pieces = pieces.drop("ids")

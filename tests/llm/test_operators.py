@@ -305,6 +305,17 @@ def test_packing(docs, rows, none):
     assert packing.pack_documents(none, JSON, public_tokenizers.PATTERN).count() == 0
 
 
+def test_added_tokens(spark):
+    library, special = Tokenizer.from_file(JSON), list(packing.read_added(JSON))
+    assert special
+    texts = [f"a{t}b" for t in special] + [t * 2 for t in special] + [f" x {t} y\n{t}\n z {t[:-1]} {t[1:]}" for t in special]
+    texts += [f"{t}  a" for t in special] + [f"a  {t}" for t in special] + ["", "plain text"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = packing.pack_documents(frame, JSON, public_tokenizers.PATTERN, with_ids=True).collect()
+    found = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in got}
+    assert found == {i: [*library.encode(x, add_special_tokens=False).ids, 1] for i, x in enumerate(texts)}
+
+
 # --- 7: near-duplicate lines -----------------------------------------------------------
 
 
