@@ -13,6 +13,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,21 +34,40 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 
 @dataclass(frozen=True)
 class CharClass:
-    """Characters, window length and the least bits per character of a suspicious window."""
+    """Characters, window length and the least bits per character of a suspicious window.
+
+    A run shorter than the window is one window, its threshold scaled to the log of its length.
+    """
 
     name: str
     run: re.Pattern
     window: int
     bits: float
     needs: tuple[re.Pattern, ...]
+    scattered: bool = False  # case that changes often stands for a digit
+
+    def limits(self, length: int) -> tuple[int, float]:
+        """Window and bits for a run of a length."""
+        if length >= self.window:
+            return self.window, self.bits
+        return length, self.bits * math.log2(length) / math.log2(self.window)
+
+    def keylike(self, piece: str) -> bool:
+        if not all(n.search(piece) for n in self.needs):
+            return False
+        if not self.scattered or _DIGIT.search(piece):
+            return True
+        return sum(a.isupper() != b.isupper() for a, b in pairwise(piece)) >= _CHANGES * (len(piece) - 1)
 
 
+#: Least share of neighbours of different case in a key without digits; names change at words only.
+_CHANGES = 0.4
 _DIGIT, _LOWER, _UPPER = re.compile("[0-9]"), re.compile("[a-z]"), re.compile("[A-Z]")
 #: Letters-only windows are words, not keys: each class names what a window's span must hold.
 CLASSES = (
     CharClass("hex", re.compile(r"[0-9a-f]{20,}|[0-9A-F]{20,}"), 20, 3.0, (_DIGIT, re.compile("[A-Fa-f]"))),
     CharClass("base32", re.compile(r"[A-Z2-7]{20,}"), 20, 3.4, (_DIGIT, _UPPER)),
-    CharClass("base64", re.compile(r"[A-Za-z0-9+/_=-]{24,}"), 24, 4.0, (_DIGIT, _LOWER, _UPPER)),
+    CharClass("base64", re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 24, 4.0, (_LOWER, _UPPER), True),
 )
 
 #: Strings that look random and are none: identifiers, digests named as such, placeholders.
@@ -105,13 +125,12 @@ def entropy_spans(text: str) -> list[tuple[int, int]]:
     found: list[tuple[int, int]] = []
     for m in CANDIDATE.finditer(text):
         s = m[0]
-        if not _DIGIT.search(s):
+        if not (_DIGIT.search(s) or (_LOWER.search(s) and _UPPER.search(s))):
             continue
         for k in CLASSES:
             for run in k.run.finditer(s):
-                for a, b in _hot_windows(run[0], k.window, k.bits):
-                    piece = run[0][a:b]
-                    if all(n.search(piece) for n in k.needs):
+                for a, b in _hot_windows(run[0], *k.limits(len(run[0]))):
+                    if k.keylike(run[0][a:b]):
                         found.append((m.start() + run.start() + a, m.start() + run.start() + b))
     if not found:
         return []

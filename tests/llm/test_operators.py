@@ -206,6 +206,19 @@ def test_entropy_and_allow_list(docs):
 # --- 5: quality rules ----------------------------------------------------------------
 
 
+def test_short_mixed_keys():
+    rnd = random.Random(9)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"
+    for n in (20, 21, 22, 23):
+        key = "".join(rnd.sample(chars, n - 3)) + "aA7"
+        assert secrets.spans_of(f"a key {key} here") == [(6, 3, 6 + n)]
+        assert secrets.mask(f"a {key}.", secrets.spans_of(f"a {key}.")) == "a [entropy removed]."
+    for key in ("qWmZrTxKvBnHyGdLpJcFsA", "xKqPzRwMvTjYbNhGdLcFsAeU"):
+        assert secrets.spans_of(f"a key {key} here") == [(6, 3, 6 + len(key))]
+    for name in ("getElementsByClassName", "aaaaaaaaaaAAAAAAAAAA11", "InternationalizationService"):
+        assert secrets.spans_of(f"a name {name} here") == []
+
+
 def features(text):
     words = WORDS.findall(text)
     places = defaultdict(list)
