@@ -1,8 +1,9 @@
 """Lexical extraction from C and JavaScript/TypeScript text.
 
-Headers are marked inside the skeleton by regular expressions (one pass per
-form, in compiled JVM code); one fold over the few structural tokens that are
-left (marks, braces, runs of text between them) then pairs the braces.
+Parentheses are indexed first, so that a header finds the end of its parameters however deep they
+nest.  Headers are then marked inside the skeleton by regular expressions (one pass per form, in
+compiled JVM code); one fold over the few structural tokens that are left (marks, braces, conditional
+directives, line breaks) pairs the braces.
 """
 
 from __future__ import annotations
@@ -10,12 +11,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .folds import CLOSE, OPEN, bind, pair, pair_index, plain, running_rows, running_text, same_pair
 from .lexing import (
+    BRANCHES,
+    ELSE,
+    ENDIF,
     FIELD,
     FN_CLOSE,
     FN_OPEN,
     HEAD,
-    bind,
+    IF,
     c_skeleton,
     js_skeleton,
     line_slice,
@@ -24,25 +29,19 @@ from .lexing import (
     split_top_level,
 )
 
-def _bracketed(other: str, depth: int = 8) -> str:
-    """Text up to the matching bracket; ``other`` are the characters outside brackets."""
-    inner = other
-    for _ in range(depth):
-        inner = rf"{other}(?:\({inner}\){other})*+"
-    return inner
-
-
-_ARGS = _bracketed(r"[^()]*+")
-_C_ARGS = _bracketed(r"[^(){};]*+")
 _MARKED = f"{FN_OPEN}([^{FN_CLOSE}]*+){FN_CLOSE}"
-_STRUCTURE = f"(\\n+|[{{}}{HEAD}{FN_OPEN}])"
-_OPEN = (
-    "array<struct<line_number:int,end_line:int,name:string,kind:string,params:string,"
-    "result:string,depth:int>>"
+_NESTED_MARK = f"{FN_OPEN}[^{FN_OPEN}{FN_CLOSE}]*+{FN_OPEN}"
+#: The token behind the last one.
+_END = "\x19"
+_STRUCTURE = f"(\\n+|[{{}}{HEAD}{FN_OPEN}{IF}{ELSE}{ENDIF}])"
+_SPAN = (
+    "struct<line_number:int,end_line:int,name:string,kind:string,params:string,"
+    "result:string,depth:int>"
 )
 _ZERO = (
     "named_struct('line', 1, 'depth', 0, 'head', 1, 'seen', 0,"
-    f" 'open', cast(array() as {_OPEN}), 'done', cast(array() as {_OPEN}))"
+    f" 'open', cast(array() as array<{_SPAN}>),"
+    " 'branches', cast(array() as array<struct<depth:int,change:int>>))"
 )
 
 
@@ -50,6 +49,18 @@ def _mark(kind: str, name: str, params: str = "", result: str = "") -> str:
     return FN_OPEN + FIELD.join([kind, name, params, result]) + FN_CLOSE
 
 
+def _unnested(marked: Column) -> Column:
+    """Without the marks that stand inside others: those of functions in a parameter's default."""
+
+    def step(depth: Column, t: Column) -> Column:
+        after = F.when(t == FN_OPEN, depth + 1).when(t == FN_CLOSE, depth - 1).otherwise(depth)
+        out = F.when(F.greatest(depth, after) > 1, "").otherwise(t)
+        return F.struct(after.alias("state"), out.alias("out"))
+
+    tokens = F.regexp_extract_all(marked, F.lit(f"([{FN_OPEN}{FN_CLOSE}]|[^{FN_OPEN}{FN_CLOSE}]++)"))
+    return running_text(tokens, F.lit(0), step)
+
+
 def _spans(marked: Column, nested: bool) -> Column:
     """As :func:`_paired`, with the marking done once."""
     return bind(marked, lambda text: _paired(text, nested))
@@ -58,15 +69,19 @@ def _spans(marked: Column, nested: bool) -> Column:
 def _paired(marked: Column, nested: bool) -> Column:
     """Pair the braces of each marked header.
 
-    ``nested`` is false for C, where a function may only start outside all
-    braces.  Blocks still open at the end of the text end on its last line.
+    ``nested`` is false for C, where a function may only start outside all braces; a typed header in the
+    first column starts one all the same, so that a lost brace does not hide the rest of the file.
+    Every branch of a conditional directive starts at the depth before it, and the depth after it is that
+    of the branch that changed it most.  Blocks still open at the end of the text, or at such a header,
+    end there, which a negative line tells.
     """
 
     # What the marks say, in order; the fold then runs over bare structure only.
+    outer = F.when(marked.rlike(_NESTED_MARK), _unnested(marked)).otherwise(marked)
     heads = F.transform(
-        F.regexp_extract_all(marked, F.lit(_MARKED)),
+        F.regexp_extract_all(outer, F.lit(_MARKED)),
         lambda m: bind(
-            F.split(m, FIELD),
+            F.split(F.regexp_replace(plain(m), f"[{HEAD}{IF}-{ENDIF}]", ""), FIELD),
             lambda part: F.struct(
                 F.get(part, F.lit(0)).alias("kind"),
                 F.get(part, F.lit(1)).alias("name"),
@@ -76,17 +91,18 @@ def _paired(marked: Column, nested: bool) -> Column:
         ),
     )
     bare = F.regexp_replace(
-        F.regexp_replace(marked, _MARKED, FN_OPEN), f"[^\\n{{}}{HEAD}{FN_OPEN}]+", ""
+        F.regexp_replace(outer, _MARKED, FN_OPEN), f"[^\\n{{}}{HEAD}{FN_OPEN}{IF}{ELSE}{ENDIF}]+", ""
     )
-    tokens = F.regexp_extract_all(bare, F.lit(_STRUCTURE))
+    tokens = F.array_append(F.regexp_extract_all(bare, F.lit(_STRUCTURE)), F.lit(_END))
 
-    def step(s: Column, t: Column, mark_of: Column) -> Column:
-        mark = F.get(mark_of, s.seen)
+    def step(s: Column, t: Column, mark: Column) -> Column:
         kind = mark.kind
         enclosing = F.get(s.open, F.size(s.open) - 1)
         in_class = F.coalesce(
             (enclosing.kind == "class") & (enclosing.depth == s.depth - 1), F.lit(False)
         )
+        starts = t == FN_OPEN
+        lost = starts & (s.depth > 0) & mark.result.rlike(r"^\w") & F.lit(not nested)
         new = F.struct(
             F.when(kind == "class", s.line).otherwise(s["head"]).alias("line_number"),
             s.line.alias("end_line"),
@@ -96,46 +112,58 @@ def _paired(marked: Column, nested: bool) -> Column:
             .alias("kind"),
             mark.params.alias("params"),
             mark.result.alias("result"),
-            s.depth.alias("depth"),
+            F.when(lost, 0).otherwise(s.depth).alias("depth"),
         )
-        starts = t == FN_OPEN
         one_line = starts & (kind == "line_arrow")
-        pushes = starts & ~one_line if nested else starts & (s.depth == 0)
+        pushes = starts & ~one_line if nested else starts & ((s.depth == 0) | lost)
         closes = (t == "}") & F.coalesce(enclosing.depth >= s.depth - 1, F.lit(False))
-        ended = F.transform(
-            F.filter(s.open, lambda o: o.depth >= s.depth - 1),
-            lambda o: o.withField("end_line", s.line),
-        )
-        return F.struct(
+        part = F.get(s.branches, F.size(s.branches) - 1)
+        change = s.depth - part.depth
+        change = F.when(F.abs(change) > F.abs(part.change), change).otherwise(part.change)
+        rest = F.slice(s.branches, 1, F.greatest(F.size(s.branches) - 1, F.lit(0)))
+        branched = F.size(s.branches) > 0
+
+        def ended(which, line: Column) -> Column:
+            return F.transform(F.filter(s.open, which), lambda o: o.withField("end_line", line))
+
+        state = F.struct(
             F.when(t.startswith("\n"), s.line + F.length(t)).otherwise(s.line)
             .alias("line"),
             F.when(t == "{", s.depth + 1)
             .when(t == "}", F.greatest(s.depth - 1, F.lit(0)))
+            .when((t == ELSE) & branched, part.depth)
+            .when((t == ENDIF) & branched, part.depth + change)
+            .when(lost, 0)
             .otherwise(s.depth)
             .alias("depth"),
             F.when(t == HEAD, s.line).otherwise(s["head"]).alias("head"),
             F.when(starts, s.seen + 1).otherwise(s.seen).alias("seen"),
-            F.when(pushes, F.array_append(s.open, new))
+            F.when(lost, F.array(new))
+            .when(pushes, F.array_append(s.open, new))
             .when(closes, F.filter(s.open, lambda o: o.depth < s.depth - 1))
             .otherwise(s.open)
             .alias("open"),
-            F.when(one_line, F.array_append(s.done, new))
-            .when(closes, F.concat(s.done, ended))
-            .otherwise(s.done)
-            .alias("done"),
+            F.when(t == IF, F.array_append(s.branches, F.struct(s.depth.alias("depth"), F.lit(0).alias("change"))))
+            .when((t == ELSE) & branched, F.array_append(rest, F.struct(part.depth.alias("depth"), change.alias("change"))))
+            .when((t == ENDIF) & branched, rest)
+            .otherwise(s.branches)
+            .alias("branches"),
         )
+        out = (
+            F.when(one_line, F.array(new))
+            .when(closes, ended(lambda o: o.depth >= s.depth - 1, s.line))
+            .when(lost, ended(lambda o: o.depth >= 0, 1 - s["head"]))
+            .when(t == _END, ended(lambda o: o.depth >= 0, -s.line))
+        )
+        return F.struct(state.alias("state"), out.alias("out"))
 
-    def finish(s: Column) -> Column:
-        rest = F.transform(s.open, lambda o: o.withField("end_line", -s.line))
-        found = F.filter(F.concat(s.done, rest), lambda o: o.kind != "class")
-        return F.array_sort(found)
-
-    return bind(
+    closed = bind(
         heads,
-        lambda mark_of: F.aggregate(
-            tokens, F.expr(_ZERO), lambda s, t: step(s, t, mark_of), finish
+        lambda mark_of: running_rows(
+            tokens, F.expr(_ZERO), lambda s, t: bind(F.get(mark_of, s.seen), lambda mark: step(s, t, mark)), _SPAN
         ),
     )
+    return F.array_sort(F.filter(closed, lambda o: o.kind != "class"))
 
 
 def _blocks(lines: Column, skel: Column, spans: Column, code) -> Column:
@@ -170,11 +198,15 @@ def _blocks(lines: Column, skel: Column, spans: Column, code) -> Column:
 # After a line break, ";" or "}": specifiers, of which one may be a bracketed type, the name, the
 # parameters, and declarations of the old style.  Runs of words are character classes, not repeated
 # groups, so their number is free.
-_C_SPECIFIERS = r"(?:[A-Za-z_][\w\s*]*?(?:\([\w\s*]*+\)[\w\s*]*?)?[\s*])?"
+_C_SPECIFIERS = rf"(?:[A-Za-z_][\w\s*]*?(?:{pair('t', r'[\w\s*]')}[\w\s*]*?)?[\s*])?"
 _C_OLD_STYLE = r"(?:[A-Za-z_][\w\s*,\[\]]*+;\s*)*+"
 _C_HEAD = (
-    rf"(?<![^\n;}}])([ \t]*+{_C_SPECIFIERS})(?!(?:if|for|while|switch|return|sizeof|else|do)\b)"
-    rf"([A-Za-z_]\w*+)(\s*\()({_C_ARGS})(\)\s*{_C_OLD_STYLE})\{{"
+    rf"(?<![^\n;}}])(?<specifiers>[ \t]*+{_C_SPECIFIERS})(?!(?:if|for|while|switch|return|sizeof|else|do)\b)"
+    rf"(?<name>[A-Za-z_]\w*+)(?<space>\s*){pair('a', '[^{};]')}(?<rest>[\s{IF}-{ENDIF}]*+{_C_OLD_STYLE})\{{"
+)
+_C_MARKED = (
+    f"${{specifiers}}{HEAD}${{name}}${{space}}{same_pair('a')}${{rest}}"
+    + _mark("function", "${name}", "${at}", "${specifiers}") + "{"
 )
 _STORAGE = r"\b(?:static|extern|inline|register|__inline__|__inline|_Noreturn)\b"
 FALLBACK_LINES = 20
@@ -187,16 +219,14 @@ def c_blocks(text: Column) -> Column:
     """
 
     def build(lines: Column, skel: Column) -> Column:
-        marked = F.regexp_replace(
-            skel, _C_HEAD, f"$1{HEAD}$2$3$4$5" + _mark("function", "$2", "$4", "$1") + "{"
-        )
+        marked = F.regexp_replace(pair_index(skel), _C_HEAD, _C_MARKED)
         spans = F.transform(
             _spans(marked, nested=False),
             lambda o: o.withField(
                 "end_line",
                 F.when(
                     o.end_line < 0,
-                    F.least(F.size(lines), o.line_number + (FALLBACK_LINES - 1)),
+                    F.greatest(o.line_number, F.least(-o.end_line, o.line_number + (FALLBACK_LINES - 1))),
                 ).otherwise(o.end_line),
             ).withField(
                 "result",
@@ -211,7 +241,7 @@ def c_blocks(text: Column) -> Column:
         )
         return _blocks(
             lines,
-            skel,
+            F.when(skel.rlike(BRANCHES), F.regexp_replace(skel, BRANCHES, "")).otherwise(skel),
             spans,
             lambda text_lines, o: line_slice(text_lines, o.line_number, o.end_line),
         )
@@ -276,68 +306,80 @@ def c_call_names(skeleton: Column) -> Column:
 # --------------------------------------------------------------------------
 
 # A mark is never part of a type.
-_RET = rf"(?:\s*:\s*[^={{}};(){FN_OPEN}]*)?"
+_RET = rf"(?:\s*:\s*[^={{}};(){OPEN}{CLOSE}{FN_OPEN}]*)?"
 _ID = r"[\w$]+"
-_FUNC = rf"function\b\s*\*?\s*(?:{_ID})?\s*(?:<[^<>()]*>)?\s*\({_ARGS}\){_RET}\s*"
-_ARROW = rf"(?:\({_ARGS}\){_RET}|\b{_ID})\s*=>\s*"
-_VALUE = rf"(?:async\b\s*)?(?:{_FUNC}|{_ARROW})"
+_GENERIC = r"(?:<[^<>()]*>)?"
 _KEYWORDS = r"(?!(?:if|for|while|switch|catch|function|return|with|do|else|try|new|typeof|await)\b)"
 _MODIFIERS = r"(?:(?:public|private|protected|static|readonly|override|async|get|set)\s+)*+\*?\s*"
+_ANONYMOUS = "anonymous_"
+
+
+def _arrow(name: str) -> str:
+    return rf"(?:{pair(name)}{_RET}|\b{_ID})\s*=>\s*"
+
+
+def _value(name: str) -> str:
+    function = rf"function\b\s*\*?\s*(?:{_ID})?\s*{_GENERIC}\s*{pair(name + 'f')}{_RET}\s*"
+    return rf"(?:async\b\s*)?(?:{function}|{_arrow(name + 'a')})"
 
 
 # (word the text must hold, pattern up to the opening brace, replacement), applied in this
 # order; a marked header is not matched again because the mark stands before its brace.
 def _js_forms() -> list[tuple[str, str, str]]:
-    anonymous = "anonymous_"
+    args, kept = pair("a"), same_pair("a")
     return [
-        ("class", rf"(\bclass\b[^{{}};()]*+)\{{", "$1" + _mark("class", "") + "{"),
+        ("class", r"(\bclass\b[^{};()\x11\x12]*+)\{", "$1" + _mark("class", "") + "{"),
         (
             "=",
-            rf"(\b(?:const|let|var)\s+)({_ID})(\s*(?::[^=;{{}}\n]*)?=\s*)({_VALUE})\{{",
-            f"$1{HEAD}$2$3$4" + _mark("variable_function", "$2") + "{",
+            rf"(\b(?:const|let|var)\s+)(?<n>{_ID})(?<v>\s*(?::[^=;{{}}\n]*)?=\s*{_value('b')})\{{",
+            f"$1{HEAD}${{n}}${{v}}" + _mark("variable_function", "${n}") + "{",
         ),
         (
             "=>",
-            rf"(\b(?:const|let|var)\s+)({_ID})(\s*=\s*)((?:async\b\s*)?{_ARROW})"
+            rf"(\b(?:const|let|var)\s+)(?<n>{_ID})(?<v>\s*=\s*(?:async\b\s*)?{_arrow('b')})"
             rf"(?![{{\s{FN_OPEN}])",
-            f"$1{HEAD}$2$3$4" + _mark("line_arrow", "variable_function" + "\x08" + "$2"),
+            f"$1{HEAD}${{n}}${{v}}" + _mark("line_arrow", "variable_function" + "\x08" + "${n}"),
         ),
         (
             ":",
-            rf"({_ID}|[\"'])(\s*:\s*)({_VALUE})\{{",
-            f"{HEAD}$1$2$3" + _mark("property_method", "$1") + "{",
+            rf"(?<n>{_ID}|[\"'])(?<v>\s*:\s*{_value('b')})\{{",
+            f"{HEAD}${{n}}${{v}}" + _mark("property_method", "${n}") + "{",
         ),
         (
             "function",
-            rf"(?m)(^[ \t]*(?:export\s+(?:default\s+)?)?)((?:async\s+)?function\b\s*\*?\s*)({_ID})"
-            rf"(\s*(?:<[^<>()]*>)?\s*\()({_ARGS})(\){_RET}\s*)\{{",
-            f"$1{HEAD}$2$3$4$5$6" + _mark("declaration", "$3", "$5") + "{",
+            rf"(?m)(^[ \t]*(?:export\s+(?:default\s+)?)?)(?<w>(?:async\s+)?function\b\s*\*?\s*)(?<n>{_ID})"
+            rf"(?<s>\s*{_GENERIC}\s*){args}(?<r>{_RET}\s*)\{{",
+            f"$1{HEAD}${{w}}${{n}}${{s}}{kept}${{r}}" + _mark("declaration", "${n}", "${at}") + "{",
         ),
         (
             "function",
-            rf"(\bfunction\b\s*\*?\s*(?:{_ID})?\s*\()({_ARGS})(\){_RET}\s*)\{{",
-            f"{HEAD}$1$2$3" + _mark("expression", anonymous + "expression", "$2") + "{",
+            rf"(?<w>\bfunction\b\s*\*?\s*(?:{_ID})?\s*){args}(?<r>{_RET}\s*)\{{",
+            f"{HEAD}${{w}}{kept}${{r}}" + _mark("expression", _ANONYMOUS + "expression", "${at}") + "{",
         ),
         (
             "=>",
-            rf"(\()({_ARGS})(\){_RET}\s*=>\s*)\{{",
-            f"{HEAD}$1$2$3" + _mark("arrow", anonymous + "arrow", "$2") + "{",
+            rf"{args}(?<r>{_RET}\s*=>\s*)\{{",
+            f"{HEAD}{kept}${{r}}" + _mark("arrow", _ANONYMOUS + "arrow", "${at}") + "{",
         ),
         (
             "=>",
             rf"(\b{_ID})(\s*=>\s*)\{{",
-            f"{HEAD}$1$2" + _mark("arrow", anonymous + "arrow", "$1") + "{",
+            f"{HEAD}$1$2" + _mark("arrow", _ANONYMOUS + "arrow", "$1") + "{",
+        ),
+        (
+            "=>",
+            rf"{args}(?<r>\s*=>\s*)(?![{{\s{FN_OPEN}])",
+            f"{HEAD}{kept}${{r}}" + _mark("line_arrow", "arrow\x08" + _ANONYMOUS + "arrow", "${at}"),
         ),
         (
             "=>",
-            rf"(?:(\()({_ARGS})(\))|(\b{_ID}))(\s*=>\s*)(?![{{\s{FN_OPEN}])",
-            f"{HEAD}$1$2$3$4$5" + _mark("line_arrow", "arrow\x08" + anonymous + "arrow", "$2$4"),
+            rf"(\b{_ID})(\s*=>\s*)(?![{{\s{FN_OPEN}])",
+            f"{HEAD}$1$2" + _mark("line_arrow", "arrow\x08" + _ANONYMOUS + "arrow", "$1"),
         ),
         (
             "{",
-            rf"(?m)^([ \t]*{_MODIFIERS}){_KEYWORDS}({_ID})(\s*(?:<[^<>()]*>)?\s*\()({_ARGS})"
-            rf"(\){_RET}\s*)\{{",
-            f"$1{HEAD}$2$3$4$5" + _mark("method", "$2", "$4") + "{",
+            rf"(?m)^([ \t]*{_MODIFIERS}){_KEYWORDS}(?<n>{_ID})(?<s>\s*{_GENERIC}\s*){args}(?<r>{_RET}\s*)\{{",
+            f"$1{HEAD}${{n}}${{s}}{kept}${{r}}" + _mark("method", "${n}", "${at}") + "{",
         ),
     ]
 
@@ -353,10 +395,10 @@ def _marked_if(text: Column, word: str, pattern: str, replacement: str) -> Colum
 _START = {
     "declaration": r"((?:async\s+)?function\b.*)$",
     "expression": r"((?:async\s+)?function\b.*)$",
-    "variable_function": rf"=\s*((?:async\b\s*)?(?:function\b|\(|{_ID}\s*=>).*)$",
-    "property_method": rf"(?::\s*|(?=\())((?:async\b\s*)?(?:function\b|\(|{_ID}\s*=>).*)$",
-    "method": r"(\(.*)$",
-    "arrow": rf"((?:async\b\s*)?(?:\([^()]*\)|\b{_ID})\s*=>.*)$",
+    "variable_function": rf"=\s*((?:async\b\s*)?(?:function\b|[(\x11]|{_ID}\s*=>).*)$",
+    "property_method": rf"(?::\s*|(?=[(\x11]))((?:async\b\s*)?(?:function\b|[(\x11]|{_ID}\s*=>).*)$",
+    "method": r"([(\x11].*)$",
+    "arrow": rf"((?:async\b\s*)?(?:\([^()]*\)|{pair('a')}|\b{_ID})\s*=>.*)$",
 }
 
 
@@ -411,8 +453,9 @@ def js_blocks(text: Column) -> Column:
             _js_code,
         )
 
+    # Functions keep the index in their skeletons: it serves their calls, too.
     return bind(
-        lines_of(text), lambda lines: bind(js_skeleton(text), lambda skel: build(lines, skel))
+        lines_of(text), lambda lines: bind(pair_index(js_skeleton(text)), lambda skel: build(lines, skel))
     )
 
 
@@ -505,12 +548,14 @@ _JS_NOT_CALLS = ["if", "for", "while", "switch", "catch", "function", "return",
 
 
 def js_call_names(skeleton: Column) -> Column:
-    """Callee or property names, in text order; ``new X()`` is not a call."""
+    """Callee or property names of an indexed skeleton, in text order; ``new X()`` is not a call."""
     body = F.regexp_replace(
-        skeleton, rf"\bfunction\b\s*\*?\s*(?:{_ID})?\s*\(|\bnew\s+[\w$.]+\s*(?:<[^<>()]*>)?\s*\(", "("
+        skeleton,
+        rf"\bfunction\b\s*\*?\s*(?:{_ID})?\s*[({OPEN}]|\bnew\s+[\w$.]+\s*{_GENERIC}\s*[({OPEN}]",
+        "(",
     )
     body = F.regexp_replace(
-        body, rf"(?m)^[ \t]*{_MODIFIERS}{_KEYWORDS}{_ID}\s*(?:<[^<>()]*>)?\s*(\({_ARGS}\){_RET}\s*\{{)", "$1"
+        body, rf"(?m)^[ \t]*{_MODIFIERS}{_KEYWORDS}{_ID}\s*{_GENERIC}\s*{pair('a')}({_RET}\s*\{{)", f"{same_pair('a')}$3"
     )
-    found = F.regexp_extract_all(body, F.lit(rf"(?<![\w$])({_ID})\s*\("))
+    found = F.regexp_extract_all(body, F.lit(rf"(?<![\w$])({_ID})\s*[({OPEN}]"))
     return F.filter(found, lambda n: ~n.isin(*_JS_NOT_CALLS))

@@ -8,15 +8,19 @@ stays narrow from the file read to the findings.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .folds import bind, pair, pair_index, plain, running_text
+
 # Control characters used as marks inside skeleton text (never valid in source).
 LIT_OPEN, LIT_CLOSE = "\x01", "\x02"
 HEAD, FN_OPEN, FN_CLOSE, FIELD = "\x04", "\x05", "\x06", "\x07"
-MARKS = "[\x01-\x08]"
+# A directive that opens a conditional part, begins its next branch or ends it.
+IF, ELSE, ENDIF = "\x0e", "\x0f", "\x10"
+BRANCHES = f"[{IF}-{ENDIF}]"
+MARKS = "[\x01-\x08\x0e-\x1f\ue000-\uf8ff]"
 
 # No pattern repeats a group over file-sized text: Java's matcher recurses for
 # such groups and would overflow the stack on long literals.  Each pattern
@@ -32,14 +36,9 @@ _JS_LITERAL = (
 
 
 # A directive with the lines that a backslash adds to it; their line breaks stay.
-_DIRECTIVE = r"(?m)^[ \t]*+#[^\n]*+|\G(?<=\\)(\n)[^\n]*+"
-_IN_BRACKETS = r"[^()\n]*+(?:\([^()\n]*+(?:\([^()\n]*+(?:\([^()\n]*+\)[^()\n]*+)*+\)[^()\n]*+)*+\)[^()\n]*+)*+"
-_ATTRIBUTE = rf"__attribute__\s*\({_IN_BRACKETS}\)"
-
-
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once per row and hand it to ``body``."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+_DIRECTIVE = rf"(?m)^({BRANCHES}?)[ \t]*+#[^\n]*+|\G(?<=\\)(\n)[^\n]*+"
+_CONDITIONS = [("if", IF), ("el", ELSE), ("endif", ENDIF)]
+_ATTRIBUTE = r"__attribute__\s*" + pair("a", r"[^\n]")
 
 
 def unix_newlines(text: Column) -> Column:
@@ -67,11 +66,11 @@ def pulled_up(text: Column, pattern: str) -> Column:
 
     ``pattern`` has three groups: what stands before the list, the list, what ends it.  The copy
     ends with a mark; the statement itself stays behind it, so that lines keep their numbers.
-    Two passes over the text, whatever the number of statements.
+    Two passes over the texts that hold such a statement, whatever their number.
     """
     copied = F.regexp_replace(text, pattern, f"{HEAD}$1$2$3{FIELD}$2$3")
     flat = F.regexp_replace(copied, f"(?:{HEAD}|\\G(?<=\n))([^\n{FIELD}]*+)(?:\n|({FIELD}))", "$1 $2")
-    return F.when(text.contains("import"), flat).otherwise(text)
+    return F.when(text.contains("import") & text.rlike(pattern), flat).otherwise(text)
 
 
 def line_slice(lines: Column, first: Column, last: Column) -> Column:
@@ -93,39 +92,150 @@ def _blank_marked(text: Column, keep_close: bool) -> Column:
     )
 
 
+# --- literals that hold code ---------------------------------------------------------
+#
+# A stack of modes tells what a token is: text of a literal, a comment, or code, outside or inside an
+# interpolation.  Modes are named by what ends them: a quote ("f" before it if braces interpolate),
+# "#" or "//" (the line's end), "/*", ":" (a format, ended by the interpolation's brace), and an
+# opening bracket inside an interpolation.  An empty stack is code outside all of them.
+
+_MODES = "named_struct('stack', cast(array() as array<string>), 'prev', '')"
+_PY_TOKENS = r"""(\"{3}|'{3}|["'#{}()\[\]:\n]|[^"'#{}()\[\]:\n]++)"""
+_PY_PREFIX = r"(?:^|\W)(?:[fF][rR]?|[rR][fF])$"
+_JS_TOKENS = r"""(/\*|\*/|//|\$\{|["'`{}\n]|[^"'`{}\n/*$]++|[/*$])"""
+
+
+def _interpolated(text: Column, pattern: str, rule) -> Column:
+    """One fold over the tokens; ``rule(t, top, below, prev)`` says what a token does and leaves.
+
+    The action is "push:" and a mode, "pop", "pop2" or "".
+    """
+
+    def step(s: Column, t: Column) -> Column:
+        n = F.size(s.stack)
+        top, below = F.coalesce(F.get(s.stack, n - 1), F.lit("")), F.coalesce(F.get(s.stack, n - 2), F.lit(""))
+        return bind(
+            rule(t, top, below, s.prev),
+            lambda r: F.struct(
+                F.struct(
+                    F.when(r["do"].startswith("push:"), F.array_append(s.stack, F.substring(r["do"], 6, 9)))
+                    .when(r["do"] == "pop", F.slice(s.stack, 1, n - 1))
+                    .when(r["do"] == "pop2", F.slice(s.stack, 1, n - 2))
+                    .otherwise(s.stack)
+                    .alias("stack"),
+                    t.alias("prev"),
+                ).alias("state"),
+                r.out.alias("out"),
+            ),
+        )
+
+    return running_text(F.regexp_extract_all(text, F.lit(pattern)), F.expr(_MODES), step)
+
+
+def _does(do: str | Column, out: str | Column) -> Column:
+    return F.struct(
+        (F.lit(do) if isinstance(do, str) else do).alias("do"), (F.lit(out) if isinstance(out, str) else out).alias("out")
+    )
+
+
+def _python_rule(t: Column, top: Column, below: Column, prev: Column) -> Column:
+    quote = t.isin('"', "'", '"""', "'''")
+    line_end = t == "\n"
+    end = F.regexp_replace(top, "^f", "")
+    # Three quotes end a literal of one: the other two are an empty one.
+    ends = quote & ((t == end) | ((F.length(end) == 1) & t.startswith(end)))
+    in_text = top.rlike("^f?[\"']")
+    # Lines inside a long literal are marked, so that no code in them looks like a statement.
+    text_line = F.when(F.length(end) == 3, "\n" + LIT_CLOSE).otherwise("\n")
+    close = F.when(F.length(end) == 3, LIT_CLOSE).otherwise("")
+    inside = top != ""
+    return (
+        F.when(top == "#", F.when(line_end, _does("pop", t)).otherwise(_does("", "")))
+        .when(
+            in_text,
+            F.when(ends, _does("pop", close))
+            .when(line_end & (F.length(end) == 1), _does("pop", t))
+            .when(line_end, _does("", text_line))
+            .when((t == "{") & top.startswith("f"), _does("push:{", t))
+            .otherwise(_does("", "")),
+        )
+        .when(
+            top == ":",
+            F.when(t == "{", _does("push:{", t)).when(t == "}", _does("pop2", t)).otherwise(_does("", "")),
+        )
+        .when(quote, _does(F.concat(F.lit("push:"), F.when(prev.rlike(_PY_PREFIX), F.lit("f")).otherwise(""), t), t))
+        .when(t == "#", _does("push:#", ""))
+        # A second brace right after the first was no interpolation.
+        .when((t == "{") & (top == "{") & (prev == "{") & below.startswith("f"), _does("pop", "}"))
+        .when(inside & t.isin("{", "(", "["), _does(F.concat(F.lit("push:"), t), t))
+        .when(
+            ((t == "}") & (top == "{")) | ((t == ")") & (top == "(")) | ((t == "]") & (top == "[")), _does("pop", t)
+        )
+        .when((t == ":") & (top == "{") & below.rlike("^(?:f|:)"), _does("push::", ""))
+        .otherwise(_does("", t))
+    )
+
+
+def _js_rule(t: Column, top: Column, below: Column, prev: Column) -> Column:
+    line_end = t == "\n"
+    kept = F.when(line_end, t).otherwise("")
+    return (
+        F.when(top == "`", F.when(t == "`", _does("pop", "")).when(t == "${", _does("push:{", " +(")).otherwise(_does("", kept)))
+        .when(top.isin('"', "'"), F.when((t == top) | line_end, _does("pop", kept)).otherwise(_does("", "")))
+        .when(top == "/*", F.when(t == "*/", _does("pop", "")).otherwise(_does("", kept)))
+        .when(top == "//", F.when(line_end, _does("pop", t)).otherwise(_does("", "")))
+        .when(t.isin("`", "/*", "//"), _does(F.concat(F.lit("push:"), t), ""))
+        .when(t.isin('"', "'"), _does(F.concat(F.lit("push:"), t), t))
+        .when((top != "") & t.isin("{", "${"), _does("push:{", t))
+        .when((t == "}") & (top == "{"), _does("pop", F.when(below == "`", ")").otherwise(t)))
+        .otherwise(_does("", t))
+    )
+
+
 def python_skeleton(text: Column) -> Column:
     """Code without comments and literal contents, line for line.
 
-    A literal leaves its opening quotes.  A triple-quoted one also leaves a
-    close mark, so a line that *starts* with the mark ends a longer literal.
+    A literal leaves its opening quotes, and the code that it interpolates in braces.  A triple-quoted one
+    also leaves a close mark, so a line that *starts* with the mark goes on with or ends a longer literal.
     """
-    marked = F.regexp_replace(
-        _without_escapes(text), _PY_LITERAL, f"$1$3$5$6{LIT_OPEN}$2$4{LIT_CLOSE}"
-    )
-    return _blank_marked(marked, True)
+
+    def blanked(t: Column) -> Column:
+        marked = F.regexp_replace(t, _PY_LITERAL, f"$1$3$5$6{LIT_OPEN}$2$4{LIT_CLOSE}")
+        holds_code = t.contains("{") & t.rlike("\\b(?:[fF][rR]?|[rR][fF])[\"']")
+        return F.when(holds_code, _interpolated(t, _PY_TOKENS, _python_rule)).otherwise(_blank_marked(marked, True))
+
+    return bind(_without_escapes(text), blanked)
 
 
 def c_skeleton(text: Column) -> Column:
-    """C code without literals, comments, directives and attributes."""
+    """C code without literals, comments, directives and attributes; branches leave their marks."""
     marked = F.regexp_replace(
         _without_escapes(text), _C_LITERAL, f"$1$2{LIT_OPEN}$3{LIT_CLOSE}"
     )
-    plain = F.regexp_replace(_blank_marked(marked, False), _DIRECTIVE, "$1")
+
+    def told(t: Column) -> Column:
+        out = t
+        for word, mark in _CONDITIONS:
+            out = F.regexp_replace(out, rf"(?m)^([ \t]*+#[ \t]*+{word})", f"{mark}$1")
+        return F.when(t.contains("#") & t.rlike(r"#[ \t]*+(?:if|el|endif)"), out).otherwise(t)
+
     return bind(
-        plain,
+        F.regexp_replace(bind(_blank_marked(marked, False), told), _DIRECTIVE, "$1$2"),
         lambda t: F.when(
             t.contains("__attribute__"),
-            F.regexp_replace(t, _ATTRIBUTE, ""),
+            plain(F.regexp_replace(pair_index(t), _ATTRIBUTE, "")),
         ).otherwise(t),
     )
 
 
 def js_skeleton(text: Column) -> Column:
-    """JavaScript without comments and literals; plain strings leave a quote."""
-    marked = F.regexp_replace(
-        _without_escapes(text), _JS_LITERAL, f"$1$2{LIT_OPEN}$3$4{LIT_CLOSE}"
-    )
-    return _blank_marked(marked, False)
+    """JavaScript without comments and literals; plain strings leave a quote, templates their code."""
+
+    def blanked(t: Column) -> Column:
+        marked = F.regexp_replace(t, _JS_LITERAL, f"$1$2{LIT_OPEN}$3$4{LIT_CLOSE}")
+        return F.when(t.contains("${"), _interpolated(t, _JS_TOKENS, _js_rule)).otherwise(_blank_marked(marked, False))
+
+    return bind(_without_escapes(text), blanked)
 
 
 def split_top_level(text: Column) -> Column:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .folds import bind, pair, pair_index, plain, running_rows
 from .lexing import (
     FIELD,
-    bind,
+    LIT_CLOSE,
     bracket_balance,
     line_slice,
     lines_of,
@@ -16,14 +17,14 @@ from .lexing import (
     split_top_level,
 )
 
-_OPEN = (
-    "array<struct<line_number:int,end_line:int,name:string,kind:string,class_context:string,"
-    "indent:int,first_line:int,decorators:array<string>>>"
+_SPAN = (
+    "struct<line_number:int,end_line:int,name:string,kind:string,class_context:string,"
+    "indent:int,first_line:int,decorators:array<string>>"
 )
 _NO_NAMES = "cast(array() as array<string>)"
 _ZERO = (
     f"named_struct('depth', 0, 'last', 0, 'deco', {_NO_NAMES}, 'deco_ln', 0,"
-    f" 'open', cast(array() as {_OPEN}), 'done', cast(array() as {_OPEN}))"
+    f" 'open', cast(array() as array<{_SPAN}>))"
 )
 _HEAD = r"^\s*(async\s+def|def|class)\s+(\w+)"
 # In a skeleton the closing mark at the line start ends a multi-line literal.
@@ -65,11 +66,13 @@ def _spans(records: Column) -> Column:
     """Fold the lines once, keeping the stack of open ``def``/``class`` blocks.
 
     A block ends at the last non-blank line before a logical line that is not
-    indented deeper.  Lines inside brackets or literals never end a block.
+    indented deeper.  Lines inside brackets or literals never end a block, but no bracket holds a
+    ``def`` or ``class``: such a line starts anew, so that a lost bracket does not hide the rest.
     """
 
     def step(s: Column, x: Column) -> Column:
-        logical = (s.depth == 0) & ~x.cont
+        depth = F.when((x["head"] != "") & ~x.cont, 0).otherwise(s.depth)
+        logical = (depth == 0) & ~x.cont
         keep = lambda o: ~logical | (o.indent < x.indent)
         is_head = logical & (x["head"] != "")
         classes = F.array_join(
@@ -97,8 +100,8 @@ def _spans(records: Column) -> Column:
         # logical line of another sort.
         decorated = logical & x.deco.isNotNull()
         none = F.expr(_NO_NAMES)
-        return F.struct(
-            F.greatest(s.depth + x.net, F.lit(0)).alias("depth"),
+        state = F.struct(
+            F.greatest(depth + x.net, F.lit(0)).alias("depth"),
             x.ln.alias("last"),
             F.when(decorated, F.array_append(s.deco, x.deco))
             .when(logical, none)
@@ -109,22 +112,20 @@ def _spans(records: Column) -> Column:
             .otherwise(s.deco_ln)
             .alias("deco_ln"),
             F.when(is_head, F.array_append(kept, new)).otherwise(kept).alias("open"),
-            F.when(
-                logical & F.exists(s.open, lambda o: o.indent >= x.indent),
-                F.concat(s.done, _close(s.open, keep, s["last"])),
-            )
-            .otherwise(s.done)
-            .alias("done"),
         )
+        closed = F.when(
+            logical & F.exists(s.open, lambda o: o.indent >= x.indent), _close(s.open, keep, s["last"])
+        )
+        return F.struct(state.alias("state"), closed.alias("out"))
 
-    def finish(s: Column) -> Column:
-        rest = F.transform(s.open, lambda o: o.withField("end_line", s["last"]))
-        return F.array_sort(F.concat(s.done, rest))
-
-    return F.aggregate(records, F.expr(_ZERO), step, finish)
+    # A statement in the first column behind the last line ends what is open.
+    end = F.expr(
+        "named_struct('ln', 0, 'indent', 0, 'net', 0, 'cont', false, 'head', 'end', 'name', '', 'deco', cast(null as string))"
+    )
+    return F.array_sort(running_rows(F.array_append(records, end), F.expr(_ZERO), step, _SPAN))
 
 
-def python_blocks(text: Column) -> Column:
+def python_blocks(text: Column, skeleton: Column | None = None) -> Column:
     """Functions of one file with their source and skeleton, in line order."""
 
     def build(lines: Column, skel: Column) -> Column:
@@ -149,7 +150,9 @@ def python_blocks(text: Column) -> Column:
 
     return bind(
         lines_of(text),
-        lambda lines: bind(lines_of(python_skeleton(text)), lambda skel: build(lines, skel)),
+        lambda lines: bind(
+            lines_of(python_skeleton(text) if skeleton is None else skeleton), lambda skel: build(lines, skel)
+        ),
     )
 
 
@@ -158,42 +161,118 @@ def python_blocks(text: Column) -> Column:
 # --------------------------------------------------------------------------
 
 _SIGNATURE = (
-    r"(?s)^\s*(?:async\s+)?def\s+\w+\s*\((.*?)\)\s*(?:->\s*([^:\n]+?)\s*)?:[ \t]*(?:\n|#|\S|$)"
+    rf"^\s*(?:async\s+)?def\s+\w+\s*(?:\[[^\]]*+\]\s*)?{pair('a')}\s*(?:->\s*([^:\n]+?)\s*)?:[ \t]*(?:\n|#|\S|$)"
 )
+# Escapes of quotes and backslashes stand aside, so that a quote always ends a literal.
+_ASIDE = [("\\\\", "\x0e"), ('\\"', "\x0f"), ("\\'", "\x10")]
+_STRING = r"""\"{3}(?s:.*?)\"{3}|'{3}(?s:.*?)'{3}|"[^"\n]*+"|'[^'\n]*+'"""
+_HELD, _HELD_END = "\x13", "\x14"
+_HELD_TEXT = f"{_HELD}([^{_HELD_END}]*+){_HELD_END}"
 
 
-def _subscript(text: Column, element) -> Column:
-    """``Name[...]`` keeps a name or a list of elements, anything else is elided."""
-    base = F.regexp_extract(text, r"^([\w.]+)\[", 1)
-    inner = F.trim(F.regexp_extract(text, r"^[\w.]+\[(.*)\]$", 1))
-    return bind(
-        split_top_level(inner),
-        lambda parts: F.when(
-            F.size(parts) > 1,
-            F.concat(base, F.lit("["), F.array_join(F.transform(parts, element), ", "), F.lit("]")),
+def _signature(code: Column, part: str) -> Column:
+    """Parameters ("params") or the result ("result") as written in a function's header.
+
+    Literals are taken out first, parentheses indexed, and the literals of the part, which are the
+    first ones of the function, put back.
+    """
+    aside = code
+    for escape, mark in _ASIDE:
+        aside = F.replace(aside, F.lit(escape), F.lit(mark))
+    held = F.regexp_replace(aside, rf"({_STRING})|#[^\n]*+", f"{_HELD}$1{_HELD_END}")
+
+    def cut(text: Column) -> Column:
+        def filled(found: Column, before: Column) -> Column:
+            pieces = F.split(plain(found), _HELD)
+            literals = F.slice(F.regexp_extract_all(text, F.lit(_HELD_TEXT)), before + 1, F.size(pieces) - 1)
+            whole = F.zip_with(pieces, literals, lambda p, h: F.concat(p, F.coalesce(h, F.lit(""))))
+            return F.array_join(whole, "")
+
+        def of(indexed: Column) -> Column:
+            params = F.regexp_extract(indexed, _SIGNATURE, 2)
+            if part == "params":
+                return filled(params, F.lit(0))
+            before = F.length(params) - F.length(F.translate(params, _HELD, ""))
+            return filled(F.regexp_extract(indexed, _SIGNATURE, 3), before)
+
+        return bind(pair_index(F.regexp_replace(text, _HELD_TEXT, _HELD)), of)
+
+    out = bind(F.replace(held, F.lit(_HELD + _HELD_END), F.lit("")), cut)
+    for escape, mark in reversed(_ASIDE):
+        out = F.replace(out, F.lit(mark), F.lit(escape))
+    return out
+
+
+_FRAME_OF_NOTE = "struct<base:string,done:array<string>,text:string,kind:int,commas:int>"
+_NOTE_TOKENS = r"""([\w.]+|"[^"]*+"|'[^']*+'|[\[\](){},]|[^\s\w.])"""
+#: What an element of an annotation is so far.
+_NOTHING, _NAME, _QUOTED, _SUBSCRIPT, _COMPLEX = range(5)
+
+
+def annotation_text(text: Column) -> Column:
+    """Annotation as reported: dotted names, literals and subscripts, however deep they nest.
+
+    ``Name[...]`` keeps a name or a list of elements, anything else is elided.  One fold over the
+    tokens with a stack of open brackets; a frame without a base is a list or a call.
+    """
+    complex_ = F.lit("complex_annotation")
+    empty = F.expr(_NO_NAMES)
+
+    def frame(base: Column) -> Column:
+        return F.struct(
+            base.alias("base"), empty.alias("done"), F.lit("").alias("text"), F.lit(_NOTHING).alias("kind"),
+            F.lit(0).alias("commas"),
         )
-        .when(
-            inner.rlike(r"^[A-Za-z_]\w*$") & ~inner.isin("None", "True", "False"),
-            F.concat(base, F.lit("["), inner, F.lit("]")),
+
+    def element(f: Column) -> Column:
+        return F.when(f.kind == _COMPLEX, complex_).otherwise(f.text)
+
+    def now(f: Column, value: Column, kind: Column) -> Column:
+        """The frame with one more piece in its element; a second piece makes it complex."""
+        free = f.kind == _NOTHING
+        return f.withField("text", F.when(free, value).otherwise("")).withField(
+            "kind", F.when(free, kind).otherwise(F.lit(_COMPLEX))
         )
-        .otherwise(F.concat(base, F.lit("[...]"))),
-    )
 
+    def result(f: Column) -> Column:
+        done = F.when(f.kind == _NOTHING, f.done).otherwise(F.array_append(f.done, element(f)))
+        single = (f.kind == _NAME) & f.text.rlike(r"^[A-Za-z_]\w*$") & ~f.text.isin("None", "True", "False")
+        inner = F.when(f.commas > 0, F.array_join(done, ", ")).when(single, f.text).otherwise("...")
+        return F.concat(f.base, F.lit("["), inner, F.lit("]"))
+
+    def step(stack: Column, t: Column) -> Column:
+        n = F.size(stack)
+        top, under = F.get(stack, n - 1), F.get(stack, n - 2)
+        rest = F.slice(stack, 1, n - 1)
+        subscript = (t == "[") & (top.kind == _NAME)
+        # The name in front of a subscript is its base; the element comes back when it closes.
+        opened = F.when(subscript, top.withField("text", F.lit("")).withField("kind", F.lit(_NOTHING))).otherwise(top)
+        base = F.when(subscript, top.text)
+        closed = F.when(
+            top.base.isNotNull() & (t == "]"), now(under, result(top), F.lit(_SUBSCRIPT))
+        ).otherwise(now(under, F.lit(""), F.lit(_COMPLEX)))
+        after_comma = (
+            top.withField("done", F.array_append(top.done, element(top)))
+            .withField("text", F.lit("")).withField("kind", F.lit(_NOTHING)).withField("commas", top.commas + 1)
+        )
+        quoted = t.rlike("^[\"']")
+        piece = F.when(quoted, now(top, F.substring(t, F.lit(2), F.length(t) - 2), F.lit(_QUOTED))).otherwise(
+            now(top, t, F.when(t.rlike(r"^[\w.]+$"), _NAME).otherwise(_COMPLEX))
+        )
+        return (
+            F.when(t.isin("[", "(", "{"), F.concat(rest, F.array(opened, frame(base))))
+            .when(t.isin("]", ")", "}") & (n > 1), F.array_append(F.slice(stack, 1, n - 2), closed))
+            .when(t == ",", F.array_append(rest, after_comma))
+            .otherwise(F.array_append(rest, piece))
+        )
 
-def annotation_text(text: Column, depth: int = 2) -> Column:
-    """Annotation as reported: dotted names, literals and subscripts."""
-    element = (
-        (lambda p: annotation_text(p, depth - 1))
-        if depth
-        else (lambda p: F.when(p.rlike(r"^[\w.]+$"), p).otherwise("complex_annotation"))
-    )
-    quoted = F.regexp_extract(text, "^[\"'](.*)[\"']$", 1)
-    return (
-        F.when(text.rlike(r"^[\w.]+$"), text)
-        .when(text.rlike("^[\"'].*[\"']$"), quoted)
-        .when(text.rlike(r"^[\w.]+\[.*\]$"), _subscript(text, element))
-        .otherwise("complex_annotation")
+    stack = F.aggregate(
+        F.regexp_extract_all(text, F.lit(_NOTE_TOKENS)),
+        F.array(frame(F.lit(None).cast("string"))).cast(f"array<{_FRAME_OF_NOTE}>"),
+        step,
+        lambda s: F.when((F.size(s) == 1) & (F.get(s, F.lit(0)).commas == 0), element(F.get(s, F.lit(0)))).otherwise(complex_),
     )
+    return F.when(text.rlike(r"^[\w.]+$"), text).otherwise(stack)
 
 
 def default_text(text: Column) -> Column:
@@ -201,7 +280,7 @@ def default_text(text: Column) -> Column:
     body = F.regexp_extract(text, "^[\"'](.*)[\"']$", 1)
     return (
         F.when(text.rlike(r"^[\w.]+$"), text)
-        .when(text.rlike("^\"[^\"]*\"$|^'[^']*'$"), F.concat(F.lit("'"), body, F.lit("'")))
+        .when(text.rlike(r"""^"(?:[^"\\]|\\.)*+"$|^'(?:[^'\\]|\\.)*+'$"""), F.concat(F.lit("'"), body, F.lit("'")))
         .when(text.rlike(r"^\[.*\]$"), "[]")
         .when(text.rlike(r"^\{[^{}]*:.*\}$|^\{\}$"), "{}")
         .otherwise("complex_default")
@@ -239,13 +318,11 @@ def python_params(code: Column) -> Column:
             F.when(value != "", default_text(value)).alias("default"),
         )
 
-    inside = F.regexp_extract(code, _SIGNATURE, 1)
-    return F.transform(bind(split_top_level(inside), select), describe)
+    return F.transform(bind(split_top_level(_signature(code, "params")), select), describe)
 
 
 def python_return(code: Column) -> Column:
-    note = F.trim(F.regexp_extract(code, _SIGNATURE, 2))
-    return F.when(note != "", annotation_text(note))
+    return bind(F.trim(_signature(code, "result")), lambda note: F.when(note != "", annotation_text(note)))
 
 
 # --------------------------------------------------------------------------
@@ -258,7 +335,7 @@ _CONTINUED_IMPORT = r"(?m)^([ \t]*(?:from|import)\b[^\n\\]*+)((?:\\\n[^\n\\]*+)+
 _FROM_IMPORT = r"^[ \t]*from[ \t]+(\.*)([\w.]*)[ \t]+import\b[ \t]*(.*)$"
 
 
-def python_imports(text: Column) -> Column:
+def python_imports(text: Column, skeleton: Column | None = None) -> Column:
     """One record per imported name, in line order, with a canonical statement.
 
     A parenthesised list counts on its first line.
@@ -298,7 +375,8 @@ def python_imports(text: Column) -> Column:
 
     # "from m import (" ... ")" may span lines: the list is pulled up to its
     # first line, the other lines stay where they are.
-    whole = pulled_up(pulled_up(python_skeleton(text), _OPEN_IMPORT), _CONTINUED_IMPORT)
+    skel = python_skeleton(text) if skeleton is None else skeleton
+    whole = bind(bind(skel, lambda t: pulled_up(t, _OPEN_IMPORT)), lambda t: pulled_up(t, _CONTINUED_IMPORT))
     lines = lines_of(whole)
     merged = F.transform(lines, lambda line: F.substring_index(line, FIELD, 1))
     found = F.filter(F.transform(merged, one), lambda r: r.isNotNull())
@@ -307,16 +385,18 @@ def python_imports(text: Column) -> Column:
 
 _CALL_TOKENS = (
     r"(\n|(?:(?<=[)\]}\x02\x22'])\.)?(?:[A-Za-z_]\w*\.)*[A-Za-z_]\w*[ \t]*\("
-    r"|[(\[{]|[)\]}]|,|(?<![=!<>])=(?!=)|\*\*|\w+|[^\s])"
+    r"|[(\[{]|[)\]}]|,|[=!<>:]=|=|\*\*|\w+|[^\s])"
 )
 _FRAME = (
-    "array<struct<line:int,name:string,object:string,kind:string,"
-    "args:int,kwargs:int,filled:boolean,named:boolean>>"
-)
-_CALL_ZERO = (
-    f"named_struct('line', 0, 'head', false, 'prev', '', 'open', cast(array() as {_FRAME}),"
-    f" 'done', cast(array() as {_FRAME}))"
+    "struct<line:int,name:string,object:string,kind:string,"
+    "args:int,kwargs:int,filled:boolean,named:boolean,shape:string,concat:boolean>"
 )
+_CALL_ZERO = f"named_struct('line', 0, 'head', false, 'prev', '', 'open', cast(array() as array<{_FRAME}>))"
+# The shape of an argument has a character for each operand and operator: s for a string, f for one
+# that interpolates, c for a concatenation in parentheses, + and -, L for operators that bind less, m
+# for others, o for anything else.  Strings side by side are one.
+_LOOSE = ["and", "or", "not", "in", "is", "if", "else", "lambda", "for", "async", "==", "!=", "<=", ">=", ":=", "<", ">", "|", "^", "&"]
+_CONCATENATES = r"^[^L]*\+s$|^s\+[^-+L]*$|^[sf]*f[sf]*$|^c$"
 _NOT_CALLS = [
     "if", "elif", "while", "for", "return", "and", "or", "not", "in", "is", "lambda", "assert",
     "with", "yield", "await", "except", "raise", "del", "else", "from", "import", "as",
@@ -325,10 +405,12 @@ _NOT_CALLS = [
 
 
 def python_calls(skeleton: Column, first_line: Column) -> Column:
-    """Calls of one function: name, object, kind, line and argument counts.
+    """Calls of one function: name, object, kind, line, argument counts and string concatenation.
 
     One fold over the structural tokens with a stack of open brackets; each
-    frame counts its own top-level arguments.
+    frame counts its own top-level arguments and notes the shape of the one at hand.  ``string_concat``
+    says whether a positional argument is a string with interpolations, or a sum whose last step has
+    a plain string beside the plus.
     """
     tokens = F.regexp_extract_all(skeleton, F.lit(_CALL_TOKENS))
 
@@ -357,31 +439,62 @@ def python_calls(skeleton: Column, first_line: Column) -> Column:
             F.lit(0).alias("kwargs"),
             F.lit(False).alias("filled"),
             F.lit(False).alias("named"),
+            F.lit("").alias("shape"),
+            F.lit(False).alias("concat"),
         )
+        n = F.size(s.open)
+        last = F.get(s.open, n - 1)
+        below = F.slice(s.open, 1, F.greatest(n - 1, F.lit(0)))
 
         def counted(f: Column) -> Column:
-            plain = F.when(f.filled & ~f.named, 1).otherwise(0)
-            named = F.when(f.filled & f.named, 1).otherwise(0)
+            plain_arg = f.filled & ~f.named
             return (
-                f.withField("args", f["args"] + plain)
-                .withField("kwargs", f.kwargs + named)
+                f.withField("args", f["args"] + plain_arg.cast("int"))
+                .withField("kwargs", f.kwargs + (f.filled & f.named).cast("int"))
+                .withField("concat", f["concat"] | (plain_arg & f["shape"].rlike(_CONCATENATES)))
                 .withField("filled", F.lit(False))
                 .withField("named", F.lit(False))
+                .withField("shape", F.lit(""))
             )
 
         def top(change) -> Column:
-            n = F.size(s.open)
-            return F.transform(s.open, lambda f, i: F.when(i == n - 1, change(f)).otherwise(f))
-
+            return F.when(n > 0, F.array_append(below, change(last))).otherwise(s.open)
+
+        quote = t.isin('"', "'")
+        code = (
+            F.when(quote, "s")
+            .when(t.isin("+", "-"), t)
+            .when(t.isin(*_LOOSE) | name.isin("and", "or", "not", "in", "if", "else", "lambda"), "L")
+            .when(t.rlike(r"^[*/%@~]"), "m")
+            # An interpolation is part of its string.
+            .when((t == LIT_CLOSE) | ((t == "{") & last["shape"].rlike("[sf]$")), "")
+            .otherwise("o")
+        )
+        # The letters in front of a quote belong to the string.
+        prefixed = quote & s.prev.rlike("^(?:[fF][rR]?|[rR][fF]|[rRuU])$") & last["shape"].endswith("o")
+        stem = F.when(prefixed, F.regexp_replace(last["shape"], "o$", "")).otherwise(last["shape"])
+        piece = F.when(prefixed & s.prev.rlike("[fF]"), "f").otherwise(code)
+        # Three quotes, and strings side by side, are one; a long literal's close mark is none.
+        shape = F.when(quote & ~prefixed & stem.rlike("[sf]$"), stem).otherwise(F.concat(stem, piece))
         content = t != "\n"
-        touched = top(lambda f: f.withField("filled", F.lit(True)))
+        touched = top(lambda f: f.withField("filled", F.lit(True)).withField("shape", shape))
         # "**options" is a keyword argument, too.
         starred = top(
-            lambda f: F.when(
-                f.filled, f
-            ).otherwise(f.withField("filled", F.lit(True)).withField("named", F.lit(True)))
+            lambda f: F.when(f.filled, f.withField("shape", shape)).otherwise(
+                f.withField("filled", F.lit(True)).withField("named", F.lit(True))
+            )
         )
-        return F.struct(
+        # A lone parenthesis stands for what is in it.
+        inner = F.when(last["shape"].rlike(_CONCATENATES) & ~last["shape"].rlike("^[sf]*$"), "c").when(
+            last["shape"].rlike("^[sf]+$"), last["shape"]
+        )
+        group = (t == ")") & (last["kind"] == "") & (last["name"] == "") & (last["args"] == 0) & inner.isNotNull()
+        outer = F.get(s.open, n - 2)
+        regrouped = F.array_append(
+            F.slice(s.open, 1, F.greatest(n - 2, F.lit(0))),
+            outer.withField("shape", F.regexp_replace(outer["shape"], "o$", inner)),
+        )
+        state = F.struct(
             F.when(t == "\n", s.line + 1).otherwise(s.line).alias("line"),
             F.when(t.isin("def", "class"), True)
             .when(content, False)
@@ -389,29 +502,20 @@ def python_calls(skeleton: Column, first_line: Column) -> Column:
             .alias("head"),
             F.when(content, t).otherwise(s.prev).alias("prev"),
             F.when(opener, F.array_append(touched, frame))
-            .when(closer, F.slice(s.open, 1, F.greatest(F.size(s.open) - 1, F.lit(0))))
+            .when(closer & group & (n > 1), regrouped)
+            .when(closer, below)
             .when(t == ",", top(counted))
-            .when(t == "=", top(lambda f: f.withField("named", F.lit(True))))
-            .when(t.startswith("**"), starred)
+            .when(t == "=", top(lambda f: f.withField("named", F.lit(True)).withField("shape", F.lit(""))))
+            .when(t == "**", starred)
             .when(content, touched)
             .otherwise(s.open)
             .alias("open"),
-            F.when(
-                closer & (F.size(s.open) > 0) & (F.get(s.open, F.size(s.open) - 1).kind != ""),
-                F.array_append(s.done, counted(F.get(s.open, F.size(s.open) - 1))),
-            )
-            .otherwise(s.done)
-            .alias("done"),
         )
+        done = F.when(closer & (n > 0) & (last["kind"] != ""), F.array(counted(last)))
+        return F.struct(state.alias("state"), done.alias("out"))
 
-    done = F.aggregate(
-        tokens,
-        F.expr(_CALL_ZERO).withField("line", first_line.cast("int")),
-        step,
-        lambda s: s.done,
-    )
     return F.transform(
-        done,
+        running_rows(tokens, F.expr(_CALL_ZERO).withField("line", first_line.cast("int")), step, _FRAME),
         lambda f: F.struct(
             f.line.alias("line_number"),
             f["name"].alias("name"),
@@ -419,6 +523,7 @@ def python_calls(skeleton: Column, first_line: Column) -> Column:
             f.kind.alias("kind"),
             f["args"].alias("args_count"),
             f.kwargs.alias("kwargs_count"),
+            f["concat"].alias("string_concat"),
         ),
     )
 

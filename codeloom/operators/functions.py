@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions import brace_code as B
 from ..functions import python_code as P
-from ..functions.lexing import bind, c_skeleton, js_skeleton, python_skeleton, unix_newlines
+from ..functions.folds import bind
+from ..functions.lexing import python_skeleton, unix_newlines
+from ..functions.recovery import structure
 
 MAX_IMPORTS = 5
 MAX_DEPENDENCIES = 10
@@ -43,24 +45,29 @@ BLOCK_FIELDS = [
 ]
 
 
-# The two expressions below read ``lang`` and ``content`` by name, so one of each
+# The expression below reads ``lang`` and ``content`` by name, so one of each sort
 # serves every plan: building them takes thousands of calls into the JVM.
 @cache
-def _file_blocks() -> Column:
+def _file_blocks(with_imports: bool = False) -> Column:
+    """Blocks of a file, or ``struct(blocks, imports)``; Python's skeleton serves both."""
     lang = F.col("lang")
-    return bind(
-        unix_newlines(F.col("content")),
-        lambda t: _by_language(lang, P.python_blocks(t), B.js_blocks(t), B.c_blocks(t)),
-    )
 
+    def of(t: Column, skel: Column) -> Column:
+        blocks = _by_language(lang, P.python_blocks(t, skel), B.js_blocks(t), B.c_blocks(t))
+        if not with_imports:
+            return blocks
+        imports = _by_language(
+            lang,
+            F.transform(P.python_imports(t, skel), lambda r: r.statement),
+            import_statements(F.lit("javascript"), t),
+            import_statements(F.lit("c"), t),
+        )
+        return F.struct(blocks.alias("blocks"), F.slice(imports, 1, MAX_IMPORTS).alias("imports"))
 
-@cache
-def _first_imports() -> Column:
-    lang = F.col("lang")
     return bind(
         unix_newlines(F.col("content")),
-        lambda t: F.slice(import_statements(lang, t), 1, MAX_IMPORTS),
-    ).alias("imports")
+        lambda t: bind(F.when(lang == "python", python_skeleton(t)), lambda skel: of(t, skel)),
+    )
 
 
 def extract_functions(
@@ -78,16 +85,22 @@ def extract_functions(
     along, so that a context needs no join back to the file.
     """
 
-    def row(b: Column, i: Column) -> Column:
+    def row(b: Column, i: Column, extra: list[Column]) -> Column:
         return F.struct(
+            *extra,
             (i + 1).alias("fn_no"),
             *[b[name].alias(name) for name in fields],
             *[fn(b).alias(name) for name, fn in (derive or {}).items()],
         )
 
-    extra = [_first_imports()] if with_imports else []
-    rows = F.transform(_file_blocks(), row)
-    out = files.select("file_id", "path", "lang", *extra, F.inline(rows))
+    if with_imports:
+        rows = bind(
+            _file_blocks(True),
+            lambda f: F.transform(f.blocks, lambda b, i: row(b, i, [f.imports.alias("imports")])),
+        )
+    else:
+        rows = F.transform(_file_blocks(), lambda b, i: row(b, i, []))
+    out = files.select("file_id", "path", "lang", F.inline(rows))
     return out.withColumn("fn_id", F.concat_ws("#", "file_id", "fn_no"))
 
 
@@ -227,21 +240,22 @@ def build_contexts(files: DataFrame) -> DataFrame:
 
 
 def parse_quality(files: DataFrame) -> DataFrame:
-    """How complete each file reads: its lines and the brackets left open."""
+    """How far each file reads: lines, brackets left open, and the first line where its structure breaks.
 
-    def balance(text: Column, opening: str, closing: str) -> Column:
-        return F.length(F.translate(text, closing, "")) - F.length(F.translate(text, opening, ""))
+    ``error_line`` is null for a sound file; ``n_kept`` counts the lines before it, all if there is none.  The
+    functions that start before and from that line on show what the extraction still finds behind it.
+    """
 
-    text = unix_newlines(F.col("content"))
-    open_ = bind(
-        text,
-        lambda t: _by_language(
-            F.col("lang"),
-            balance(python_skeleton(t), "([{", ")]}"),
-            balance(js_skeleton(t), "{", "}"),
-            balance(c_skeleton(t), "{", "}"),
-        ),
+    # Two steps: nested in one expression, they would take the analyzer too many rounds.
+    read = files.select(
+        "file_id", "path",
+        F.size(F.split(unix_newlines(F.col("content")), "\n")).alias("n_lines"),
+        structure(F.col("lang"), unix_newlines(F.col("content"))).alias("s"),
+        F.transform(_file_blocks(), lambda b: b.line_number).alias("starts"),
     )
-    return files.select(
-        "file_id", "path", F.size(F.split(text, "\n")).alias("n_lines"), open_.alias("n_unbalanced")
+    behind = F.size(F.filter("starts", lambda n: F.coalesce(n >= F.col("s.error_line"), F.lit(False))))
+    return read.select(
+        "file_id", "path", "n_lines", F.col("s.net").alias("n_unbalanced"), "s.error_line",
+        F.coalesce(F.col("s.error_line") - 1, "n_lines").alias("n_kept"),
+        (F.size("starts") - behind).alias("functions_before"), behind.alias("functions_after"),
     )
