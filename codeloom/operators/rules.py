@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import dims
-from ..functions.lexing import bind
+from ..functions.folds import bind
 
 
 def tags_where(conditions: list[tuple[str, Column]]) -> Column:
@@ -124,22 +124,71 @@ def py_call_category(full_name: Column) -> Column:
     return out
 
 
-def sql_string_concat(code: Column) -> Column:
-    """An SQL call one of whose direct arguments is ``str +`` or an f-string."""
-    terms = "|".join(dims.PY_CALL_CATEGORIES["sql_queries"])
-    string = "(?:\"[^\"\\n]*\"|'[^'\\n]*')"
-    call = rf"(?i)[\w.]*(?:{terms})\w*\(\s*(?:[^()\n\"']*,\s*)?"
-    return code.rlike(rf"{call}(?:[fF]{string}|{string}\s*\+|[\w.\[\]]+\s*\+\s*{string})")
+def sql_calls(calls: DataFrame) -> DataFrame:
+    """One row per call of the SQL category, with whether a direct argument puts a string together."""
+    full = full_call_name(F.col("object"), F.col("name"))
+    return calls.withColumn("call", full).where(py_call_category(F.col("call")) == "sql_queries").select(
+        "fn_id", "line_number", "call", F.col("string_concat").alias("has_string_concat")
+    )
 
 
 # --- code -------------------------------------------------------------------
 
 
+def required_literal(regex: str) -> str:
+    """The longest run of plain characters that every match of ``regex`` holds; "" if none is sure.
+
+    Groups and classes end a run; a repeated or optional character is not part of one.
+    """
+    runs, run, depth, i = [], "", 0, 0
+    while i < len(regex):
+        c = regex[i]
+        if c == "|" and not depth or regex.startswith("(?", i) and not depth and i == 0:
+            return ""
+        if c == "[":
+            i = regex.index("]", i + 2 if regex[i + 1] != "^" else i + 3)
+        if c in "()":
+            depth += 1 if c == "(" else -1
+        escaped = c == "\\"
+        i += escaped
+        plain = (regex[i] if not regex[i].isalnum() else "") if escaped else "" if c in ".^$[]()*+?{}|" else c
+        follows = regex[i + 1 : i + 2]
+        if plain and not depth and follows not in ("*", "?", "{"):
+            run += plain
+            if follows == "+":
+                runs, run = [*runs, run], ""
+        else:
+            runs, run = [*runs, run], ""
+            if c == "{" and not escaped:
+                i = regex.index("}", i)
+        i += 1
+    return max([*runs, run], key=len)
+
+
+def _guarded(text: Column, regex: str) -> Column:
+    """``regex`` found in ``text``; it runs only on a text that holds its literal.
+
+    (?d): "." stops at a line feed only.
+    """
+    literal, found = required_literal(regex), text.rlike("(?d)" + regex)
+    return text.contains(literal) & found if literal else found
+
+
 def rule_hits(code: Column, extra: list[tuple[str, str]] = ()) -> Column:
-    """Ids of the catalog rules found in a text (plus caller's own id, regex)."""
+    """Ids of the catalog rules found in a text (plus caller's own id, regex).
+
+    One pass looks for any of the rules' literals; a text without one has no hit, and in others only
+    the rules whose own literal is there run.
+    """
     rules = [(rule_id, regex) for rule_id, _, regex in dims.rule_rows()] + list(extra)
-    # (?d): "." stops at a line feed only.
-    return tags_where([(rule_id, code.rlike("(?d)" + regex)) for rule_id, regex in rules])
+    literals = {required_literal(regex) for _, regex in rules}
+    # A literal that holds a shorter one adds nothing to the search for any.
+    least = sorted(a for a in literals if not any(b != a and b in a for b in literals))
+    hits = tags_where([(rule_id, _guarded(code, regex)) for rule_id, regex in rules])
+    if "" in literals:
+        return hits
+    some = code.rlike(dims.any_of(least, lower=False))
+    return F.when(some, hits).otherwise(F.expr("cast(array() as array<string>)"))
 
 
 def rule_scan(texts: DataFrame, key: list[str], code: str, extra=()) -> DataFrame:
@@ -181,15 +230,13 @@ def fallback_rule(code: Column) -> Column:
     def first_hit(lowered: Column) -> Column:
         out = None
         for no, (regex, *_) in enumerate(dims.FALLBACK_RULES, 1):
-            # (?d): "." stops at a line feed only.
-            pattern = "(?d)" + regex
             hit = F.struct(
                 F.lit(no).alias("no"),
                 F.substring(
-                    F.regexp_extract(lowered, pattern, 0), 1, dims.FALLBACK_SNIPPET_LIMIT
+                    F.regexp_extract(lowered, "(?d)" + regex, 0), 1, dims.FALLBACK_SNIPPET_LIMIT
                 ).alias("snippet"),
             )
-            cond = lowered.rlike(pattern)
+            cond = _guarded(lowered, regex)
             out = F.when(cond, hit) if out is None else out.when(cond, hit)
         return out.otherwise(F.struct(F.lit(0).alias("no"), F.lit("").alias("snippet")))
 

@@ -29,7 +29,7 @@ def _content(lang: str) -> str:
     bodies = array(corpus.FUNCTIONS[lang])
     parts = [q(corpus.HEADERS[lang])]
     for slot, (step, shift) in enumerate(corpus.SLOTS, 1):
-        pick = f"{bodies}[(((o_orderkey // 3) // {step}) + {shift}) % 8 + 1]"
+        pick = f"{bodies}[(((o_orderkey // 3) // {step}) + {shift}) % {len(corpus.FUNCTIONS[lang])} + 1]"
         parts.append(f"replace({pick}, '{{ID}}', concat(o_orderkey, '_{slot}'))")
     return f"replace({(f' || {NL} || ').join(parts)}, '{{PRI}}', o_orderpriority)"
 
@@ -41,26 +41,42 @@ def _by_key(values: list[str]) -> str:
 
 # Cut a text into literals, comments and the rest; keep only line breaks of the
 # first two (and a quote for a literal).  "~" marks a line inside a literal.
-def _skeleton(literal: str, comment: str, other: str, keep_mark: bool) -> str:
+def _skeleton(literal: str, comment: str, other: str, keep_mark: bool, coded: tuple[str, str] | None = None) -> str:
     breaks = "regexp_replace(x, '[^\\n]', '', 'g')"
     if keep_mark:
         breaks = f"replace({breaks}, {NL}, {NL} || '~')"
     first = "left(x, 1)"
+    # Literals that hold code: (pattern, what stays of them).
+    also = f"WHEN regexp_full_match(x, {q(coded[0])}) THEN {coded[1]} " if coded else ""
+    literals = f"(?:{coded[0]})|(?:{literal})" if coded else f"(?:{literal})"
     return (
-        f"array_to_string(list_transform(regexp_extract_all(content, {q(f'(?:{literal})|{comment}|{other}')}), "
-        f"lambda x: CASE WHEN regexp_full_match(x, {q(comment)}) THEN {breaks if not keep_mark else q('')} "
+        f"array_to_string(list_transform(regexp_extract_all(content, {q(f'{literals}|{comment}|{other}')}), "
+        f"lambda x: CASE {also}WHEN regexp_full_match(x, {q(comment)}) THEN {breaks if not keep_mark else q('')} "
         f"WHEN length(x) > 1 AND regexp_full_match(x, {q(literal)}) THEN {first} || {breaks} ELSE x END), '')"
     )
 
 
+# An f-string keeps its quote and the code in braces, whose own literals leave a quote.
+_PY_CODED = (
+    "f\"[^\"\\n]*\"|f'[^'\\n]*'",
+    "left(x, 2) || regexp_replace(array_to_string(regexp_extract_all(substr(x, 3), "
+    + q(r"\{(?:[^{}]|\{[^{}]*\})*\}") + "), ''), " + q("f?\"[^\"]*\"|'[^']*'") + ", '\"', 'g')",
+)
 _PY_SKEL = _skeleton(
-    "\"\"\"(?s:.*?)\"\"\"|\"[^\"\\n]*\"|'[^'\\n]*'", "#[^\\n]*", "[^\"'#]+|[\"']", True
+    "\"\"\"(?s:.*?)\"\"\"|\"[^\"\\n]*\"|'[^'\\n]*'", "#[^\\n]*", "[^\"'#f]+|[\"'f]", True, _PY_CODED
+)
+# A template keeps the code of its interpolations, and that of templates in them.
+_JS_CODED = (
+    r"`(?:[^`$]|\$\{(?:[^`{}]|`(?:[^`$]|\$\{[^`{}]*\})*`)*\})*`",
+    "regexp_replace(array_to_string(regexp_extract_all(regexp_replace(x, "
+    + q(r"([({])`[^`$]*\$\{([^`{}]*)\}[^`]*`") + r", '\1(\2)', 'g'), " + q(r"\$\{[^{}]*\}") + "), ''), "
+    + q(r"\$\{([^{}]*)\}") + r", ' +(\1)', 'g')",
 )
 _C_SKEL = _skeleton(
     "\"[^\"\\n]*\"|'[^'\\n]*'", "/\\*(?s:.*?)\\*/|//[^\\n]*", "[^\"'/]+|[/\"']", False
 )
 _JS_SKEL = _skeleton(
-    "\"[^\"\\n]*\"|'[^'\\n]*'|`[^`]*`", "/\\*(?s:.*?)\\*/|//[^\\n]*", "[^\"'/`]+|[/\"'`]", False
+    "\"[^\"\\n]*\"|'[^'\\n]*'", "/\\*(?s:.*?)\\*/|//[^\\n]*", "[^\"'/`]+|[/\"'`]", False, _JS_CODED
 )
 
 
@@ -69,7 +85,7 @@ def _count(text: str, chars: str) -> str:
 
 
 _JS_KIND = r"""
-CASE WHEN regexp_matches(line, '^\s*(const|let|var)\s+\w+\s*=\s*(async\s+)?(function\b|(\([^)]*\)|\w+)\s*=>)')
+CASE WHEN regexp_matches(line, '^\s*(const|let|var)\s+\w+\s*=\s*(async\s+)?(function\b|(\(.*\)|\w+)\s*=>)')
      THEN 'variable_function'
      WHEN regexp_matches(line, '^\s*\w+\s*:\s*(async\s+)?(function\b|\([^)]*\)\s*=>)') THEN 'property_method'
      WHEN regexp_matches(line, '^\s*(export\s+)?(async\s+)?function\s+\w+') THEN 'declaration'
@@ -118,14 +134,24 @@ SELECT file_id, lang, content,
 FROM files""",
     "texts": f"SELECT file_id, lang, string_split(content, {NL}) AS src, "
     f"string_split(skel, {NL}) AS sk FROM skels",
-    "lines": f"""
+    # Lines of the second branch of an #if do not count for the depth after it; in it, those of the first do not.
+    "directed": f"""
 SELECT file_id, lang, ln, line, delta,
-       coalesce(sum(delta) OVER (PARTITION BY file_id ORDER BY ln
-                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-FROM (SELECT file_id, lang, ln, sk[ln] AS line,
+       count(*) FILTER (word = 'if') OVER up AS ifs,
+       count(*) FILTER (word = 'else') OVER up > count(*) FILTER (word = 'endif') OVER up AS second,
+       count(*) FILTER (word = 'if') OVER up > count(*) FILTER (word = 'endif') OVER up
+         AND count(*) FILTER (word = 'else') OVER up <= count(*) FILTER (word = 'endif') OVER up AS first
+FROM (SELECT file_id, lang, ln, sk[ln] AS line, CASE WHEN lang = 'c' THEN regexp_extract(src[ln], '^#(if|else|endif)', 1) END AS word,
              CASE WHEN lang = 'python' THEN {_count('sk[ln]', '(\\[{')} - {_count('sk[ln]', ')\\]}')}
                   ELSE {_count('sk[ln]', '{')} - {_count('sk[ln]', '}')} END AS delta
-      FROM (SELECT file_id, lang, sk, unnest(range(1, len(sk) + 1)) AS ln FROM texts))""",
+      FROM (SELECT file_id, lang, sk, src, unnest(range(1, len(sk) + 1)) AS ln FROM texts))
+WINDOW up AS (PARTITION BY file_id ORDER BY ln)""",
+    "lines": """
+SELECT file_id, lang, ln, line, CASE WHEN second THEN 0 ELSE delta END AS delta,
+       coalesce(sum(CASE WHEN second THEN 0 ELSE delta END) OVER (PARTITION BY file_id ORDER BY ln
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+       - CASE WHEN second THEN sum(CASE WHEN first THEN delta ELSE 0 END) OVER (PARTITION BY file_id, ifs) ELSE 0 END AS before
+FROM directed""",
     # Python ------------------------------------------------------------------
     "py_lines": r"""
 SELECT file_id, ln, line, length(line) - length(ltrim(line)) AS indent,
@@ -241,12 +267,12 @@ SELECT e.fn_id, e.i, count(*) FILTER (c.c = ',' AND c.before = o.before + 1) AS
 FROM py_ends e JOIN py_opens o USING (fn_id, i)
 LEFT JOIN chars c ON c.fn_id = e.fn_id AND c.i > e.i AND c.i < e.j GROUP BY ALL""",
     "py_all_calls": f"""
-SELECT o.fn_id, o.line_number, o.name,
+SELECT o.fn_id, o.line_number, o.name, o.i, e.j,
        nullif(rtrim(CASE WHEN o.on_value THEN 'complex_object.' ELSE '' END || o.owner, '.'), '') AS object,
        CASE WHEN o.on_value OR o.owner <> '' THEN 'method_call' ELSE 'function_call' END AS kind,
        CASE WHEN a.filled = 0 THEN 0 ELSE a.commas + 1 - a.equals END AS args_count, a.equals AS kwargs_count,
        CASE WHEN object IS NULL THEN o.name ELSE object || '.' || o.name END AS call
-FROM py_opens o JOIN py_args a USING (fn_id, i)
+FROM py_opens o JOIN py_args a USING (fn_id, i) JOIN py_ends e USING (fn_id, i)
 WHERE o.name <> '' AND NOT o.heads AND o.name NOT IN {_words(_NOT_CALLS['python'])}""",
     "names": rf"""
 SELECT DISTINCT fn_id, lang, name FROM (
@@ -429,21 +455,28 @@ FROM args WHERE is_source""",
     "c_param_rows": r"""
 SELECT fn_id, pos, trim(regexp_replace(string_split(params, ',')[pos], '\s+', ' ', 'g')) AS p, n FROM (
   SELECT fn_id, params, len(string_split(params, ',')) AS n, unnest(range(1, len(string_split(params, ',')) + 1)) AS pos
-  FROM fns WHERE lang = 'c')""",
+  FROM fns WHERE lang = 'c' AND trim(params) <> 'void')""",
     "c_params_t": r"""
 SELECT fn_id, pos, n, regexp_extract(p, '(\w+)(?:\[\d*\])*$', 1) AS name,
        trim(regexp_replace(regexp_replace(p, '\w+((?:\[\d*\])*)$', '\1'), '\s*(\*+)\s*', ' \1')) AS type
 FROM c_param_rows""",
     "py_sig": r"""
-SELECT fn_id, regexp_extract(code, '(?s)^\s*(?:async )?def \w+\((.*?)\)\s*(?:->\s*([^:\n]+?)\s*)?:', 1) AS sig,
-       regexp_extract(code, '(?s)^\s*(?:async )?def \w+\((.*?)\)\s*(?:->\s*([^:\n]+?)\s*)?:', 2) AS ret
+SELECT fn_id, regexp_extract(code, '(?s)^\s*(?:async )?def \w+\((.*?)\)\s*(?:->\s*([^:\n]+?)\s*)?:\n', 1) AS sig,
+       regexp_extract(code, '(?s)^\s*(?:async )?def \w+\((.*?)\)\s*(?:->\s*([^:\n]+?)\s*)?:\n', 2) AS ret
 FROM fns WHERE lang = 'python'""",
+    # Commas outside brackets and quotes separate parameters.
+    "py_sig_chars": r"""
+SELECT fn_id, i, c, quoted, sum(CASE WHEN quoted THEN 0 WHEN c IN ('(', '[', '{') THEN 1 WHEN c IN (')', ']', '}') THEN -1 ELSE 0 END)
+         OVER (PARTITION BY fn_id ORDER BY i) AS depth
+FROM (SELECT fn_id, i, c, sum((c IN ('"', chr(39)))::INT) OVER (PARTITION BY fn_id ORDER BY i) % 2 = 1 AS quoted
+      FROM (SELECT fn_id, i, s[i] AS c FROM (SELECT fn_id, s, unnest(range(1, length(s) + 1)) AS i
+            FROM (SELECT fn_id, regexp_replace(sig, '\s+', ' ', 'g') AS s FROM py_sig WHERE trim(sig) <> ''))))""",
     "py_parts": r"""
-SELECT fn_id, pos, trim(replace(parts[pos], ';', ',')) AS p,
-       max(CASE WHEN regexp_matches(trim(parts[pos]), '^\*\w') THEN pos END) OVER (PARTITION BY fn_id) AS star
-FROM (SELECT fn_id, parts, unnest(range(1, len(parts) + 1)) AS pos FROM (
-  SELECT fn_id, string_split(regexp_replace(regexp_replace(sig, '\[(\w+), (\w+)\]', '[\1; \2]', 'g'), '\s+', ' ', 'g'), ',') AS parts
-  FROM py_sig WHERE trim(sig) <> ''))""",
+SELECT fn_id, pos, trim(p) AS p, max(CASE WHEN regexp_matches(trim(p), '^\*\w') THEN pos END) OVER (PARTITION BY fn_id) AS star
+FROM (SELECT fn_id, pos, coalesce(string_agg(c, '' ORDER BY i) FILTER (NOT cut), '') AS p
+      FROM (SELECT *, c = ',' AND depth = 0 AND NOT quoted AS cut,
+                   1 + count(*) FILTER (c = ',' AND depth = 0 AND NOT quoted) OVER (PARTITION BY fn_id ORDER BY i) AS pos
+            FROM py_sig_chars) GROUP BY fn_id, pos)""",
     "py_params_t": r"""
 SELECT fn_id, (row_number() OVER (PARTITION BY fn_id ORDER BY pos) - 1)::INTEGER AS pos,
        regexp_extract(p, '^(\*{0,2}\w+)', 1) AS name,
@@ -563,8 +596,9 @@ _I = "::INTEGER"
 SQL = {
     "scan_source_files": f"SELECT path, ext FROM inventory WHERE ext IN {_SUPPORTED}",
     "scan_text_files": "SELECT doc_id, length(text)::INTEGER AS n_chars, md5(text) AS text_md5 FROM documents",
-    "decode_with_fallback": "SELECT doc_id, md5(text) AS content_md5, CASE WHEN lang IN ('fr', 'de') "
-    "AND strlen(text) > length(text) THEN 'latin1' ELSE 'utf-8' END AS encoding FROM documents",
+    "decode_with_fallback": """SELECT doc_id, md5(CASE lang WHEN 'fr' THEN '\u201c' || text || '\u201d' ELSE text END) AS content_md5,
+        CASE WHEN lang = 'fr' THEN 'cp1252' WHEN lang = 'de' AND strlen(text) > length(text) THEN 'latin1'
+             WHEN lang = 'es' THEN CASE WHEN source < 'src2' THEN 'utf-16-le' ELSE 'utf-16-be' END ELSE 'utf-8' END AS encoding FROM documents""",
     "route_language": f"SELECT path, ext, {_LANG_OF} AS lang FROM inventory",
     "unsupported_files": f"SELECT path, ext FROM inventory WHERE ext NOT IN {_SUPPORTED}",
     "scan_preprocessed": "SELECT path, length(content)::INTEGER AS n_chars FROM inventory WHERE ext = 'i'",
@@ -597,7 +631,7 @@ SQL = {
         UNION ALL SELECT NULL, total_vulnerabilities, to_json({'total_vulnerabilities': total_vulnerabilities,
           'files_analyzed': total_files_analyzed, 'files_with_vulnerabilities': files_with_vulnerabilities})::VARCHAR FROM totals""",
     "sink_per_file_json": r"SELECT lang, file, count(*) AS total_vulnerabilities, "
-    r"regexp_replace(file, '\.[a-z]+$', '.analysis.json') AS report_path FROM found GROUP BY lang, file",
+    r"regexp_replace(file, '\.[a-z]+$', '.analysis.json') AS report_path, count(*)::INTEGER AS n_listed FROM found GROUP BY lang, file",
     "strip_c_comments": "SELECT file_id, "
     + _strip("content", [(r"/\*(?s:.*?)\*/|//[^\n]*", ""), (r"(?m)^[ \t]*\n", ""), (r"\n[ \t]*$", "")])
     + " AS text FROM files WHERE lang = 'c'",
@@ -612,11 +646,11 @@ SQL = {
     "py_functions": _py(f"fn_id, name, kind, line_number{_I} AS line_number, end_line{_I} AS end_line"),
     "py_class_context": _py("fn_id, full_name, class_context"),
     "py_decorators": _py(f"fn_id, decorators, first_line{_I} AS first_line"),
-    "py_params": """SELECT fn_id, pos, name, CASE WHEN regexp_matches(annotation, '\\w+\\[\\w+\\[') THEN
-        regexp_extract(annotation, '^\\w+') || '[...]' ELSE annotation END AS annotation,
-        CASE WHEN starts_with("default", '[') THEN '[]' ELSE "default" END AS "default" FROM py_params_t""",
-    "py_return_annotation": r"""SELECT f.fn_id, f.name, CASE WHEN regexp_matches(s.ret, '\w+\[\w+\[') THEN
-        regexp_extract(s.ret, '^\w+') || '[...]' ELSE nullif(s.ret, '') END AS return_annotation FROM fns f JOIN py_sig s USING (fn_id)""",
+    # A subscript whose only element is another one is elided, from the inside out.
+    "py_params": r"""SELECT fn_id, pos, name, regexp_replace(annotation, '(Optional|List)\[\w+\[.*?\]\]', '\1[...]') AS annotation,
+        CASE WHEN starts_with("default", '[') THEN '[]' WHEN starts_with("default", '{') THEN '{}' ELSE "default" END AS "default" FROM py_params_t""",
+    "py_return_annotation": r"""SELECT f.fn_id, f.name, nullif(regexp_replace(s.ret, '(Optional|List)\[\w+\[.*?\]\]', '\1[...]'), '') AS return_annotation
+        FROM fns f JOIN py_sig s USING (fn_id)""",
     "js_functions": f"SELECT fn_id, name, kind, line_number{_I} AS line_number, end_line{_I} AS end_line FROM fns WHERE lang = 'javascript'",
     "js_params": "SELECT fn_id, params FROM js_params_t",
     "c_functions": f"SELECT fn_id, name, line_number{_I} AS line_number, return_type FROM fns WHERE lang = 'c'",
@@ -627,7 +661,14 @@ SQL = {
     "js_function_source": "SELECT fn_id, code FROM fns WHERE lang = 'javascript'",
     "union_functions": f"SELECT fn_id, lang, name, line_number{_I} AS line_number FROM fns",
     "number_functions": f"SELECT path, fn_no{_I} AS fn_no, name, line_number{_I} AS line_number FROM fns",
-    "parse_recovery": f"SELECT file_id, count(*){_I} AS n_lines, sum(delta){_I} AS n_unbalanced FROM lines GROUP BY file_id",
+    # Finished orders' files: the text, an empty line's end, the broken line, and the text again.
+    "parse_recovery": f"""SELECT file_id, (CASE WHEN broken THEN 2 * n + 1 ELSE n END){_I} AS n_lines,
+        (CASE WHEN NOT broken THEN 0 WHEN lang = 'python' THEN 2 WHEN lang = 'c' THEN 1 ELSE 0 END){_I} AS n_unbalanced,
+        (CASE WHEN broken THEN n + 1 END){_I} AS error_line, n{_I} AS n_kept, k{_I} AS functions_before,
+        (CASE WHEN broken THEN k ELSE 0 END){_I} AS functions_after
+        FROM (SELECT t.file_id, t.lang, len(t.src) AS n, o.o_orderstatus = 'F' AS broken, coalesce(f.k, 0) AS k
+              FROM texts t JOIN orders o ON o.o_orderkey = t.file_id
+              LEFT JOIN (SELECT file_id, count(*) AS k FROM fns GROUP BY file_id) f USING (file_id))""",
     "py_imports": f"SELECT file_id, line_number{_I} AS line_number, kind, module, name, alias, statement FROM py_imps",
     "js_imports": f"SELECT file_id, line_number{_I} AS line_number, kind, module, statement FROM js_imps",
     "c_includes": f"SELECT file_id, line_number{_I} AS line_number, module, statement FROM c_imps",
@@ -681,9 +722,10 @@ SQL = {
         for c, ws in dims.PY_CALL_CATEGORIES.items()
     )
     + " END AS category FROM py_all_calls) WHERE category IS NOT NULL",
-    "sql_string_concat_flag": r"""SELECT fn_id, name, fn_id IN (SELECT fn_id FROM fns WHERE
-        regexp_matches(code, '(?i)(execute|query|cursor|fetchall)\w*\((f?"[^"\n]*"\s*\+|f"|f''|[\w.]+\s*\+\s*["''])')) AS has_string_concat
-        FROM fns WHERE lang = 'python'""",
+    "sql_string_concat_flag": rf"""SELECT c.fn_id, c.line_number{_I} AS line_number, c.call,
+        regexp_matches(c.args, '(^|,\s*)(f["''][^,]*|["'']\s*\+[^,]*|[^,]*\+\s*["''])$') AS has_string_concat
+        FROM (SELECT c.fn_id, c.line_number, c.call, substr(f.skel, c.i + 1, c.j - c.i - 1) AS args
+              FROM py_all_calls c JOIN fns f USING (fn_id)) c WHERE regexp_matches(lower(c.call), 'execute|query|cursor|fetchall')""",
     "vuln_taxonomy": f"""SELECT lang, vulnerability_type, file, "function", line_number{_I} AS line_number FROM found
         WHERE (lang, vulnerability_type) NOT IN (SELECT (lang, vulnerability_type) FROM types)""",
     "severity_scale": f"""SELECT file, "function", line_number{_I} AS line_number, severity,
@@ -719,12 +761,25 @@ SQL = {
         FROM files f JOIN orders o ON o.o_orderkey = f.file_id WHERE o.o_orderstatus <> 'F'""",
     "deleted_paths": """SELECT f.path, sha256(f.content || CASE WHEN o.o_orderstatus = 'P' THEN '# old' || chr(10) ELSE '' END) AS sha,
         'deleted' AS change FROM files f JOIN orders o ON o.o_orderkey = f.file_id
-        WHERE o.o_orderstatus <> 'O' AND f.file_id % 7 = 0""",
+        WHERE o.o_orderstatus = 'F' AND o.o_orderpriority = '5-LOW'""",
+    "scan_versions": """SELECT f.path, sha256(f.content) AS sha,
+        CASE o.o_orderstatus WHEN 'O' THEN 'new' WHEN 'P' THEN 'changed' ELSE CASE o.o_orderpriority WHEN '5-LOW' THEN 'deleted' ELSE 'new' END END AS change,
+        (CASE WHEN o.o_orderstatus = 'F' AND o.o_orderpriority <> '5-LOW' THEN 1 ELSE 2 END)::BIGINT AS version
+        FROM files f JOIN orders o ON o.o_orderkey = f.file_id""",
+    "rollup_findings": """SELECT lang, vulnerability_type, severity, count(*) AS n_findings, max(confidence) AS max_confidence,
+        (GROUPING(lang) + GROUPING(vulnerability_type) + GROUPING(severity))::INTEGER AS level
+        FROM found GROUP BY ROLLUP (lang, vulnerability_type, severity)""",
     "changed_findings": f'SELECT path AS file, lang, name AS "function", vulnerability_type, confidence, severity, line_number{_I} AS line_number, '
     "code_snippet, explanation, remediation FROM ruled WHERE vulnerable AND confidence > 0.5 AND path IN "
     "(SELECT f.path FROM files f JOIN orders o ON o.o_orderkey = f.file_id WHERE o.o_orderstatus <> 'F')",
-    "stream_findings": f'SELECT path AS file, lang, name AS "function", vulnerability_type, confidence, severity, line_number{_I} AS line_number, '
+    "append_findings": f'SELECT path AS file, lang, name AS "function", vulnerability_type, confidence, severity, line_number{_I} AS line_number, '
     "code_snippet, explanation, remediation FROM ruled WHERE vulnerable AND confidence > 0.5",
+    "stream_findings": f'SELECT path AS file, lang, name AS "function", vulnerability_type, confidence, severity, line_number{_I} AS line_number, '
+    "code_snippet, explanation, remediation FROM ruled WHERE vulnerable AND confidence > 0.5 AND "
+    "file_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '5-LOW')",
+    "corrected_findings": f'SELECT path AS file, lang, name AS "function", vulnerability_type, confidence, severity, line_number{_I} AS line_number, '
+    "code_snippet, explanation, remediation FROM ruled WHERE vulnerable AND confidence > 0.5 AND "
+    "file_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '5-LOW')",
     "compile_sources": "SELECT record_id, arg_no, source FROM sources",
     "preprocessor_flags": f"""SELECT record_id, (row_number() OVER (PARTITION BY record_id ORDER BY arg_no)){_I} AS flag_no, arg AS flag
         FROM args WHERE taken OR (NOT is_source AND regexp_matches(arg, '^(-I|-D|-U|-std=|-include$)'))""",

@@ -11,6 +11,7 @@ from .. import dims
 from ..functions import brace_code as B
 from ..functions import normalize as N
 from ..functions import python_code as P
+from ..functions.folds import pair_index
 from ..functions.lexing import js_skeleton
 from ..operators import buildlog as L
 from ..operators import functions as X
@@ -18,6 +19,7 @@ from ..operators import risk as R
 from ..operators import rules as U
 from ..plans import reports as Q
 from ..plans import scan as S
+from ..session import scratch_path
 from ..sources import corpus
 from ..sources import files as Z
 from ..streaming import incremental as I
@@ -106,10 +108,17 @@ def scan_text_files(spark, sf):
 
 @query
 def decode_with_fallback(spark, sf):
-    """Western texts are stored as Latin-1 bytes, the others as UTF-8."""
+    """German texts are stored as Latin-1 bytes, French ones in quotes of code page 1252, Spanish ones as
+    UTF-16 in either order of bytes, one source with a byte-order mark, the others as UTF-8."""
+    western = F.encode("text", "ISO-8859-1")
+    spanish = F.when(col("source") == "src0", F.concat(F.unhex(lit("FFFE")), F.encode("text", "UTF-16LE"))).when(
+        col("source") < "src2", F.encode("text", "UTF-16LE")
+    ).otherwise(F.encode("text", "UTF-16BE"))
     raw = _documents(spark, sf).select(
         "doc_id",
-        F.when(col("lang").isin("fr", "de"), F.encode("text", "ISO-8859-1"))
+        F.when(col("lang") == "de", western)
+        .when(col("lang") == "fr", F.concat(F.unhex(lit("93")), western, F.unhex(lit("94"))))
+        .when(col("lang") == "es", spanish)
         .otherwise(F.encode("text", "UTF-8"))
         .alias("raw"),
     )
@@ -200,9 +209,18 @@ def report_build_summary(spark, sf):
 
 @query
 def sink_per_file_json(spark, sf):
-    return _findings(spark, sf).groupBy("lang", "file").agg(
-        F.count("*").alias("total_vulnerabilities")
-    ).withColumn("report_path", Q.report_path(col("file")))
+    """One file per report, written and read back with the place where it was found."""
+    target = scratch_path(spark, "reports")
+    Q.write_reports(_findings(spark, sf), target)
+    found = Z.read_report_files(spark, target).select(
+        F.substring_index("path", target.rsplit("/", 1)[1] + "/", -1).alias("report_path"), "value"
+    )
+    return found.select(
+        "report_path", F.from_json("value", Z.REPORT).alias("r")
+    ).select(
+        Z.language(col("r.file")).alias("lang"), "r.file", "r.total_vulnerabilities", "report_path",
+        F.size("r.findings").alias("n_listed"),
+    )
 
 
 # --- normalisation ----------------------------------------------------------------
@@ -279,17 +297,17 @@ def py_decorators(spark, sf):
 
 @query
 def py_params(spark, sf):
-    fns = _blocks(spark, sf, "python", params=lambda b: P.python_params(b.code))
-    return fns.select("fn_id", F.posexplode("params").alias("pos", "p")).select(
+    fns = _blocks(spark, sf, "python", "code")
+    return fns.select("fn_id", F.posexplode(P.python_params(col("code"))).alias("pos", "p")).select(
         "fn_id", "pos", "p.name", "p.annotation", "p.default"
     )
 
 
 @query
 def py_return_annotation(spark, sf):
-    return _blocks(
-        spark, sf, "python", "name", return_annotation=lambda b: P.python_return(b.code)
-    ).select("fn_id", "name", "return_annotation")
+    return _blocks(spark, sf, "python", "name", "code").select(
+        "fn_id", "name", P.python_return(col("code")).alias("return_annotation")
+    )
 
 
 @query
@@ -353,7 +371,14 @@ def number_functions(spark, sf):
 
 @query
 def parse_recovery(spark, sf):
-    return X.parse_quality(_files(spark, sf)).select("file_id", "n_lines", "n_unbalanced")
+    """Files of finished orders hold a broken line between two copies of their text."""
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select(
+        col("o_orderkey").alias("file_id"), "o_orderstatus"
+    )
+    files = corpus.broken_twice(_files(spark, sf).join(orders, "file_id"), col("o_orderstatus") == "F")
+    return X.parse_quality(files).select(
+        "file_id", "n_lines", "n_unbalanced", "error_line", "n_kept", "functions_before", "functions_after"
+    )
 
 
 # --- imports and calls ------------------------------------------------------------------
@@ -412,7 +437,7 @@ def page_script_calls(spark, sf):
     """Calls made by the inline scripts of each page."""
     scripts = F.regexp_extract_all("html", lit(r"(?s)<script[^>]*>(.*?)</script>"))
     names = F.array_distinct(
-        F.flatten(F.transform(scripts, lambda s: B.js_call_names(js_skeleton(s))))
+        F.flatten(F.transform(scripts, lambda s: B.js_call_names(pair_index(js_skeleton(s)))))
     )
     return _pages(spark, sf).select("page_id", F.explode(names).alias("name"))
 
@@ -544,8 +569,7 @@ def py_pattern_categories(spark, sf):
 
 @query
 def sql_string_concat_flag(spark, sf):
-    fns = _blocks(spark, sf, "python", "name", flag=lambda b: U.sql_string_concat(b.code))
-    return fns.select("fn_id", "name", col("flag").alias("has_string_concat"))
+    return U.sql_calls(X.extract_python_calls(_files(spark, sf)))
 
 
 @query
@@ -703,23 +727,43 @@ def clean_files(spark, sf):
     return Q.clean_files(_files(spark, sf), _findings(spark, sf))
 
 
+@query
+def rollup_findings(spark, sf):
+    return Q.rollup_findings(_findings(spark, sf))
+
+
 # --- incremental and streaming -----------------------------------------------------------------
 
 
-def _previous_manifest(spark, sf):
-    """What an earlier scan saw: no open orders, and pending ones with other text."""
+def _with_status(spark, sf):
     orders = spark.read.parquet(f"{sf}/orders.parquet").select(
-        col("o_orderkey").alias("file_id"), "o_orderstatus"
-    )
-    old = _files(spark, sf).join(orders, "file_id").where(col("o_orderstatus") != "O")
-    return I.manifest(
-        old.withColumn(
-            "content",
-            F.when(col("o_orderstatus") == "P", F.concat(col("content"), lit("# old\n"))).otherwise(
-                col("content")
-            ),
-        )
+        col("o_orderkey").alias("file_id"), "o_orderstatus", "o_orderpriority"
     )
+    return _files(spark, sf).join(orders, "file_id")
+
+
+def _previous_files(spark, sf):
+    """What an earlier scan saw: no open orders, and pending ones with other text."""
+    old = _with_status(spark, sf).where(col("o_orderstatus") != "O")
+    text = F.when(col("o_orderstatus") == "P", F.concat("content", lit(OLD_LINES))).otherwise(col("content"))
+    return old.withColumn("content", text).drop("o_orderstatus", "o_orderpriority")
+
+
+def _present_files(spark, sf):
+    """What is there now: finished orders of low priority have gone."""
+    return _with_status(spark, sf).where(~_gone()).drop("o_orderstatus", "o_orderpriority")
+
+
+def _gone():
+    return (col("o_orderstatus") == "F") & (col("o_orderpriority") == "5-LOW")
+
+
+# A line of an earlier text.
+OLD_LINES = "# old\n"
+
+
+def _previous_manifest(spark, sf):
+    return I.manifest(_previous_files(spark, sf))
 
 
 @query
@@ -734,14 +778,30 @@ def changed_findings(spark, sf):
 
 @query
 def deleted_paths(spark, sf):
-    """As if every seventh file had gone since the earlier scan."""
-    now = _files(spark, sf).where(col("file_id") % 7 != 0)
-    return I.deleted_paths(now, _previous_manifest(spark, sf))
+    return I.deleted_paths(_present_files(spark, sf), _previous_manifest(spark, sf))
 
 
 @query
-def stream_findings(spark, sf):
-    """The offline scan as a stream over the orders as they arrive."""
+def corrected_findings(spark, sf):
+    """An earlier scan and one of what is there now, in one store: what holds after both."""
+    store = scratch_path(spark, "scans")
+    I.scan_changes(_previous_files(spark, sf), 1, store)
+    I.scan_changes(_present_files(spark, sf), 2, store)
+    return I.kept_findings(spark, store)
+
+
+@query
+def scan_versions(spark, sf):
+    """The manifest that those two scans leave: each path's last change."""
+    store = scratch_path(spark, "scans")
+    I.scan_changes(_previous_files(spark, sf), 1, store)
+    I.scan_changes(_present_files(spark, sf), 2, store)
+    return I.kept_manifest(spark, store)
+
+
+@query
+def append_findings(spark, sf):
+    """The offline scan as an append-only stream over the orders as they arrive."""
     schema = spark.read.parquet(f"{sf}/orders.parquet").schema
     arriving = (
         spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(sf)
@@ -750,6 +810,33 @@ def stream_findings(spark, sf):
     return I.scan_as_stream(spark, corpus.files_from_orders(thin))
 
 
+def _event_files(events):
+    """Thin events to files; those of the first batch have the earlier text where it differed."""
+    keyed = events.withColumnsRenamed({"path": "event_path", "lang": "event_lang"})
+    old = F.when(col("old"), F.concat("content", lit(OLD_LINES))).otherwise(col("content"))
+    made = keyed.select(*corpus.file_columns(), "old")
+    return made.withColumn("content", old).drop("old")
+
+
+@query
+def stream_findings(spark, sf):
+    """Files appear, change and go in three batches; the last one comes twice, as after a crash."""
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    path = next(c for c, name in zip(corpus.file_columns(), corpus.FILE_FIELDS, strict=True) if name == "path")
+    never, always = lit(False), lit(True)
+    waiting, pending = col("o_orderstatus") == "O", col("o_orderstatus") == "P"
+    batches = [(~waiting, never, pending), (waiting | pending, never, never), (_gone(), always, never)]
+    inbox, store, checkpoint = (scratch_path(spark, x) for x in ("inbox", "scans", "scans-checkpoint"))
+    thin = ["path", "seq", "deleted", "old", "o_orderkey", "o_orderpriority"]
+    for seq, (rows, deleted, old) in enumerate(batches):
+        events = orders.where(rows).withColumns({"path": path, "seq": lit(seq), "deleted": deleted, "old": old})
+        events.select(*thin).write.mode("append").parquet(inbox)
+        arriving = spark.readStream.schema(events.select(*thin).schema).parquet(inbox)
+        I.correcting_stream(arriving, store, checkpoint, files_of=_event_files).awaitTermination()
+    I.record_scan(events.select(*thin), seq, store, files_of=_event_files)
+    return I.kept_findings(spark, store)
+
+
 # --- build records -----------------------------------------------------------------------------
 
 

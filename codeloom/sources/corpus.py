@@ -86,6 +86,17 @@ async def apply_{ID}(user_code, path):
     exec(user_code, {})
     with open("/data/" + path) as fh:
         return fh.read()
+''',
+    '''\
+def label_{ID}(item, width=8):
+    name = f"{escape_{ID}(item['na(me'])}: {len(str(item)):>{width}}"
+    query = f'SELECT * FROM t WHERE id = {quote_{ID}(f"<{item}>")}'
+    return db.execute(f"INSERT {name}") or db.query(query, "x" + name)
+''',
+    '''\
+def merge_{ID}(first, table={(1, (2, (3, (4, (5, (6, (7, (8, (9, 0))))))))): "a,b):"},
+               mode: Dict[str, Dict[str, Dict[str, Dict[str, int]]]] = None) -> Tuple[str, Dict[str, List[Dict[str, int]]]]:
+    return combine_{ID}(first, table, mode=mode)
 ''',
 ]
 
@@ -158,6 +169,11 @@ const twice_{ID} = n => n * 2;
 setTimeout(function () {
   evaluate_{ID}(twice_{ID}(4));
 }, 10);
+""",
+    """\
+const build_{ID} = (opts = wrap(a(b(c(d(e(f(g(h(i(j(1))))))))))), last) => {
+  return `list ${opts.pick(`<${tag_{ID}(last)}>`).join(sep_{ID}(last))} end ${tail_{ID}(`${last}`)}`;
+};
 """,
 ]
 
@@ -236,6 +252,22 @@ X509 *parse_cert_{ID}(const unsigned char *data, long len) {
     free(sn);
     return cert;
 }
+""",
+    """\
+#if defined(FAST_{ID})
+int scale_{ID}(int a) {
+#else
+int scale_{ID}(int a, int by) {
+#endif
+    if (a) {
+        return grow_{ID}(a);
+    }
+    return a;
+}
+
+int after_{ID}(void) {
+    return scale_{ID}(1);
+}
 """,
 ]
 
@@ -248,8 +280,14 @@ EXTENSIONS = {
     "javascript": ["js", "jsx", "ts", "tsx"],
     "c": ["c", "c", "h", "i"],
 }
-# A function's place in the file picks its template: (key div 3 div step + shift) % 8.
-SLOTS = [(1, 0), (8, 3), (64, 5)]
+# A function's place in the file picks its template: (key div 3 div step + shift) % their number.
+SLOTS = [(1, 0), (9, 3), (80, 5)]
+# A line that leaves brackets open, by language.
+BROKEN = {
+    "python": "total = add(1, [2\n",
+    "javascript": "const lost = run(1, [2;\n",
+    "c": "int lost[] = { 1, (2;\n",
+}
 
 
 def spread(table: DataFrame) -> DataFrame:
@@ -269,11 +307,15 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def files_from_orders(orders: DataFrame) -> DataFrame:
     """The derivation itself: a projection, so batch or streaming alike."""
-    return orders.select(*_file_columns())
+    return orders.select(*file_columns())
+
+
+FILE_FIELDS = ["file_id", "path", "ext", "lang", "content"]
 
 
 @cache
-def _file_columns() -> list[Column]:
+def file_columns() -> list[Column]:
+    """The fields of a file, in the order of FILE_FIELDS, from ``o_orderkey`` and ``o_orderpriority``."""
     key = F.col("o_orderkey")
     turn = _div(key, len(LANGS))
     text = ext = None
@@ -301,6 +343,15 @@ def _file_columns() -> list[Column]:
     ]
 
 
+def broken_twice(files: DataFrame, where: Column) -> DataFrame:
+    """Files, those of ``where`` twice in one with a line between that leaves brackets open."""
+    line = F.lit(None).cast("string")
+    for lang, text in BROKEN.items():
+        line = F.when(F.col("lang") == lang, text).otherwise(line)
+    content = F.concat("content", F.lit("\n"), line, "content")
+    return files.withColumn("content", F.when(where, content).otherwise(F.col("content")))
+
+
 # Raw answers of an external scoring job, by function.
 RISK_TEXTS = [
     "0.75", "1.5", "Score: 0.9", "this looks unsafe", "High risk of misuse", "10", "", None,

@@ -96,6 +96,9 @@ def test_reports_round_trip(spark, tree, tmp_path):
     rows = {r.section: r for r in Q.scan_report(files, found).collect()}
     assert json.loads(rows["scan_summary"].payload)["total_vulnerabilities"] == 3
     assert _one(spark, "x.c.i", Q.report_path) == "x.c.analysis.json"
+    names = sorted(str(p.relative_to(tmp_path / "out")) for p in (tmp_path / "out").rglob("*") if p.is_file() and p.suffix != ".crc")
+    root = str(tree).lstrip("/")
+    assert [n.rsplit(root + "/", 1)[1] for n in names] == ["pkg/a.analysis.json", "pkg/b.analysis.json", "web/c.analysis.json"]
     good, bad = Z.quarantine(
         spark.createDataFrame(
             [("a.py", "x"), ("b.txt", "x"), ("c.c", None), ("d.js", "a\x00b")],
@@ -188,3 +191,175 @@ def test_build_arguments(spark):
     assert path("/w/p/src/./a.c") == "out/src/a.c.i"
     assert path("/w/q/../x/b.c") == "out/x/b.c.i"
     assert path("/other/b.c") == "out/other/b.c.i"
+
+
+# --- sinks and encodings ---------------------------------------------------------
+
+
+def _reports(spark, rows):
+    return spark.createDataFrame(rows, "path string, value string").repartition(3)
+
+
+def test_reports_are_published_whole_or_not(spark, tmp_path):
+    from codeloom.sources.report_files import REPORT_FILES, register
+
+    register(spark)
+    target = tmp_path / "deep" / "reports"
+    rows = [(f"a/b{i}/r{i}.analysis.json", f'{{"file": "{i}"}}') for i in range(20)] + [("/top.analysis.json", None)]
+    write = lambda df, place: df.write.format(REPORT_FILES).mode("append").save(str(place))
+    write(_reports(spark, rows), target)
+    back = {r.path.split("/reports/")[1]: r.value for r in Z.read_report_files(spark, str(target)).collect()}
+    assert back == {p.lstrip("/"): v for p, v in rows if v}
+    assert (target / "top.analysis.json").read_text() == ""
+    for bad, place in [
+        (_reports(spark, [*rows, ("../x", "y")]), tmp_path / "never"),  # one task fails
+        (_reports(spark, rows[:2]), target),  # there is a result already
+    ]:
+        with pytest.raises(Exception):
+            write(bad, place)
+    assert not (tmp_path / "never").exists() and len(list(target.rglob("*.json"))) == 21
+    assert not [p for p in tmp_path.rglob("*") if "staging" in p.name]
+    write(_reports(spark, rows[:0]), "file:" + str(tmp_path / "empty"))
+    assert (tmp_path / "empty").is_dir()
+
+
+@pytest.mark.parametrize(
+    ("raw", "content", "encoding"),
+    [
+        ("é日\U0001f600".encode(), "é日\U0001f600", "utf-8"),
+        (b"\xef\xbb\xbfx = 1", "x = 1", "utf-8"),
+        ("caf\xe9".encode("latin-1"), "café", "latin1"),
+        ("\u201cx\u201d \u20ac5 caf\xe9".encode("cp1252"), "\u201cx\u201d \u20ac5 café", "cp1252"),
+        (b"a\x81\xe9", "a\x81\xe9", "latin1"),  # a byte that code page 1252 has no character for
+        ("def f(): # é日\U0001f600\n".encode("utf-16"), "def f(): # é日\U0001f600\n", "utf-16-le"),
+        (b"\xfe\xff" + "x = 1".encode("utf-16-be"), "x = 1", "utf-16-be"),
+        ("int main(void) {}".encode("utf-16-le"), "int main(void) {}", "utf-16-le"),
+        ("int main(void) {}".encode("utf-16-be"), "int main(void) {}", "utf-16-be"),
+        ("\ufeff".encode("utf-16-le"), "", "utf-16-le"),
+        (b"a\x00b", "a\x00b", "utf-8"),  # odd length: set aside later
+        (b"\xff\xfe\x00\xd8", "\xff\xfe\x00\xd8", "latin1"),  # half a pair
+        (b"", "", "utf-8"),
+    ],
+)
+def test_encodings(spark, raw, content, encoding):
+    df = spark.createDataFrame([(raw,)], "raw binary").select(Z.decode_with_fallback(F.col("raw")).alias("d")).select("d.*")
+    assert tuple(df.first()) == (content, encoding)
+
+
+def test_encodings_of_large_and_missing_files(spark):
+    big = ("x = 'é日'  # " * 100_000).encode("utf-16-le")
+    df = spark.createDataFrame([("a.py", big), ("b.py", None), ("c.py", b"\x00\x01\x02\x03")], "path string, content binary")
+    rows = {r.path: r for r in Z.source_table(df).collect()}
+    assert rows["a.py"].content == big.decode("utf-16-le") and rows["a.py"].error is None
+    assert rows["b.py"].error == "unreadable" and rows["c.py"].error == "not text"
+
+
+# --- rules by their literals -------------------------------------------------------------
+
+
+@pytest.mark.parametrize(
+    ("regex", "literal"),
+    [
+        (r"SELECT.*\+.*", "SELECT"), (r"`SELECT.*\$\{.*\}`", "`SELECT"), (r"if.*token.*==.*None", "token"),
+        (r"if\s*\(\s*!.*auth", "auth"), (r"v-html\s*=", "v-html"), (r"os\.path\.join\([^)]*\+.*\.\.", "os.path.join("),
+        (r"colou?r+x", "colo"), (r"ab|abc", ""), (r"(?i)abc", ""), (r"(abc|d)e", "e"), (r"[abc]d{2}x", "x"), (r"\bword\w+", "word"),
+    ],
+)
+def test_required_literals(regex, literal):
+    assert U.required_literal(regex) == literal
+
+
+def test_rules_hit_as_without_literals(spark):
+    import random
+
+    from codeloom import dims
+
+    rnd = random.Random(2)
+    parts = ["SELECT ", "execute(", "`SELECT ${x}`", " + ", "if ", "password", "==", '""', "token", "None", "os.path.join(", "..", "\n", "x", "auth", "(!", "eval(", "innerHTML ="]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 12))) for _ in range(600)]
+    own = [("any", r"x|SEL")]
+    for extra in ((), own):
+        rules = [(rule, regex) for rule, _, regex in dims.rule_rows()] + list(extra)
+        plain = U.tags_where([(rule, F.col("t").rlike("(?d)" + regex)) for rule, regex in rules])
+        df = spark.createDataFrame([(t,) for t in texts], "t string").select(U.rule_hits(F.col("t"), extra).alias("a"), plain.alias("b"))
+        rows = df.collect()
+        assert all(r.a == r.b for r in rows) and any(r.a for r in rows)
+
+
+# --- the store of scans ---------------------------------------------------------------------
+
+
+BAD = "def run(user_input):\n    return eval(user_input)\n"
+BAD_TOO = "def also(user_input):\n    return eval(user_input)\n"
+
+
+def _event(spark, *rows):
+    return spark.createDataFrame(
+        [(i, p, "python", c, seq, c is None) for i, (p, c, seq) in enumerate(rows)],
+        "file_id long, path string, lang string, content string, seq int, deleted boolean",
+    )
+
+
+def _held(spark, store):
+    return {(r.file, r.function) for r in I.kept_findings(spark, store).collect()}
+
+
+def test_store_replaces_and_withdraws(spark, tmp_path):
+    store = str(tmp_path / "store")
+    assert _held(spark, store) == set() and I.kept_manifest(spark, store).count() == 0
+    I.record_scan(_event(spark, ("a.py", BAD, 0), ("b.py", BAD, 0), ("c.py", "x = 1", 0)), 1, store)
+    assert _held(spark, store) == {("a.py", "run"), ("b.py", "run")}
+    # a changes, b goes, c is as it was, d comes and goes and comes; of two events of a path the last one holds
+    events = _event(
+        spark, ("a.py", "y = 2", 1), ("a.py", BAD + BAD_TOO, 2), ("b.py", BAD_TOO, 1), ("b.py", None, 2), ("c.py", "x = 1", 1),
+        ("d.py", BAD, 1), ("d.py", None, 2), ("d.py", BAD_TOO, 3), ("e.py", None, 1),
+    )
+    I.record_scan(events, 2, store)
+    want = {("a.py", "run"), ("a.py", "also"), ("d.py", "also")}
+    assert _held(spark, store) == want
+    marks = {r.path: (r.change, r.version) for r in I.kept_manifest(spark, store).collect()}
+    assert marks == {"a.py": ("changed", 2), "b.py": ("deleted", 2), "c.py": ("new", 1), "d.py": ("new", 2)}
+    # A crash between the two writes: findings without a manifest do not count, and the version runs again.
+    I.record_scan(_event(spark, ("a.py", None, 3)), 3, store)
+    (tmp_path / "store/manifest/version=3/_SUCCESS").unlink()
+    assert _held(spark, store) == want
+    for _ in range(2):
+        I.record_scan(_event(spark, ("a.py", None, 3), ("b.py", BAD, 3)), 3, store)
+        assert _held(spark, store) == {("d.py", "also"), ("b.py", "run")}
+    # An old version that runs again gives what it gave.
+    I.record_scan(events, 2, store)
+    assert _held(spark, store) == {("d.py", "also"), ("b.py", "run")}
+
+
+def test_scans_of_whole_tables(spark, tmp_path):
+    store = str(tmp_path / "store")
+    first = _event(spark, ("a.py", BAD, 0), ("b.py", BAD, 0)).drop("seq", "deleted")
+    second = _event(spark, ("b.py", BAD_TOO, 0), ("c.py", BAD, 0)).drop("seq", "deleted")
+    I.scan_changes(first, 1, store)
+    I.scan_changes(second, 2, store)
+    assert _held(spark, store) == {("b.py", "also"), ("c.py", "run")}
+    I.scan_changes(first.limit(0), 3, store)
+    assert _held(spark, store) == set()
+    I.scan_changes(first, 4, store)
+    assert _held(spark, store) == {("a.py", "run"), ("b.py", "run")}
+
+
+def test_stream_with_corrections(spark, tmp_path):
+    store, inbox, checkpoint = (str(tmp_path / x) for x in ("store", "inbox", "checkpoint"))
+    for seq, rows in enumerate([[("a.py", BAD), ("b.py", BAD)], [("a.py", BAD_TOO)], [("b.py", None), ("c.py", BAD)]]):
+        events = _event(spark, *[(p, c, seq) for p, c in rows])
+        events.write.mode("append").parquet(inbox)
+        arriving = spark.readStream.schema(events.schema).parquet(inbox)
+        I.correcting_stream(arriving, store, checkpoint).awaitTermination()
+    assert _held(spark, store) == {("a.py", "also"), ("c.py", "run")}
+    I.correcting_stream(arriving, store, checkpoint).awaitTermination()  # nothing new
+    assert _held(spark, store) == {("a.py", "also"), ("c.py", "run")}
+
+
+def test_rollup_tells_nulls_from_totals(spark):
+    found = spark.createDataFrame(
+        [("c", None, "high", 0.5), ("c", "xss", "high", 0.9), (None, "xss", "low", 0.7)],
+        "lang string, vulnerability_type string, severity string, confidence double",
+    )
+    rows = {tuple(r) for r in Q.rollup_findings(found).select("lang", "vulnerability_type", "level", "n_findings").collect()}
+    assert {(None, None, 3, 3), ("c", None, 2, 2), ("c", None, 1, 1), ("c", None, 0, 1), (None, None, 2, 1)} <= rows
