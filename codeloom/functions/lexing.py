@@ -16,6 +16,8 @@ from .folds import bind, pair, pair_index, plain, running_text
 
 # Control characters used as marks inside skeleton text (never valid in source).
 LIT_OPEN, LIT_CLOSE = "\x01", "\x02"
+#: A literal that interpolates, and an interpolation in one.
+CODED_OPEN, CODED_CLOSE, PART_OPEN, PART_CLOSE = "\x1a", "\x1b", "\x1c", "\x1d"
 HEAD, FN_OPEN, FN_CLOSE, FIELD = "\x04", "\x05", "\x06", "\x07"
 # A directive that opens a conditional part, begins its next branch or ends it.
 IF, ELSE, ENDIF = "\x0e", "\x0f", "\x10"
@@ -25,8 +27,10 @@ MARKS = "[\x01-\x08\x0e-\x1f\ue000-\uf8ff]"
 # No pattern repeats a group over file-sized text: Java's matcher recurses for
 # such groups and would overflow the stack on long literals.  Each pattern
 # starts with its possible first characters, so other text is skipped quickly.
+_PY_PREFIXED = r"(?<=(?<!\w)(?:[fF]|[fF][rR]|[rR][fF]))"
 _PY_LITERAL = (
     r"""(?=["'#])(?:(\"{3})((?s:.*?))\"{3}|('{3})((?s:.*?))'{3}"""
+    rf"""|{_PY_PREFIXED}(?:(")([^"\n]*+)"|(')([^'\n]*+)')"""
     r"""|(")[^"\n]*+"|(')[^'\n]*+'|#[^\n]*+)"""
 )
 _C_LITERAL = r"""(?=["'/])(?:(")[^"\n]*+"|(')[^'\n]*+'|/\*((?s:.*?))\*/|//[^\n]*+)"""
@@ -94,6 +98,9 @@ def _blank_marked(text: Column, keep_close: bool) -> Column:
 
 # --- literals that hold code ---------------------------------------------------------
 #
+# Most interpolations hold no quotes, braces or formats: two passes take them out of their literals.  Texts
+# with others are read by a fold.
+#
 # A stack of modes tells what a token is: text of a literal, a comment, or code, outside or inside an
 # interpolation.  Modes are named by what ends them: a quote ("f" before it if braces interpolate),
 # "#" or "//" (the line's end), "/*", ":" (a format, ended by the interpolation's brace), and an
@@ -105,16 +112,16 @@ _PY_PREFIX = r"(?:^|\W)(?:[fF][rR]?|[rR][fF])$"
 _JS_TOKENS = r"""(/\*|\*/|//|\$\{|["'`{}\n]|[^"'`{}\n/*$]++|[/*$])"""
 
 
-def _interpolated(text: Column, pattern: str, rule) -> Column:
+def _interpolated(text: Column, pattern: str, starts: str, rule) -> Column:
     """One fold over the tokens; ``rule(t, top, below, prev)`` says what a token does and leaves.
 
-    The action is "push:" and a mode, "pop", "pop2" or "".
+    Outside of literals and comments only tokens that match ``starts`` do something.  The action is "push:" and a mode, "pop", "pop2" or "".
     """
 
     def step(s: Column, t: Column) -> Column:
         n = F.size(s.stack)
         top, below = F.coalesce(F.get(s.stack, n - 1), F.lit("")), F.coalesce(F.get(s.stack, n - 2), F.lit(""))
-        return bind(
+        acted = bind(
             rule(t, top, below, s.prev),
             lambda r: F.struct(
                 F.struct(
@@ -128,6 +135,10 @@ def _interpolated(text: Column, pattern: str, rule) -> Column:
                 r.out.alias("out"),
             ),
         )
+        # Code outside of literals is most of a text and stays as it is.
+        idle = (n == 0) & ~t.rlike(starts)
+        as_is = F.struct(F.struct(s.stack.alias("stack"), t.alias("prev")).alias("state"), t.alias("out"))
+        return F.when(idle, as_is).otherwise(acted)
 
     return running_text(F.regexp_extract_all(text, F.lit(pattern)), F.expr(_MODES), step)
 
@@ -200,13 +211,29 @@ def python_skeleton(text: Column) -> Column:
     """
 
     def blanked(t: Column) -> Column:
-        marked = F.regexp_replace(t, _PY_LITERAL, f"$1$3$5$6{LIT_OPEN}$2$4{LIT_CLOSE}")
-        holds_code = t.contains("{") & t.rlike("\\b(?:[fF][rR]?|[rR][fF])[\"']")
-        return F.when(holds_code, _interpolated(t, _PY_TOKENS, _python_rule)).otherwise(_blank_marked(marked, True))
+        marked = F.regexp_replace(
+            t, _PY_LITERAL, f"$1$3$5$7$9$10{LIT_OPEN}$2$4{LIT_CLOSE}{CODED_OPEN}$6$8{CODED_CLOSE}"
+        )
+        simple = _without_coded(_blank_marked(F.replace(marked, F.lit(CODED_OPEN + CODED_CLOSE), F.lit("")), True), _PY_PART)
+        whole = _interpolated(t, _PY_TOKENS, "[\"'#]", _python_rule)
+        long = t.rlike("\\b(?:[fF][rR]?|[rR][fF])(?:\"{3}|'{3})")
+        # What two passes can't take out of a literal still has its mark.
+        return F.when(long, whole).otherwise(bind(simple, lambda x: F.when(x.contains(CODED_OPEN), whole).otherwise(x)))
 
     return bind(_without_escapes(text), blanked)
 
 
+#: Interpolations that can be taken out as they are.
+_PY_PART = r"\{[^{}\"'#:!\n\x1b]++\}"
+_JS_PART = rf"{PART_OPEN}[^{PART_CLOSE}]*+{PART_CLOSE}"
+
+
+def _without_coded(text: Column, part: str) -> Column:
+    """Literals between coded marks as the parts and line breaks in them."""
+    inside = rf"(?:{CODED_OPEN}|\G(?<=[\n}}{PART_CLOSE}]))[^\n{{{PART_OPEN}{CODED_CLOSE}]*+(?:(\n|{part})|{CODED_CLOSE})"
+    return bind(text, lambda t: F.when(t.contains(CODED_OPEN), F.regexp_replace(t, inside, "$1")).otherwise(t))
+
+
 def c_skeleton(text: Column) -> Column:
     """C code without literals, comments, directives and attributes; branches leave their marks."""
     marked = F.regexp_replace(
@@ -232,8 +259,18 @@ def js_skeleton(text: Column) -> Column:
     """JavaScript without comments and literals; plain strings leave a quote, templates their code."""
 
     def blanked(t: Column) -> Column:
-        marked = F.regexp_replace(t, _JS_LITERAL, f"$1$2{LIT_OPEN}$3$4{LIT_CLOSE}")
-        return F.when(t.contains("${"), _interpolated(t, _JS_TOKENS, _js_rule)).otherwise(_blank_marked(marked, False))
+        parted = F.regexp_replace(t, r"\$\{([^`{}\"'\n]*+)\}", f"{PART_OPEN}$1{PART_CLOSE}")
+        return bind(
+            F.when(t.contains("${"), parted).otherwise(t),
+            lambda x: F.when(x.contains("${"), _interpolated(t, _JS_TOKENS, "[\"'`]|/[*/]", _js_rule)).otherwise(simple(x)),
+        )
+
+    def simple(t: Column) -> Column:
+        coded = f"{CODED_OPEN}$4{CODED_CLOSE}"
+        marked = F.regexp_replace(t, _JS_LITERAL, f"$1$2{LIT_OPEN}$3{LIT_CLOSE}{coded}")
+        kept = _without_coded(_blank_marked(F.replace(marked, F.lit(CODED_OPEN + CODED_CLOSE), F.lit("")), False), _JS_PART)
+        opened = F.replace(kept, F.lit(PART_OPEN), F.lit(" +("))
+        return F.replace(opened, F.lit(PART_CLOSE), F.lit(")"))
 
     return bind(_without_escapes(text), blanked)
 

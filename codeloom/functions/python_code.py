@@ -512,7 +512,17 @@ def python_calls(skeleton: Column, first_line: Column) -> Column:
             .alias("open"),
         )
         done = F.when(closer & (n > 0) & (last["kind"] != ""), F.array(counted(last)))
-        return F.struct(state.alias("state"), done.alias("out"))
+        # Line breaks, and code outside of all brackets, change no frame.
+        nothing = F.lit(None).cast(f"array<{_FRAME}>").alias("out")
+        broken = F.struct((s.line + 1).alias("line"), s["head"].alias("head"), s.prev.alias("prev"), s.open.alias("open"))
+        passed = F.struct(
+            s.line.alias("line"), t.isin("def", "class").alias("head"), t.alias("prev"), s.open.alias("open")
+        )
+        return (
+            F.when(~content, F.struct(broken.alias("state"), nothing))
+            .when((n == 0) & ~opener, F.struct(passed.alias("state"), nothing))
+            .otherwise(F.struct(state.alias("state"), done.alias("out")))
+        )
 
     return F.transform(
         running_rows(tokens, F.expr(_CALL_ZERO).withField("line", first_line.cast("int")), step, _FRAME),
