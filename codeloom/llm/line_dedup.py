@@ -4,8 +4,8 @@ If a line is cut into e + 1 segments, e edits leave one of them whole.  So every
 an index under (its length, segment number, segment), and looks up, for each length that e edits
 can bridge, the substrings of its own that may stand at the segment's place.  Lines that meet are
 verified with a bit-parallel automaton that keeps a band of diagonals.  Equal lines are one node.
-Lines of e characters or fewer have an empty segment, which all lines in reach meet: those are
-compared with each other.
+The edits grow with the shorter line's length, else short lines would link each other to one class;
+lines that may not differ at all stand in no index.
 """
 
 from __future__ import annotations
@@ -15,24 +15,30 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .linking import components, distinct_groups, verified_edges
+from .linking import components, distinct_groups, tiles, verified_edges
 
-EDITS = 2
-#: Shorter lines are duplicates only if they are equal; 1 leaves none out.
-MIN_CHARS = 1
+#: (least length, edits), from long lines to short ones: of two lines, the shorter one's length decides.
+EDITS = ((21, 2), (6, 1), (0, 0))
 BROADCAST_ROWS = 500_000
 #: Sketches that a Python worker holds at a time.
 _SKETCHES = 4096
 _HAS_WORD = re.compile(r"[^\x20\x09-\x0D]")
 
 
+Scale = tuple[tuple[int, int], ...]
+
+
+def edits_of(length: int, scale: Scale) -> int:
+    """Edits that a line of ``length`` code points may differ by from one that is not shorter."""
+    return next((edits for least, edits in scale if length >= least), 0)
+
+
 def segments(length: int, edits: int) -> list[tuple[int, int]]:
     """Start and length of the edits + 1 segments of a line, the shorter ones first."""
     short, more = divmod(length, edits + 1)
@@ -60,16 +66,25 @@ def windows(length: int, other: int, edits: int) -> list[tuple[int, int, int, in
     return out
 
 
-def index_keys(line: str, edits: int) -> list[tuple[int, int, str]]:
-    return [(len(line), i, line[a : a + n]) for i, (a, n) in enumerate(segments(len(line), edits))]
+def probed(length: int, scale: Scale) -> list[tuple[int, int]]:
+    """(length, edits) of the lines, not longer ones, that a line of ``length`` can link with."""
+    reach = max(edits for _, edits in scale)
+    return [
+        (n, e) for n in range(max(0, length - reach), length + 1) if (e := edits_of(n, scale)) and length - n <= e
+    ]
 
 
-def probe_keys(line: str, edits: int, min_chars: int) -> set[tuple[int, int, str]]:
+def index_keys(line: str, scale: Scale) -> list[tuple[int, int, str]]:
     n = len(line)
+    edits = edits_of(n, scale)
+    return [(n, i, line[a : a + size]) for i, (a, size) in enumerate(segments(n, edits))] if edits else []
+
+
+def probe_keys(line: str, scale: Scale) -> set[tuple[int, int, str]]:
     return {
         (other, i, line[a : a + size])
-        for other in range(max(min_chars, n - edits), n + 1)
-        for i, size, low, high in windows(n, other, edits)
+        for other, edits in probed(len(line), scale)
+        for i, size, low, high in windows(len(line), other, edits)
         for a in range(low, high + 1)
     }
 
@@ -139,16 +154,17 @@ class Plan(dict):
     The seed stands for the indexed line's length and the segment's number.
     """
 
-    def __init__(self, edits: int, min_chars: int):
+    def __init__(self, scale: Scale):
         super().__init__()
-        self.edits, self.min_chars = edits, min_chars
+        self.scale = scale
 
     def __missing__(self, n: int) -> tuple[list, list]:
-        index = [(n * 16 + i, a, a + size) for i, (a, size) in enumerate(segments(n, self.edits))]
+        edits = edits_of(n, self.scale)
+        index = [(n * 16 + i, a, a + size) for i, (a, size) in enumerate(segments(n, edits))] if edits else []
         probes = [
             (other * 16 + i, a, a + size)
-            for other in range(max(self.min_chars, n - self.edits), n + 1)
-            for i, size, low, high in windows(n, other, self.edits)
+            for other, allowed in probed(n, self.scale)
+            for i, size, low, high in windows(n, other, allowed)
             for a in range(low, high + 1)
         ]
         self[n] = out = (index, probes)
@@ -186,26 +202,28 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(list(zip(*found, strict=True)) or [[]] * 5, ["row", "doc_id", "line_no", "d1", "d2"], [_LONG] * 5)
 
 
-def _distinct_lines(batch: pa.RecordBatch, min_chars: int) -> Iterator[str]:
+def _distinct_lines(batch: pa.RecordBatch) -> Iterator[str]:
     seen: set[str] = set()
     for text in batch.column(0):
         for line in (text.as_py() or "").split("\n"):
-            if len(line) >= min_chars and line not in seen and _HAS_WORD.search(line):
+            if line not in seen and _HAS_WORD.search(line):
                 seen.add(line)
                 yield line
 
 
-def _sketches(batches: Iterator[pa.RecordBatch], edits: int, min_chars: int) -> Iterator[pa.RecordBatch]:
+def _sketches(batches: Iterator[pa.RecordBatch], scale: Scale) -> Iterator[pa.RecordBatch]:
     """Digest, length, index keys and probe keys of the lines, once for equal lines of a batch."""
-    plan, names = Plan(edits, min_chars), ["d1", "d2", "units", "index", "probes"]
+    plan, names = Plan(scale), ["d1", "d2", "units", "index", "probes"]
     kinds = [_LONG] * 3 + [pa.list_(_LONG)] * 2
     for batch in batches:
         found: list[tuple] = []
-        for line in _distinct_lines(batch, min_chars):
+        for line in _distinct_lines(batch):
             if len(found) == _SKETCHES:
                 yield _batch(list(zip(*found, strict=True)), names, kinds)
                 found = []
             index, probes = plan[len(line)]
+            if not probes:
+                continue
             found.append(
                 (
                     *_digest(line), len(line),
@@ -216,37 +234,36 @@ def _sketches(batches: Iterator[pa.RecordBatch], edits: int, min_chars: int) ->
         yield _batch(list(zip(*found, strict=True)) or [[]] * 5, names, kinds)
 
 
-def _lines(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.RecordBatch]:
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [(*_digest(line), line) for line in _distinct_lines(batch, min_chars)]
+        found = [(*_digest(line), line) for line in _distinct_lines(batch)]
         yield _batch(list(zip(*found, strict=True)) or [[]] * 3, ["d1", "d2", "line"], [_LONG, _LONG, pa.string()])
 
 
-def _links(frame: pd.DataFrame, edits: int, min_chars: int) -> np.ndarray:
-    """Links among a block's lines: probes of the block's own index, verified by the automaton."""
-    lines = frame["line"].tolist()
+def _links(lines: list[str], scale: Scale) -> np.ndarray:
+    """Links among a tile's lines: probes of the tile's own index, verified by the automaton."""
     index: dict[tuple[int, int, str], list[int]] = defaultdict(list)
     for i, line in enumerate(lines):
-        for k in index_keys(line, edits):
+        for k in index_keys(line, scale):
             index[k].append(i)
     out = np.zeros((len(lines), len(lines)), dtype=bool)
     for i, line in enumerate(lines):
-        near = {j for k in probe_keys(line, edits, min_chars) for j in index.get(k, ())}
+        near = {j for k in probe_keys(line, scale) for j in index.get(k, ())}
         for j in near:
             # Pairs of one length meet from both sides.
-            if (j < i or len(lines[j]) < len(line)) and within(line, lines[j], edits):
+            if (j < i or len(lines[j]) < len(line)) and within(line, lines[j], edits_of(len(lines[j]), scale)):
                 out[i, j] = out[j, i] = True
     return out
 
 
 def line_classes(
-    df: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, key: str = "doc_id", text: str = "text"
+    df: DataFrame, scale: Scale = EDITS, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """One row per line with a word: doc_id, line_no, class_doc_id, class_line_no, class_size, kept.
 
     Lines are split at line feeds and compared as they are.  Two lines link if they are equal, or
-    if both have ``min_chars`` code points and their edit distance is at most ``edits``, however
-    short they are by default; classes are connected by links.  A class is named by its first line, in order of key (null last), row
+    if their edit distance is at most what ``scale`` allows for the shorter one: by default none up to 5
+    code points, 1 up to 20 and 2 beyond; classes are connected by links.  A class is named by its first line, in order of key (null last), row
     and line number; that line is kept.  ``class_size`` counts lines, copies included.  Blank lines,
     null and empty texts give no rows; repeated rows are further copies; other columns are not
     read; an empty table gives none.
@@ -261,7 +278,7 @@ def line_classes(
     )
     texts = docs.select("text")
     kind = "d1 long, d2 long, units long, index array<long>, probes array<long>"
-    sketches = texts.mapInArrow(lambda b: _sketches(b, edits, min_chars), kind)
+    sketches = texts.mapInArrow(lambda b: _sketches(b, scale), kind)
     sketches = sketches.groupBy("d1", "d2").agg(*[F.first(c).alias(c) for c in ("units", "index", "probes")])
     sketches = stored(sketches.withColumn("node", F.monotonically_increasing_id()), "line-sketches")
     leaders = sketches.select("node", F.explode("index").alias("key")).groupBy("key").agg(F.min("node").alias("leader"))
@@ -273,10 +290,11 @@ def line_classes(
     left = groups.select("node").distinct().join(sketches.select("node", "d1", "d2", "units"), "node")
     left = stored(left, "line-candidates")
     small, keys = left.count() <= BROADCAST_ROWS, left.select("d1", "d2", "node")
-    lines = texts.mapInArrow(lambda b: _lines(b, min_chars), "d1 long, d2 long, line string")
+    lines = texts.mapInArrow(_lines, "d1 long, d2 long, line string")
     lines = lines.join(F.broadcast(keys) if small else keys, ["d1", "d2"])
     lines = lines.groupBy("node").agg(F.first("line").alias("line"))
-    edges = verified_edges(groups, left.select("node", "units"), lines, lambda f: _links(f, edits, min_chars))
+    tiled = tiles(groups, left.select("node", "units"), "lines")
+    edges = verified_edges(tiled, lines, lambda c: _links(c["line"], scale))
     named = components(edges, "lines")
 
     # Lines without a near one are named by their digest, the others by their component.

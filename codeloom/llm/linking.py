@@ -1,10 +1,11 @@
 """From shared keys to classes of linked nodes, without listing the pairs of a group.
 
-Two nodes that may be linked share a key of every kind of key.  Instead of the pairs below a key,
-each node of a shared key gets the key's leader, its smallest node; nodes below one leader of each
-kind form a group.  A group is cut into blocks, every pair of blocks is verified in one task of
-bounded size, and a task gives a spanning forest of the links that it found, one row per node at
-most.  Components follow from the forests by rounds of contraction.
+Two nodes that may be linked share a key.  Instead of the pairs below a key, each node of a shared key
+gets the key's leader, its smallest node; nodes below one leader form a group.  A group is cut
+into blocks, every pair of blocks is verified in one task of bounded size (a tile), and a task gives a
+spanning forest of the links that it found, one row per node at most.  A cheaper test may go
+first, which says what nodes of a tile meet any other.  Components follow from the forests by rounds
+of contraction.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,17 +24,6 @@ BLOCK_NODES = 1024
 BLOCK_UNITS = 1_500_000
 
 
-def shared_leaders(postings: DataFrame) -> DataFrame:
-    """(node, leader) for every key that more than one node has; ``postings`` has (node, key).
-
-    The smallest and largest node of a key are combined before the shuffle, so that a hot key is
-    one row per task.
-    """
-    ends = postings.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last"))
-    ends = ends.where("leader <> last").select("key", "leader")
-    return postings.join(ends, "key").select("node", "leader")
-
-
 def distinct_groups(groups: DataFrame) -> DataFrame:
     """Groups of two nodes or more, once if several have the same nodes.
 
@@ -47,26 +37,6 @@ def distinct_groups(groups: DataFrame) -> DataFrame:
     return groups.join(first.select("group"), "group")
 
 
-def groups_of(kinds: list[DataFrame], label: str) -> DataFrame:
-    """(group, node) of nodes that share a leader of every kind, groups of two nodes or more.
-
-    Kinds are intersected one after the other: a later one only meets nodes that are left.
-    """
-    groups = None
-    for i, postings in enumerate(kinds):
-        if groups is not None:
-            left = groups.select("node").distinct()
-            postings = postings.join(left, "node", "left_semi")
-        leaders = stored(shared_leaders(postings).distinct(), f"{label}-leaders-{i}")
-        if groups is None:
-            groups = leaders.select("node", F.xxhash64("leader").alias("group"))
-        else:
-            # Equal hashes of different leaders join two groups: more to verify, nothing lost.
-            groups = groups.join(leaders, "node").select("node", F.xxhash64("group", "leader").alias("group")).distinct()
-        groups = stored(distinct_groups(groups), f"{label}-groups-{i}")
-    return groups
-
-
 def _blocks(groups: DataFrame) -> DataFrame:
     """(node, group, one, two) for every pair of blocks that a node takes part in."""
     sized = groups.groupBy("group").agg(F.count(F.lit(1)).alias("nodes"), F.sum("units").alias("units"))
@@ -99,24 +69,60 @@ def forest(nodes: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return nodes[moved], nodes[label[moved]]
 
 
+def tiles(groups: DataFrame, units: DataFrame, label: str) -> DataFrame:
+    """(node, group, one, two) of all pairs of blocks, stored; ``units`` has (node, units), the size of a node's payload."""
+    return stored(_blocks(groups.join(units, "node")), f"{label}-tiles")
+
+
+_TILE = ["group", "one", "two"]
+
+
+def _rows_of(table: pa.Table) -> tuple[np.ndarray, dict[str, list]]:
+    """Nodes of a tile, each once, and the payload columns of their first rows."""
+    nodes, first = np.unique(table.column("node").to_numpy(), return_index=True)
+    rows = table.take(pa.array(first))
+    return nodes, {c: rows.column(c).to_pylist() for c in table.column_names if c not in (*_TILE, "node")}
+
+
+def meeting(
+    tiled: DataFrame, payloads: DataFrame, meets: Callable[[dict[str, list]], np.ndarray], label: str
+) -> DataFrame:
+    """The rows of ``tiled`` whose node meets another one of its tile, stored.
+
+    ``meets`` gets the payload columns of a tile's nodes and returns the symmetric matrix of pairs that may
+    be linked; ``payloads`` has one row per node.
+    """
+
+    def kept(key: tuple, table: pa.Table) -> pa.Table:
+        nodes, columns = _rows_of(table)
+        found = meets(columns)
+        np.fill_diagonal(found, False)
+        nodes = nodes[found.any(axis=1)]
+        keys = {c: pa.array([k.as_py()] * len(nodes), t) for c, k, t in zip(_TILE, key, (pa.int64(), pa.int32(), pa.int32()), strict=True)}
+        return pa.table({"node": pa.array(nodes, pa.int64()), **keys})
+
+    rows = tiled.join(payloads, "node").groupBy(*_TILE)
+    return stored(rows.applyInArrow(kept, "node long, group long, one int, two int"), f"{label}-meeting")
+
+
 def verified_edges(
-    groups: DataFrame, units: DataFrame, payloads: DataFrame, links: Callable[[pd.DataFrame], np.ndarray]
+    tiled: DataFrame, payloads: DataFrame, links: Callable[[dict[str, list]], np.ndarray]
 ) -> DataFrame:
-    """(a, b) connecting the nodes that are linked, by verification of all pairs of blocks.
+    """(a, b) connecting the nodes that are linked, by verification of all tiles.
 
-    ``units`` has the size of each node's payload, (node, units); ``payloads`` has one row per
-    node of ``groups``: node and the columns that ``links`` reads, best grouped by node already,
-    as they then move once only, to their blocks.  ``links`` gets the rows of two blocks and
-    returns the symmetric matrix of true links.
+    ``payloads`` has one row per node: node and the columns that ``links`` reads.  ``links`` returns the symmetric
+    matrix of true links.  Tiles are dealt to as many tasks as shuffles have, as their work is in no
+    proportion to their bytes, by which adaptive execution would join them.
     """
-    rows = stored(_blocks(groups.join(units, "node")), "blocks").join(payloads, "node")
 
-    def verify(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates("node", ignore_index=True)
-        a, b = forest(frame["node"].to_numpy(), links(frame))
-        return pd.DataFrame({"a": a, "b": b})
+    def verify(key: tuple, table: pa.Table) -> pa.Table:
+        nodes, columns = _rows_of(table)
+        a, b = forest(nodes, links(columns))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return rows.groupBy("group", "one", "two").applyInPandas(verify, "a long, b long")
+    parts = int(tiled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = tiled.join(payloads, "node").repartition(parts, *_TILE)
+    return rows.groupBy(*_TILE).applyInArrow(verify, "a long, b long")
 
 
 def components(edges: DataFrame, label: str) -> DataFrame:

@@ -4,8 +4,9 @@ A document is the set of its hashed word shingles.  If two sets of Jaccard simil
 are sorted by the same global order, they share a token among the first n - ceil(t n) + 1 of each.
 This holds for every order, so candidates must share such a prefix token under each of them.
 Each order sorts tokens by hashed counters of its own over the whole corpus, then by hash, so that
-shared passages come late in all of them and their noise is independent.  Two orders group the
-documents in Spark; the third is asked for inside a block before the exact similarity is computed.
+shared passages come late in all of them and their noise is independent.  The first order groups the
+documents in Spark, cut by set size; the others are asked for inside a group's tiles, on prefixes alone, and
+whole sets go to the tiles only of documents that still meet another one there.
 Documents of equal sets are one node throughout.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 from .common import identity, kept_rows
-from .linking import components, distinct_groups, groups_of, overlaps, verified_edges
+from .linking import components, distinct_groups, meeting, overlaps, tiles, verified_edges
 
 #: Counters of an order per document, and the least and most bits of their index.
 _COUNTERS_PER_DOC, _LEAST_BITS, _MOST_BITS = 2, 16, 22
@@ -147,82 +148,80 @@ def prefix(tokens: np.ndarray, counters: np.ndarray, order: int, percent: int) -
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], words: int, percent: int, counters) -> Iterator[pa.RecordBatch]:
-    """Digest and prefixes of the grouping orders, once for equal sets of a batch.
+    """Digest, a text's hash and the prefix of the grouping order, once for equal sets of a batch.
 
     Prefix tokens are cut to 32 bits: equal ones only make more candidates.
     """
     shingles = Shingler(words)
     for batch in batches:
         seen, cols = set(), ([], [], [], [], [])
-        for text in batch.column(0):
+        for text, md5 in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
             tokens = shingles(text.as_py())
             d = _digest(tokens)
             if not len(tokens) or d in seen:
                 continue
             seen.add(d)
-            values = [*d, len(tokens)] + [
-                prefix(tokens, counters.value, k, percent).astype(np.uint32).view(np.int32) for k in range(ORDERS - 1)
-            ]
-            for col, v in zip(cols, values, strict=True):
+            first = prefix(tokens, counters.value, 0, percent).astype(np.uint32).view(np.int32)
+            for col, v in zip(cols, (*d, len(tokens), md5, first), strict=True):
                 col.append(v)
+        kinds = [pa.int64()] * 3 + [pa.string(), pa.list_(pa.int32())]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, pa.int64()) for c in cols[:3]] + [pa.array(c, pa.list_(pa.int32())) for c in cols[3:]],
-            names=["d1", "d2", "n", "p0", "p1"],
+            [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["d1", "d2", "n", "md5", "p0"]
         )
 
 
-def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    """Digest and whole set as bytes, once for equal sets of a batch."""
-    shingles = Shingler(words)
+def _sets(batches: Iterator[pa.RecordBatch], words: int, percent: int, counters) -> Iterator[pa.RecordBatch]:
+    """Node, whole set and the prefixes of the other orders as bytes."""
+    shingles, names = Shingler(words), ["node", "tokens", *[f"p{k}" for k in range(1, ORDERS)]]
     for batch in batches:
-        texts, seen = batch.column(0), set()
-        for at in range(0, len(texts), 500):
-            cols: tuple[list, ...] = ([], [], [])
-            for text in texts.slice(at, 500):
+        for at in range(0, batch.num_rows, 500):
+            part, cols = batch.slice(at, 500), [[] for _ in names]
+            for node, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                 tokens = shingles(text.as_py())
-                d = _digest(tokens)
-                if not len(tokens) or d in seen:
-                    continue
-                seen.add(d)
-                for col, v in zip(cols, (*d, tokens.tobytes()), strict=True):
+                others = [prefix(tokens, counters.value, k, percent).astype(np.uint32).tobytes() for k in range(1, ORDERS)]
+                for col, v in zip(cols, (node, tokens.tobytes(), *others), strict=True):
                     col.append(v)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int64()) for c in cols[:2]] + [pa.array(cols[2], pa.binary())],
-                names=["d1", "d2", "tokens"],
-            )
-
-
-def _links(frame: pd.DataFrame, percent: int, counters) -> np.ndarray:
-    """Exact links of a block: they share a token of the last prefix and reach the similarity."""
-    sets = [np.frombuffer(x, dtype=np.uint64) for x in frame["tokens"]]
-    shared = overlaps([prefix(s, counters.value, ORDERS - 1, percent) for s in sets]) > 0
-    np.fill_diagonal(shared, False)
-    met = np.flatnonzero(shared.any(axis=1))
-    out = np.zeros((len(sets), len(sets)), dtype=bool)
-    if len(met):
-        both = overlaps([sets[i] for i in met]).astype(np.int64)
-        sizes = np.array([len(sets[i]) for i in met], dtype=np.int64)
-        union = sizes[:, None] + sizes[None, :] - both
-        out[np.ix_(met, met)] = 100 * both >= percent * union
-    return out & shared
-
-
-def _of_like_size(groups: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Groups cut by set size: linked sets lie in the same or in adjacent classes of size.
-
-    A class spans the ratio that the similarity allows.  A part holds the sets of a class and of
-    the next larger one, and is needed only if it has some of the class itself.
+            kinds = [pa.int64()] + [pa.binary()] * (len(names) - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+
+
+def _meets(columns: dict[str, list]) -> np.ndarray:
+    """Pairs that share a prefix token under every other order."""
+    out = None
+    for name in sorted(columns):
+        shared = overlaps([np.frombuffer(x, dtype=np.uint32) for x in columns[name]]) > 0
+        out = shared if out is None else out & shared
+    return out
+
+
+def _links(columns: dict[str, list], percent: int) -> np.ndarray:
+    """Pairs that reach the similarity."""
+    sets = [np.frombuffer(x, dtype=np.uint64) for x in columns["tokens"]]
+    both = overlaps(sets).astype(np.int64)
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    return 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+
+
+def _groups(sketches: DataFrame, percent: int) -> DataFrame:
+    """(node, group) of nodes that share a token of their first prefixes and are of like size, stored.
+
+    Linked sets lie in the same or in adjacent classes of size, each of which spans the ratio that the
+    similarity allows.  A part holds the sets of a class and of the next larger one; it is needed only if it has some of
+    the class itself.  Tokens of one node are left out first, which most are.
     """
     step = max(-math.log(percent / 100), 0) + 1e-9  # a little wide, so that rounding loses nothing
-    own = F.floor(F.log("units") / step)
-    placed = groups.join(sizes, "node").withColumn("own", own)
-    placed = placed.select("group", "node", "own", F.explode(F.array(F.col("own"), F.col("own") - 1)).alias("part"))
-    parts = placed.groupBy("group", "part").agg(
-        F.max(F.col("own") == F.col("part")).alias("needed"), F.min("node").alias("a"), F.max("node").alias("b")
+    postings = sketches.select("node", F.floor(F.log("n") / step).alias("own"), F.explode("p0").alias("key"))
+    ends = postings.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"))
+    shared = stored(ends.where("a <> b").select("key"), "shared-tokens")
+    met = stored(postings.join(shared, "key"), "shared-postings")
+    parts = met.select("key", "node", "own", F.explode(F.array("own", F.col("own") - 1)).alias("part"))
+    leaders = parts.groupBy("key", "part").agg(
+        F.min("node").alias("leader"), F.max("node").alias("last"), F.max(F.col("own") == F.col("part")).alias("needed")
     )
-    parts = parts.where("needed and a <> b").select("group", "part")
-    cut = placed.join(parts, ["group", "part"])
-    return distinct_groups(cut.select("node", F.xxhash64("group", "part").alias("group")))
+    leaders = stored(leaders.where("needed and leader <> last").select("key", "part", "leader"), "leaders")
+    # Equal hashes of different leaders join two groups: more to verify, nothing lost.
+    groups = parts.join(leaders, ["key", "part"]).select("node", F.xxhash64("leader", "part").alias("group")).distinct()
+    return stored(distinct_groups(stored(groups, "led-groups")), "groups")
 
 
 def _members(df: DataFrame, percent: int, words: int, key: str, text: str) -> DataFrame:
@@ -247,23 +246,25 @@ def _members(df: DataFrame, percent: int, words: int, key: str, text: str) -> Da
     total = np.minimum(total, (1 << 24) - 1).reshape(ORDERS, -1)
     counters = spark.sparkContext.broadcast(total)
 
-    texts = docs.select("text")
-    kind = "d1 long, d2 long, n long, p0 array<int>, p1 array<int>"
+    texts = docs.select("text", F.md5(F.coalesce("text", F.lit(""))).alias("md5"))
+    kind = "d1 long, d2 long, n long, md5 string, p0 array<int>"
     sketches = texts.mapInArrow(lambda b: _prefixes(b, words, percent, counters), kind)
-    sketches = sketches.groupBy("d1", "d2").agg(*[F.first(c).alias(c) for c in ("n", "p0", "p1")])
+    sketches = sketches.groupBy("d1", "d2").agg(*[F.first(c).alias(c) for c in ("n", "md5", "p0")])
     sketches = stored(sketches.withColumn("node", F.monotonically_increasing_id()), "sketches")
-    orders = [sketches.select("node", F.explode(p).alias("key")) for p in ("p0", "p1")]
-    sizes = sketches.select("node", F.col("n").alias("units"))
-    groups = stored(_of_like_size(groups_of(orders, "jaccard"), sizes, percent), "jaccard-groups")
+    groups = _groups(sketches, percent)
 
-    left = groups.select("node").distinct().join(sketches.select("node", "d1", "d2", F.col("n").alias("units")), "node")
+    # Only candidates' texts are cut again, one of each set; they are found by their hash.
+    left = groups.select("node").distinct().join(sketches.select("node", "md5", F.col("n").alias("units")), "node")
     left = stored(left, "candidates")
+    keys = left.select("md5", "node")
     small = left.count() <= BROADCAST_ROWS
-    sets = texts.mapInArrow(lambda b: _sets(b, words), "d1 long, d2 long, tokens binary")
-    keys = left.select("d1", "d2", "node")
-    sets = sets.join(F.broadcast(keys) if small else keys, ["d1", "d2"])
-    sets = sets.groupBy("node").agg(F.first("tokens").alias("tokens"))
-    edges = verified_edges(groups, left.select("node", "units"), sets, lambda f: _links(f, percent, counters))
+    chosen = texts.join(F.broadcast(keys) if small else keys, "md5").groupBy("node").agg(F.first("text").alias("text"))
+    kind = "node long, tokens binary, " + ", ".join(f"p{k} binary" for k in range(1, ORDERS))
+    sets = chosen.mapInArrow(lambda b: _sets(b, words, percent, counters), kind)
+    sets = stored(sets, "candidate-sets")
+    tiled = tiles(groups, left.select("node", "units"), "jaccard")
+    tiled = meeting(tiled, sets.drop("tokens"), _meets, "jaccard")
+    edges = verified_edges(tiled, sets.select("node", "tokens"), lambda c: _links(c, percent))
     named = components(edges, "jaccard")
 
     nodes = sketches.select("d1", "d2", "node").join(named, "node", "left")
@@ -287,8 +288,8 @@ def jaccard_classes(
     component; other columns are not read; an empty table gives no rows.
 
     Links are exact up to collisions of 64-bit shingle hashes in a pair; nodes are numbered from
-    128-bit digests of the sets.  Texts are read three times and never shuffled; sets are,
-    of candidates only.
+    128-bit digests of the sets.  Texts are read three times; those of candidates are shuffled once, one
+    per set, and so are whole sets of documents that still meet others under all orders.
     """
     members = _members(df, percent, words, key, text)
     least = members.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
