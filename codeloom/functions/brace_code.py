@@ -127,16 +127,14 @@ def _paired(marked: Column, nested: bool) -> Column:
             return F.transform(F.filter(s.open, which), lambda o: o.withField("end_line", line))
 
         state = F.struct(
-            F.when(t.startswith("\n"), s.line + F.length(t)).otherwise(s.line)
-            .alias("line"),
-            F.when(t == "{", s.depth + 1)
-            .when(t == "}", F.greatest(s.depth - 1, F.lit(0)))
+            s.line.alias("line"),
+            F.when(t == "}", F.greatest(s.depth - 1, F.lit(0)))
             .when((t == ELSE) & branched, part.depth)
             .when((t == ENDIF) & branched, part.depth + change)
             .when(lost, 0)
             .otherwise(s.depth)
             .alias("depth"),
-            F.when(t == HEAD, s.line).otherwise(s["head"]).alias("head"),
+            s["head"].alias("head"),
             F.when(starts, s.seen + 1).otherwise(s.seen).alias("seen"),
             F.when(lost, F.array(new))
             .when(pushes, F.array_append(s.open, new))
@@ -155,7 +153,21 @@ def _paired(marked: Column, nested: bool) -> Column:
             .when(lost, ended(lambda o: o.depth >= 0, 1 - s["head"]))
             .when(t == _END, ended(lambda o: o.depth >= 0, -s.line))
         )
-        return F.struct(state.alias("state"), out.alias("out"))
+
+        def moved(line: Column = s.line, depth: Column = s.depth, head: Column = s["head"]) -> Column:
+            after = F.struct(
+                line.alias("line"), depth.alias("depth"), head.alias("head"), s.seen.alias("seen"), s.open.alias("open"),
+                s.branches.alias("branches"),
+            )
+            return F.struct(after.alias("state"), F.lit(None).cast(f"array<{_SPAN}>").alias("out"))
+
+        # Most tokens only move on.
+        return (
+            F.when(t.startswith("\n"), moved(line=s.line + F.length(t)))
+            .when(t == "{", moved(depth=s.depth + 1))
+            .when(t == HEAD, moved(head=s.line))
+            .otherwise(F.struct(state.alias("state"), out.alias("out")))
+        )
 
     closed = bind(
         heads,

@@ -34,11 +34,12 @@ _CONTINUES = "\x02"
 def _line_records(skel: Column) -> Column:
     """Non-blank skeleton lines with indentation, bracket balance and header."""
 
-    def record(line: Column, i: Column) -> Column:
+    def record(numbered: Column) -> Column:
+        line = numbered.line
         indent = F.regexp_extract(line, r"^[ \t]*", 0)
         head = line.rlike(r"^\s*(async\s+def|def|class)\s")
         return F.struct(
-            (i + 1).alias("ln"),
+            numbered.ln.alias("ln"),
             F.length(F.replace(indent, F.lit("\t"), F.lit(" " * 8))).alias("indent"),
             bracket_balance(line).alias("net"),
             line.startswith(_CONTINUES).alias("cont"),
@@ -53,7 +54,8 @@ def _line_records(skel: Column) -> Column:
             ).alias("deco"),
         )
 
-    return F.filter(F.transform(skel, record), lambda r: F.trim(F.get(skel, r.ln - 1)) != "")
+    numbered = F.transform(skel, lambda line, i: F.struct((i + 1).alias("ln"), line.alias("line")))
+    return F.transform(F.filter(numbered, lambda n: F.trim(n.line) != ""), record)
 
 
 def _close(open_: Column, keep, end: Column) -> Column:

@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 from functools import cache
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,4 +67,23 @@ def stored(table: DataFrame, label: str) -> DataFrame:
     """
     path = scratch_path(table.sparkSession, label)
     table.write.parquet(path)
-    return table.sparkSession.read.schema(table.schema).parquet(path)
+    out = table.sparkSession.read.schema(table.schema).parquet(path)
+    _stored[out] = path
+    return out
+
+
+#: Where stored tables lie.
+_stored: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of stored tables that nothing reads any more; other tables are left alone.
+
+    Only for what later stored tables were made from: those are complete, so that a lost executor
+    never asks for these files again.
+    """
+    for table in tables:
+        if path := _stored.pop(table, None):
+            spark = table.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

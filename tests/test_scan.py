@@ -363,3 +363,16 @@ def test_rollup_tells_nulls_from_totals(spark):
     )
     rows = {tuple(r) for r in Q.rollup_findings(found).select("lang", "vulnerability_type", "level", "n_findings").collect()}
     assert {(None, None, 3, 3), ("c", None, 2, 2), ("c", None, 1, 1), ("c", None, 0, 1), (None, None, 2, 1)} <= rows
+
+
+def test_stored_tables_are_discarded(spark):
+    from pathlib import Path
+
+    from codeloom.session import discard, stored
+
+    plain = spark.range(5)
+    kept, gone = stored(plain, "kept"), stored(plain, "gone")
+    places = [Path(t.inputFiles()[0].removeprefix("file://")).parent for t in (kept, gone)]
+    discard(gone, plain)
+    assert places[0].exists() and not places[1].exists() and kept.count() == 5
+    discard(gone)
