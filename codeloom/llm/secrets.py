@@ -11,9 +11,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import pairwise
+from itertools import accumulate, pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -70,12 +71,12 @@ CLASSES = (
     CharClass("base64", re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 24, 4.0, (_LOWER, _UPPER), True),
 )
 
-#: Strings that look random and are none: identifiers, digests named as such, placeholders.
+#: Strings that look random and are none: identifiers, digests named as such, candidates with a placeholder.
 ALLOW = (
     re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"),
     re.compile(r"(?:sha(?:1|256|384|512)|md5|commit|digest|checksum)[:=\-\x20]\x20?[A-Za-z0-9+/=]+", re.IGNORECASE),
-    re.compile(r"[A-Za-z0-9+/_=-]*(?:EXAMPLE|example|placeholder|PLACEHOLDER|abcdefghijklm|0123456789)[A-Za-z0-9+/_=-]*"),
 )
+PLACEHOLDER = re.compile("EXAMPLE|example|placeholder|PLACEHOLDER|abcdefghijklm|0123456789")
 
 
 def _hot_windows(s: str, window: int, bits: float) -> Iterator[tuple[int, int]]:
@@ -120,12 +121,25 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+class Cover:
+    """Whether any of some spans covers another one."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]]):
+        ordered = sorted(spans)
+        self.starts = [a for a, _ in ordered]
+        self.ends = list(accumulate((b for _, b in ordered), max))
+
+    def __contains__(self, span: tuple[int, int]) -> bool:
+        at = bisect_right(self.starts, span[0])
+        return at > 0 and self.ends[at - 1] >= span[1]
+
+
 def entropy_spans(text: str) -> list[tuple[int, int]]:
     """Spans of high entropy in candidate strings, merged over the classes, without allowed ones."""
     found: list[tuple[int, int]] = []
     for m in CANDIDATE.finditer(text):
         s = m[0]
-        if not (_DIGIT.search(s) or (_LOWER.search(s) and _UPPER.search(s))):
+        if not (_DIGIT.search(s) or (_LOWER.search(s) and _UPPER.search(s))) or PLACEHOLDER.search(s):
             continue
         for k in CLASSES:
             for run in k.run.finditer(s):
@@ -141,8 +155,8 @@ def entropy_spans(text: str) -> list[tuple[int, int]]:
             merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
         else:
             merged.append((a, b))
-    allowed = [(m.start(), m.end()) for p in ALLOW for m in p.finditer(text)]
-    return [(a, b) for a, b in merged if not any(x <= a and b <= y for x, y in allowed)]
+    allowed = Cover(m.span() for p in ALLOW for m in p.finditer(text))
+    return [span for span in merged if span not in allowed]
 
 
 def spans_of(text: str | None) -> list[tuple[int, int, int]]:
@@ -150,10 +164,8 @@ def spans_of(text: str | None) -> list[tuple[int, int, int]]:
     if not text:
         return []
     base = base_spans(text)
-    extra = [
-        (a, 3, b) for a, b in entropy_spans(text) if not any(x <= a and b <= y for x, _, y in base)
-    ]
-    return sorted(base + extra)
+    fixed = Cover((a, b) for a, _, b in base)
+    return sorted(base + [(a, 3, b) for a, b in entropy_spans(text) if (a, b) not in fixed])
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -186,7 +198,8 @@ def scan_secrets(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
     Null and empty texts have none; every input row gives one row, repeated ones too; other
     columns are not read.  Spans are code points, end exclusive, by start, then by kind in the
-    order assign, access, hex, entropy.  A narrow job: no shuffle, a row at a time.
+    order assign, access, hex, entropy.  A narrow job: no shuffle, a row at a time, in time linear in the
+    text: a megabyte of base64 takes about a second.
     """
     return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
         _scan, "doc_id long, n_assign long, n_access long, n_hex long, n_entropy long, base_sha256 string, spans string"
@@ -206,7 +219,10 @@ def mask(text: str | None, spans: list[tuple[int, int, int]]) -> str | None:
 
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with the secrets of its texts masked, all rows and columns kept."""
+    """``df`` with the secrets of its texts masked, all rows (repeated ones too) and columns kept.
+
+    Null and empty texts stay as they are; an empty table gives one.
+    """
 
     @F.pandas_udf("string")
     def masked(texts):
