@@ -6,15 +6,18 @@ names around it.  Second pass: blocks too short to be decided alone take the lab
 nearest decided neighbours; where these disagree, they count as boilerplate unless they are close
 to the text on the side of a heading.  Stop words decide only on pages that have them; a block
 without a decided neighbour of boilerplate is text.  Articles that hold most of the page's text
-are kept whole, but for the elements that are never text, and nothing else is; others count for
-nothing.
+are kept, but for the elements that are never text and those named as comments, adverts, notices and
+the like, and nothing else is; others count for nothing.
+
+Every step is linear in the page: the stack's entries know what surrounds them, and named elements form
+a tree that is judged once.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -69,6 +72,22 @@ _WEAK_NAMES = frozenset(
     "related related-posts related-articles recommended share sharing share-buttons social social-share pagination "
     "pager search search-form skip-link copyright".split()
 )
+#: Words that make a name of boilerplate, alone or beside words that say nothing.
+_BAD_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored comment comments disqus "
+    "cookie cookies gdpr consent alert alerts notice notices".split()
+)
+_WEAK_WORDS = frozenset(
+    "banner promo popup modal overlay newsletter subscribe signup login nav navbar navigation menu breadcrumb "
+    "breadcrumbs sidebar widget replies related recommended share sharing social pagination pager search copyright".split()
+)
+_PLAIN_WORDS = frozenset(
+    "box block section container wrapper wrap area list thread item items inner outer content row col column group panel "
+    "unit slot zone bar text message messages top bottom left right header footer side inline mobile desktop sticky post "
+    "article entry page site user reader js info warning danger success primary dismissible sm md lg".split()
+)
+_CASE = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_BETWEEN_WORDS = re.compile(r"[-_\d]+")
 _TAG = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
     r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*)(?:>|$)""",
@@ -84,7 +103,12 @@ class Named:
 
     weak: bool
     inside: bool  # in an article or main element
-    holds: bool = False  # an article or main element
+    parent: Named | None = None  # the next one around it
+    holds: bool = False  # an article or main element, as all around it do
+    below: int = 0  # weight of the text in it, and of that in articles
+    within: int = 0
+    rules_out: bool = False  # all in it, and what is no text by itself
+    doubts: bool = False
 
 
 @dataclass
@@ -96,11 +120,11 @@ class Block:
     outside: bool  # in an element that is never part of the article
     inside: bool  # in an article or main element
     heading: bool
-    named: tuple[Named, ...] = ()  # elements around it whose names suggest boilerplate
+    named: Named | None = None  # the innermost element around it whose name suggests boilerplate
     text: str = ""
 
 
-def _names(attributes: str) -> tuple[str, bool]:
+def _attributes(attributes: str) -> tuple[str, bool]:
     """The class, id and role of a tag; whether it is hidden."""
     names, hidden = [], False
     for m in _ATTRIBUTE.finditer(attributes):
@@ -114,6 +138,35 @@ def _names(attributes: str) -> tuple[str, bool]:
     return " ".join(names), hidden
 
 
+def judged_names(names: str) -> str:
+    """ "bad" or "weak" if any of the names suggests boilerplate, else "".
+
+    A name is known whole, or it is made of words of boilerplate and words that say nothing; any other
+    word in it makes it a name of something else.
+    """
+    out = ""
+    for name in names.split():
+        known = name.lower()
+        words = {w for w in _BETWEEN_WORDS.split(_CASE.sub("-", name).lower()) if w and w not in _PLAIN_WORDS}
+        if known in _BAD_NAMES or (known not in _WEAK_NAMES and words and words <= _BAD_WORDS):
+            return "bad"
+        if known in _WEAK_NAMES or (words and words <= _BAD_WORDS | _WEAK_WORDS):
+            out = "weak"
+    return out
+
+
+@dataclass
+class Open:
+    """An open element, with what it and those around it say."""
+
+    name: str
+    outside: bool = False
+    inside: bool = False
+    heading: bool = False
+    named: Named | None = None
+    block: int = -1  # place on the stack of the innermost block-level element
+
+
 def blocks_of(page: str) -> list[Block]:
     """Blocks in page order.
 
@@ -121,20 +174,26 @@ def blocks_of(page: str) -> list[Block]:
     what surrounds it; end tags that nothing opened are ignored.
     """
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, tuple[Named, ...]]] = []  # name, outside, inside, named
+    stack: list[Open] = []
+    opened: Counter[str] = Counter()
+    endless: set[str] = set()  # skipped elements that no end tag follows any more
     now: Block | None = None
-    links = 0
 
     def add(raw: str) -> None:
         nonlocal now
         if now is None:
-            _, outside, inside, named = stack[-1] if stack else ("", False, False, ())
-            now = Block([], 0, outside, inside, any(s[0] in _HEADINGS for s in stack), named)
+            e = stack[-1] if stack else Open("")
+            now = Block([], 0, e.outside, e.inside, e.heading, e.named)
             out.append(now)
         now.parts.append(raw)
-        if links:
+        if opened["a"]:
             now.linked += len(raw)
 
+    def close(place: int) -> None:
+        for e in stack[place:]:
+            opened[e.name] -= 1
+        del stack[place:]
+
     at, end = 0, len(page)
     while at < end:
         m = _TAG.search(page, at)
@@ -153,20 +212,23 @@ def blocks_of(page: str) -> list[Block]:
         if closing:
             if name in _BLOCKS:
                 now = None
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if depth is not None:
-                links -= sum(s[0] == "a" for s in stack[depth:])
-                del stack[depth:]
-            elif name in ("p", "br"):
-                now = None if name == "p" else now
+            if opened[name]:
+                place = len(stack) - 1
+                while stack[place].name != name:
+                    place -= 1
+                close(place)
             continue
         if name in _SKIPPED and name not in _VOID and not m[4].endswith("/"):
             # Its content is no markup; what is not closed reaches to the end of the page.
-            tail = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(page, at)
+            tail = None
+            if name not in endless:
+                tail = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(page, at)
             if tail:
                 at = tail.end()
             elif name in ("script", "style", "noscript", "template", "iframe", "textarea", "svg", "math"):
                 at = end
+            else:
+                endless.add(name)
             continue
         if name == "br":
             if now is not None:
@@ -174,35 +236,26 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if name in _BLOCKS:
             now = None
-        while stack and name in _CLOSED_BY.get(stack[-1][0], ()):
-            stack.pop()
+        while stack and name in _CLOSED_BY.get(stack[-1].name, ()):
+            close(len(stack) - 1)
         # A paragraph also ends below open inline elements, which end with it.
-        if name in _BLOCKS:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in _BLOCKS:
-                    if stack[i][0] == "p":
-                        links -= sum(s[0] == "a" for s in stack[i:])
-                        del stack[i:]
-                    break
+        if name in _BLOCKS and stack and stack[-1].block >= 0 and stack[stack[-1].block].name == "p":
+            close(stack[-1].block)
         if name in _VOID or m[4].endswith("/"):
             continue
-        _, outside, inside, named = stack[-1] if stack else ("", False, False, ())
-        names, hidden = _names(m[4]) if m[4] and not m[4].isspace() else ("", False)
-        bad = name in _OUTSIDE or hidden
-        if name == "header" and not inside:
-            bad = True
-        if names and name in _BLOCKS and name not in _UNNAMED:
-            words = set(names.lower().split())
-            if words & _BAD_NAMES or words & _WEAK_NAMES:
-                named = (*named, Named(not words & _BAD_NAMES, inside))
+        around = stack[-1] if stack else Open("")
+        inside, named = around.inside, around.named
+        names, hidden = _attributes(m[4]) if m[4] and not m[4].isspace() else ("", False)
+        outside = around.outside or name in _OUTSIDE or hidden or (name == "header" and not inside)
+        if names and name in _BLOCKS and name not in _UNNAMED and (kind := judged_names(names)):
+            named = Named(kind == "weak", inside, named)
         if name in ("article", "main"):
-            inside = True
-            if not (outside or bad):
-                for e in named:
-                    e.holds = True
-        if name == "a":
-            links += 1
-        stack.append((name, outside or bad, inside, named))
+            inside, e = True, named
+            while e and not outside and not e.holds:
+                e.holds, e = True, e.parent
+        block = len(stack) if name in _BLOCKS else around.block
+        stack.append(Open(name, outside, inside, around.heading or name in _HEADINGS, named, block))
+        opened[name] += 1
     for b in out:
         b.text = _SPACE.sub(" ", html.unescape("".join(b.parts))).strip()
     return [b for b in out if b.text]
@@ -223,30 +276,52 @@ class Rules:
 RULES = Rules()
 
 
+def _named_elements(blocks: list[Block]) -> list[Named]:
+    """The named elements around any block, outer ones first."""
+    seen: dict[Named, None] = {}
+    for b in blocks:
+        chain, e = [], b.named
+        while e and e not in seen:
+            chain.append(e)
+            e = e.parent
+        seen.update(dict.fromkeys(reversed(chain)))
+    return list(seen)
+
+
 def _ruled_out(blocks: list[Block], text: list[bool]) -> list[bool]:
     """Whether the elements or names around each block rule it out.
 
     ``text`` says which blocks are text by themselves.  A name does not count on an element that
-    holds an article, unless another article has most of the page's text, and on one that holds
-    most of the text itself, unless it is in an article or, if the name is not weak, beside one.
+    holds an article, unless another article has most of the page's text.  In an article, it does not count on one that
+    holds all of the article's text or, if the name is weak, most of the page's; elsewhere, on one that holds
+    most of the page's text, unless the name is not weak and an article stands beside it.
     """
     weights = [0 if b.outside else max(len(b.text) - b.linked, 0) for b in blocks]
     total, articles = sum(weights), sum(w for b, w in zip(blocks, weights, strict=True) if b.inside)
-    below: dict[Named, int] = defaultdict(int)
-    within: dict[Named, int] = defaultdict(int)
+    elements = _named_elements(blocks)
+    for e in elements:
+        e.below = e.within = 0
     for b, w in zip(blocks, weights, strict=True):
-        for e in b.named:
-            below[e] += w
-            within[e] += w * b.inside
+        if b.named:
+            b.named.below += w
+            b.named.within += w * b.inside
+    for e in reversed(elements):
+        if e.parent:
+            e.parent.below += e.below
+            e.parent.within += e.within
 
     def counts(e: Named) -> bool:
-        beside = articles - within[e]
+        beside = articles - e.within
         if e.holds:
             return 2 * beside > total
-        return e.inside or (beside > 0 and not e.weak) or 2 * below[e] <= total
+        return (beside > 0 and not e.weak) or 2 * e.below <= total
 
+    for e in elements:
+        here = counts(e)
+        e.rules_out = (here and not e.weak) or bool(e.parent and e.parent.rules_out)
+        e.doubts = (here and e.weak) or bool(e.parent and e.parent.doubts)
     return [
-        b.outside or any(not (e.weak and t) and counts(e) for e in b.named)
+        b.outside or bool(b.named and (b.named.rules_out or (b.named.doubts and not t)))
         for b, t in zip(blocks, text, strict=True)
     ]
 
@@ -343,7 +418,8 @@ def extract_main_text(df: DataFrame, key: str = "page_id", url: str = "url", pag
     """One row per page: page_id, url, text, n_chars.
 
     Null, empty and text-free pages give an empty text; repeated rows are extracted again; other
-    columns are not read; an empty table gives no rows.  A narrow job, a page at a time.
+    columns are not read; an empty table gives no rows.  A narrow job, a page at a time, in time linear in
+    the page, however its elements nest.
     """
     return df.select(
         F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(page)
