@@ -7,12 +7,16 @@ lowest rank, leftmost first, joins that pair and looks up the two ranks that cha
 map.  Decoding concatenates the pieces' bytes per word.  At last the words' results are put
 together in document order.  Everything is narrow: there is no shuffle, and a lost task is simply
 run again.
+
+Each step of the fold copies the word's pieces.  That is little for words, but not for the rare runs of
+thousands of letters: those are merged beforehand, with a heap of the ranks.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import json
 import re
 from collections.abc import Iterator
@@ -26,17 +30,18 @@ from pyspark.sql import functions as F
 from .common import let
 
 #: Text characters of a block of documents; the distinct words of one are in memory at once.
-BLOCK_CHARS = 20_000_000
+BLOCK_CHARS = 16_000_000
+#: Bytes of a word beyond which it is merged with a heap.
+LONG_WORD = 400
 
 _ODD = re.compile(r" (?=\s)")
 _CUT = re.compile(r"(?= \S)")
 #: Chunks of a block whose word numbers are remembered.
 _REMEMBERED = 200_000
-#: Buckets of the rank map, a power of two, with a few pairs in each.
-_BUCKETS = 1 << 17
-#: A pair (a, b) has the key a * _SHIFT + b.  Places count pieces from 1: 0 ends a word and pairs
-#: with nothing, and no key is as small as a rank.
-_SHIFT = 1 << 17
+#: A pair (a, b) has the key a * 2^_BITS + b.  Pieces count from 1: 0 ends a word and pairs with nothing.
+_BITS = 17
+#: Factors of the two places that a pair may have in the rank map; the next ones are tried if two do not do.
+_FACTORS = ((40503, 9973), (7919, 104729), (15485863, 32452843), (49979687, 67867967))
 
 
 def chunks(text: str) -> list[str]:
@@ -66,8 +71,30 @@ def pair_ranks(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
     }
 
 
-def _bucket(key: int) -> int:
-    return (key * 40503 + key // _SHIFT) & (_BUCKETS - 1)
+def placed(pairs: dict[tuple[int, int], int]) -> tuple[list[int], list[tuple[int, int]]]:
+    """A table in which each pair stands in one of two places, as key * 2^_BITS + rank, and the places' factors.
+
+    A pair that finds its places taken moves another one to that one's second place, and so on.
+    """
+    size = 1 << (3 * len(pairs)).bit_length()
+    for shift in range(len(_FACTORS)):
+        factors = [_FACTORS[shift], _FACTORS[(shift + 1) % len(_FACTORS)]]
+        table: list[tuple | None] = [None] * size
+        for pair in pairs:
+            held, at = pair, None
+            for _ in range(500):
+                spots = [(held[0] * f + held[1] * g) % size for f, g in factors]
+                free = next((s for s in spots if table[s] is None), None)
+                if free is not None:
+                    table[free], held = held, None
+                    break
+                at = spots[1] if at == spots[0] else spots[0]
+                table[at], held = held, table[at]
+            if held is not None:
+                break
+        else:
+            return [-1 if p is None else ((p[0] << _BITS) + p[1] << _BITS) + pairs[p] for p in table], factors
+    raise ValueError("the ranks find no place in the table")
 
 
 def _literal(values, kind: str) -> Column:
@@ -75,42 +102,46 @@ def _literal(values, kind: str) -> Column:
 
 
 class RankMap:
-    """The literal map from pairs to ranks, in buckets, and the bytes of each piece.
+    """The literal map from pairs to ranks, and the bytes of each piece.
 
-    Pieces are counted from 1, so a rank is an id plus 1.  A bucket is an array: null, then key and
-    rank of each pair in turn.  A key's place, or 0 if it is not there, thus leads to its rank or to
-    null.
+    Pieces are counted from 1, so a rank is an id plus 1.  The map is a flat array, in which a lookup reads
+    one or two places; expressions get it as a bound value, so that it stands in the plan once.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
-        buckets: list[list] = [[None] for _ in range(_BUCKETS)]
-        for (a, b), r in pair_ranks(ranks).items():
-            key = (a + 1) * _SHIFT + b + 1
-            buckets[_bucket(key)] += [key, r + 1]
-        self.buckets = _literal(buckets, "array<array<bigint>>")
+        pairs = {(a + 1, b + 1): r + 1 for (a, b), r in pair_ranks(ranks).items()}
+        table, self.factors = placed(pairs)
+        self.mask = len(table) - 1
+        self.table = _literal(table, "array<bigint>")
         pieces = [""] * (max(ranks.values()) + 2)
         for t, r in ranks.items():
             pieces[r + 1] = t.hex()
         self.pieces = _literal(pieces, "array<string>")
 
-    def rank(self, a: Column, b: Column) -> Column:
+    def rank(self, a: Column, b: Column, table: Column) -> Column:
         """Rank of the pair (a, b), or null."""
-        key = a * _SHIFT + b
-        bucket = F.get(self.buckets, (key * 40503 + a).bitwiseAND(_BUCKETS - 1).cast("int"))
-        return let(bucket, lambda found: F.get(found, F.array_position(found, key).cast("int")))
 
-    def merged(self, ids: Column) -> Column:
+        def at(place: int, otherwise) -> Column:
+            f, g = self.factors[place]
+            found = F.get(table, (a * f + b * g).bitwiseAND(self.mask).cast("int"))
+            key = F.shiftleft(a, _BITS) + b
+            hit = lambda v: F.when(F.shiftright(v, _BITS) == key, v.bitwiseAND((1 << _BITS) - 1))
+            return let(found, lambda v: hit(v) if otherwise is None else hit(v).otherwise(otherwise))
+
+        return at(0, at(1, None))
+
+    def merged(self, ids: Column, table: Column) -> Column:
         """The pieces of a word, between two zeros, from those of its bytes, between two zeros.
 
         One fold over the possible merges; the state has the pieces and the rank of each with the
-        next one.
+        next one.  Long words come merged.
         """
         rest = F.lit(2**30)
 
         def join(state: Column, low: Column) -> Column:
             """``state`` with the pair at ``low.p`` joined to piece ``low.r``."""
             now, ranks, r, p = state["ids"], state["ranks"], low["r"], low["p"]
-            changed = F.array(self.rank(F.get(now, p - 2), r), self.rank(r, F.get(now, p + 1)))
+            changed = F.array(self.rank(F.get(now, p - 2), r, table), self.rank(r, F.get(now, p + 1), table))
             return F.struct(
                 F.concat(F.slice(now, 1, p - 1), F.array(r), F.slice(now, p + 2, rest)).alias("ids"),
                 F.concat(F.slice(ranks, 1, p - 2), changed, F.slice(ranks, p + 2, rest)).alias("ranks"),
@@ -121,21 +152,48 @@ class RankMap:
             pair = F.struct(low.alias("r"), F.array_position(state["ranks"], low).cast("int").alias("p"))
             return F.when(low.isNotNull(), let(pair, lambda b: join(state, b))).otherwise(state)
 
-        ranks = F.transform(ids, lambda x, i: self.rank(x, F.get(ids, i + 1)))
+        ranks = F.transform(ids, lambda x, i: self.rank(x, F.get(ids, i + 1), table))
         start = F.struct(ids.alias("ids"), ranks.alias("ranks"))
         # A word of n bytes has n + 2 places and n - 1 merges at most.
-        return F.aggregate(F.slice(ids, 4, rest), start, step)["ids"]
+        folded = F.aggregate(F.slice(ids, 4, rest), start, step)["ids"]
+        return F.when(F.get(ids, F.lit(0)) < 0, F.concat(F.array(F.lit(0).cast("long")), F.slice(ids, 2, rest))).otherwise(folded)
 
     def decoded(self, ids: Column) -> Column:
         """The bytes of a word's pieces, one after the other."""
         return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i.cast("int"))), ""))
 
 
+def merged_long(ids: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
+    """The pieces of a word from those of its bytes, lowest rank first, then leftmost, by a heap of the pairs."""
+    n = len(ids)
+    after, before = [*range(1, n), -1], [*range(-1, n - 1)]
+    heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := pairs.get((ids[i], ids[i + 1]))) is not None]
+    heapq.heapify(heap)
+    ids = list(ids)
+    while heap:
+        rank, i, a, b = heapq.heappop(heap)
+        j = after[i]
+        if ids[i] != a or j < 0 or ids[j] != b:
+            continue  # one of the two has been joined since
+        ids[i], ids[j], after[i] = rank, -1, after[j]
+        if after[j] >= 0:
+            before[after[j]] = i
+        for x, y in ((before[i], i), (i, after[i])):
+            if x >= 0 and y >= 0 and (r := pairs.get((ids[x], ids[y]))) is not None:
+                heapq.heappush(heap, (r, x, ids[x], ids[y]))
+    return [x for x in ids if x >= 0]
+
+
 _BLOCK = "keys array<long>, numbers array<binary>, words array<array<long>>"
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], byte_ids: list[int], pattern: str, size: int) -> Iterator[pa.RecordBatch]:
-    """Rows of whole blocks: keys, per document the numbers of its words, and the words' byte ids."""
+def _blocks(
+    batches: Iterator[pa.RecordBatch], byte_ids: list[int], pairs, pattern: str, size: int
+) -> Iterator[pa.RecordBatch]:
+    """Rows of whole blocks: keys, per document the numbers of its words, and the words' byte ids.
+
+    A long word has its merged pieces instead, which -1 in front of them tells.
+    """
     words_of = regex.compile(pattern).findall
     table = np.array(byte_ids, dtype=np.int64) + 1
     number: dict[str, int] = {}  # of a word in the block
@@ -155,13 +213,23 @@ def _blocks(batches: Iterator[pa.RecordBatch], byte_ids: list[int], pattern: str
 
     def block() -> pa.RecordBatch:
         raw = [w.encode("utf-8", "surrogatepass") for w in number]
-        # A zero before and after the bytes of each word.
+        # A zero before and after the pieces of each word.
+        long = {}
+        for i, w in enumerate(raw):
+            if len(w) > LONG_WORD:
+                long[i] = np.array(merged_long([byte_ids[x] for x in w], pairs.value), dtype=np.int64) + 1
+        sizes = [len(long[i]) if i in long else len(w) for i, w in enumerate(raw)]
         ends = np.zeros(len(raw) + 1, dtype=np.int32)
-        np.cumsum([len(w) + 2 for w in raw], out=ends[1:])
+        np.cumsum(np.array(sizes, dtype=np.int64) + 2, out=ends[1:])
         flat = np.zeros(ends[-1], dtype=np.int64)
         inner = np.ones(ends[-1], dtype=bool)
         inner[ends[:-1]] = inner[ends[1:] - 1] = False
-        flat[inner] = table[np.frombuffer(b"".join(raw), dtype=np.uint8)]
+        for i, pieces in long.items():
+            flat[ends[i]] = -1
+            flat[ends[i] + 1 : ends[i + 1] - 1] = pieces
+            inner[ends[i] : ends[i + 1]] = False
+        short = b"".join(w for i, w in enumerate(raw) if i not in long)
+        flat[inner] = table[np.frombuffer(short, dtype=np.uint8)]
         words = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
         return pa.RecordBatch.from_arrays(
             [
@@ -248,16 +316,19 @@ def encode(
     ``ids`` are little-endian unsigned 32-bit integers.  Null and empty texts give no ids; every
     input row gives one row, repeated ones too; other columns are not read; an empty table gives
     none.  ``ranks_path`` is read on the driver only.  A block ends with the document that fills
-    it, so its size is bounded by ``block_chars`` plus one text.  The work for a word grows with the square
-    of its length in bytes, as each merge copies its pieces.
+    it, so its size is bounded by ``block_chars`` plus one text.  The work for a word of up to LONG_WORD bytes
+    grows with the square of its length, as each merge copies its pieces; longer ones take n log n: one of
+    100,000 letters about a second.
     """
     ranks = read_ranks(ranks_path)
     pairs = RankMap(ranks)
+    by_pair = df.sparkSession.sparkContext.broadcast(pair_ranks(ranks))  # as large as the vocabulary
     byte_ids = [ranks[bytes([i])] for i in range(256)]
     split = df.select(F.col(key).cast("long"), F.col(text)).mapInArrow(
-        lambda batches: _blocks(batches, byte_ids, pattern, block_chars), _BLOCK
+        lambda batches: _blocks(batches, byte_ids, by_pair, pattern, block_chars), _BLOCK
     )
-    merged = split.select("keys", "numbers", F.transform("words", pairs.merged).alias("words"))
+    words = let(pairs.table, lambda table: F.transform("words", lambda ids: pairs.merged(ids, table)))
+    merged = split.select("keys", "numbers", words.alias("words"))
     back = merged.select("keys", "numbers", "words", F.transform("words", pairs.decoded).alias("pieces"))
     kind = (
         "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
