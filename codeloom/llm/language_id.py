@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 #: Lengths of the n-grams and buckets that all of them share; a power of two.
 LENGTHS = (1, 2, 3)
 BUCKETS = 1 << 15
@@ -96,6 +98,7 @@ def train(df: DataFrame, lang: str = "lang", text: str = "text", smoothing: floa
         F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")
     )
     counts = labelled.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = stored(counts, "gram-counts")  # read twice
     names = [r[0] for r in counts.where("bucket = -1").select("lang").limit(MAX_LANGUAGES + 1).collect()]
     if len(names) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
