@@ -355,6 +355,24 @@ def test_code_in_literals_is_linear(spark):
     assert time.perf_counter() - start < 60
 
 
+def test_both_readings_of_literals_agree(spark):
+    """Plain interpolations are taken out by passes over the text; the fold must leave the same."""
+    import random
+
+    from codeloom.functions import lexing as L
+
+    rnd = random.Random(5)
+    py = ['f"a {x(1)} b"', "rf'{y}'", "'no {z(1)}'", '"it\'s"', "# don't {w}\n", "go(1)", "{1: 2}", " + ", "\n", "F'{a}{b[0]}'", "of"]
+    js = ["`a ${x(1)} b`", "'no ${z(1)}'", '"it\'s"', "// don't ${w}\n", "/* `${v}`\n */", "go(1)", "{a: 1}", " + ", "\n", "``", "`\n${a}${b}$`"]
+    rows = [("".join(rnd.choice(py) + rnd.choice(["", " "]) for _ in range(12)), "".join(rnd.choice(js) for _ in range(12))) for _ in range(300)]
+    df = spark.createDataFrame(rows, "py string, js string").select(
+        L.python_skeleton(F.col("py")).alias("a"), L._interpolated(F.col("py"), L._PY_TOKENS, "[\"'#]", L._python_rule).alias("b"),
+        L.js_skeleton(F.col("js")).alias("c"), L._interpolated(F.col("js"), L._JS_TOKENS, "[\"'`]|/[*/]", L._js_rule).alias("d"),
+    )
+    for r in df.collect():
+        assert r.a == r.b and r.c == r.d
+
+
 # --- signatures of any depth ------------------------------------------------------------
 
 
