@@ -13,10 +13,10 @@ If not, it starts again with another seed, so that results never rest on the fin
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import discard, stored
 from .common import identity, kept_rows, let
 
 #: Bytes of a block.
@@ -46,10 +46,26 @@ def _prints(block: Column, seed: int, bits: int) -> list[Column]:
     return [F.shiftrightunsigned(h, 64 - bits) for h in both] if bits < 64 else both
 
 
-def _numbered(keys: DataFrame, label: str, *by: str) -> DataFrame:
-    """Distinct rows ``keys`` sorted in their partitions and numbered; unique over the table."""
-    names = keys.sortWithinPartitions(*by).withColumn("name", F.monotonically_increasing_id())
-    return stored(names, label)
+#: Bits of a row's place in its partition, as ``monotonically_increasing_id`` puts it.
+_PLACE_BITS = 33
+
+
+def _numbered(keys: DataFrame, label: str, by: list[str], keep: list[str]) -> DataFrame:
+    """Columns ``keep`` of distinct ``keys`` and ``name``: the place in the order of ``by`` over the whole table.
+
+    Keys are sorted by ranges; a name is a key's place in its range and the number of keys in those before, so
+    that it depends on the keys alone, however they are dealt.
+    """
+    runs = keys.repartitionByRange(*by).sortWithinPartitions(*by)
+    runs = stored(runs.select(*keep, F.monotonically_increasing_id().alias("place")), label)
+    part = F.shiftright("place", _PLACE_BITS)
+    # One row for each range.
+    ranges = runs.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    placed = runs.withColumn("part", part).join(F.broadcast(ranges), "part")
+    name = F.col("before") + F.col("place").bitwiseAND((1 << _PLACE_BITS) - 1)
+    return placed.select(*keep, name.alias("name"))
 
 
 def _block_names(docs: DataFrame, seed: int, bits: int) -> DataFrame | None:
@@ -58,10 +74,7 @@ def _block_names(docs: DataFrame, seed: int, bits: int) -> DataFrame | None:
     p, q = _prints(F.col("block"), seed, bits)
     sets = rows.groupBy(p.alias("p"), q.alias("q")).agg(F.collect_set("block").alias("found"))
     sets = sets.select("p", "q", F.array_min("found").alias("block"), F.size("found").alias("n"))
-    names = stored(
-        sets.sortWithinPartitions("block").select("p", "q", "n", F.monotonically_increasing_id().alias("name")),
-        "block-names",
-    )
+    names = _numbered(sets, "block-names", ["block"], ["p", "q", "n"])
     return None if names.where("n > 1").limit(1).count() else names.drop("n")
 
 
@@ -110,8 +123,9 @@ def exact_groups(
         )
         pairs = pairs.withColumn("right", F.coalesce("right", F.lit(-1)))
         pairs = stored(pairs, f"pairs-{level}")
-        names = _numbered(pairs.select("left", "right").distinct(), f"pair-names-{level}", "left", "right")
-        named = stored(pairs.join(names, ["left", "right"]).select("row", "pos", "name"), f"names-{level}")
+        names = _numbered(pairs.select("left", "right").distinct(), f"pair-names-{level}", ["left", "right"], ["left", "right"])
+        old, named = named, stored(pairs.join(names, ["left", "right"]).select("row", "pos", "name"), f"names-{level}")
+        discard(old, pairs)
         longest, level = (longest + 1) // 2, level + 1
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
     identified = stored(rows.select("row", "doc_id", "text_sha256").join(named.select("row", "name"), "row"), "identities")
