@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import discard, stored
 from .linking import components, distinct_groups, tiles, verified_edges
 
 #: (least length, edits), from long lines to short ones: of two lines, the shorter one's length decides.
@@ -292,9 +292,11 @@ def line_classes(
     small, keys = left.count() <= BROADCAST_ROWS, left.select("d1", "d2", "node")
     lines = texts.mapInArrow(_lines, "d1 long, d2 long, line string")
     lines = lines.join(F.broadcast(keys) if small else keys, ["d1", "d2"])
-    lines = lines.groupBy("node").agg(F.first("line").alias("line"))
+    lines = stored(lines.groupBy("node").agg(F.first("line").alias("line")), "candidate-lines")
     tiled = tiles(groups, left.select("node", "units"), "lines")
     edges = verified_edges(tiled, lines, lambda c: _links(c["line"], scale))
+    edges = stored(edges, "line-links")
+    discard(met, groups, left, lines, tiled)
     named = components(edges, "lines")
 
     # Lines without a near one are named by their digest, the others by their component.
@@ -306,6 +308,7 @@ def line_classes(
         "row", "doc_id", "line_no", F.coalesce("c1", "d1").alias("c1"), F.coalesce("c2", "d2").alias("c2")
     )
     placed = stored(placed, "placed-lines")
+    discard(found, sketches, edges, named, nodes)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "line_no")
     classes = placed.groupBy("c1", "c2").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("class_size"))
     out = placed.join(classes, ["c1", "c2"])

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import discard, stored
 
 #: Nodes and payload units (elements, characters) of a block.
 BLOCK_NODES = 1024
@@ -69,6 +69,15 @@ def forest(nodes: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return nodes[moved], nodes[label[moved]]
 
 
+#: Rows of tiles (four numbers each) up to which they are sent to the payloads, which then move once only.
+BROADCAST_TILES = 2_000_000
+
+
+def _delivered(tiled: DataFrame, payloads: DataFrame) -> DataFrame:
+    """A row of payload for every row of ``tiled``."""
+    return payloads.join(F.broadcast(tiled) if tiled.count() <= BROADCAST_TILES else tiled, "node")
+
+
 def tiles(groups: DataFrame, units: DataFrame, label: str) -> DataFrame:
     """(node, group, one, two) of all pairs of blocks, stored; ``units`` has (node, units), the size of a node's payload."""
     return stored(_blocks(groups.join(units, "node")), f"{label}-tiles")
@@ -90,7 +99,7 @@ def meeting(
     """The rows of ``tiled`` whose node meets another one of its tile, stored.
 
     ``meets`` gets the payload columns of a tile's nodes and returns the symmetric matrix of pairs that may
-    be linked; ``payloads`` has one row per node.
+    be linked; ``payloads`` is a stored table with one row per node, or a few equal ones.
     """
 
     def kept(key: tuple, table: pa.Table) -> pa.Table:
@@ -101,7 +110,7 @@ def meeting(
         keys = {c: pa.array([k.as_py()] * len(nodes), t) for c, k, t in zip(_TILE, key, (pa.int64(), pa.int32(), pa.int32()), strict=True)}
         return pa.table({"node": pa.array(nodes, pa.int64()), **keys})
 
-    rows = tiled.join(payloads, "node").groupBy(*_TILE)
+    rows = _delivered(tiled, payloads).groupBy(*_TILE)
     return stored(rows.applyInArrow(kept, "node long, group long, one int, two int"), f"{label}-meeting")
 
 
@@ -110,8 +119,8 @@ def verified_edges(
 ) -> DataFrame:
     """(a, b) connecting the nodes that are linked, by verification of all tiles.
 
-    ``payloads`` has one row per node: node and the columns that ``links`` reads.  ``links`` returns the symmetric
-    matrix of true links.  Tiles are dealt to as many tasks as shuffles have, as their work is in no
+    ``payloads`` is a stored table with one row per node, or a few equal ones: node and the columns that ``links``
+    reads.  ``links`` returns the symmetric matrix of true links.  Tiles are dealt to as many tasks as shuffles have, as their work is in no
     proportion to their bytes, by which adaptive execution would join them.
     """
 
@@ -121,7 +130,7 @@ def verified_edges(
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     parts = int(tiled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = tiled.join(payloads, "node").repartition(parts, *_TILE)
+    rows = _delivered(tiled, payloads).repartition(parts, *_TILE)
     return rows.groupBy(*_TILE).applyInArrow(verify, "a long, b long")
 
 
@@ -147,6 +156,7 @@ def components(edges: DataFrame, label: str) -> DataFrame:
         parents = stored(
             best.select("a", F.least(F.col("best"), weighed("a"))["n"].alias("parent")), f"{label}-parents-{step}"
         )
+        old = [edges, named, parents]
         moved = edges.join(parents, "a").select(F.col("parent").alias("x"), "b")
         moved = moved.join(parents.withColumnRenamed("a", "b"), "b").select("x", F.col("parent").alias("y"))
         edges = stored(
@@ -155,6 +165,8 @@ def components(edges: DataFrame, label: str) -> DataFrame:
         )
         named = named.join(parents.withColumnRenamed("a", "component"), "component", "left")
         named = stored(named.select("node", F.coalesce("parent", "component").alias("component")), f"{label}-named-{step}")
+        discard(*old)
+    discard(edges)
     return named
 
 

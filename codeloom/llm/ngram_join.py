@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import discard, stored
 from .common import identity, kept_rows
 from .linking import components, distinct_groups, meeting, overlaps, tiles, verified_edges
 
@@ -32,7 +32,8 @@ _COUNTERS_PER_DOC, _LEAST_BITS, _MOST_BITS = 2, 16, 22
 ORDERS = 3
 #: A set of candidates up to this size is broadcast to filter the documents, beyond it is joined.
 BROADCAST_ROWS = 500_000
-_REMEMBERED = 500_000
+#: Likewise of shared tokens, four bytes each, to filter the postings.
+BROADCAST_TOKENS = 2_000_000
 #: Tokens that wait to be counted together.
 _COUNT_AT = 1_000_000
 
@@ -47,23 +48,49 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-class Shingler(dict):
-    """Sorted distinct 64-bit hashes of a text's word shingles; remembers the hashes of words."""
+#: A random number for each byte, and an odd factor with its inverse modulo 2^64, for hashes of words.
+_BYTE = np.random.default_rng(7).integers(0, 2**64, 256, dtype=np.uint64)
+_FACTOR = 0x5851F42D4C957F2D
+_INVERSE = pow(_FACTOR, -1, 2**64)
+_IN_WORD = np.array([b not in b" \t\n\r\x0b\x0c" for b in range(256)])
 
-    def __init__(self, words: int):
-        super().__init__()
-        self.words = words
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = out = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return out
+class Shingler:
+    """Sorted distinct 64-bit hashes of a text's word shingles.
+
+    The bytes' numbers times the powers of a factor are summed up once over the text; a word's hash is the
+    difference of two sums, divided by the power at its start.
+    """
+
+    def __init__(self, words: int):
+        self.words, self.size = words, 0
+
+    def _powers(self, size: int) -> None:
+        if size > self.size:
+            self.size = max(2 * self.size, size, 1 << 16)
+            ones = np.ones(self.size, dtype=np.uint64)
+            ones[1:] = _FACTOR
+            self.up = np.cumprod(ones)
+            ones[1:] = _INVERSE
+            self.down = np.cumprod(ones)
+
+    def _words(self, raw: np.ndarray) -> np.ndarray:
+        """Hashes of the words, between white space."""
+        edge = np.zeros(len(raw) + 2, dtype=bool)
+        edge[1:-1] = _IN_WORD[raw]
+        edges = np.flatnonzero(edge[1:] != edge[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        self._powers(len(raw))
+        sums = np.zeros(len(raw) + 1, dtype=np.uint64)
+        np.cumsum(_BYTE[raw] * self.up[: len(raw)], out=sums[1:])
+        return _mixed((sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
 
     def __call__(self, text: str | None) -> np.ndarray:
         # Bytes are lower-cased and split as the contract says: A-Z, and ASCII white space.
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        if len(self) > _REMEMBERED:
-            self.clear()
-        h = np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+        raw = (text or "").encode("utf-8", "surrogatepass").lower()
+        if not raw:
+            return np.zeros(0, dtype=np.uint64)
+        h = self._words(np.frombuffer(raw, dtype=np.uint8))
         if not len(h):
             return h
         n = min(self.words, len(h))
@@ -148,25 +175,25 @@ def prefix(tokens: np.ndarray, counters: np.ndarray, order: int, percent: int) -
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], words: int, percent: int, counters) -> Iterator[pa.RecordBatch]:
-    """Digest, a text's hash and the prefix of the grouping order, once for equal sets of a batch.
+    """Digest, a text's hash and key and the prefix of the grouping order, once for equal sets of a batch.
 
     Prefix tokens are cut to 32 bits: equal ones only make more candidates.
     """
     shingles = Shingler(words)
     for batch in batches:
-        seen, cols = set(), ([], [], [], [], [])
-        for text, md5 in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+        seen, cols = set(), ([], [], [], [], [], [])
+        for text, md5, key in zip(batch.column(0), *(batch.column(i).to_pylist() for i in (1, 2)), strict=True):
             tokens = shingles(text.as_py())
             d = _digest(tokens)
             if not len(tokens) or d in seen:
                 continue
             seen.add(d)
             first = prefix(tokens, counters.value, 0, percent).astype(np.uint32).view(np.int32)
-            for col, v in zip(cols, (*d, len(tokens), md5, first), strict=True):
+            for col, v in zip(cols, (*d, len(tokens), md5, key, first), strict=True):
                 col.append(v)
-        kinds = [pa.int64()] * 3 + [pa.string(), pa.list_(pa.int32())]
+        kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.list_(pa.int32())]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["d1", "d2", "n", "md5", "p0"]
+            [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["d1", "d2", "n", "md5", "id", "p0"]
         )
 
 
@@ -213,7 +240,8 @@ def _groups(sketches: DataFrame, percent: int) -> DataFrame:
     postings = sketches.select("node", F.floor(F.log("n") / step).alias("own"), F.explode("p0").alias("key"))
     ends = postings.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"))
     shared = stored(ends.where("a <> b").select("key"), "shared-tokens")
-    met = stored(postings.join(shared, "key"), "shared-postings")
+    small = shared.count() <= BROADCAST_TOKENS
+    met = stored(postings.join(F.broadcast(shared) if small else shared, "key"), "shared-postings")
     parts = met.select("key", "node", "own", F.explode(F.array("own", F.col("own") - 1)).alias("part"))
     leaders = parts.groupBy("key", "part").agg(
         F.min("node").alias("leader"), F.max("node").alias("last"), F.max(F.col("own") == F.col("part")).alias("needed")
@@ -221,7 +249,10 @@ def _groups(sketches: DataFrame, percent: int) -> DataFrame:
     leaders = stored(leaders.where("needed and leader <> last").select("key", "part", "leader"), "leaders")
     # Equal hashes of different leaders join two groups: more to verify, nothing lost.
     groups = parts.join(leaders, ["key", "part"]).select("node", F.xxhash64("leader", "part").alias("group")).distinct()
-    return stored(distinct_groups(stored(groups, "led-groups")), "groups")
+    led = stored(groups, "led-groups")
+    out = stored(distinct_groups(led), "groups")
+    discard(shared, met, leaders, led)
+    return out
 
 
 def _members(df: DataFrame, percent: int, words: int, key: str, text: str) -> DataFrame:
@@ -240,31 +271,37 @@ def _members(df: DataFrame, percent: int, words: int, key: str, text: str) -> Da
     # ORDERS times 2^bits counters in all, whatever the corpus holds.
     slices = counted.where("slice is not null").groupBy("slice").applyInPandas(_summed, "slice int, counters binary")
     total = np.zeros(ORDERS << bits, dtype=np.uint64)
-    for r in stored(slices, "shingle-counters").toLocalIterator():
+    slices = stored(slices, "shingle-counters")
+    for r in slices.toLocalIterator():
         part = np.frombuffer(r["counters"], dtype=np.uint64)
         total[r["slice"] * len(part) : (r["slice"] + 1) * len(part)] = part
+    discard(slices)
     total = np.minimum(total, (1 << 24) - 1).reshape(ORDERS, -1)
     counters = spark.sparkContext.broadcast(total)
 
-    texts = docs.select("text", F.md5(F.coalesce("text", F.lit(""))).alias("md5"))
-    kind = "d1 long, d2 long, n long, md5 string, p0 array<int>"
+    texts = docs.select("text", F.md5(F.coalesce("text", F.lit(""))).alias("md5"), F.coalesce("doc_id", F.lit(0)).alias("id"))
+    kind = "d1 long, d2 long, n long, md5 string, id long, p0 array<int>"
     sketches = texts.mapInArrow(lambda b: _prefixes(b, words, percent, counters), kind)
-    sketches = sketches.groupBy("d1", "d2").agg(*[F.first(c).alias(c) for c in ("n", "md5", "p0")])
+    sketches = sketches.groupBy("d1", "d2").agg(
+        F.first("n").alias("n"), F.min(F.struct("md5", "id")).alias("of"), F.first("p0").alias("p0")
+    )
     sketches = stored(sketches.withColumn("node", F.monotonically_increasing_id()), "sketches")
     groups = _groups(sketches, percent)
 
-    # Only candidates' texts are cut again, one of each set; they are found by their hash.
-    left = groups.select("node").distinct().join(sketches.select("node", "md5", F.col("n").alias("units")), "node")
-    left = stored(left, "candidates")
-    keys = left.select("md5", "node")
-    small = left.count() <= BROADCAST_ROWS
-    chosen = texts.join(F.broadcast(keys) if small else keys, "md5").groupBy("node").agg(F.first("text").alias("text"))
+    # Only candidates' texts are cut again, and of copies one: it is found by its hash and key.
+    left = groups.select("node").distinct().join(sketches.select("node", "of", F.col("n").alias("units")), "node")
+    left = stored(left.select("node", "units", "of.md5", "of.id"), "candidates")
+    keys, candidates = left.select("md5", "id", "node"), left.count()
+    chosen = texts.join(F.broadcast(keys) if candidates <= BROADCAST_ROWS else keys, ["md5", "id"]).select("node", "text")
     kind = "node long, tokens binary, " + ", ".join(f"p{k} binary" for k in range(1, ORDERS))
-    sets = chosen.mapInArrow(lambda b: _sets(b, words, percent, counters), kind)
-    sets = stored(sets, "candidate-sets")
+    sets = stored(chosen.mapInArrow(lambda b: _sets(b, words, percent, counters), kind), "candidate-sets")
+    if sets.count() > 2 * candidates:  # rows that repeat key and text, which a tile would get many times
+        sets = stored(sets.dropDuplicates(["node"]), "candidate-sets-once")
     tiled = tiles(groups, left.select("node", "units"), "jaccard")
-    tiled = meeting(tiled, sets.drop("tokens"), _meets, "jaccard")
-    edges = verified_edges(tiled, sets.select("node", "tokens"), lambda c: _links(c, percent))
+    met = meeting(tiled, sets.drop("tokens"), _meets, "jaccard")
+    edges = verified_edges(met, sets.select("node", "tokens"), lambda c: _links(c, percent))
+    edges = stored(edges, "jaccard-links")
+    discard(groups, left, tiled, met, sets)
     named = components(edges, "jaccard")
 
     nodes = sketches.select("d1", "d2", "node").join(named, "node", "left")
@@ -272,7 +309,9 @@ def _members(df: DataFrame, percent: int, words: int, key: str, text: str) -> Da
     members = counted.where("slice is null").select("doc_id", "text_md5", "n", "d1", "d2")
     linked = members.where("n > 0").join(nodes, ["d1", "d2"]).select("doc_id", "text_md5", "n", "component")
     empty = members.where("n = 0").select("doc_id", "text_md5", "n", F.lit(None).cast("long").alias("component"))
-    return stored(linked.unionByName(empty), "members")
+    out = stored(linked.unionByName(empty), "members")
+    discard(counted, sketches, edges, named)
+    return out
 
 
 def jaccard_classes(
@@ -288,8 +327,8 @@ def jaccard_classes(
     component; other columns are not read; an empty table gives no rows.
 
     Links are exact up to collisions of 64-bit shingle hashes in a pair; nodes are numbered from
-    128-bit digests of the sets.  Texts are read three times; those of candidates are shuffled once, one
-    per set, and so are whole sets of documents that still meet others under all orders.
+    128-bit digests of the sets.  Texts are read three times and never shuffled; whole sets are, of
+    documents that still meet others under all orders.
     """
     members = _members(df, percent, words, key, text)
     least = members.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
