@@ -1,10 +1,12 @@
 """Each operator on the awkward table beside a brute-force version."""
 
+import base64
 import hashlib
 import html
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -110,6 +112,31 @@ def test_encoding_equals_tiktoken(docs, rows, none):
     assert bpe.encode(none, MULTI, public_tokenizers.PATTERN).count() == 0
 
 
+def test_long_words(spark):
+    own = tiktoken.Encoding(
+        "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(MULTI), special_tokens={}
+    )
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice("abcdetion") for _ in range(n)) for n in (398, 399, 400, 401, 402, 900, 100_000)]
+    texts += ["z" * 401, "é" * 300, "ab" * 5000 + " short " + "th" * 201, " " + "x" * 400, "日本" * 200]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    start = time.perf_counter()
+    got = {r["doc_id"]: r for r in bpe.encode(frame, MULTI, public_tokenizers.PATTERN).collect()}
+    assert time.perf_counter() - start < 60
+    for i, t in enumerate(texts):
+        assert bytes(got[i]["ids"]) == np.array(own.encode_ordinary(t), "<u4").tobytes(), i
+        assert bytes(got[i]["decoded"]) == t.encode()
+
+
+def test_every_pair_has_its_place():
+    pairs = {(a + 1, b + 1): r + 1 for (a, b), r in bpe.pair_ranks(bpe.read_ranks(MULTI)).items()}
+    table, factors = bpe.placed(pairs)
+    for (a, b), r in pairs.items():
+        key = (a << 17) + b
+        assert (key << 17) + r in {table[(a * f + b * g) % len(table)] for f, g in factors}
+    assert sum(v >= 0 for v in table) == len(pairs)
+
+
 def test_chunks_keep_the_pattern_apart():
     rnd, words = random.Random(1), regex.compile(public_tokenizers.PATTERN).findall
     parts = ["a", "B", " ", "  ", "\n", "\t", "é", "1", "-", "'s", "\x1c", " ", "日"]
@@ -147,6 +174,17 @@ def test_keep_first_keeps_one_of_each(docs, rows):
     assert len(set(texts)) == len(texts) == len({SPACES.sub(" ", r[1] or "") for r in rows})
 
 
+def test_names_are_places_in_the_order_of_all_keys(spark):
+    rnd = random.Random(10)
+    keys = list({(rnd.randint(0, 60), rnd.randint(0, 60)) for _ in range(900)})
+    want = {k: i for i, k in enumerate(sorted(keys))}
+    for parts in (1, 7):
+        frame = spark.createDataFrame(keys, "a long, b long").repartition(parts)
+        got = exact_dedup._numbered(frame, "names", ["a", "b"], ["a", "b"]).collect()
+        assert {(r["a"], r["b"]): r["name"] for r in got} == want
+    assert exact_dedup._numbered(frame.limit(0), "names", ["a"], ["a", "b"]).count() == 0
+
+
 # --- 4: secrets ----------------------------------------------------------------------
 
 
@@ -203,6 +241,59 @@ def test_entropy_and_allow_list(docs):
     assert masked[4] == "one" and masked[0] is None
 
 
+def plain_entropy_spans(text):
+    """Allow-list and cover by trying everything."""
+    run = r"[A-Za-z0-9+/_=-]*"
+    held = re.compile(f"{run}(?:{secrets.PLACEHOLDER.pattern}){run}")
+    allowed = [m.span() for p in (*secrets.ALLOW, held) for m in p.finditer(text)]
+    found = []
+    for m in secrets.CANDIDATE.finditer(text):
+        for k in secrets.CLASSES:
+            for r in k.run.finditer(m[0]):
+                w, bits = k.limits(len(r[0]))
+                hot = [i for i in range(len(r[0]) - w + 1)
+                       if -sum(c / w * math.log2(c / w) for c in Counter(r[0][i : i + w]).values()) >= bits - 1e-9]
+                at = m.start() + r.start()
+                spans = []
+                for i in hot:
+                    if spans and i <= spans[-1][1]:
+                        spans[-1][1] = i + w
+                    else:
+                        spans.append([i, i + w])
+                found += [(at + a, at + b) for a, b in spans if k.keylike(r[0][a:b])]
+    merged = []
+    for a, b in sorted(found):
+        if merged and a < merged[-1][1]:
+            merged[-1][1] = max(b, merged[-1][1])
+        else:
+            merged.append([a, b])
+    return [(a, b) for a, b in merged if not any(x <= a and b <= y for x, y in allowed)]
+
+
+def test_entropy_spans_equal_a_plain_version():
+    rnd = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+    parts = ["EXAMPLE", "sha256:", "commit ", " ", "\n", "0123456789", "=", "abcdefghijklm", "f47ac10b-58cc-4372-a567-0e02b2c3d479", "the", "-"]
+    seen = 0
+    for _ in range(400):
+        text = "".join(
+            rnd.choice([rnd.choice(parts), "".join(rnd.choice(letters) for _ in range(rnd.randint(5, 45)))]) for _ in range(rnd.randint(1, 9))
+        )
+        got = secrets.entropy_spans(text)
+        assert got == plain_entropy_spans(text), text
+        seen += len(got)
+    assert seen > 100
+
+
+def test_long_encoded_runs_are_linear():
+    blob = base64.b64encode(random.Random(4).randbytes(750_000)).decode()
+    start = time.perf_counter()
+    assert secrets.spans_of(blob)
+    assert not secrets.entropy_spans(blob + "EXAMPLE")
+    assert secrets.spans_of(f"token={blob} " + "ab12" * 9 + " ") and secrets.spans_of("sha1:" * 100_000) == []
+    assert time.perf_counter() - start < 6
+
+
 # --- 5: quality rules ----------------------------------------------------------------
 
 
@@ -536,6 +627,104 @@ def test_articles_beside_the_text():
     assert html_text.main_text(posts + f"<p><a href=x>{LONG}</a></p>") == f"{LONG.strip()}\n{LONG.strip()}"
 
 
+def test_comments_adverts_and_notices_in_articles():
+    rest = f"<p>{LONG}</p><p>{LONG}</p>"
+    want = f"{LONG.strip()}\n{LONG.strip()}"
+    extra = f"<p>{LONG} And <b>more</b> of it.</p>"
+    for odd in (
+        f"<section class=comment-section><h3>3 comments</h3>{extra * 3}</section>", f"<div class=advertisement-box>{extra}</div>",
+        f"<div class='alert alert-warning'>{extra}</div>", f"<div id=post-comments>{extra}</div>", f"<div class=adSlot2>{extra}</div>",
+        f"<div role=complementary>{extra}</div>", f"<ul class=user_comments><li>{extra}</ul>", "<div class=newsletter-signup><p>Join us</p></div>",
+    ):
+        assert html_text.main_text(f"<article>{rest}{odd}</article>") == want, odd
+    for fine in ("has-sidebar", "category-news", "tag-python", "ad-free", "cookie-recipe", "comment-policy-text", "notice-board", "main-content"):
+        page = f"<article class={fine}><div class={fine}><p>{LONG}</p></div><p>{LONG}</p></article>"
+        assert html_text.main_text(page) == want, fine
+    # A name on all of an article's text says nothing.
+    assert html_text.main_text(f"<article><div class=notice>{rest}</div></article>") == want
+
+
+def plain_blocks(page):
+    """Blocks by plain searches of the whole stack: (text, outside, inside, heading, names around it)."""
+    out, stack, now = [], [], None
+    for m in re.finditer(r"<(/?)([a-z0-9]+)((?: [^>]*)?)>|([^<]+)", page):
+        closing, name, attributes, text = m[1], m[2], m[3] or "", m[4]
+        if text:
+            if now is None:
+                now = [[], any(e["outside"] for e in stack), any(e["inside"] for e in stack),
+                       any(e["name"] in html_text._HEADINGS for e in stack), [e["mark"] for e in stack if e["mark"]], 0]
+                out.append(now)
+            now[0].append(text)
+            now[5] += len(text) * any(e["name"] == "a" for e in stack)
+            continue
+        if name in html_text._BLOCKS:
+            now = None
+        names = [i for i, e in enumerate(stack) if e["name"] == name]
+        if closing:
+            if names:
+                del stack[names[-1] :]
+            continue
+        while stack and name in html_text._CLOSED_BY.get(stack[-1]["name"], ()):
+            stack.pop()
+        blocks = [i for i, e in enumerate(stack) if e["name"] in html_text._BLOCKS]
+        if name in html_text._BLOCKS and blocks and stack[blocks[-1]]["name"] == "p":
+            del stack[blocks[-1] :]
+        around = any(e["inside"] for e in stack)
+        value = re.search("class=([^ >]+)", attributes)
+        kind = html_text.judged_names(value[1]) if value and name in html_text._BLOCKS and name not in html_text._UNNAMED else ""
+        stack.append({
+            "name": name, "inside": name in ("article", "main"), "mark": {"kind": kind, "inside": around, "holds": False} if kind else None,
+            "outside": name in html_text._OUTSIDE or "hidden" in attributes or (name == "header" and not around),
+        })
+        if name in ("article", "main") and not any(e["outside"] for e in stack):
+            for e in stack:
+                if e["mark"]:
+                    e["mark"]["holds"] = True
+    for b in out:
+        b[0] = " ".join(html.unescape("".join(b[0])).split())
+    return [b for b in out if b[0]]
+
+
+def plain_ruled_out(blocks, text):
+    weights = [0 if b[1] else max(len(b[0]) - b[5], 0) for b in blocks]
+    out = []
+    for b, t in zip(blocks, text):
+        bad = b[1]
+        for e in b[4]:
+            own = [(x, w) for x, w in zip(blocks, weights) if any(e is y for y in x[4])]
+            beside = sum(w for x, w in zip(blocks, weights) if x[2]) - sum(w for x, w in own if x[2])
+            below = sum(w for _, w in own)
+            counts = 2 * beside > sum(weights) if e["holds"] else (beside > 0 and e["kind"] == "bad") or 2 * below <= sum(weights)
+            bad = bad or (counts and not (e["kind"] == "weak" and t))
+        out.append(bad)
+    return out
+
+
+def test_blocks_equal_a_plain_version():
+    rnd = random.Random(9)
+    names = ["div", "p", "ul", "li", "a", "b", "h2", "article", "main", "nav", "header", "section", "table", "tr", "td", "span", "footer"]
+    classes = ["", "", "", " class=comments", " class=menu", " class=ad-box", " class=text", " class=share", " hidden"]
+    for _ in range(400):
+        page = ""
+        for _ in range(rnd.randint(1, 60)):
+            name = rnd.choice(names)
+            page += rnd.choice([f"<{name}{rnd.choice(classes)}>", f"</{name}>", "word " * rnd.randint(1, 30), "x &amp; y "])
+        blocks, plain = html_text.blocks_of(page), plain_blocks(page)
+        assert [(b.text, b.outside, b.inside, b.heading, b.linked) for b in blocks] == [(b[0], b[1], b[2], b[3], b[5]) for b in plain]
+        text = [rnd.random() < 0.5 for _ in blocks]
+        assert html_text._ruled_out(blocks, text) == plain_ruled_out(plain, text), page
+
+
+def test_pages_of_any_nesting_are_linear():
+    start = time.perf_counter()
+    for page in (
+        "<div>" * 16_000 + LONG, "<div class=menu>y" * 16_000, "<div>" * 8_000 + "</p></b></span>" * 8_000, "<option>" * 16_000 + "z",
+        "<b>" * 16_000 + "<p>t</p>" * 4_000, "<article>" + "<div class=comment-box><article>x" * 8_000, "<h1><b>x" * 8_000,
+    ):
+        html_text.main_text(page)
+    assert time.perf_counter() - start < 5
+
+
 # --- 10: n-gram Jaccard join ------------------------------------------------------------------
 
 
