@@ -1,7 +1,7 @@
 """Exact duplicates by deterministic block naming.
 
-A normalised text is cut into blocks of fixed size.  Distinct blocks are sorted and numbered, so
-that equal blocks, and no others, share an integer name.  Then adjacent names are paired and the
+A normalised text is cut into blocks of fixed size.  Distinct blocks are sorted, by their fingerprints, and
+numbered, so that equal blocks, and no others, share an integer name.  Then adjacent names are paired and the
 distinct pairs are sorted and numbered in the same way, which halves a document's names, until
 each document has one.  Two documents have the same name of the same level if and only if their
 texts are equal: no hash decides.
@@ -73,8 +73,9 @@ def _block_names(docs: DataFrame, seed: int, bits: int) -> DataFrame | None:
     rows = docs.select(F.explode("blocks").alias("block"))
     p, q = _prints(F.col("block"), seed, bits)
     sets = rows.groupBy(p.alias("p"), q.alias("q")).agg(F.collect_set("block").alias("found"))
-    sets = sets.select("p", "q", F.array_min("found").alias("block"), F.size("found").alias("n"))
-    names = _numbered(sets, "block-names", ["block"], ["p", "q", "n"])
+    # Fingerprints of one block each order the blocks as well as their bytes do, and are even and short.
+    sets = sets.select("p", "q", F.size("found").alias("n"))
+    names = _numbered(sets, "block-names", ["p", "q"], ["p", "q", "n"])
     return None if names.where("n > 1").limit(1).count() else names.drop("n")
 
 
