@@ -500,3 +500,32 @@ def test_string_concatenation_per_call(spark, argument, concat):
     calls = _python(spark, code)["f"]["calls"]
     (call,) = [c for c in calls if c["name"] == "execute"]
     assert call["string_concat"] is concat
+
+
+def test_walk_and_fold_find_the_same_functions(spark):
+    """A scan walks over marks and lines in Arrow batches, where a fold was interpreted anew at every token."""
+    import random
+
+    from codeloom.operators import functions as X
+
+    rnd = random.Random(11)
+    odd = {
+        "python": (PY, ["\tdef g():\n", "  @w\n", "@x.y(\n", ")\n", "]\n", '"""\n', "class B:\n", "async  def q(a):\n", "é = 1\n", "\n"]),
+        "javascript": (JS, ["{", "}", "(", ")", "x => ", "(a = (c) => { d }) => {", "function () {", "`", "\n", "get b() {"]),
+        "c": (C, ["{", "}", "#if A\n", "#else\n", "#endif\n", "int f(int a) {\n", "static g(void)\n{\n", "  int h(x) {\n", ";", "/*"]),
+    }
+    rows = [(lang, None) for lang in odd] + [("cobol", "def f(): pass\n")]
+    for lang, (text, pieces) in odd.items():
+        pieces = pieces + text.splitlines(True)
+        rows += [(lang, text)] + [(lang, "".join(rnd.choice(pieces) for _ in range(15))) for _ in range(40)]
+    files = spark.createDataFrame(
+        [(i, f"p{i}", lang, text) for i, (lang, text) in enumerate(rows)], "file_id long, path string, lang string, content string"
+    )
+    walked = X.extract_functions(files)
+    assert "ArrowEvalPython" in walked._jdf.queryExecution().executedPlan().toString()
+    lang, text = F.col("lang"), F.col("content")
+    folded = files.select("file_id", F.posexplode(
+        F.when(lang == "python", P.python_blocks(text)).when(lang == "javascript", B.js_blocks(text)).when(lang == "c", B.c_blocks(text))
+    ).alias("n", "b")).select("file_id", (F.col("n") + 1).alias("fn_no"), "b.*")
+    names = folded.columns
+    assert sorted(map(str, walked.select(names).collect())) == sorted(map(str, folded.collect()))
