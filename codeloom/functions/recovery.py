@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .folds import bind
 from .lexing import ELSE, ENDIF, IF, c_skeleton, js_skeleton, python_skeleton
+from .walks import balance_of
 
 _OPENER = "struct<bracket:string,line:int>"
 _ZERO = (
@@ -24,6 +25,13 @@ _LINKAGE = "\x1a"
 _TOKENS = "(\n+|[\x04\x1a(){}\\[\\]" + IF + ELSE + ENDIF + "])"
 
 
+def _bare(skeleton: Column, head: str | None) -> Column:
+    """What a scan reads: brackets, marks of headers, linkage and branches, line breaks."""
+    text = skeleton if head is None else F.regexp_replace(skeleton, f"({head})", "\x04$1")
+    text = F.regexp_replace(text, r"\bextern\s+\"\s*\{", _LINKAGE)
+    return F.regexp_replace(text, "[^\n\x04\x1a(){}\\[\\]" + IF + ELSE + ENDIF + "]+", "")
+
+
 def _scan(skeleton: Column, counted: str, head: str | None) -> Column:
     """``struct(net, error_line)`` by one fold over brackets, headers and branches, with a stack.
 
@@ -31,10 +39,7 @@ def _scan(skeleton: Column, counted: str, head: str | None) -> Column:
     which the next header or the end of the text tells, on the line where it opens.  The scan then goes on
     from there with an empty stack.  Branches of a directive start from one state.
     """
-    text = skeleton if head is None else F.regexp_replace(skeleton, f"({head})", "\x04$1")
-    text = F.regexp_replace(text, r"\bextern\s+\"\s*\{", _LINKAGE)
-    bare = F.regexp_replace(text, "[^\n\x04\x1a(){}\\[\\]" + IF + ELSE + ENDIF + "]+", "")
-    tokens = F.array_append(F.regexp_extract_all(bare, F.lit(_TOKENS)), F.lit(_END))
+    tokens = F.array_append(F.regexp_extract_all(_bare(skeleton, head), F.lit(_TOKENS)), F.lit(_END))
 
     def step(s: Column, t: Column) -> Column:
         n = F.size(s.stack)
@@ -86,6 +91,16 @@ def _scan(skeleton: Column, counted: str, head: str | None) -> Column:
     )
 
 
+def structure_of(lang: Column, skeleton: Column) -> Column:
+    """As :func:`structure`, of a file's skeleton and by a walk; the arguments must be columns of a table."""
+    bare = (
+        F.when(lang == "python", _bare(skeleton, _HEADS["python"]))
+        .when(lang == "javascript", _bare(skeleton, None))
+        .when(lang == "c", _bare(skeleton, _HEADS["c"]))
+    )
+    return balance_of(lang, bare)
+
+
 def structure(lang: Column, text: Column) -> Column:
     """``struct(net, error_line)`` of a file: brackets left open, and the first broken line or null."""
 
