@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from codeloom.functions import brace_code, recovery, spans, walks
 from codeloom.functions import lexing as L
 from codeloom.functions import python_code as P
+from codeloom.functions.folds import pair_index
 from codeloom.operators import functions as X
 
 PY = [
@@ -95,3 +96,33 @@ def test_only_fields_that_are_read_are_computed(spark):
         for f in (["name"], ["name", "code"])
     ]
     assert slices[0] < slices[1]
+
+
+FORMS = [
+    "class A ", "const f = ", "let $x : T = ", "var g=", "async ", "async", "function ", "function h", "(a)", "(a, b)", "((c) => d)", " => ", "=>",
+    "\n  =>\n", "{", "}", "\x05", "x", "$y", "n: ", "'k': ", ": T", "  get ", "  m", "  static async m ", "if ", "\n", " ", ";", "return 1", ") ", "(",
+]
+
+
+def test_searches_before_passes_lose_no_header(spark):
+    table = spark.createDataFrame([(t,) for t in _texts(FORMS, 6000, 14)], "s string").select(pair_index(F.col("s")).alias("s"))
+    columns = []
+    for n, (word, sure, pattern, _) in enumerate(brace_code._js_forms()):
+        sought = F.col("s").contains(word) & (F.col("s").rlike(sure) if sure else F.lit(True))
+        columns += [
+            F.count_if(F.col("s").rlike(pattern)).alias(f"n{n}"), F.count_if(F.col("s").rlike(pattern) & ~sought).alias(f"lost{n}")
+        ]
+    found = table.agg(*columns).first().asDict()
+    assert all(c > 0 for name, c in found.items() if name.startswith("n")), found
+    assert not any(c for name, c in found.items() if name.startswith("lost")), found
+    # Most texts with an arrow are not passed over once for each form with one.
+    assert sum(bool(sure) for _, sure, _, _ in brace_code._js_forms()) >= 8
+
+
+def test_long_coded_literals_are_found_from_their_quotes(spark):
+    table = spark.createDataFrame([(t,) for t in _texts([*PY, "rf", "Fr", "f'''", 'xf"""', "é", "\n"], 600, 12)], "s string")
+    plain = F.col("s").rlike("\\b(?:[fF][rR]?|[rR][fF])(?:\"{3}|'{3})")
+    found = table.select("s", plain.alias("plain"), F.col("s").rlike(L._PY_LONG_CODED).alias("quick")).collect()
+    assert sum(r.plain for r in found) > 50
+    for r in found:
+        assert r.plain == r.quick, r.s
