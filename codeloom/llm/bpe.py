@@ -1,14 +1,13 @@
-"""Byte-level BPE: ranked merges folded over the bytes of distinct words by higher-order functions.
+"""Byte-level BPE: ranked merges of the bytes of distinct words, all words of a block at once.
 
 A task reads its documents in blocks of some megabytes, splits them by the tokenizer's pattern
-and keeps each block's distinct words.  The merges then run in the JVM: one fold per distinct
-word, whose state is the word's piece ids and the rank of each adjacent pair.  A step takes the
-lowest rank, leftmost first, joins that pair and looks up the two ranks that changed in a literal
-map.  Decoding concatenates the pieces' bytes per word.  At last the words' results are put
+and keeps each block's distinct words.  The merges then run in rounds over flat arrays: a round joins
+the pair of the lowest rank, leftmost first, of every word that still has one, and looks up the two ranks
+that changed.  Decoding concatenates the pieces' bytes per word.  At last the words' results are put
 together in document order.  Everything is narrow: there is no shuffle, and a lost task is simply
 run again.
 
-Each step of the fold copies the word's pieces.  That is little for words, but not for the rare runs of
+A round copies the words that are left.  That is little for words, but not for the rare runs of
 thousands of letters: those are merged beforehand, with a heap of the ranks.
 """
 
@@ -17,18 +16,15 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
-
 #: Text characters of a block of documents; the distinct words of one are in memory at once.
 BLOCK_CHARS = 16_000_000
 #: Bytes of a word beyond which it is merged with a heap.
@@ -40,6 +36,9 @@ _CUT = re.compile(r"(?= \S)")
 _REMEMBERED = 200_000
 #: A pair (a, b) has the key a * 2^_BITS + b.  Pieces count from 1: 0 ends a word and pairs with nothing.
 _BITS = 17
+#: The rank of pairs that do not join, and the bits of a place beside a rank.
+_NONE, _BITS_OF_PLACE = np.int64(1 << _BITS), 40
+_PLACE = (1 << _BITS_OF_PLACE) - 1
 #: Factors of the two places that a pair may have in the rank map; the next ones are tried if two do not do.
 _FACTORS = ((40503, 9973), (7919, 104729), (15485863, 32452843), (49979687, 67867967))
 
@@ -97,70 +96,74 @@ def placed(pairs: dict[tuple[int, int], int]) -> tuple[list[int], list[tuple[int
     raise ValueError("the ranks find no place in the table")
 
 
-def _literal(values, kind: str) -> Column:
-    return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), kind)
-
-
 class RankMap:
-    """The literal map from pairs to ranks, and the bytes of each piece.
+    """The ranks of pairs of pieces, and the bytes of each piece.
 
     Pieces are counted from 1, so a rank is an id plus 1.  The map is a flat array, in which a lookup reads
-    one or two places; expressions get it as a bound value, so that it stands in the plan once.
+    one or two places.
     """
 
-    def __init__(self, ranks: dict[bytes, int]):
-        pairs = {(a + 1, b + 1): r + 1 for (a, b), r in pair_ranks(ranks).items()}
-        table, self.factors = placed(pairs)
-        self.mask = len(table) - 1
-        self.table = _literal(table, "array<bigint>")
-        pieces = [""] * (max(ranks.values()) + 2)
-        for t, r in ranks.items():
-            pieces[r + 1] = t.hex()
-        self.pieces = _literal(pieces, "array<string>")
-
-    def rank(self, a: Column, b: Column, table: Column) -> Column:
-        """Rank of the pair (a, b), or null."""
+    def __init__(self, pairs: dict[tuple[int, int], int], table: np.ndarray, factors, byte_ids: list[int], pieces: list[bytes]):
+        self.pairs, self.table, self.factors, self.byte_ids, self.pieces = pairs, table, factors, byte_ids, pieces
 
-        def at(place: int, otherwise) -> Column:
-            f, g = self.factors[place]
-            found = F.get(table, (a * f + b * g).bitwiseAND(self.mask).cast("int"))
-            key = F.shiftleft(a, _BITS) + b
-            hit = lambda v: F.when(F.shiftright(v, _BITS) == key, v.bitwiseAND((1 << _BITS) - 1))
-            return let(found, lambda v: hit(v) if otherwise is None else hit(v).otherwise(otherwise))
-
-        return at(0, at(1, None))
-
-    def merged(self, ids: Column, table: Column) -> Column:
-        """The pieces of a word, between two zeros, from those of its bytes, between two zeros.
-
-        One fold over the possible merges; the state has the pieces and the rank of each with the
-        next one.  Long words come merged.
+    @staticmethod
+    def parts(ranks: dict[bytes, int]) -> tuple:
+        """What a map is made of: plain values, which a task can read without this package."""
+        pairs = pair_ranks(ranks)
+        table, factors = placed({(a + 1, b + 1): r + 1 for (a, b), r in pairs.items()})
+        pieces = [b""] * (max(ranks.values()) + 2)
+        for t, r in ranks.items():
+            pieces[r + 1] = t
+        return pairs, np.array(table, dtype=np.int64), factors, [ranks[bytes([i])] for i in range(256)], pieces
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of each pair (a, b), or _NONE."""
+        key, out = (a << _BITS) + b, np.full(len(a), _NONE)
+        for f, g in self.factors:
+            found = self.table[(a * f + b * g) & (len(self.table) - 1)]
+            hit = found >> _BITS == key
+            out[hit] = found[hit] & ((1 << _BITS) - 1)
+        return out
+
+    def merged(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The number of pieces of each word; they replace, from its start on, those of its bytes in ``ids``.
+
+        A zero ends each word.  Every round joins one pair in each word that has one.
         """
-        rest = F.lit(2**30)
-
-        def join(state: Column, low: Column) -> Column:
-            """``state`` with the pair at ``low.p`` joined to piece ``low.r``."""
-            now, ranks, r, p = state["ids"], state["ranks"], low["r"], low["p"]
-            changed = F.array(self.rank(F.get(now, p - 2), r, table), self.rank(r, F.get(now, p + 1), table))
-            return F.struct(
-                F.concat(F.slice(now, 1, p - 1), F.array(r), F.slice(now, p + 2, rest)).alias("ids"),
-                F.concat(F.slice(ranks, 1, p - 2), changed, F.slice(ranks, p + 2, rest)).alias("ranks"),
-            )
-
-        def step(state: Column, _: Column) -> Column:
-            low = F.array_min(state["ranks"])
-            pair = F.struct(low.alias("r"), F.array_position(state["ranks"], low).cast("int").alias("p"))
-            return F.when(low.isNotNull(), let(pair, lambda b: join(state, b))).otherwise(state)
-
-        ranks = F.transform(ids, lambda x, i: self.rank(x, F.get(ids, i + 1), table))
-        start = F.struct(ids.alias("ids"), ranks.alias("ranks"))
-        # A word of n bytes has n + 2 places and n - 1 merges at most.
-        folded = F.aggregate(F.slice(ids, 4, rest), start, step)["ids"]
-        return F.when(F.get(ids, F.lit(0)) < 0, F.concat(F.array(F.lit(0).cast("long")), F.slice(ids, 2, rest))).otherwise(folded)
-
-    def decoded(self, ids: Column) -> Column:
-        """The bytes of a word's pieces, one after the other."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i.cast("int"))), ""))
+        sizes = np.diff(starts, append=len(ids)) - 1
+        words, first, left = np.arange(len(starts)), starts, ids
+        ranks = self.rank(left, np.append(left[1:], 0))
+        while len(words):
+            low = np.minimum.reduceat((ranks << _BITS_OF_PLACE) + np.arange(len(left)), first)
+            goes_on = low >> _BITS_OF_PLACE != _NONE
+            if not goes_on.all():
+                # The words that have no such pair any more go back to their places.
+                length = np.diff(first, append=len(left))
+                kept = np.repeat(goes_on, length)
+                over, n = words[~goes_on], length[~goes_on]
+                sizes[over] = n - 1
+                ids[_runs(starts[over], n)] = left[~kept]
+                at = np.cumsum(kept) - 1
+                words, first, low = words[goes_on], at[first[goes_on]], low[goes_on]
+                left, ranks = left[kept], ranks[kept]
+                place = at[low & _PLACE]
+            else:
+                place = low & _PLACE
+            left[place] = low >> _BITS_OF_PLACE
+            kept = np.ones(len(left), dtype=bool)
+            kept[place + 1] = False
+            # Each word before has lost one place.
+            lost = np.arange(len(words))
+            left, ranks, first, place = left[kept], ranks[kept], first - lost, place - lost
+            for near in (place, place - 1):  # a zero stands before each word, that of the last before the first
+                ranks[near] = self.rank(left[near], left[near + 1])
+        return sizes
+
+
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs that begin at ``starts``, one run after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 def merged_long(ids: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
@@ -184,18 +187,19 @@ def merged_long(ids: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
     return [x for x in ids if x >= 0]
 
 
-_BLOCK = "keys array<long>, numbers array<binary>, words array<array<long>>"
+ENCODED = pa.schema(
+    [("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())]
+)
+DIGESTS = pa.schema(
+    [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
+)
 
 
-def _blocks(
-    batches: Iterator[pa.RecordBatch], byte_ids: list[int], pairs, pattern: str, size: int
+def _encoded(
+    batches: Iterator[pa.RecordBatch], ranks, pattern: str, size: int, digest: bool
 ) -> Iterator[pa.RecordBatch]:
-    """Rows of whole blocks: keys, per document the numbers of its words, and the words' byte ids.
-
-    A long word has its merged pieces instead, which -1 in front of them tells.
-    """
+    """One row per document; documents are encoded in blocks that share their distinct words."""
     words_of = regex.compile(pattern).findall
-    table = np.array(byte_ids, dtype=np.int64) + 1
     number: dict[str, int] = {}  # of a word in the block
     keys: list = []
     numbers: list[bytes] = []
@@ -211,36 +215,7 @@ def _blocks(
             self[chunk] = out = numbered(" " + chunk)
             return out
 
-    def block() -> pa.RecordBatch:
-        raw = [w.encode("utf-8", "surrogatepass") for w in number]
-        # A zero before and after the pieces of each word.
-        long = {}
-        for i, w in enumerate(raw):
-            if len(w) > LONG_WORD:
-                long[i] = np.array(merged_long([byte_ids[x] for x in w], pairs.value), dtype=np.int64) + 1
-        sizes = [len(long[i]) if i in long else len(w) for i, w in enumerate(raw)]
-        ends = np.zeros(len(raw) + 1, dtype=np.int32)
-        np.cumsum(np.array(sizes, dtype=np.int64) + 2, out=ends[1:])
-        flat = np.zeros(ends[-1], dtype=np.int64)
-        inner = np.ones(ends[-1], dtype=bool)
-        inner[ends[:-1]] = inner[ends[1:] - 1] = False
-        for i, pieces in long.items():
-            flat[ends[i]] = -1
-            flat[ends[i] + 1 : ends[i + 1] - 1] = pieces
-            inner[ends[i] : ends[i + 1]] = False
-        short = b"".join(w for i, w in enumerate(raw) if i not in long)
-        flat[inner] = table[np.frombuffer(short, dtype=np.uint8)]
-        words = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.ListArray.from_arrays([0, len(keys)], pa.array(keys, pa.int64())),
-                pa.ListArray.from_arrays([0, len(keys)], pa.array(numbers, pa.binary())),
-                pa.ListArray.from_arrays([0, len(raw)], words),
-            ],
-            names=["keys", "numbers", "words"],
-        )
-
-    known = Chunks()
+    known, rank_map = Chunks(), RankMap(*ranks.value)
     for batch in batches:
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             first, *rest = chunks(text.as_py() or "")
@@ -250,50 +225,60 @@ def _blocks(
             if len(known) > _REMEMBERED:
                 known.clear()
             if held * 5 >= size:  # a word has about five characters
-                yield block()
+                yield from _assembled(keys, numbers, *_merged(number, rank_map), digest)
                 number.clear()
                 known.clear()
                 keys, numbers, held = [], [], 0
     if keys:
-        yield block()
-
-
-ENCODED = pa.schema(
-    [("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())]
-)
-DIGESTS = pa.schema(
-    [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
-)
-
-
-def _assembled(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.RecordBatch]:
+        yield from _assembled(keys, numbers, *_merged(number, rank_map), digest)
+
+
+def _merged(words: Iterable[str], ranks: RankMap) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Of words: all their ids in one array, where those of each begin, their number, and the bytes that they decode to."""
+    raw = [w.encode("utf-8", "surrogatepass") for w in words]
+    sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
+    starts = np.cumsum(sizes + 1) - (sizes + 1)
+    ids = np.zeros(int((sizes + 1).sum()), dtype=np.int64)
+    ids[_runs(starts, sizes)] = np.array(ranks.byte_ids, dtype=np.int64)[np.frombuffer(b"".join(raw), dtype=np.uint8)] + 1
+    is_long = sizes > LONG_WORD
+    short = np.flatnonzero(~is_long)
+    if len(short):
+        # Those that are merged together lie side by side.
+        places = _runs(starts[short], sizes[short] + 1)
+        side = ids[places]
+        at = np.cumsum(sizes[short] + 1) - (sizes[short] + 1)
+        sizes[short] = ranks.merged(side, at)
+        ids[places] = side
+    for i in np.flatnonzero(is_long).tolist():
+        pieces = merged_long([ranks.byte_ids[x] for x in raw[i]], ranks.pairs)
+        ids[starts[i] : starts[i] + len(pieces)] = np.array(pieces, dtype=np.int64) + 1
+        sizes[i] = len(pieces)
+    # Decoded from the ids alone.
+    pieces = list(map(ranks.pieces.__getitem__, ids[_runs(starts, sizes)].tolist()))
+    ends = np.cumsum(sizes)
+    back = [b"".join(pieces[a:b]) for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+    return ids - 1, starts, sizes, back
+
+
+def _assembled(
+    keys: list, numbers: list[bytes], ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, decoded: list[bytes], digest: bool
+) -> Iterator[pa.RecordBatch]:
     """One row per document, from the encoded words of its block."""
     schema = DIGESTS if digest else ENCODED
-    for batch in batches:
-        for b in range(batch.num_rows):
-            keys, numbers, words, pieces = (batch.column(i)[b].values for i in range(4))
-            # The zeros around a word's pieces are skipped, and pieces count from 1.
-            starts = words.offsets.to_numpy()
-            ids = words.values.to_numpy(zero_copy_only=False) - 1
-            lengths, starts = np.diff(starts) - 2, starts[:-1] + 1
-            decoded = pieces.to_pylist()
-            rows: list[tuple] = []
-            for key, raw in zip(keys.to_pylist(), numbers, strict=True):
-                nums = np.frombuffer(raw.as_py(), dtype=np.int32)
-                n = lengths[nums]
-                ends = np.cumsum(n)
-                total = int(ends[-1]) if len(ends) else 0
-                own = ids[np.repeat(starts[nums] - (ends - n), n) + np.arange(total)].astype("<u4").tobytes()
-                back = b"".join(map(decoded.__getitem__, nums.tolist()))
-                if digest:
-                    rows.append((key, total, hashlib.sha256(own).hexdigest(), hashlib.sha256(back).hexdigest()))
-                else:
-                    rows.append((key, own, back))
-                if len(rows) == 2000:
-                    yield _rows(rows, schema)
-                    rows = []
-            if rows:
-                yield _rows(rows, schema)
+    rows: list[tuple] = []
+    for key, raw in zip(keys, numbers, strict=True):
+        nums = np.frombuffer(raw, dtype=np.int32)
+        own = ids[_runs(starts[nums], sizes[nums])].astype("<u4")
+        back = b"".join(map(decoded.__getitem__, nums.tolist()))
+        if digest:
+            rows.append((key, len(own), hashlib.sha256(own.tobytes()).hexdigest(), hashlib.sha256(back).hexdigest()))
+        else:
+            rows.append((key, own.tobytes(), back))
+        if len(rows) == 2000:
+            yield _rows(rows, schema)
+            rows = []
+    if rows:
+        yield _rows(rows, schema)
 
 
 def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -320,19 +305,12 @@ def encode(
     grows with the square of its length, as each merge copies its pieces; longer ones take n log n: one of
     100,000 letters about a second.
     """
-    ranks = read_ranks(ranks_path)
-    pairs = RankMap(ranks)
-    by_pair = df.sparkSession.sparkContext.broadcast(pair_ranks(ranks))  # as large as the vocabulary
-    byte_ids = [ranks[bytes([i])] for i in range(256)]
-    split = df.select(F.col(key).cast("long"), F.col(text)).mapInArrow(
-        lambda batches: _blocks(batches, byte_ids, by_pair, pattern, block_chars), _BLOCK
-    )
-    words = let(pairs.table, lambda table: F.transform("words", lambda ids: pairs.merged(ids, table)))
-    merged = split.select("keys", "numbers", words.alias("words"))
-    back = merged.select("keys", "numbers", "words", F.transform("words", pairs.decoded).alias("pieces"))
+    ranks = df.sparkSession.sparkContext.broadcast(RankMap.parts(read_ranks(ranks_path)))  # as large as the vocabulary
     kind = (
         "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
         if digest
         else "doc_id long, ids binary, decoded binary"
     )
-    return back.mapInArrow(lambda batches: _assembled(batches, digest), kind)
+    return df.select(F.col(key).cast("long"), F.col(text)).mapInArrow(
+        lambda batches: _encoded(batches, ranks, pattern, block_chars, digest), kind
+    )

@@ -128,6 +128,18 @@ def test_long_words(spark):
         assert bytes(got[i]["decoded"]) == t.encode()
 
 
+def test_words_of_a_block_merge_together():
+    # No fold in a plan: the merges of all distinct words of a block are rounds over flat arrays.
+    ranks = bpe.RankMap(*bpe.RankMap.parts(bpe.read_ranks(MULTI)))
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("aeinrst é日") for _ in range(rnd.randint(1, 60))) for _ in range(3000)]
+    ids, starts, sizes, back = bpe._merged(words, ranks)
+    for i, w in enumerate(words):
+        want = bpe.merged_long([ranks.byte_ids[x] for x in w.encode()], ranks.pairs)
+        assert ids[starts[i] : starts[i] + sizes[i]].tolist() == want
+        assert back[i] == w.encode()
+
+
 def test_every_pair_has_its_place():
     pairs = {(a + 1, b + 1): r + 1 for (a, b), r in bpe.pair_ranks(bpe.read_ranks(MULTI)).items()}
     table, factors = bpe.placed(pairs)
