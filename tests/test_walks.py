@@ -126,3 +126,35 @@ def test_long_coded_literals_are_found_from_their_quotes(spark):
     assert sum(r.plain for r in found) > 50
     for r in found:
         assert r.plain == r.quick, r.s
+
+
+SIGNED = [
+    "def f(", "async def g[T: (int)](", "a", "b: int", "c=1", ", ", ",", "*", "*args", "**kw", "/", ": Dict[str, List[Opt['x']]]", ": a.B", ": (x)",
+    ': "T | None"', "='a,(b'", '="it\\\'s \\"q\\" \\\\"', "=[1, 2]", "={1: (2)}", "={}", "=(1, (2, (3, (4, (5, 6)))))", "= lambda x: y", "(", ")", "[", "]", "{", "}",
+    "# no, ) 'x\n", "\n    ", " ", ")", "):", ") -> None:", ") -> 'A(':", ") -> Tuple[str, Dict[str, int]]:", ") -> f(x)[1]:\n", " pass", '"""d\n"""', "'", '"', "\u2028", "\r",
+]
+
+
+def test_signatures_by_walk_and_by_fold_agree(spark):
+    rnd = random.Random(11)
+    some = [t if n % 4 else "def f(a, " + t for n, t in enumerate(_texts(SIGNED, 900, 14, 5))]
+    closed = ["def f(" + ", ".join(rnd.sample(SIGNED[2:21], 4)) + rnd.choice(SIGNED[32:37]) for _ in range(900)]
+    rows = [(t,) for t in [*some, *closed, None, "", "def f(a):", "def f(a: x = 'y') -> z: # w"]]
+    found = spark.createDataFrame(rows, "code string").select(
+        "code", P.python_params(F.col("code")).alias("params"), P.python_return(F.col("code")).alias("result"),
+        walks.signatures_of(F.col("code")).alias("walk"),
+    ).collect()
+    assert sum(len(r.params or ()) for r in found) > 2000 and sum(r.result is not None for r in found) > 200
+    for r in found:
+        if r.code is None:
+            assert r.walk is None and r.params is None and r.result is None
+        else:
+            assert (r.walk.params, r.walk.result) == (r.params, r.result), r.code
+
+
+def test_parameters_are_read_without_folds_over_code(spark):
+    table = spark.createDataFrame([(1, "a.py", "python", "def f(a: x = 1) -> y:\n  pass\n")], "file_id int, path string, lang string, content string")
+    fns = X.with_params(X.extract_functions(table, ["name", "kind", "decorators", "signature", "return_type", "code"]))
+    assert [(p.name, p.annotation, p.default) for r in fns.collect() for p in r.params] == [("a", "x", "1")]
+    plan = fns._jdf.queryExecution().optimizedPlan().toString()
+    assert "_signatures(" in plan
