@@ -158,3 +158,12 @@ def test_parameters_are_read_without_folds_over_code(spark):
     assert [(p.name, p.annotation, p.default) for r in fns.collect() for p in r.params] == [("a", "x", "1")]
     plan = fns._jdf.queryExecution().optimizedPlan().toString()
     assert "_signatures(" in plan
+
+
+def test_an_import_line_is_read_once_for_its_names():
+    listed = P.python_imports(F.col("t"), F.col("s"))._jc.toString()
+    assert listed.count("from[ \\t]+(\\.*)") <= 4
+
+
+def test_called_names_are_sorted_without_a_comparator():
+    assert "sort_array" in X.call_names(F.col("lang"), F.col("s"))._jc.toString()
