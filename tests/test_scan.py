@@ -415,6 +415,36 @@ def test_a_verdict_is_read_once_for_all_its_fields(spark):
     assert plan.count("try_variant_get(") == 1 and "reverse(" not in plan
 
 
+def _orders(spark, folder, rows=40):
+    keys = spark.range(rows).selectExpr(
+        "id AS o_orderkey", "element_at(array('O', 'F', 'P'), cast(id % 3 + 1 AS int)) AS o_orderstatus",
+        "element_at(array('1-URGENT', '5-LOW'), cast(id % 2 + 1 AS int)) AS o_orderpriority",
+    )
+    twice = keys.where("o_orderkey = 4").selectExpr("o_orderkey", "'P' AS o_orderstatus", "'2-HIGH' AS o_orderpriority")
+    none = spark.sql("SELECT cast(null AS bigint) AS o_orderkey, 'F' AS o_orderstatus, '5-LOW' AS o_orderpriority")
+    keys.unionByName(twice).unionByName(none).write.parquet(f"{folder}/orders.parquet")
+    return str(folder)
+
+
+def test_files_with_their_status_shuffle_no_text(spark, tmp_path):
+    from codeloom.registry import queries as registry
+
+    sf = _orders(spark, tmp_path / "sf")
+    found = registry._with_status(spark, sf)
+    status = spark.read.parquet(f"{sf}/orders.parquet").selectExpr("o_orderkey AS file_id", "o_orderstatus", "o_orderpriority")
+    wanted = registry._files(spark, sf).join(status, "file_id")
+    assert found.columns == wanted.columns
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, wanted.collect()))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Join Inner")
+    assert "AS content" in above and "AS content" not in below
+
+
+def test_changed_paths_keep_their_parts(spark):
+    dealt = I._dealt(spark.createDataFrame([("a.py",), ("b.py",)], "path string"))
+    assert dealt.rdd.getNumPartitions() >= 3 * spark.sparkContext.defaultParallelism
+
+
 def test_answers_are_read_behind_the_gate(spark):
     files = spark.createDataFrame([(1, "a.py", "python", "def f(a):\n  pass\n")], "file_id long, path string, lang string, content string")
     answers = spark.createDataFrame(
